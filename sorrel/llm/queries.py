@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .exact_dedup import exact_dedup
 from .packing import pack_documents
+from .pii import find_pii
 from .token_counts import count_tokens
 from .tokenizer import TokenizerFile
 
@@ -25,11 +26,15 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), byte_bpe(), limit=512)
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op5_exact_dedup, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op5_exact_dedup, op7_pii, op9_token_counts)}
 
 ORACLES = {
     "op5_exact_dedup": """
