@@ -10,6 +10,7 @@ from .packing import pack_documents
 from .pii import find_pii
 from .token_counts import count_tokens
 from .tokenizer import TokenizerFile
+from .toxicity import score, train
 
 
 def byte_bpe() -> TokenizerFile:
@@ -22,6 +23,11 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), byte_bpe(), capacity=2048)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train(docs, table(spark, sf_dir, "labels"), "toxic"), threshold=0.7)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -34,7 +40,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), byte_bpe(), limit=512)
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op5_exact_dedup, op7_pii, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op4_toxicity, op5_exact_dedup, op7_pii, op9_token_counts)}
 
 ORACLES = {
     "op5_exact_dedup": """
