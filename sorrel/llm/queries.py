@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .minhash import near_duplicates
 from .packing import pack_documents
 from .pii import find_pii
 from .token_counts import count_tokens
@@ -32,6 +33,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), least=0.8, size=5)
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
 
@@ -40,7 +45,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), byte_bpe(), limit=512)
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op4_toxicity, op5_exact_dedup, op7_pii, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op4_toxicity, op5_exact_dedup, op6_minhash_near_dedup, op7_pii, op9_token_counts)}
 
 ORACLES = {
     "op5_exact_dedup": """
