@@ -139,16 +139,19 @@ def nystrom_svm(landmarks: list[str], positive: dict[str, float], negative: list
     """
     spelt = [windows(w)[0] for w in landmarks]
 
+    row, dim, value = features(spelt)
+    used, place = np.unique(dim, return_inverse=True)  # only dimensions that a landmark has can count
+    dense = np.zeros((len(landmarks), len(used)), np.float32)
+    dense[row, place] = value
+    column = np.full(DIMENSIONS, -1, np.int32)
+    column[used] = np.arange(len(used))
+
     def kernel(words: list[str]) -> np.ndarray:
         r, d, v = features([windows(w)[0] for w in words])
-        out = np.zeros((len(words), len(landmarks)))
-        for j in range(len(landmarks)):
-            out[:, j] = np.bincount(r, v * dense[j][d], minlength=len(words))
-        return out
+        at = column[d]
+        r, at, v = r[at >= 0], at[at >= 0], v[at >= 0]
+        return np.column_stack([np.bincount(r, v * mark[at], minlength=len(words)) for mark in dense])
 
-    row, dim, value = features(spelt)
-    dense = np.zeros((len(landmarks), DIMENSIONS), np.float32)
-    dense[row, dim] = value
     low, vectors = np.linalg.eigh((dense @ dense.T).astype(float))
     keep = low > 1e-6
     root = vectors[:, keep] / np.sqrt(low[keep])
@@ -166,7 +169,9 @@ def nystrom_svm(landmarks: list[str], positive: dict[str, float], negative: list
         if np.linalg.norm(grad) < 1e-9:
             break
         w = w - np.linalg.solve(ridge + 2 * (xb[on].T * each[on]) @ xb[on], grad)
-    return Model((dense.T @ (root @ w[:-1])).astype(np.float32), float(w[-1]))
+    weights = np.zeros(DIMENSIONS, np.float32)
+    weights[used] = dense.T @ (root @ w[:-1])
+    return Model(weights, float(w[-1]))
 
 
 def calibrate(evidence: np.ndarray, label: np.ndarray, steps: int = 200) -> np.ndarray:
