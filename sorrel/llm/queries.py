@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .hamming import nearest_codes
+from .licenses import COPYRIGHT_LINE, LIST_MARK, SPELLINGS, TEXTS, find_licenses
 from .minhash import near_duplicates
+from .mixing import mixing_rates
 from .packing import pack_documents
 from .pii import find_pii
+from .preferences import CLOSE, MIDDLE, OPEN, preference_segments
 from .token_counts import count_tokens
 from .tokenizer import TokenizerFile
 from .toxicity import score, train
@@ -20,10 +24,22 @@ def byte_bpe() -> TokenizerFile:
     return TokenizerFile(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+#: Target shares of tokens by predicted quality.
+QUALITY_SHARES = {"0": 0.1, "1": 0.9}
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), byte_bpe(), QUALITY_SHARES)
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), byte_bpe(), capacity=2048)
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_licenses(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score(docs, train(docs, table(spark, sf_dir, "labels"), "toxic"), threshold=0.7)
@@ -41,15 +57,67 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
 
 
+def op8_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_codes(table(spark, sf_dir, "embeddings"), k=10, every=20)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), byte_bpe(), limit=512)
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op4_toxicity, op5_exact_dedup, op6_minhash_near_dedup, op7_pii, op9_token_counts)}
+def op10_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference_segments(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_mixing, op2_best_fit_packing, op3_licenses, op4_toxicity, op5_exact_dedup, op6_minhash_near_dedup, op7_pii, op8_hamming_top_k, op9_token_counts, op10_preferences)
+}
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _canonical_sql(text: str) -> str:
+    out = f"lower(regexp_replace({text}, '\\r\\n?', chr(10), 'g'))"
+    for pattern in (COPYRIGHT_LINE, LIST_MARK):
+        out = f"regexp_replace({out}, {_quoted(pattern)}, '', 'g')"
+    out = f"' ' || trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '"
+    for other, usual in SPELLINGS.items():
+        out = f"replace({out}, ' {other} ', ' {usual} ')"
+    return f"trim({out})"
+
+
+_KNOWN = ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, (title, body) in TEXTS.items() for v in (body, f"{title}\n{body}"))
 
 ORACLES = {
+    "op3_licenses": f"""
+        WITH named(license, text) AS (VALUES {_KNOWN}),
+        known AS (SELECT sha256({_canonical_sql("text")}) AS digest, min(license) AS license FROM named GROUP BY 1),
+        docs AS (SELECT doc_id, sha256({_canonical_sql("coalesce(text, '')")}) AS canonical_sha256 FROM documents)
+        SELECT doc_id, license, canonical_sha256 FROM docs LEFT JOIN known ON digest = canonical_sha256""",
     "op5_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, max(doc_id) OVER w = doc_id AS kept,
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+    "op8_hamming_top_k": """
+        WITH bits AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END) AS b FROM embeddings),
+        codes AS (SELECT vec_id, array_to_string(b, '')::BIT AS code FROM bits),
+        found AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS neighbor_id, bit_count(xor(q.code, c.code))::BIGINT AS distance
+            FROM codes q JOIN codes c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM found)
+        SELECT query_id, rank::INT AS rank, neighbor_id, distance FROM ranked WHERE rank <= 10""",
+    "op10_preferences": f"""
+        WITH turns AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+        numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY role, text) AS seq, conv_id // 2 AS pair_id FROM turns),
+        pairs AS (SELECT pair_id, min(conv_id) AS chosen_id, max(conv_id) AS rejected_id FROM numbered GROUP BY 1 HAVING min(conv_id) <> max(conv_id)),
+        sides AS (SELECT n.*, CASE WHEN conv_id = chosen_id THEN 'chosen' ELSE 'rejected' END AS side FROM numbered n JOIN pairs USING (pair_id)),
+        lone AS (SELECT pair_id, turn, seq FROM sides GROUP BY pair_id, turn, seq, role, text HAVING count(*) = 1),
+        ends AS (SELECT pair_id, min(turn * 1000000 + seq) AS stop FROM lone GROUP BY 1),
+        parts AS (SELECT s.*, CASE WHEN stop IS NULL OR turn * 1000000 + seq < stop THEN 'prompt' ELSE side END AS part FROM sides s LEFT JOIN ends USING (pair_id))
+        SELECT pair_id, part, turn, seq::INT AS seq, role, {_quoted(OPEN)} || role || {_quoted(MIDDLE)} || text || {_quoted(CLOSE)} AS rendered,
+               CASE WHEN part <> 'prompt' AND role = 'assistant' THEN 1 ELSE 0 END AS loss_mask
+        FROM parts WHERE part <> 'prompt' OR side = 'chosen'""",
 }

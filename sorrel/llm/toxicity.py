@@ -307,6 +307,23 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     return model
 
 
+def _scored(docs: DataFrame, model: Model | None, base_rate: float, text_col: str) -> DataFrame:
+    """All columns of docs and _score."""
+    limit_batches(docs.sparkSession)
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+    schema = T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shipped.value
+        scorer = Scorer(m) if m else None
+        for b in batches:
+            found = m.score(scorer([t or "" for t in b.column(at).to_pylist()])) if m else np.full(b.num_rows, base_rate)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found)], schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
 def score(docs: DataFrame, model: Model | None, threshold: float = 0.7, base_rate: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, held_out, score, predicted.
 
@@ -314,16 +331,10 @@ def score(docs: DataFrame, model: Model | None, threshold: float = 0.7, base_rat
     machine scores no evidence. Without a model every score is ``base_rate``. Repeated rows get equal scores; other
     columns are ignored; an empty table gives an empty result.
     """
-    limit_batches(docs.sparkSession)
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("score", T.DoubleType())])
+    out = _scored(docs.select(id_col, text_col), model, base_rate, text_col)
+    return out.select(id_col, is_held_out(F.col(f"`{id_col}`")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shipped.value
-        scorer = Scorer(m) if m else None
-        for b in batches:
-            at = m.score(scorer(b.column(1).to_pylist())) if m else np.full(b.num_rows, base_rate)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at)], [id_col, "score"])
 
-    out = docs.select(F.col(f"`{id_col}`"), text_of(text_col)).mapInArrow(run, schema)
-    return out.select(id_col, is_held_out(F.col(f"`{id_col}`")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+def drop_toxic(docs: DataFrame, model: Model | None, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of docs that score below the threshold, with all their columns; no row is shuffled."""
+    return _scored(docs, model, 0.0, text_col).where(F.col("_score") < threshold).drop("_score")
