@@ -2,6 +2,463 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import missing, render, tasks, text
+from ..operators import context, navigation, scope, sessions
+
 FLAGSHIP = "def_ref_counts"
-QUERIES: dict = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+#: Requests of every kind, for queries whose operators the tables' prose would not reach.
+REQUESTS = (
+    (1, "修改 src/main.rs 第 10 行 为 let x = 1;"), (2, "修改一下 main.rs 第 3 行"), (3, "run cargo test"), (4, "执行 ls"), (5, "where is parse_plan defined?"),
+    (6, "explain FooBar please"), (7, "goto src/a.rs:12:3"), (8, "hello there"), (9, "  look at (lib.rs:7), then x:0 "), (10, "修改 a.rs 第 0 行 为 z"), (11, "run rm -rf / now"), (12, "解释 foo_bar 的作用"),
+)
+REQUESTS_SQL = "(VALUES " + ", ".join(f"({i}, '{t}')" for i, t in REQUESTS) + ") AS r(id, text)"
+COMMANDS = ("ls -la", "sudo make install", "RM -RF / home", "echo hi | sh", "cargo build", "Curl http://x")
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def requests(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(REQUESTS, "id int, text string")
+
+
+# Events as captures: a user is a file, its span the root, its days and their hours are scopes; signup defines, click
+# refers and view imports a name, which is int(k) % 10. Offsets are microseconds.
+CAPTURES_SQL = """
+    WITH ev AS (SELECT user_id AS file_id, event_id, event_type, epoch_us(ts) AS us, CAST(json_extract(props, '$.k') AS BIGINT) % 10 AS k FROM events),
+    root AS (SELECT file_id, min(us) AS s, max(us) AS e FROM ev GROUP BY 1),
+    day AS (SELECT file_id, min(us) AS s, max(us) AS e FROM ev GROUP BY file_id, us // 86400000000),
+    hour AS (SELECT file_id, min(us) AS s, max(us) AS e FROM ev GROUP BY file_id, us // 3600000000),
+    scopes AS (
+        SELECT file_id, s, e, (row_number() OVER (PARTITION BY file_id ORDER BY lvl, s, e DESC) - 1)::INT AS ix
+        FROM (SELECT *, 0 AS lvl FROM root UNION ALL SELECT *, 1 FROM day UNION ALL SELECT *, 2 FROM hour)),
+    anc AS (
+        SELECT c.file_id, c.ix AS scope_ix, a.ix AS anc_ix, (row_number() OVER (PARTITION BY c.file_id, c.ix ORDER BY a.s DESC, a.e, a.ix DESC) - 1)::INT AS dist
+        FROM scopes c JOIN scopes a ON a.file_id = c.file_id AND a.s <= c.s AND a.e >= c.e AND a.ix <= c.ix),
+    items AS (SELECT file_id, event_id, us, 'n' || k AS name, CASE event_type WHEN 'signup' THEN 'definition' WHEN 'click' THEN 'reference' ELSE 'import' END AS role FROM ev WHERE event_type IN ('signup', 'click', 'view')),
+    inner_ AS (
+        SELECT i.file_id, i.event_id, arg_max(s.ix, (s.s, -s.e, s.ix)) AS scope_ix
+        FROM items i JOIN scopes s ON s.file_id = i.file_id AND s.s <= i.us AND s.e >= i.us GROUP BY ALL),
+    placed AS (
+        SELECT i.*, CASE WHEN role = 'definition' THEN coalesce(p.anc_ix, n.scope_ix) ELSE n.scope_ix END AS scope_ix
+        FROM items i JOIN inner_ n USING (file_id, event_id) LEFT JOIN anc p ON p.file_id = i.file_id AND p.scope_ix = n.scope_ix AND p.dist = 1),
+    edges AS (
+        SELECT r.file_id, r.event_id AS ref_id, d.event_id AS target_id, r.name, CASE d.role WHEN 'import' THEN 'RefToImport' ELSE 'RefToDef' END AS kind, a.dist
+        FROM placed r JOIN anc a ON a.file_id = r.file_id AND a.scope_ix = r.scope_ix
+        JOIN placed d ON d.file_id = r.file_id AND d.scope_ix = a.anc_ix AND d.name = r.name AND d.role <> 'reference' WHERE r.role = 'reference')
+"""
+
+
+class Events:
+    """The scope graph's stages over events, with event_id beside each capture."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        us = F.unix_micros(F.col("ts").cast("timestamp"))
+        ev = table(spark, sf_dir, "events").select(F.col("user_id").alias("file_id"), "event_id", "event_type", us.alias("us"), (F.get_json_object("props", "$.k").cast("bigint") % 10).alias("k"))
+
+        def spans(level: int, *keys) -> DataFrame:
+            return ev.groupBy("file_id", *keys).agg(F.min("us").alias("start_byte"), F.max("us").alias("end_byte")).select("file_id", F.lit(level).alias("level"), "start_byte", "end_byte")
+
+        span = spans(0).unionByName(spans(1, F.floor(F.col("us") / 86_400_000_000).alias("d"))).unionByName(spans(2, F.floor(F.col("us") / 3_600_000_000).alias("h")))
+        order = Window.partitionBy("file_id").orderBy("level", "start_byte", F.desc("end_byte"))
+        self.scopes = span.withColumn("node_ix", (F.row_number().over(order) - 1).cast("int")).withColumn("role", F.when(F.col("level") == 0, "root").otherwise("scope"))
+        role = F.when(F.col("event_type") == "signup", "definition").when(F.col("event_type") == "click", "reference").otherwise("import")
+        self.items = ev.where(F.col("event_type").isin("signup", "click", "view")).select(
+            "file_id", F.col("event_id").alias("node_ix"), role.alias("role"), F.when(F.col("event_type") == "signup", "hoist").otherwise("local").alias("reach"),
+            F.col("us").alias("start_byte"), F.col("us").alias("end_byte"), F.concat(F.lit("n"), F.col("k").cast("string")).alias("text"), F.lit(None).cast("int").alias("ns_idx"),
+        )
+        self.ancestors = scope.closure(self.scopes)
+
+    def placed(self) -> DataFrame:
+        return scope.place(self.items, self.scopes, self.ancestors)
+
+    def edges(self) -> DataFrame:
+        return scope.resolve(self.placed(), self.ancestors)
+
+
+@query("SELECT doc_id, CAST(ceil(strlen(text) / 4.0) AS BIGINT) AS byte_tokens, CAST(ceil(length(text) / 4.0) AS BIGINT) + 60 AS plan_tokens FROM documents")
+def token_estimate(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.byte_tokens(F.col("text")).alias("byte_tokens"), text.char_tokens(F.col("text"), F.lit(2)).alias("plan_tokens"))
+
+
+@query("SELECT doc_id, lang FROM documents WHERE strlen(text) <= 5000 AND lang IN ('en', 'de') AND source <> 'src0'")
+def scan_filter(spark, sf_dir):
+    from ..sources.repo import accepts
+
+    d = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.col("source"), F.concat(F.lit("d."), F.col("lang")))
+    return d.where(accepts(path, F.octet_length("text"), extensions=("en", "de"), excluded=("src0",), max_bytes=5000)).select("doc_id", "lang")
+
+
+@query("SELECT conv_id, turn, len(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*'))::BIGINT AS n, len(list_distinct(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')))::BIGINT AS n_distinct FROM conversations")
+def identifiers(spark, sf_dir):
+    t = F.col("text")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(text.identifiers(t)).cast("bigint").alias("n"), F.size(text.identifiers_dedup(t)).cast("bigint").alias("n_distinct"))
+
+
+@query(
+    """WITH w AS (SELECT conv_id, turn, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) AS name, generate_subscripts(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*'), 1) AS i FROM conversations)
+    SELECT conv_id, turn, name, min(i)::INT - 1 AS first_place FROM w GROUP BY ALL"""
+)
+def identifiers_dedup(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(text.identifiers(F.col("text"))).alias("place", "name"))
+    return rows.groupBy("conv_id", "turn", "name").agg(F.min("place").alias("first_place"))
+
+
+@query(
+    """WITH w AS (SELECT conv_id, turn, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) AS name, generate_subscripts(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*'), 1) AS i FROM conversations)
+    SELECT conv_id, turn, coalesce(arg_min(name, i) FILTER (contains(name, '_')), arg_max(name, length(name) * 1000000 + i)) AS best FROM w GROUP BY ALL"""
+)
+def best_identifier(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.best_identifier(F.col("text")).alias("best")).where("best is not null")
+
+
+@query(
+    f"""WITH r AS (SELECT text FROM {REQUESTS_SQL} UNION ALL SELECT text FROM conversations),
+    x AS (SELECT text, lower(text) AS low, regexp_matches(text, '[A-Za-z_]') AS ident,
+        regexp_matches(text, '(^|\\s)[(),;"'']*[^\\s:]*[^\\s():,;"'']*:\\+?0*[1-9][0-9]*(:[^\\s]*)?[(),;"'']*(\\s|$)') AS pos FROM r)
+    SELECT CASE WHEN ident AND (regexp_matches(text, '含义|是什么|啥|作用|解释|怎么用|如何用') OR regexp_matches(low, 'meaning|what is|explain')) THEN 'ExplainSymbol'
+        WHEN regexp_matches(text, '定义|哪里|在哪') OR pos OR regexp_matches(low, 'definition|defined|goto|go to') THEN 'SymbolNavigation' ELSE 'Other' END AS intent, count(*) AS n FROM x GROUP BY 1"""
+)
+def intent_counts(spark, sf_dir):
+    both = requests(spark).select("text").unionByName(table(spark, sf_dir, "conversations").select("text"))
+    return both.groupBy(tasks.intent(F.col("text")).alias("intent")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """WITH t AS (SELECT page_id, '(' || regexp_replace(url, '^https?://', '') || ':' || (page_id % 7) || ':' || (page_id % 3) || '),' AS word FROM pages)
+    SELECT page_id, regexp_extract(word, '^\\((.*):[0-9]+:[0-9]+\\),$', 1) AS path, page_id % 7 - 1 AS line, page_id % 3 - 1 AS col FROM t WHERE page_id % 7 > 0 AND page_id % 3 > 0"""
+)
+def file_position(spark, sf_dir):
+    word = F.concat(F.lit("see ("), F.regexp_replace("url", "^https?://", ""), F.lit(":"), (F.col("page_id") % 7).cast("string"), F.lit(":"), (F.col("page_id") % 3).cast("string"), F.lit("), then"))
+    p = table(spark, sf_dir, "pages").select("page_id", text.file_position(word).alias("p")).where("p is not null")
+    return p.select("page_id", "p.path", "p.line", "p.col")
+
+
+@query()
+def task_plan(spark, sf_dir):
+    rows = requests(spark).unionByName(table(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).cast("int").alias("id"), "text"))
+    t = rows.withColumn("task", tasks.task(F.col("text"))).withColumn("plan", tasks.rule_plan(F.col("task")))
+    return t.select("id", "task.task_type", F.size("task.entities").alias("n_entities"), "plan.estimated_tokens", F.posexplode("plan.steps").alias("step_ix", "s")).select("id", "task_type", "n_entities", "estimated_tokens", "step_ix", tasks.step_label(F.col("s")).alias("label"), "s.path", "s.line_1", "s.new_line", "s.cmd")
+
+
+@query(
+    """WITH t AS (SELECT conv_id, turn, len(string_split(text, ' ')) AS n, CASE WHEN turn % 5 = 0 THEN 'unzip' ELSE 'read_file' END AS tool FROM conversations)
+    SELECT conv_id, turn, CASE WHEN n > 12 THEN 'planned steps too many: ' || n || ' > 12' WHEN tool = 'unzip' THEN 'unknown tool in plan: unzip' END AS error FROM t"""
+)
+def plan_validate(spark, sf_dir):
+    d = table(spark, sf_dir, "conversations").withColumn("tool", F.when(F.col("turn") % 5 == 0, "unzip").otherwise("read_file"))
+    steps = F.array_repeat(tasks.step("tool_call", tool=F.col("tool")), F.size(F.split("text", " ", -1)))
+    return d.select("conv_id", "turn", tasks.plan_error(steps).alias("error"))
+
+
+@query("SELECT doc_id, length(text) > 8000 AS rejected FROM documents")
+def input_gate(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.too_long(F.col("text"), 8000).alias("rejected"))
+
+
+@query()
+def missing_symbols(spark, sf_dir):
+    said = F.concat(F.lit("I don't see the implementation of "), F.coalesce(text.best_identifier(F.col("text")), F.lit("the")), F.lit(", and the function "), F.coalesce(F.get(text.identifiers(F.col("text")), F.lit(0)), F.lit("x")), F.lit(" is not defined"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(missing.missing_symbols(said), ",").alias("missing"))
+
+
+@query(CAPTURES_SQL + "SELECT file_id, event_id AS node_ix, role, scope_ix::INT AS scope_ix FROM items JOIN inner_ USING (file_id, event_id) ")
+def scope_assign(spark, sf_dir):
+    e = Events(spark, sf_dir)
+    return scope.innermost(e.items, scope._scopes(e.scopes, "s_")).select("file_id", "node_ix", "role", "scope_ix")
+
+
+@query(CAPTURES_SQL + "SELECT file_id, event_id AS node_ix, scope_ix::INT AS scope_ix FROM placed WHERE role = 'definition'")
+def hoist_defs(spark, sf_dir):
+    return Events(spark, sf_dir).placed().where("role = 'definition'").select("file_id", "node_ix", "scope_ix")
+
+
+@query(CAPTURES_SQL + "SELECT file_id, scope_ix, anc_ix, dist FROM anc")
+def scope_ancestors(spark, sf_dir):
+    return Events(spark, sf_dir).ancestors
+
+
+@query(CAPTURES_SQL + "SELECT file_id, ref_id AS src_ix, target_id AS dst_ix, kind, dist FROM edges")
+def resolve_refs(spark, sf_dir):
+    return Events(spark, sf_dir).edges()
+
+
+@query(CAPTURES_SQL + "SELECT file_id, event_id AS node_ix FROM placed p WHERE role = 'reference' AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.file_id = p.file_id AND e.ref_id = p.event_id)")
+def unresolved_refs(spark, sf_dir):
+    e = Events(spark, sf_dir)
+    hit = e.edges().select("file_id", F.col("src_ix").alias("node_ix")).distinct()
+    return e.placed().where("role = 'reference'").join(hit, ["file_id", "node_ix"], "left_anti").select("file_id", "node_ix")
+
+
+@query(CAPTURES_SQL + "SELECT name, count(DISTINCT target_id) FILTER (kind = 'RefToDef') AS defs, count(DISTINCT ref_id) AS refs, count(*) AS edges FROM edges GROUP BY 1")
+def def_ref_counts(spark, sf_dir):
+    e = Events(spark, sf_dir)
+    names = e.items.where("role = 'reference'").select("file_id", F.col("node_ix").alias("src_ix"), F.col("text").alias("name"))
+    return e.edges().join(names, ["file_id", "src_ix"]).groupBy("name").agg(F.countDistinct(F.when(F.col("kind") == "RefToDef", F.col("dst_ix"))).alias("defs"), F.countDistinct("src_ix").alias("refs"), F.count(F.lit(1)).alias("edges"))
+
+
+def _event_definitions(spark, sf_dir) -> DataFrame:
+    """Definitions ranked as a lookup would: by file, then line (an hour of the day as the line)."""
+    d = Events(spark, sf_dir).placed().where("role = 'definition'")
+    line = (F.floor(F.col("start_byte") / 3_600_000_000) % 24).cast("int")
+    order = Window.partitionBy("name").orderBy("file_id", "line", "node_ix")
+    return d.select("file_id", "node_ix", F.col("text").alias("name"), line.alias("line")).withColumn("rank", F.row_number().over(order))
+
+
+_DEFS_SQL = "defs AS (SELECT file_id, event_id AS node_ix, name, (us // 3600000000 % 24)::INT AS line, row_number() OVER (PARTITION BY name ORDER BY file_id, us // 3600000000 % 24, event_id) AS rank FROM placed WHERE role = 'definition')"
+
+
+@query(CAPTURES_SQL + ", " + _DEFS_SQL + " SELECT name, rank::INT AS rank, file_id, line, node_ix FROM defs WHERE name IN ('n1', 'n7')")
+def goto_definition(spark, sf_dir):
+    return _event_definitions(spark, sf_dir).where(F.col("name").isin("n1", "n7")).select("name", "rank", "file_id", "line", "node_ix")
+
+
+@query(CAPTURES_SQL + ", " + _DEFS_SQL + " SELECT name, file_id, line, node_ix FROM defs WHERE rank = 1")
+def primary_def(spark, sf_dir):
+    return _event_definitions(spark, sf_dir).where("rank = 1").select("name", "file_id", "line", "node_ix")
+
+
+@query(CAPTURES_SQL + "SELECT name, seq::INT AS seq, file_id, event_id AS node_ix FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY file_id, event_id) AS seq FROM placed WHERE role = 'reference') WHERE seq <= 30")
+def find_references_limit(spark, sf_dir):
+    order = Window.partitionBy("name").orderBy("file_id", "node_ix")
+    r = Events(spark, sf_dir).placed().where("role = 'reference'").select("file_id", "node_ix", F.col("text").alias("name"))
+    return r.withColumn("seq", F.row_number().over(order)).where("seq <= 30").select("name", "seq", "file_id", "node_ix")
+
+
+@query(CAPTURES_SQL + "SELECT r.name, r.file_id, r.event_id AS node_ix FROM placed r WHERE r.role = 'reference' AND NOT EXISTS (SELECT 1 FROM placed d WHERE d.role = 'definition' AND d.file_id = r.file_id AND d.name = r.name AND d.us // 86400000000 = r.us // 86400000000)")
+def refs_minus_defs(spark, sf_dir):
+    p = Events(spark, sf_dir).placed().withColumn("day", F.floor(F.col("start_byte") / 86_400_000_000)).withColumnRenamed("text", "name")
+    keys = ["name", "file_id", "day"]
+    return p.where("role = 'reference'").join(p.where("role = 'definition'").select(*keys).distinct(), keys, "left_anti").select("name", "file_id", "node_ix")
+
+
+@query(CAPTURES_SQL + "SELECT name, file_id, event_id AS node_ix, ord::INT AS ord FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY file_id, event_id) AS ord FROM placed r WHERE role = 'reference' AND name IN (SELECT name FROM placed WHERE role = 'definition')) WHERE ord <= 10")
+def callers(spark, sf_dir):
+    p = Events(spark, sf_dir).placed().withColumnRenamed("text", "name")
+    order = Window.partitionBy("name").orderBy("file_id", "node_ix")
+    refs = p.where("role = 'reference'").select("name", "file_id", "node_ix").withColumn("seq", F.row_number().over(order))
+    wanted = p.select("name").distinct().select(F.col("name").alias("query_id"), F.col("name").alias("base_symbol"), F.lit("callers").alias("relation"))
+    return context.retrieve_related(wanted, refs, p.where("role = 'definition'")).select("name", "file_id", "node_ix", "ord")
+
+
+# separators are doubled, so that neighbours do not share one
+@query(r"SELECT doc_id, len(regexp_extract_all(text, '(?:^|[^A-Za-z0-9_])the(?:$|[^A-Za-z0-9_])'))::INT AS n FROM (SELECT doc_id, regexp_replace(text, '([^A-Za-z0-9_])', '\1\1', 'g') AS text FROM documents)")
+def text_occurrences(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", navigation.count_occurrences(F.col("text"), "the").alias("n"))
+
+
+_HIT = "list_position(list_transform(string_split(text, chr(10)), lambda x: contains(x, ' the ')), true)"
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls, {_HIT} AS hit FROM documents)
+    SELECT doc_id, hit - 1 AS line, array_to_string(list_transform(ls[greatest(hit - 5, 1):least(hit + 5, len(ls))], lambda x, i: lpad((greatest(hit - 5, 1) + i - 1)::VARCHAR, 4, ' ') || ' ' || x), chr(10)) AS snippet
+    FROM d WHERE hit > 0 AND len(ls) < 9999"""
+)
+def snippet_window(spark, sf_dir):
+    hit = F.array_position(F.transform(text.raw_lines(F.col("text")), lambda x: x.contains(" the ")), True).cast("int")
+    d = table(spark, sf_dir, "documents").withColumn("line", hit - 1).where("line >= 0")
+    return d.select("doc_id", "line", render.snippet(F.col("text"), F.col("line"), 5).alias("snippet"))
+
+
+@query("SELECT doc_id, array_to_string(string_split(regexp_replace(text, '\\n$', ''), chr(10))[1:50], chr(10)) AS head FROM documents")
+def file_summary50(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", context.file_head(F.col("text"), 50).alias("head"))
+
+
+def _chunks(spark, sf_dir) -> DataFrame:
+    """Documents as chunks of their source; a symbol is a text's digest, of which every third has none."""
+    kind = F.when(F.col("doc_id") % 3 == 0, "symbol_definition").when(F.col("doc_id") % 3 == 1, "file_summary").otherwise("symbol_reference")
+    symbol = F.when(F.col("doc_id") % 3 != 2, F.sha2("text", 256))
+    return table(spark, sf_dir, "documents").select(F.col("source"), F.col("doc_id").alias("ord"), F.col("text").alias("content"), kind.alias("chunk_type"), symbol.alias("symbol"), symbol.isNotNull().cast("int").alias("n_symbols"))
+
+
+_REFINED_SQL = """
+    WITH c AS (SELECT source, doc_id AS ord, text AS content, CASE doc_id % 3 WHEN 0 THEN 'symbol_definition' WHEN 1 THEN 'file_summary' ELSE 'symbol_reference' END AS chunk_type, CASE WHEN doc_id % 3 <> 2 THEN sha256(text) END AS symbol FROM documents),
+    k AS (SELECT * FROM c QUALIFY symbol IS NULL OR row_number() OVER (PARTITION BY source, symbol ORDER BY ord) = 1),
+    s AS (SELECT *, round(0.5 + CASE chunk_type WHEN 'symbol_definition' THEN 0.3 WHEN 'file_summary' THEN 0.1 ELSE 0 END + CASE WHEN symbol IS NULL THEN 0 ELSE 0.1 END, 6)::DOUBLE AS relevance, CAST(ceil(strlen(content) / 4.0) AS BIGINT) AS token_count FROM k),
+    b AS (SELECT *, sum(token_count) OVER (PARTITION BY source ORDER BY relevance DESC, ord ROWS UNBOUNDED PRECEDING)::BIGINT AS running_tokens FROM s)
+"""
+
+
+@query(_REFINED_SQL + "SELECT source, ord, relevance, token_count, running_tokens FROM b WHERE running_tokens <= 4000")
+def refine_budget(spark, sf_dir):
+    return context.refine(_chunks(spark, sf_dir), ["source"], 4000).select("source", "ord", "relevance", "token_count", "running_tokens")
+
+
+@query(
+    _REFINED_SQL + r"""SELECT source, '## Relevant Code Context' || chr(10) || chr(10) || string_agg('// ' || source || ':' || ord || '-' || (ord + 1) || CASE WHEN symbol IS NULL THEN '' ELSE ' (' || symbol || ')' END || chr(10) || content || chr(10) || chr(10), '' ORDER BY relevance DESC, ord) || '## End Context' || chr(10) AS prompt
+    FROM b WHERE running_tokens <= 4000 GROUP BY 1"""
+)
+def context_prompt(spark, sf_dir):
+    kept = context.refine(_chunks(spark, sf_dir), ["source"], 4000)
+    named = F.when(F.col("symbol").isNotNull(), F.array("symbol")).otherwise(F.array().cast("array<string>"))
+    return context.prompt(kept.withColumn("block", context.chunk_text(F.col("source"), F.col("ord"), F.col("ord") + 1, named, F.col("content"))), ["source"])
+
+
+@query(
+    """WITH q AS (SELECT conv_id, string_split(min(text), ' ')[1:4] AS symbols FROM conversations WHERE role = 'user' AND turn <= 1 GROUP BY 1),
+    d AS (SELECT lower(string_split(text, ' ')[1]) AS name, doc_id, row_number() OVER (PARTITION BY lower(string_split(text, ' ')[1]) ORDER BY doc_id) AS ord FROM documents),
+    s AS (SELECT conv_id, place, name FROM (SELECT conv_id, lower(x) AS name, min(p) AS place FROM (SELECT conv_id, unnest(symbols) AS x, generate_subscripts(symbols, 1) AS p FROM q) GROUP BY ALL)),
+    r AS (SELECT conv_id, doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY place, d.ord) AS ord FROM s JOIN d USING (name) WHERE d.ord <= 3)
+    SELECT conv_id AS query_id, doc_id, ord::INT AS ord FROM r WHERE ord <= 10"""
+)
+def task_driven_topk(spark, sf_dir):
+    first = F.slice(F.split(F.min("text"), " ", -1), 1, 4)
+    q = table(spark, sf_dir, "conversations").where("role = 'user' and turn <= 1").groupBy(F.col("conv_id").alias("query_id")).agg(first.alias("symbols")).select("query_id", F.transform("symbols", F.lower).alias("symbols"), F.array().cast("array<string>").alias("paths"))
+    name = F.lower(F.get(F.split("text", " ", -1), F.lit(0)))
+    by_symbol = table(spark, sf_dir, "documents").select(name.alias("name"), "doc_id", F.row_number().over(Window.partitionBy(name).orderBy("doc_id")).alias("ord")).select("name", "ord", F.col("doc_id").cast("string").alias("content"), F.lit("symbol_definition").alias("chunk_type"))
+    by_file = by_symbol.where("false").select(F.col("name").alias("path"), "content", "chunk_type")
+    return context.retrieve_tasks(q, by_symbol, by_file).select("query_id", F.col("content").cast("bigint").alias("doc_id"), "ord")
+
+
+@query(
+    """WITH e AS (SELECT user_id::VARCHAR AS key, count(*) AS access, date_diff('second', max(ts), TIMESTAMP '2025-01-01') AS age_s FROM events GROUP BY 1)
+    SELECT key, access, access / (age_s + 1) AS score FROM e ORDER BY score DESC, key LIMIT 50"""
+)
+def evict_rank(spark, sf_dir):
+    age = F.unix_seconds(F.lit("2025-01-01 00:00:00").cast("timestamp")) - F.unix_seconds(F.max(F.col("ts").cast("timestamp")))
+    e = table(spark, sf_dir, "events").groupBy(F.col("user_id").cast("string").alias("key")).agg(F.count(F.lit(1)).alias("access"), age.alias("age_s"))
+    return context.evict(e, 100).select("key", "access", "score")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 6 IN (0, 1, 2) THEN 'Fast' WHEN doc_id % 6 = 3 THEN 'Slow' WHEN doc_id % 6 = 4 AND doc_id % 5 > 2 THEN 'Slow' ELSE 'Medium' END AS complexity FROM documents")
+def query_complexity(spark, sf_dir):
+    kinds = F.array(*map(F.lit, ("symbol", "position", "file", "concept", "task_driven", "related")))
+    return table(spark, sf_dir, "documents").select("doc_id", context.query_complexity(F.col("doc_id") % 5, F.get(kinds, (F.col("doc_id") % 6).cast("int"))).alias("complexity"))
+
+
+@query(
+    """WITH q AS (SELECT list_transform(range(64), lambda i: (i % 7 - 3)::DOUBLE) AS v),
+    c AS (SELECT vec_id, list_dot_product(embedding::DOUBLE[], q.v) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) * list_dot_product(q.v, q.v)) AS c FROM embeddings, q)
+    SELECT vec_id, round(c, 6) AS cosine FROM c ORDER BY cosine DESC, vec_id LIMIT 10"""
+)
+def concept_topk(spark, sf_dir):
+    return context.concept_top_k(table(spark, sf_dir, "embeddings"), [i % 7 - 3 for i in range(64)], 10)
+
+
+def _session_events(spark, sf_dir) -> DataFrame:
+    """Conversations as logs: a session is created before its first turn and again before turn 4; bad lines in between."""
+    c = table(spark, sf_dir, "conversations").select(F.concat(F.when(F.col("conv_id") % 2 == 0, "local:").otherwise(""), F.lit("c"), F.col("conv_id").cast("string")).alias("session_id"), "conv_id", "turn", "role", "text")
+    made = c.where("turn = 0 or turn = 4").select("session_id", (F.col("turn") * 10).alias("line_no"), F.to_json(F.struct(F.lit("session_created").alias("type"), F.lit("other").alias("session_id"), F.concat(F.lit("t"), F.col("turn").cast("string")).alias("title"), (F.col("conv_id") * 1000).alias("ts_ms"))).alias("value"))
+    said = c.select("session_id", (F.col("turn") * 10 + 1).alias("line_no"), F.to_json(F.struct(F.lit("message_appended").alias("type"), F.struct(F.col("role"), F.col("text").alias("content"), (F.col("conv_id") * 1000 + (F.col("turn") * 37) % 11).alias("timestamp")).alias("message"))).alias("value"))
+    bad = c.select("session_id", (F.col("turn") * 10 + 2).alias("line_no"), F.when(F.col("turn") % 2 == 0, "{not json").otherwise("  ").alias("value"))
+    return sessions.parse_session_log(made.unionByName(said).unionByName(bad))
+
+
+_SESSIONS_SQL = """
+    WITH c AS (SELECT CASE WHEN conv_id % 2 = 0 THEN 'local:' ELSE '' END || 'c' || conv_id AS session_id, conv_id, turn FROM conversations),
+    s AS (SELECT session_id, max(CASE WHEN turn IN (0, 4) THEN turn END) AS born, min(conv_id) * 1000 AS created_at FROM c GROUP BY 1),
+    m AS (SELECT session_id, count(*) AS n, max(conv_id * 1000 + (turn * 37) % 11) AS last FROM c JOIN s USING (session_id) WHERE turn >= born GROUP BY 1),
+    f AS (SELECT session_id, 't' || born AS title, created_at, greatest(created_at, last) AS updated_at, coalesce(n, 0) AS message_count FROM s LEFT JOIN m USING (session_id) WHERE born IS NOT NULL)
+"""
+
+
+@query(_SESSIONS_SQL + "SELECT * FROM f")
+def session_replay(spark, sf_dir):
+    return sessions.replay(_session_events(spark, sf_dir))
+
+
+@query(_SESSIONS_SQL + "SELECT session_id, title, message_count, updated_at FROM f")
+def session_list(spark, sf_dir):
+    return sessions.list_sessions(sessions.replay(_session_events(spark, sf_dir)))
+
+
+@query(_SESSIONS_SQL + "SELECT i AS request_id, 'c' || i AS wanted, coalesce(a.session_id, b.session_id) AS session_id FROM range(200) t(i) LEFT JOIN f a ON a.session_id = 'local:c' || i LEFT JOIN f b ON b.session_id = 'c' || i")
+def session_switch(spark, sf_dir):
+    asked = spark.range(200).select(F.col("id").alias("request_id"), F.concat(F.lit("c"), F.col("id").cast("string")).alias("wanted"))
+    return sessions.switch_target(asked, sessions.replay(_session_events(spark, sf_dir)))
+
+
+@query("SELECT event_id, CASE WHEN event_type <> 'error' THEN 0.2 ELSE -0.5 END::DOUBLE AS reward FROM events")
+def trajectory_reward(spark, sf_dir):
+    steps = table(spark, sf_dir, "events").select("event_id", (F.col("event_type") != "error").alias("ok"))
+    return sessions.step_rewards(steps).select("event_id", "reward")
+
+
+@query("SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, CASE WHEN max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS reward FROM events GROUP BY ALL")
+def turn_reward(spark, sf_dir):
+    steps = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("date").cast("string").alias("day"), (F.col("event_type") == "purchase").cast("int").alias("matches"))
+    return sessions.turn_rewards(steps, ["user_id", "day"])
+
+
+_DENY = " ".join(f"WHEN contains(low, '{p}') THEN '{p}'" for p in tasks.DANGEROUS)
+
+
+@query(
+    f"""WITH c AS (SELECT conv_id, turn, lower(trim(CASE turn % 6 {" ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(COMMANDS))} END || ' ' || text)) AS low FROM conversations)
+    SELECT conv_id, turn, CASE {_DENY} END AS denied FROM c"""
+)
+def dangerous_cmd(spark, sf_dir):
+    cmd = F.concat(F.get(F.array(*map(F.lit, COMMANDS)), (F.col("turn") % 6).cast("int")), F.lit(" "), F.col("text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tasks.dangerous_command(cmd).alias("denied"))
+
+
+@query(
+    """WITH a AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, event_type || ':' || CAST(json_extract(props, '$.k') AS VARCHAR) AS d, event_type FROM events)
+    SELECT x.event_id, CASE WHEN x.event_type <> 'error' AND EXISTS (SELECT 1 FROM a y WHERE y.user_id = x.user_id AND y.d = x.d AND y.seq BETWEEN x.seq - 32 AND x.seq - 1) THEN 'Warn' ELSE 'Allow' END AS decision FROM a x"""
+)
+def duplicate_edit(spark, sf_dir):
+    payload = F.concat(F.col("event_type"), F.lit(":"), F.get_json_object("props", "$.k"))
+    a = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "Command").otherwise("EditFile").alias("kind"), payload.alias("payload"))
+    return sessions.guard(a, 32).select("event_id", "decision")
+
+
+@query("SELECT doc_id, array_to_string(list_concat(list_concat(ls[1:1], ['changed']), ls[3:]), chr(10)) || CASE WHEN suffix(text, chr(10)) THEN chr(10) ELSE '' END AS content FROM (SELECT doc_id, text, string_split(regexp_replace(text, '\\n$', ''), chr(10)) AS ls FROM documents) WHERE len(ls) >= 2 AND text <> ''")
+def edit_line(spark, sf_dir):
+    new = text.replace_lines(F.col("text"), F.lit(2), F.lit(2), F.lit("changed"))
+    return table(spark, sf_dir, "documents").select("doc_id", new.alias("content")).where("content is not null")
+
+
+@query("SELECT source AS path, arg_min(text, doc_id) AS content FROM documents GROUP BY 1")
+def rollback_first(spark, sf_dir):
+    return sessions.rollback(table(spark, sf_dir, "documents").select(F.col("source").alias("path"), F.col("doc_id").alias("version"), F.col("text").alias("content")))
+
+
+@query(
+    """WITH s AS (SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_id AS seq, event_type <> 'error' AS ok FROM events), f AS (SELECT user_id, day, min(seq) AS stop FROM s WHERE NOT ok GROUP BY ALL)
+    SELECT user_id, day, count(*) AS executed, bool_and(ok) AS ok FROM s LEFT JOIN f USING (user_id, day) WHERE stop IS NULL OR seq <= stop GROUP BY ALL"""
+)
+def first_failure(spark, sf_dir):
+    s = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("date").cast("string").alias("day"), F.col("event_id").alias("seq"), "event_type")
+    run = sessions.first_failures(s, ["user_id", "day"], F.col("event_type") != "error")
+    return run.groupBy("user_id", "day").agg(F.count(F.lit(1)).alias("executed"), F.bool_and("ok").alias("ok"))
+
+
+_PLAN = '{"steps":[{"kind":"think","text":"x"},{"kind":"tool_call","call":{"name":"read_file","args":{"path":"a.rs"}}},{"kind":"echo","text":"done"}],"estimated_tokens":12}'
+
+
+@query(f"""SELECT i AS id, s AS step_ix, ['think', 'tool:read_file', 'echo'][s + 1] AS label, CASE WHEN s = 1 THEN 'a.rs' END AS path, 12::BIGINT AS estimated_tokens FROM (VALUES (1), (2), (3), (4)) t(i), (VALUES (0), (1), (2)) u(s) WHERE '{_PLAN}' IS NOT NULL""")
+def json_plan_parse(spark, sf_dir):
+    raw = [(1, _PLAN), (2, f"```json\n{_PLAN}\n```"), (3, f"text\n```\n{_PLAN}\n```\nmore"), (4, f"  {_PLAN} "), (5, "no plan")]
+    p = spark.createDataFrame(raw, "id int, raw string").withColumn("plan", tasks.parse_plan(F.col("raw"))).where("plan is not null")
+    return p.select("id", "plan.estimated_tokens", F.posexplode("plan.steps").alias("step_ix", "s")).select("id", "step_ix", tasks.step_label(F.col("s")).alias("label"), "s.path", "estimated_tokens")
+
+
+@query(
+    """SELECT time_bucket(INTERVAL '6 hours', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL"""
+)
+def event_windows(spark, sf_dir):
+    from ..streaming.logs import windowed_counts
+
+    return windowed_counts(table(spark, sf_dir, "events"), "6 hours")
