@@ -31,7 +31,7 @@ def goto_definition(nodes: DataFrame, files: DataFrame, names: DataFrame, strict
     rank of the kind, line, node. A C++ function whose line says class or struct ranks as such.
     """
     f = files.select("file_id", "rel_path", "lang", "scan_ord", "content")
-    hit = nodes.where("kind = 'definition'").join(names.select("name").distinct(), "name").join(f, "file_id")
+    hit = nodes.where("kind = 'definition'").select("file_id", "node_ix", "name", "sym_name", "scope_ix", "root_ix", "start_line", "start_col", "end_line", "end_col").join(names.select("name").distinct(), "name").join(f, "file_id")
     hit = hit.where((F.lower("lang") != "rust") | (F.col("scope_ix") == F.col("root_ix")))
     text = F.get(lines(F.col("content")), F.col("start_line"))
     fix = (F.col("sym_name") == "function") & F.lower("lang").isin("c", "c++", "cpp") & (text.contains("class") | text.contains("struct"))
