@@ -51,7 +51,9 @@ class CountingQuotientFilter:
         return cls._of(fps[first], np.add.reduceat(counts, first) if len(first) else counts)
 
     def blocks(self, shift: int) -> Iterator[tuple[int, CountingQuotientFilter]]:
-        """The filter cut by the high bits of its quotients."""
+        """The filter cut by the high bits of its quotients; an empty one has no blocks."""
+        if not len(self.occupied):
+            return
         ends = np.cumsum(self.runs, dtype=np.int64)
         block = self.occupied >> np.uint32(shift)
         cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]][: len(block)])
