@@ -71,7 +71,7 @@ def assemble(segments: DataFrame) -> DataFrame:
         ends = F.aggregate(
             F.col(part),
             F.array().cast("array<struct<end:int,loss:int>>"),
-            lambda acc, x: F.concat(acc, F.array(F.struct((F.coalesce(F.element_at(acc, -1)["end"], F.lit(0)) + F.char_length(x["rendered"])).alias("end"), x["loss_mask"].alias("loss")))),
+            lambda acc, x: F.concat(acc, F.array(F.struct((F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0)) + F.char_length(x["rendered"])).alias("end"), x["loss_mask"].alias("loss")))),
         )
         return F.when(F.size(part) > 0, ends).otherwise(F.array().cast("array<struct<end:int,loss:int>>"))
 

@@ -1,0 +1,158 @@
+"""Exact duplicates, token counts, licences, personal data: against brute force and on odd rows."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from sorrel.llm import licenses, pii
+from sorrel.llm.common import Presence, materialize, without_ids
+from sorrel.llm.exact_dedup import CountingQuotientFilter, drop_duplicates, exact_dedup
+from sorrel.llm.queries import byte_bpe
+from sorrel.llm.token_counts import count_tokens
+
+ODD = [(1, "a"), (2, None), (3, ""), (4, "a"), (5, "a "), (6, "x" * 50_000), (7, "x" * 50_000), (None, "a"), (8, "é😀"), (8, "é😀")]
+SCHEMA = "doc_id long, text string"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(ODD, SCHEMA).withColumn("kept", F.lit("clash")).withColumn("_id", F.lit(1)).withColumn("digest", F.lit(2))
+
+
+@given(st.lists(st.lists(st.integers(0, 2**64 - 1) | st.integers(0, 5), max_size=30), max_size=5))
+@settings(max_examples=60, deadline=None)
+def test_filters_merge_without_loss(parts):
+    whole = CountingQuotientFilter.merge([CountingQuotientFilter.build(np.array(p, np.uint64)) for p in parts])
+    flat = np.array([x for p in parts for x in p], np.uint64)
+    values, counts = np.unique(flat, return_counts=True)
+    assert (whole.fingerprints() == values).all() and (whole.counts == counts).all()
+    again = CountingQuotientFilter.merge([CountingQuotientFilter.from_columns(*f.to_columns()) for _, f in whole.blocks(12)])
+    assert (again.fingerprints() == values).all() and (again.counts == counts).all()
+
+
+def test_exact_dedup(spark, odd):
+    got = sorted((r.doc_id or -1, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup(odd).collect())
+    sha = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    want = sorted([(1, 4, 3, False, sha("a")), (4, 4, 3, True, sha("a")), (-1, 4, 3, False, sha("a")), (2, 3, 2, False, sha("")), (3, 3, 2, True, sha("")), (5, 5, 1, True, sha("a ")), (6, 7, 2, False, sha("x" * 50_000)), (7, 7, 2, True, sha("x" * 50_000)), (8, 8, 2, True, sha("é😀")), (8, 8, 2, True, sha("é😀"))])
+    assert got == want
+    assert exact_dedup(odd.where("false")).count() == 0
+    stay = drop_duplicates(odd)
+    assert stay.columns == odd.columns and {r.doc_id for r in stay.collect()} >= {3, 4, 5, 7, 8} and not {1, 2, 6} & {r.doc_id for r in stay.collect()}
+
+
+def test_presence_and_without_ids(spark):
+    keys = materialize(spark.range(0, 2000, 2).select(F.xxhash64("id").alias("h")), "k")
+    flagged = Presence(keys, "h").flag(spark.range(2000), F.xxhash64("id"), "m")
+    assert flagged.where("id % 2 = 0 and not m").count() == 0 and flagged.where("id % 2 = 1 and m").count() < 500
+    rest = without_ids(spark.range(2000).withColumnRenamed("id", "doc_id"), spark.range(0, 2000, 2).withColumnRenamed("id", "doc_id"), "doc_id")
+    assert rest.count() == 1000 and rest.where("doc_id % 2 = 0").count() == 0
+
+
+def test_token_counts(spark, odd, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    more = spark.createDataFrame([(20, "a<|endoftext|>b"), (21, "　  \r\n x 123 don't")], SCHEMA)
+    docs, cache = odd.select("doc_id", "text").unionByName(more), str(tmp_path / "cache")
+    for turn in range(2):
+        got = sorted((r.doc_id or -1, r.n_bytes, r.n_tokens, r.over_limit) for r in count_tokens(docs, byte_bpe(), cache).collect())
+        want = []
+        for r in docs.collect():
+            n = len(tok.encode(r.text or "", add_special_tokens=False).ids)
+            want.append((r.doc_id or -1, len((r.text or "").encode()), n, n > 512))
+        assert got == sorted(want), turn
+        # each distinct text was encoded once, and not again
+        assert spark.read.parquet(cache).count() == docs.select(F.coalesce("text", F.lit(""))).distinct().count()
+    assert count_tokens(docs.where("false"), byte_bpe()).count() == 0
+
+
+class Shipped:
+    """Stands for a broadcast of the tokenizer's file."""
+
+    def __init__(self, path):
+        from sorrel.llm.tokenizer import BYTE_LEVEL_PATTERN
+
+        with open(path, "rb") as f:
+            self.value = (path, "json", BYTE_LEVEL_PATTERN, f.read())
+
+
+@pytest.fixture(scope="module")
+def both_libraries():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from sorrel.llm.tokenizer import encoder
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return encoder(Shipped(path)), Tokenizer.from_file(path)
+
+
+@given(text=st.text(max_size=60) | st.text(alphabet="ab '<|endoftext|>\n 　1é", max_size=40))
+@settings(max_examples=300, deadline=None)
+def test_ranks_give_the_library_ids(both_libraries, text):
+    fast, library = both_libraries
+    assert fast(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("name", ["piece_bpe_32k.model", "word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken"])
+def test_other_tokenizers(spark, name):
+    import public_tokenizers
+
+    from sorrel.llm.tokenizer import TokenizerFile
+
+    docs = spark.createDataFrame([(1, "Hello world"), (2, "")], SCHEMA)
+    got = {r.doc_id: r.n_tokens for r in count_tokens(docs, TokenizerFile(public_tokenizers.path(name))).collect()}
+    assert got[1] >= 2 and got[2] == 0
+
+
+def test_licenses(spark, odd):
+    mit = licenses.TEXTS["MIT"][1]
+    texts = [mit, "MIT License\n\nCopyright (c) 2020 Someone\n\n" + mit.upper().replace(",", ""), "/* " + mit.replace("\n", "\n * ") + " */\nCopyright 2019-2021 X, All rights reserved.", licenses.TEXTS["ISC"][1] + " more", licenses.TEXTS["BSD-3-Clause"][1].replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* "), licenses.TEXTS["Zlib"][1].replace("acknowledgment", "acknowledgement")]
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    got = {r.doc_id: r.license for r in licenses.find_licenses(docs).collect()}
+    assert got == {0: "MIT", 1: "MIT", 2: "MIT", 3: None, 4: "BSD-3-Clause", 5: "Zlib"}
+    assert licenses.find_licenses(odd).where("license is not null").count() == 0 and licenses.find_licenses(odd).count() == len(ODD)
+    assert len({r.canonical_sha256 for r in licenses.known_licenses(spark).collect()}) == 2 * len(licenses.TEXTS)
+
+
+RE = (re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"))
+
+
+def brute_spans(text):
+    def luhn(d):
+        return sum((2 * int(c) - 9 * (int(c) > 4)) if i % 2 else int(c) for i, c in enumerate(reversed(d))) % 10 == 0
+
+    out = [(m.start(), 0, m.end()) for m in RE[0].finditer(text)]
+    out += [(m.start(), 1, m.end()) for m in RE[1].finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [(m.start(), 2, m.end()) for m in RE[2].finditer(text) if 14 <= len(d := re.sub("[ -]", "", m[0])) <= 19 and luhn(d)]
+    out += [(m.start(), 3, m.end()) for m in RE[3].finditer(text) if 10 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+    return ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in sorted(out))
+
+
+def test_base_spans(spark, odd):
+    rng = random.Random(5)
+    parts = ["a", "@", ".", "1", "25", "255", "+1 ", "-", " ", "(", ")", "_", "b.c", "é", "\n", "4337166598464399", "%", "😀", "x@y.zz", "1.2.3.4"]
+    rows = [(100 + i, "".join(rng.choice(parts) for _ in range(rng.randint(0, 50)))) for i in range(600)] + [(9000, "1 " * 20_000), (9001, "x@" + "a." * 20_000 + "b")]
+    docs = spark.createDataFrame(rows, SCHEMA).unionByName(odd.select("doc_id", "text"))
+    got = pii.find_pii(docs).collect()
+    want = {r.doc_id: brute_spans(r.text or "") for r in docs.collect()}
+    assert len(got) == len(rows) + len(ODD)
+    for r in got:
+        base = want[r.doc_id]
+        assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        assert set(filter(None, base.split(","))) <= set(r.spans.split(","))
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s.startswith(k) for s in base.split(",")) for k in pii.KINDS]
+    assert pii.find_pii(odd.where("false")).count() == 0
+
+
+def test_contexts_find_unseen_identifiers(spark):
+    rows = [(i, f"please write to user{i}@mail.com today") for i in range(12)] + [(50, "please write to bob9(at)mail.com today"), (51, "the price is 40 now"), (52, "the price is 50 now")]
+    got = {r.doc_id: r.spans for r in pii.find_pii(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[50] == "email:16:32" and got[51] == "" and got[0] == "email:16:30"
