@@ -62,7 +62,7 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.uint64)
     row = np.repeat(np.arange(len(words)), lengths)
     left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(codes))  # characters from here to the word's end
-    keys, values = [], []
+    keys = []
     for places in PLACES:
         at = np.flatnonzero(left > places[-1])
         h = codes[at] * np.uint64(MULTIPLIERS[0])
@@ -70,11 +70,11 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             h ^= codes[at + place] * np.uint64(m)
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
-        keys.append((row[at].astype(np.uint64) << np.uint64(18)) | (h >> np.uint64(46)))
-        values.append(np.full(len(at), DECAY ** (places[-1] - len(places))))
-    key, value = np.concatenate(keys), np.concatenate(values)
-    order = np.argsort(key)
-    key, value = key[order], value[order]
+        # row, dimension and the number of gaps in one key, as sorting keys alone is fast
+        keys.append((row[at].astype(np.uint64) << np.uint64(20)) | (h >> np.uint64(46) << np.uint64(2)) | np.uint64(places[-1] - len(places)))
+    key = np.sort(np.concatenate(keys))
+    value = (DECAY ** np.arange(4))[(key & np.uint64(3)).astype(np.int64)]
+    key >>= np.uint64(2)
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
     value = np.add.reduceat(value, first) if len(first) else value
     key = key[first]
