@@ -16,15 +16,14 @@ from .shingles import chunks, mix, shingle_sets
 
 #: Bands and rows of a signature: texts at a similarity of 0.8 share no band once in forty thousand times.
 BANDS, ROWS = 20, 4
-#: Members of a bucket up to which those in different components are all compared; larger ones are cut finer first.
+#: Members of a bucket up to which pairs of those in different components are listed; in larger ones only links are.
 SMALL_BUCKET = 64
-#: Bands after a large bucket's own, in a ring, that cut it finer. A pair at 0.8 shares two so near to each other but for
-#: once in some thousand times, a closer pair more surely.
-FINER_BANDS = 6
+#: Members of a large bucket that are compared in memory with each other or with as many others.
+BLOCK = 256
 #: Rows of an Arrow batch here, as verification reads two whole texts in a row.
 PAIR_ROWS = 32
-#: Slots that ids are hashed to in a large bucket, each with its own lead: at first, and among what is still apart.
-FIRST_LEADS, LEADS = 8, 4
+#: Slots that ids are hashed to in a large bucket, each with its own lead.
+FIRST_LEADS = 8
 #: Bands in which members are verified against leads; most links are found there, and all bands then see components.
 FIRST_BANDS = 8
 
@@ -181,46 +180,130 @@ def _scored(members: DataFrame) -> DataFrame:
 
 
 def _mixed(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of buckets with more than one component: the members of small ones, and of each component in a large one the member of
-    the highest score for each slot. members: (_bucket, _id, _score, _root); the second result has _n for :func:`_stars`."""
-    parts = members.groupBy("_bucket", "_root", F.pmod(F.xxhash64("_id"), F.lit(LEADS)).alias("_slot")).agg(F.max(F.struct("_score", "_id")).alias("_best"), F.count(F.lit(1)).alias("_n"))
-    parts = materialize(parts.select("_bucket", "_root", F.col("_best._id").alias("_id"), F.col("_best._score").alias("_score"), "_n"), "parts")
-    mixed = parts.groupBy(F.col("_bucket").alias("_mb")).agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi"), F.sum("_n").alias("_members")).where(F.col("_lo") != F.col("_hi"))
-    mixed = materialize(mixed, "mixed")
-    few, many = (mixed.where(F.col("_members") <= SMALL_BUCKET).select("_mb"), mixed.where(F.col("_members") > SMALL_BUCKET).select("_mb"))
-    small = members.join(few, F.col("_bucket") == F.col("_mb")).select("_bucket", "_id", "_root")
-    standing = parts.join(many, F.col("_bucket") == F.col("_mb")).select("_bucket", "_id", "_score", "_root", F.lit(SMALL_BUCKET + 1).alias("_n"))
-    return materialize(small, "small"), materialize(standing, "standing")
+    """Members of small and of large buckets with more than one component. members: (_bucket, _id, _root).
 
-
-def _across(members: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
-    """Pairs of members of one small bucket in different components whose signatures allow for a similarity of ``least``.
+    Both results are tasks (_task, _bucket, _u, _id, _root). A bucket of up to BLOCK members is one task. A larger one is cut
+    into blocks _u of about that many members: a component that is as large has blocks of its own, smaller ones share blocks.
+    Two blocks make a task, and so does a shared block alone; blocks of one component don't meet. So every two members in
+    different components meet.
+    """
+    parts = materialize(members.groupBy("_bucket", "_root").agg(F.count(F.lit(1)).alias("_c")), "parts")
+    shared = F.when(F.col("_c") < BLOCK, F.col("_c")).otherwise(0)
+    mixed = parts.groupBy(F.col("_bucket").alias("_mb")).agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi"), F.sum("_c").alias("_members"), F.sum(shared).alias("_shared")).where(F.col("_lo") != F.col("_hi"))
+    mixed = materialize(mixed.select("_mb", "_members", "_shared"), "mixed")
+    whole, cut = mixed.where(F.col("_members") <= max(BLOCK, SMALL_BUCKET)), mixed.where(F.col("_members") > max(BLOCK, SMALL_BUCKET))
+    tasks = members.join(whole, F.col("_bucket") == F.col("_mb")).select(F.col("_bucket").alias("_task"), "_bucket", F.lit(0).cast("long").alias("_u"), "_id", "_root", "_members")
+    tasks = materialize(tasks, "tasks")
+    small, large = (tasks.where(x).drop("_members") for x in (F.col("_members") <= SMALL_BUCKET, F.col("_members") > SMALL_BUCKET))
+    if cut.isEmpty():
+        return small, large
+    own = F.when(F.col("_c") >= BLOCK, F.col("_root"))
+    info = parts.join(cut, F.col("_bucket") == F.col("_mb")).select("_mb", F.col("_root").alias("_mr"), own.alias("_g"), F.ceil(F.when(own.isNotNull(), F.col("_c")).otherwise(F.col("_shared")) / BLOCK).alias("_of"))
+    info = materialize(info, "block-counts")
+    blocks = info.select("_mb", "_g", "_of").distinct().select("_mb", "_g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_of") - 1)).alias("_k")).select("_mb", "_g", F.xxhash64("_g", "_k").alias("_u"))
+    blocks = materialize(blocks, "blocks")
+    other = blocks.withColumnsRenamed({"_mb": "_ob", "_g": "_og", "_u": "_ou"})
+    meet = blocks.join(other, (F.col("_mb") == F.col("_ob")) & (F.col("_u") <= F.col("_ou"))).where((F.col("_g").isNull() & F.col("_og").isNull()) | ~F.col("_g").eqNullSafe(F.col("_og")))
+    meet = meet.select(F.col("_mb").alias("_tb"), F.xxhash64("_mb", "_u", "_ou").alias("_task"), F.explode(F.array_distinct(F.array("_u", "_ou"))).alias("_tu"))
+    meet = materialize(meet, "block-pairs")
+    k = F.pmod(F.xxhash64(F.when(F.col("_g").isNull(), F.xxhash64("_root")).otherwise(F.xxhash64("_id"))), F.col("_of"))
+    placed = members.join(info, (F.col("_bucket") == F.col("_mb")) & (F.col("_root") == F.col("_mr"))).select("_bucket", "_id", "_root", F.xxhash64("_g", k).alias("_u"))
+    several = placed.join(meet, (F.col("_bucket") == F.col("_tb")) & (F.col("_u") == F.col("_tu"))).select("_task", "_bucket", "_u", "_id", "_root")
+    return small, materialize(large.unionByName(several), "large-tasks")
+
+
+def _candidates(rows: list[tuple], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the two ends of a task's pairs: in different components, and signatures allow for a similarity of ``least``.
 
     Four standard deviations below what that similarity makes components agree, so such a pair is lost once in thirty
-    thousand times. A bucket of up to SMALL_BUCKET members is compared in memory.
+    thousand times. A pair belongs to the least bucket that both are in, so no other one has it. rows: (_task, _bucket,
+    _u, _id, _root, _bands, _sig, ...) of one task.
     """
-    signed = members.join(sketches.select(F.col("_id").alias("_si"), "_sig"), F.col("_id") == F.col("_si")).select("_bucket", "_id", "_root", "_sig")
-    schema = T.StructType([T.StructField(c, members.schema["_id"].dataType) for c in ("_a", "_b")])
+    numbers: dict = {}
+    root = np.array([numbers.setdefault(r[4], len(numbers)) for r in rows])
+    block, place = np.array([r[2] for r in rows]), np.arange(len(rows))
+    keys, sig = np.array([r[5] for r in rows]), np.frombuffer(b"".join(r[6] for r in rows), np.uint8).reshape(len(rows), -1)
+    two, m = bool((block != block[0]).any()), sig.shape[1]
+    need = m * least - 4 * np.sqrt(m * least * (1 - least))
+    at, to = [], []
+    for a in range(0, len(rows), 64):
+        strip = slice(a, a + 64)
+        ok = ((sig[strip, None] == sig[None]).sum(axis=2) >= need) & (place[strip, None] < place) & (root[strip, None] != root)
+        if two:
+            ok &= block[strip, None] != block
+        i, j = np.nonzero(ok)
+        own = np.where(keys[a + i] == keys[j], keys[j], np.iinfo(np.int64).max).min(axis=1) == rows[0][1]
+        at.append(a + i[own])
+        to.append(j[own])
+    return np.concatenate(at), np.concatenate(to)
+
+
+def _linked(rows: list[tuple], least: float) -> Iterator[tuple]:
+    """Links that join all components of a task that are :func:`similar` somewhere. rows end in (elements, weights)."""
+    at, to = _candidates(rows, least)
+    if not len(at):
+        return
+    root = {r[4]: r[4] for r in rows}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    sizes = np.array([len(r[-2]) for r in rows])
+    starts = np.cumsum(sizes) - sizes
+    distinct, code = np.unique(np.concatenate([r[-2] for r in rows]), return_inverse=True)
+    codes, there = np.split(code, starts[1:]), np.zeros(len(distinct), bool)
+    once = [bool((r[-1] == 1).all()) for r in rows]
+    for i in np.unique(at).tolist():
+        there[codes[i]] = True
+        for j in to[at == i].tolist():
+            x, y = find(rows[i][4]), find(rows[j][4])
+            if x != y:
+                both = int(there[codes[j]].sum())
+                if both >= least * (sizes[i] + sizes[j] - both) or (not (once[i] and once[j]) and probability_jaccard(*rows[i][-2:], *rows[j][-2:]) >= least):
+                    root[x] = y
+                    yield min(rows[i][3], rows[j][3]), max(rows[i][3], rows[j][3])
+        there[codes[i]] = False
+
+
+def _compared(tasks: DataFrame, sketches: DataFrame, least: float, texts: DataFrame | None = None, size: int = 0) -> DataFrame:
+    """Per task, the pairs (_a, _b) of :func:`_candidates` or, with texts, the links of :func:`_linked`."""
+    signed = sketches.withColumnRenamed("_id", "_si")
+    if texts is not None:
+        ids = materialize(tasks.select(F.col("_id").alias("_ti")).distinct().select(F.xxhash64("_ti").alias("_h")), "task-ids")
+        wanted = Presence(ids, "_h").flag(texts, F.xxhash64("_id"), "_w").where("_w").select(F.col("_id").alias("_wi"), "_text")
+        signed = signed.join(wanted, F.col("_si") == F.col("_wi"))
+    cols = ["_task", "_bucket", "_u", "_id", "_root", "_bands", "_sig", *([] if texts is None else ["_text"])]
+    signed = tasks.join(signed, F.col("_id") == F.col("_si")).select(*cols)
+    schema = T.StructType([T.StructField(c, tasks.schema["_id"].dataType) for c in ("_a", "_b")])
+
+    def pairs(rows: list[tuple]) -> Iterator[tuple]:
+        if len(rows) > 1 and len(cols) == 8:
+            yield from _linked(rows, least)
+        elif len(rows) > 1:
+            for i, j in zip(*_candidates(rows, least), strict=True):
+                yield min(rows[i][3], rows[j][3]), max(rows[i][3], rows[j][3])
+
+    def rows_of(b: pa.RecordBatch) -> Iterator[tuple]:
+        columns = [c.to_pylist() for c in b.columns[:7]]
+        if len(cols) == 8:
+            sets = []
+            for x, y, data, offsets in chunks(b.column(7)):
+                text, element, weight = shingle_sets(data, offsets, size)
+                cut = np.searchsorted(text, np.arange(y - x + 1))
+                sets += [(element[cut[i] : cut[i + 1]].copy(), weight[cut[i] : cut[i + 1]].astype(np.int32)) for i in range(y - x)]
+            columns += zip(*sets, strict=True)
+        return zip(*columns, strict=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def pairs(rows: list[tuple]) -> Iterator[tuple]:
-            if len(rows) > 1:
-                sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
-                m = sig.shape[1]
-                need = m * least - 4 * np.sqrt(m * least * (1 - least))
-                for i, j in zip(*np.nonzero(np.triu((sig[:, None] == sig[None]).sum(axis=2) >= need, 1)), strict=True):
-                    if rows[i][2] != rows[j][2]:
-                        a, b = rows[i][1], rows[j][1]
-                        yield (a, b) if a < b else (b, a)
-
         def batch(found: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], members_type) for k in (0, 1)], ["_a", "_b"])
 
+        held: list[tuple] = []
         for b in batches:
             found = []
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for row in rows_of(b) if b.num_rows else ():
                 if held and held[0][0] != row[0]:
                     found += pairs(held)
                     held = []
@@ -228,8 +311,8 @@ def _across(members: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
             yield batch(found)
         yield batch(list(pairs(held)))
 
-    members_type = to_arrow_type(members.schema["_id"].dataType)
-    return signed.repartition("_bucket").sortWithinPartitions("_bucket").mapInArrow(run, schema)
+    members_type = to_arrow_type(tasks.schema["_id"].dataType)
+    return signed.repartition("_task").sortWithinPartitions("_task").mapInArrow(run, schema)
 
 
 def near_duplicate_classes(docs: DataFrame, least: float = 0.8, size: int = 5, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -249,28 +332,20 @@ def near_duplicate_classes(docs: DataFrame, least: float = 0.8, size: int = 5, b
     links = materialize(verify(tried, texts, size, least), "links")
     roots = components(links)
 
-    # members of one bucket that are still apart: compare them, except what was compared
-    # a member's score is now how many links it has
-    degree = links.select(F.col("_a").alias("_id")).unionByName(links.select(F.col("_b").alias("_id"))).groupBy("_id").agg(F.count(F.lit(1)).alias("_score"))
-    linked = materialize(roots.join(degree, "_id").select(F.col("_id").alias("_ri"), "_root", F.col("_score").alias("_degree")), "linked")
-    apart = members.join(linked, F.col("_id") == F.col("_ri"), "left").select("_bucket", "_id", F.coalesce("_degree", F.lit(0)).alias("_score"), F.coalesce("_root", "_id").alias("_root"))
+    # members of one bucket that are still apart: compare them all, except what was compared
+    linked = roots.select(F.col("_id").alias("_ri"), "_root")
+    apart = members.join(linked, F.col("_id") == F.col("_ri"), "left").select("_bucket", "_id", F.coalesce("_root", "_id").alias("_root"))
     small, large = _mixed(apart)
-    discard(members)
-    # what stands in a large bucket is cut by its next bands: near copies share several of them, chance members do not
-    own = F.array_position("_bands", F.col("_bucket")).cast("int")
-    after = F.slice(F.concat("_bands", "_bands"), own + 1, FINER_BANDS)
-    finer = large.join(sketches.withColumnRenamed("_id", "_si"), F.col("_id") == F.col("_si")).select("_id", "_score", "_root", "_bucket", F.explode(after).alias("_other"))
-    finer = finer.select(F.xxhash64("_bucket", "_other").alias("_bucket"), "_id", "_score", "_root").distinct()
-    small_fine, large_fine = _mixed(materialize(finer, "finer"))
-    more = _across(small, sketches, least).unionByName(_across(small_fine, sketches, least)).unionByName(_stars(large, LEADS)).unionByName(_stars(large_fine, LEADS))
-    more = materialize(more.distinct(), "more-pairs")
     seen = tried.withColumnsRenamed({"_a": "_sa", "_b": "_sb"})
-    more = materialize(more.join(seen, (F.col("_a") == F.col("_sa")) & (F.col("_b") == F.col("_sb")), "left_anti"), "new-pairs")
-    if not more.isEmpty():
-        found = materialize(verify(more, texts, size, least), "more-links")
-        if not found.isEmpty():
-            # the first round's components stand for their links
-            roots = components(materialize(found.unionByName(roots.where(F.col("_id") != F.col("_root")).select(F.col("_root").alias("_a"), F.col("_id").alias("_b"))), "all-links"))
+    more = materialize(_compared(small, sketches, least).join(seen, (F.col("_a") == F.col("_sa")) & (F.col("_b") == F.col("_sb")), "left_anti"), "new-pairs")
+    found = verify(more, texts, size, least)
+    if not large.isEmpty():
+        found = found.unionByName(_compared(large, sketches, least, texts, size))
+    found = materialize(found, "more-links")
+    discard(members)
+    if not found.isEmpty():
+        # the first round's components stand for their links
+        roots = components(materialize(found.unionByName(roots.where(F.col("_id") != F.col("_root")).select(F.col("_root").alias("_a"), F.col("_id").alias("_b"))), "all-links"))
 
     reps = roots.select(F.col("_id").alias("_ri"), "_root")
     joined = copies.join(reps, F.col("_rep") == F.col("_ri"), "left").select(F.col("_id").alias("_cid"), F.coalesce("_root", "_rep").alias("_class"))
@@ -286,9 +361,11 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, size: int = 5, id_col:
 
     Equal texts are joined first by digest. Distinct ones get ProbMinHash signatures; texts that share a band meet in a
     bucket. In the first bands each member is verified against its bucket's leads, popular members, which of many copies of one text are
-    likely that text; then members of a bucket that are in different components are compared, all of them in small
-    buckets, and in large ones the best linked few of each component with leads and by pairs of bands. No pairs within a group of copies are made, and there is no cap on a bucket. A pair at the threshold is missed once in about forty
-    thousand times, a closer one more rarely.
+    likely that text; then all members of a bucket that are in different components are compared by their signatures
+    and, if these allow for a link, exactly. Large buckets are compared block by block with their texts, which makes links
+    only, no rows for pairs. There is no cap on a bucket; the time for a large bucket that stays in many components grows
+    with the square of its size. A pair at the threshold is missed once in about forty thousand times by the bands and once
+    in thirty thousand by the filter, a closer one more rarely.
 
     Texts without words are alike only if equal. Null counts as empty. Rows that repeat an id are one document; a row
     with a null id is its own class with a null class_id and is kept. Other columns are ignored; an empty table gives an

@@ -132,6 +132,37 @@ def test_large_bucket_keeps_links(spark):
     assert {r.class_id for r in got} == {500}
 
 
+def plain_classes(rows, size=5, least=0.8):
+    """The smallest id of each id's component, from all pairs and plain Jaccard similarity."""
+    sets = {i: {tuple(w[k : k + size]) for k in range(len(w) - size + 1)} for i, t in rows for w in [t.split()]}
+    root = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sets:
+            if a < b and root[a] != root[b] and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]):
+                lo, hi = sorted((root[a], root[b]))
+                root = {i: lo if r == hi else r for i, r in root.items()}
+    return root
+
+
+@pytest.mark.parametrize("block", [minhash.BLOCK, 40])
+def test_template_families_keep_links(spark, monkeypatch, block):
+    """One long passage in all texts puts them into large buckets; pairs share little more than it, but enough."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rng = random.Random(10)
+    template, rows = [f"t{k}" for k in range(104)], []
+    for i in range(70):
+        for k in range(2):
+            rows.append((2 * i + k, " ".join([*template, *(f"s{i}x{j}" for j in range(3)), *(f"o{i}y{k}z{j}" for j in range(11))])))
+    # a component as large as a block, whose members differ in the template's first words
+    for i in range(90):
+        rows.append((1000 + i, " ".join([f"c{i}", *template[1:], *(f"u{j}" for j in range(30))])))
+    rng.shuffle(rows)
+    want = plain_classes(rows)
+    assert len(set(want.values())) == 71
+    got = minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r.doc_id: r.class_id for r in got} == want
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (5, 4), (9, 8), (8, 7), (7, 6), (6, 5)]
     got = minhash.components(minhash.materialize(spark.createDataFrame(links, "_a long, _b long"), "l"))
