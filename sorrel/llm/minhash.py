@@ -92,7 +92,8 @@ def similar(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray, least:
 def sketch(reps: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     """(_id, _bands array<bigint>, _sig binary) for texts that have words. reps: _id, _text in lower case.
 
-    _sig: one byte for each component, of the element that won it.
+    _sig: one byte for each component, of the element that won it. If a shingle repeats, bands and components of the
+    signature with all weights one follow those of the weighted signature; else the two signatures are the same.
     """
     schema = T.StructType([T.StructField("_id", reps.schema["_id"].dataType), T.StructField("_bands", T.ArrayType(T.LongType())), T.StructField("_sig", T.BinaryType())])
 
@@ -103,10 +104,19 @@ def sketch(reps: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                 there, dense = np.unique(text, return_inverse=True)
                 if len(there):
                     winner, _ = signatures(dense, element, weight.astype(float), len(there), bands * rows)
-                    keys = band_keys(winner, bands, rows)
+                    again = np.unique(dense[weight > 1])
+                    if len(again):
+                        some = np.isin(dense, again)
+                        plain, _ = signatures(np.searchsorted(again, dense[some]), element[some], np.ones(some.sum()), len(again), bands * rows)
+                        winner = np.concatenate([winner, plain])
+                    # a text's two signatures one after the other
+                    order = np.argsort(np.r_[np.arange(len(there)), again], kind="stable")
+                    ends = np.cumsum(np.r_[0, np.bincount(np.r_[np.arange(len(there)), again])])
+                    keys = band_keys(winner, bands, rows)[order]
                     ids = batch.column(0).take(pa.array(there + a))
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands), pa.int32()), pa.array(keys.ravel()))
-                    sig = pa.array([x.tobytes() for x in (mix(winner) >> np.uint64(56)).astype(np.uint8)], pa.binary())
+                    lists = pa.ListArray.from_arrays(pa.array(ends * bands, pa.int32()), pa.array(keys.ravel()))
+                    bytes_of = (mix(winner) >> np.uint64(56)).astype(np.uint8)[order]
+                    sig = pa.array([bytes_of[x:y].tobytes() for x, y in zip(ends, ends[1:], strict=False)], pa.binary())
                     yield pa.RecordBatch.from_arrays([ids, lists, sig], ["_id", "_bands", "_sig"])
 
     return reps.select("_id", "_text").mapInArrow(run, schema)
@@ -212,8 +222,9 @@ def _mixed(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     return small, materialize(large.unionByName(several), "large-tasks")
 
 
-def _candidates(rows: list[tuple], least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the two ends of a task's pairs: in different components, and signatures allow for a similarity of ``least``.
+def _candidates(rows: list[tuple], least: float, bands: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the two ends of a task's pairs: in different components, and signatures, weighted or plain, allow for a
+    similarity of ``least``.
 
     Four standard deviations below what that similarity makes components agree, so such a pair is lost once in thirty
     thousand times. A pair belongs to the least bucket that both are in, so no other one has it. rows: (_task, _bucket,
@@ -222,25 +233,29 @@ def _candidates(rows: list[tuple], least: float) -> tuple[np.ndarray, np.ndarray
     numbers: dict = {}
     root = np.array([numbers.setdefault(r[4], len(numbers)) for r in rows])
     block, place = np.array([r[2] for r in rows]), np.arange(len(rows))
-    keys, sig = np.array([r[5] for r in rows]), np.frombuffer(b"".join(r[6] for r in rows), np.uint8).reshape(len(rows), -1)
-    two, m = bool((block != block[0]).any()), sig.shape[1]
+    both = any(len(r[5]) > bands for r in rows)
+    keys = np.array([r[5] if len(r[5]) > bands or not both else r[5] * 2 for r in rows]).reshape(len(rows), -1, bands)
+    sig = np.frombuffer(b"".join(r[6] if len(r[5]) > bands or not both else r[6] * 2 for r in rows), np.uint8).reshape(len(rows), keys.shape[1], -1)
+    two, m = bool((block != block[0]).any()), sig.shape[2]
     need = m * least - 4 * np.sqrt(m * least * (1 - least))
     at, to = [], []
     for a in range(0, len(rows), 64):
         strip = slice(a, a + 64)
-        ok = ((sig[strip, None] == sig[None]).sum(axis=2) >= need) & (place[strip, None] < place) & (root[strip, None] != root)
+        same = np.max([(sig[strip, None, k] == sig[None, :, k]).sum(axis=2) for k in range(sig.shape[1])], axis=0)
+        ok = (same >= need) & (place[strip, None] < place) & (root[strip, None] != root)
         if two:
             ok &= block[strip, None] != block
         i, j = np.nonzero(ok)
-        own = np.where(keys[a + i] == keys[j], keys[j], np.iinfo(np.int64).max).min(axis=1) == rows[0][1]
+        mine, other = keys[a + i][:, :, None], keys[j][:, None]
+        own = np.where(mine == other, other, np.iinfo(np.int64).max).min(axis=(1, 2, 3)) == rows[0][1]
         at.append(a + i[own])
         to.append(j[own])
     return np.concatenate(at), np.concatenate(to)
 
 
-def _linked(rows: list[tuple], least: float) -> Iterator[tuple]:
+def _linked(rows: list[tuple], least: float, bands: int) -> Iterator[tuple]:
     """Links that join all components of a task that are :func:`similar` somewhere. rows end in (elements, weights)."""
-    at, to = _candidates(rows, least)
+    at, to = _candidates(rows, least, bands)
     if not len(at):
         return
     root = {r[4]: r[4] for r in rows}
@@ -267,7 +282,7 @@ def _linked(rows: list[tuple], least: float) -> Iterator[tuple]:
         there[codes[i]] = False
 
 
-def _compared(tasks: DataFrame, sketches: DataFrame, least: float, texts: DataFrame | None = None, size: int = 0) -> DataFrame:
+def _compared(tasks: DataFrame, sketches: DataFrame, least: float, bands: int, texts: DataFrame | None = None, size: int = 0) -> DataFrame:
     """Per task, the pairs (_a, _b) of :func:`_candidates` or, with texts, the links of :func:`_linked`."""
     signed = sketches.withColumnRenamed("_id", "_si")
     if texts is not None:
@@ -280,9 +295,9 @@ def _compared(tasks: DataFrame, sketches: DataFrame, least: float, texts: DataFr
 
     def pairs(rows: list[tuple]) -> Iterator[tuple]:
         if len(rows) > 1 and len(cols) == 8:
-            yield from _linked(rows, least)
+            yield from _linked(rows, least, bands)
         elif len(rows) > 1:
-            for i, j in zip(*_candidates(rows, least), strict=True):
+            for i, j in zip(*_candidates(rows, least, bands), strict=True):
                 yield min(rows[i][3], rows[j][3]), max(rows[i][3], rows[j][3])
 
     def rows_of(b: pa.RecordBatch) -> Iterator[tuple]:
@@ -327,7 +342,8 @@ def near_duplicate_classes(docs: DataFrame, least: float = 0.8, size: int = 5, b
     texts = without_ids(base.withColumn("_text", F.lower("_text")), copies.select("_id"), "_id")
 
     sketches = materialize(sketch(texts, size, bands, rows), "sketches")
-    members = _scored(sketches.select("_id", F.posexplode("_bands").alias("_band", "_bucket")))
+    keyed_bands = F.array_distinct(F.transform("_bands", lambda x, i: F.struct(F.pmod(i, F.lit(bands)).alias("_band"), x.alias("_bucket"))))
+    members = _scored(sketches.select("_id", F.explode(keyed_bands).alias("_k")).select("_id", "_k._band", "_k._bucket"))
     tried = materialize(_stars(members.where(F.col("_band") < FIRST_BANDS), FIRST_LEADS).distinct(), "stars")
     links = materialize(verify(tried, texts, size, least), "links")
     roots = components(links)
@@ -337,10 +353,10 @@ def near_duplicate_classes(docs: DataFrame, least: float = 0.8, size: int = 5, b
     apart = members.join(linked, F.col("_id") == F.col("_ri"), "left").select("_bucket", "_id", F.coalesce("_root", "_id").alias("_root"))
     small, large = _mixed(apart)
     seen = tried.withColumnsRenamed({"_a": "_sa", "_b": "_sb"})
-    more = materialize(_compared(small, sketches, least).join(seen, (F.col("_a") == F.col("_sa")) & (F.col("_b") == F.col("_sb")), "left_anti"), "new-pairs")
+    more = materialize(_compared(small, sketches, least, bands).join(seen, (F.col("_a") == F.col("_sa")) & (F.col("_b") == F.col("_sb")), "left_anti"), "new-pairs")
     found = verify(more, texts, size, least)
     if not large.isEmpty():
-        found = found.unionByName(_compared(large, sketches, least, texts, size))
+        found = found.unionByName(_compared(large, sketches, least, bands, texts, size))
     found = materialize(found, "more-links")
     discard(members)
     if not found.isEmpty():
@@ -359,7 +375,8 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, size: int = 5, id_col:
     weights each by how often it occurs, is at least ``least``; with no shingle repeated they are the same. Classes are the connected
     components. Words are lower-cased runs of letters and digits; a text with fewer than ``size`` words is one shingle.
 
-    Equal texts are joined first by digest. Distinct ones get ProbMinHash signatures; texts that share a band meet in a
+    Equal texts are joined first by digest. Distinct ones get ProbMinHash signatures, and those in which a shingle repeats a
+    second one with all weights one, so that either similarity leads to a shared band; texts that share a band meet in a
     bucket. In the first bands each member is verified against its bucket's leads, popular members, which of many copies of one text are
     likely that text; then all members of a bucket that are in different components are compared by their signatures
     and, if these allow for a link, exactly. Large buckets are compared block by block with their texts, which makes links

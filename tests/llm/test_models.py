@@ -163,6 +163,22 @@ def test_template_families_keep_links(spark, monkeypatch, block):
     assert {r.doc_id: r.class_id for r in got} == want
 
 
+@pytest.mark.parametrize("family", [1, 90])
+def test_repeated_passages_keep_links(spark, family):
+    """A passage repeated many times leaves the sets of shingles alike, but not the weighted ones."""
+    rng = random.Random(11)
+    rows, want = [], {}
+    for i in range(20):
+        words = [f"w{i}x{k}" for k in range(300)]
+        rows += [(1000 * i, " ".join(words)), (1000 * i + 1, " ".join(words + words[50:60] * 100))]
+        want |= {1000 * i: 1000 * i, 1000 * i + 1: 1000 * i}
+    for k in range(2, family):  # a large bucket
+        rows.append((k, " ".join([*(f"w0x{j}" for j in range(300)), *[f"y{k}", "a", "b", "c", "d", "e", "f"] * rng.randint(1, 40)])))
+        want[k] = 0
+    got = minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r.doc_id: r.class_id for r in got} == want
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (5, 4), (9, 8), (8, 7), (7, 6), (6, 5)]
     got = minhash.components(minhash.materialize(spark.createDataFrame(links, "_a long, _b long"), "l"))
