@@ -29,8 +29,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated so that tokens match the target shares; none needs a rate below one."""
-    return mixed_documents(docs, table(spark, sf_dir, "labels"), byte_bpe(), QUALITY_SHARES)
+    """Documents are repeated so that tokens come near the target shares; none has a rate below one, so none is lost."""
+    return mixed_documents(docs, table(spark, sf_dir, "labels"), byte_bpe(), QUALITY_SHARES, least_rate=1.0)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

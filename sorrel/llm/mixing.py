@@ -101,12 +101,12 @@ def _dot(p: Column, v: np.ndarray) -> Column:
     return sum((F.get(p, F.lit(i)) * F.lit(float(x)) for i, x in enumerate(v)), F.lit(0.0))
 
 
-def fit_rates(members: DataFrame, targets: np.ndarray, rounds: int = 30, tolerance: float = 1e-6) -> DataFrame:
-    """Add _rate, nonnegative, such that the sums of rate times _tokens times _p come as near to ``targets`` as they can.
+def fit_rates(members: DataFrame, targets: np.ndarray, rounds: int = 30, tolerance: float = 1e-6, least_rate: float = 0.0) -> DataFrame:
+    """Add _rate, at least ``least_rate``, such that the sums of rate times _tokens times _p come as near to ``targets`` as they can.
 
     Projected gradient on the least squares of the totals, from rates of one. A round sums the totals of all documents;
     only they, one number per domain, reach the driver, which sends the gradient back scaled by the domains' Gram matrix.
-    Every document steps along it and is cut off at zero. A step that makes the misfit larger is taken back and halved.
+    Every document steps along it and is cut off at the least rate. A step that makes the misfit larger is taken back and halved.
     members: materialized.
     """
     k = len(targets)
@@ -126,7 +126,7 @@ def fit_rates(members: DataFrame, targets: np.ndarray, rounds: int = 30, toleran
     def rate(steps: list[np.ndarray]) -> Column:
         r = F.col("_rate")
         for s in steps:
-            r = F.greatest(F.lit(0.0), r - _dot(p, s))
+            r = F.greatest(F.lit(float(least_rate)), r - _dot(p, s))
         return r
 
     now, steps = members.withColumn("_rate", F.lit(1.0)), []
@@ -146,14 +146,14 @@ def fit_rates(members: DataFrame, targets: np.ndarray, rounds: int = 30, toleran
     return now.withColumn("_rate", rate(steps))
 
 
-def mix(docs: DataFrame, labels: DataFrame, tokenizer: TokenizerFile, shares: dict[str, float] | None = None, total: float | None = None, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Domains]:
+def mix(docs: DataFrame, labels: DataFrame, tokenizer: TokenizerFile, shares: dict[str, float] | None = None, total: float | None = None, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", least_rate: float = 0.0) -> tuple[DataFrame, Domains]:
     """All columns of docs with _tokens, _p, _rate and _copies, and the domains.
 
     A classifier fitted on labelled documents gives each document's posteriors over the domains. Document rates are then
     fitted so that the expected tokens of each domain match the targets. shares: the domains' target shares of tokens, in
     any unit; domains not named keep their own share of what the named ones leave (none named: all keep theirs). total:
-    the mix's tokens; by default the least at which no domain's target is below what it has, so that no document needs a
-    rate below one. A document is taken as often as its rate says, the fraction decided by a hash of its id and text.
+    the mix's tokens; by default the least at which no domain's target is below what it has; single documents may still
+    get a rate below one, unless ``least_rate`` is one: then totals are as near as such rates allow, and no document is lost. A document is taken as often as its rate says, the fraction decided by a hash of its id and text.
 
     Null texts count as empty and have a prior's posterior, no tokens and the rate that follows. Repeated rows get equal
     rates. Rows with a null id are treated like any other. An empty table gives an empty result.
@@ -171,7 +171,7 @@ def mix(docs: DataFrame, labels: DataFrame, tokenizer: TokenizerFile, shares: di
     want = want / want.sum() if want.sum() else want
     at = want > 0
     whole_tokens = total if total is not None else float((have[at] / want[at]).max()) if at.any() else 0.0
-    rated = fit_rates(members, want * whole_tokens)
+    rated = fit_rates(members, want * whole_tokens, least_rate=least_rate)
     u = F.shiftrightunsigned(F.xxhash64(F.col(f"`{id_col}`"), text_of(text_col), F.lit(20)), 11).cast("double") * F.lit(2.0**-53)
     copies = (F.floor("_rate") + (u < F.col("_rate") - F.floor("_rate")).cast("long")).cast("int")
     return rated.withColumn("_copies", copies), domains
@@ -184,8 +184,8 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, tokenizer: TokenizerFile, s
     return mixed.select(F.col(f"`{id_col}`"), F.col("_tokens").alias("n_tokens"), names.alias("domains"), F.col("_p").alias("posteriors"), F.col("_rate").alias("rate"), F.col("_copies").alias("copies"))
 
 
-def mixed_documents(docs: DataFrame, labels: DataFrame, tokenizer: TokenizerFile, shares: dict[str, float] | None = None, total: float | None = None, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mixed_documents(docs: DataFrame, labels: DataFrame, tokenizer: TokenizerFile, shares: dict[str, float] | None = None, total: float | None = None, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", least_rate: float = 0.0) -> DataFrame:
     """The rows of docs, each as many times as :func:`mix` says, with the columns of docs."""
-    mixed, _ = mix(docs, labels, tokenizer, shares, total, label_col, id_col, text_col)
+    mixed, _ = mix(docs, labels, tokenizer, shares, total, label_col, id_col, text_col, least_rate)
     cols = [F.col(f"`{c}`") for c in docs.columns]
     return mixed.where("_copies > 0").select(*cols, F.explode(F.array_repeat(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")

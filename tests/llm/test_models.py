@@ -256,6 +256,15 @@ def test_mixing(spark):
     assert mixing.mixing_rates(docs.where("false"), labels, tok).count() == 0
 
 
+def test_rates_can_be_held_at_one(spark):
+    rows = [(10, [0.9, 0.1])] * 10 + [(10, [0.1, 0.9])] * 10
+    members = minhash.materialize(spark.createDataFrame(rows, "_tokens long, _p array<double>"), "m")
+    targets = np.array([900.0, 100.0])
+    assert min(r._rate for r in mixing.fit_rates(members, targets).collect()) < 0.5
+    held = sorted(r._rate for r in mixing.fit_rates(members, targets, least_rate=1.0).collect())
+    assert held[0] == 1.0 and 9 < held[-1] < 11
+
+
 def brute_top(codes, q, k):
     far = sorted((bin((codes[q] ^ c) & (2**64 - 1)).count("1"), i) for i, c in codes.items() if i != q)
     return [(i, d) for d, i in far[:k]]
