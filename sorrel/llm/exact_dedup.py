@@ -135,6 +135,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that :func:`exact_dedup` keeps, with all their columns."""
-    lost = exact_dedup(docs.select(id_col, text_col), id_col, text_col).where("not kept").select(id_col)
-    return without_ids(docs, lost, id_col)
+    """The rows of docs that :func:`exact_dedup` keeps, with all their columns; rows with a null id stay as well.
+
+    Rows go by id and text, so another text under the same id stays.
+    """
+    lost = exact_dedup(docs.select(id_col, text_col), id_col, text_col).where("not kept").where(F.col(f"`{id_col}`").isNotNull())
+    lost = lost.select(F.struct(F.col(f"`{id_col}`").alias("i"), F.col("text_sha256").alias("h")).alias("_drop_key"))
+    keyed = docs.withColumn("_drop_key", F.struct(F.col(f"`{id_col}`").alias("i"), F.sha2(text_of(text_col), 256).alias("h")))
+    return without_ids(keyed, lost, "_drop_key").drop("_drop_key")

@@ -46,6 +46,11 @@ def test_exact_dedup(spark, odd):
     assert stay.columns == odd.columns and {r.doc_id for r in stay.collect()} >= {3, 4, 5, 7, 8} and not {1, 2, 6} & {r.doc_id for r in stay.collect()}
 
 
+def test_drop_duplicates_keeps_other_texts_of_an_id(spark):
+    docs = spark.createDataFrame([(5, "A"), (9, "A"), (5, "B")], SCHEMA)
+    assert sorted(map(tuple, drop_duplicates(docs).collect())) == [(5, "B"), (9, "A")]
+
+
 def test_presence_and_without_ids(spark):
     keys = materialize(spark.range(0, 2000, 2).select(F.xxhash64("id").alias("h")), "k")
     flagged = Presence(keys, "h").flag(spark.range(2000), F.xxhash64("id"), "m")
