@@ -14,6 +14,8 @@ from ..functions.text import lines
 #: Symbol kinds by rank; any other has rank 5.
 PRIORITY = {0: ("class", "struct", "enum", "union"), 1: ("typedef", "alias"), 3: ("function",), 4: ("variable",)}
 WORD = "A-Za-z0-9_"
+#: Names up to which all are sent to every file; more are joined with the files' words.
+FEW_NAMES = 10_000
 
 
 def kind_priority(kind: Column, lang: Column, strict: bool = True) -> Column:
@@ -53,11 +55,17 @@ def _occurrences_in(content: str, name: str) -> list[tuple[int, int, int]]:
 def text_occurrences(files: DataFrame, names: DataFrame) -> DataFrame:
     """Whole-word places of each ASCII name: (name, file_id, line, col, end_col), 0-based, columns in bytes.
 
-    Lines are found with SQL functions; only lines with a hit go to Python, for byte columns.
+    Lines are found with SQL functions; only lines with a hit go to Python, for byte columns. Up to FEW_NAMES names are
+    broadcast; of more, each is joined with the words of lines.
     """
     ok = names.select("name").distinct().where(F.col("name").rlike(rf"^[{WORD}]+$"))
-    rows = files.select("file_id", "content").join(F.broadcast(ok.limit(10_000)), F.col("content").contains(F.col("name")))
-    each = rows.select("file_id", "name", F.posexplode(F.split("content", "\n", -1)).alias("line", "text")).where(F.col("text").contains(F.col("name")))
+    if ok.limit(FEW_NAMES + 1).count() <= FEW_NAMES:
+        rows = files.select("file_id", "content").join(F.broadcast(ok), F.col("content").contains(F.col("name")))
+        each = rows.select("file_id", "name", F.posexplode(F.split("content", "\n", -1)).alias("line", "text")).where(F.col("text").contains(F.col("name")))
+    else:
+        every = files.select("file_id", F.posexplode(F.split("content", "\n", -1)).alias("line", "text"))
+        words = every.select("*", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"[{WORD}]+"), F.lit(0)))).alias("name"))
+        each = words.join(ok, "name").select("file_id", "name", "line", "text")
 
     @F.pandas_udf("array<struct<col:int,end_col:int>>")
     def places(text: pd.Series, name: pd.Series) -> pd.Series:
@@ -128,6 +136,9 @@ def identifier_at(text_line: Column, col: Column) -> Column:
 
 
 def longest_root(paths: DataFrame, roots: DataFrame) -> DataFrame:
-    """The longest of few known roots that a path lies under: (path, root). roots: at most some thousand."""
-    under = (F.col("path") == F.col("root")) | F.col("path").startswith(F.concat(F.col("root"), F.lit("/")))
-    return paths.join(F.broadcast(roots.select("root").limit(10_000)), under, "left").groupBy("path").agg(F.max_by("root", F.length("root")).alias("root"))
+    """The longest known root that a path lies under: (path, root). Paths are joined by all that they lie under."""
+    parts = F.split("path", "/", -1)
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    under = paths.select("path").distinct().select("path", F.explode_outer(F.when(F.col("path").isNotNull(), above)).alias("root"))
+    found = under.join(roots.select(F.col("root").alias("_known")).distinct(), F.col("root") == F.col("_known"), "left")
+    return found.groupBy("path").agg(F.max_by("_known", F.length("_known")).alias("root"))

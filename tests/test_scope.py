@@ -111,3 +111,17 @@ def test_files_without_captures(spark, text):
 
     rows = extract.captures_of("a", "python", text)
     assert len(rows) == 1 and rows[0][2] == ("root" if text == "" else "error")
+
+
+def test_all_names_and_roots_count(spark):
+    from sorrel.operators import navigation
+
+    n = 10_050
+    files = spark.createDataFrame([(1, "\n".join(f"é n{i} = n{i}x" for i in range(n)))], "file_id long, content string")
+    names = spark.createDataFrame([(f"n{i}",) for i in range(n)], "name string")
+    got = navigation.text_occurrences(files, names).collect()
+    assert {r.name: (r.line, r.col, r.end_col) for r in got} == {f"n{i}": (i, 3, 4 + len(str(i))) for i in range(n)} and len(got) == n
+    roots = spark.createDataFrame([(f"/r{i}",) for i in range(n)] + [("/r7/b",), ("/r7/b/",)], "root string")
+    paths = spark.createDataFrame([(f"/r{i}/a",) for i in range(n)] + [("/r7/b",), ("/r7/bc",), ("/x",), (None,), ("/r8",)], "path string")
+    found = {r.path: r.root for r in navigation.longest_root(paths, roots).collect()}
+    assert found == {f"/r{i}/a": f"/r{i}" for i in range(n)} | {"/r7/b": "/r7/b", "/r7/bc": "/r7", "/x": None, None: None, "/r8": "/r8"}
