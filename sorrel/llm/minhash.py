@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import Presence, discard, limit_batches, materialize, text_of, without_ids
+from .common import Presence, Scratch, batch_rows, discard, materialize, quoted, text_of, without_ids
 from .shingles import chunks, mix, shingle_sets
 
 #: Bands and rows of a signature: texts at a similarity of 0.8 share no band once in forty thousand times.
@@ -20,12 +20,12 @@ BANDS, ROWS = 20, 4
 SMALL_BUCKET = 64
 #: Members of a large bucket that are compared in memory with each other or with as many others.
 BLOCK = 256
-#: Rows of an Arrow batch here, as verification reads two whole texts in a row.
-PAIR_ROWS = 32
+#: Rows of an Arrow batch here, as two sets of a very long text's shingles can be in a row.
+PAIR_ROWS = 64
 #: Slots that ids are hashed to in a large bucket, each with its own lead.
-FIRST_LEADS = 8
-#: Bands in which members are verified against leads; most links are found there, and all bands then see components.
-FIRST_BANDS = 8
+LEADS = 8
+#: Bytes of a shingle's hash in a packed set.
+HASH_BYTES = 6
 
 
 def signatures(text: np.ndarray, element: np.ndarray, weight: np.ndarray, n_texts: int, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,59 +89,82 @@ def similar(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray, least:
     return both >= least * (len(a) + len(b) - both) or probability_jaccard(a, wa, b, wb) >= least
 
 
-def sketch(reps: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """(_id, _bands array<bigint>, _sig binary) for texts that have words. reps: _id, _text in lower case.
+def sketch(texts: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
+    """(_id, _sha, _bands array<bigint>, _sig binary) for every row. texts: _id, _sha, _text in lower case.
 
     _sig: one byte for each component, of the element that won it. If a shingle repeats, bands and components of the
-    signature with all weights one follow those of the weighted signature; else the two signatures are the same.
+    signature with all weights one follow those of the weighted signature; else the two signatures are the same. A text
+    without words has neither.
     """
-    schema = T.StructType([T.StructField("_id", reps.schema["_id"].dataType), T.StructField("_bands", T.ArrayType(T.LongType())), T.StructField("_sig", T.BinaryType())])
+    schema = T.StructType([*texts.select("_id", "_sha").schema.fields, T.StructField("_bands", T.ArrayType(T.LongType())), T.StructField("_sig", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offsets in chunks(batch.column(1)):
+            for a, b, data, offsets in chunks(batch.column(2)):
                 text, element, weight = shingle_sets(data, offsets, size)
                 there, dense = np.unique(text, return_inverse=True)
+                winner, owner = np.empty((0, bands * rows), np.uint64), there
                 if len(there):
                     winner, _ = signatures(dense, element, weight.astype(float), len(there), bands * rows)
-                    again = np.unique(dense[weight > 1])
-                    if len(again):
-                        some = np.isin(dense, again)
-                        plain, _ = signatures(np.searchsorted(again, dense[some]), element[some], np.ones(some.sum()), len(again), bands * rows)
-                        winner = np.concatenate([winner, plain])
-                    # a text's two signatures one after the other
-                    order = np.argsort(np.r_[np.arange(len(there)), again], kind="stable")
-                    ends = np.cumsum(np.r_[0, np.bincount(np.r_[np.arange(len(there)), again])])
-                    keys = band_keys(winner, bands, rows)[order]
-                    ids = batch.column(0).take(pa.array(there + a))
-                    lists = pa.ListArray.from_arrays(pa.array(ends * bands, pa.int32()), pa.array(keys.ravel()))
-                    bytes_of = (mix(winner) >> np.uint64(56)).astype(np.uint8)[order]
-                    sig = pa.array([bytes_of[x:y].tobytes() for x, y in zip(ends, ends[1:], strict=False)], pa.binary())
-                    yield pa.RecordBatch.from_arrays([ids, lists, sig], ["_id", "_bands", "_sig"])
-
-    return reps.select("_id", "_text").mapInArrow(run, schema)
+                again = np.unique(dense[weight > 1])
+                if len(again):
+                    some = np.isin(dense, again)
+                    plain, _ = signatures(np.searchsorted(again, dense[some]), element[some], np.ones(some.sum()), len(again), bands * rows)
+                    winner, owner = np.concatenate([winner, plain]), np.r_[there, there[again]]
+                # a text's two signatures one after the other
+                order = np.argsort(owner, kind="stable")
+                ends = np.r_[0, np.cumsum(np.bincount(owner, minlength=b - a))]
+                lists = pa.ListArray.from_arrays(pa.array(ends * bands, pa.int32()), pa.array(band_keys(winner, bands, rows)[order].ravel()))
+                bytes_of = (mix(winner) >> np.uint64(56)).astype(np.uint8)[order]
+                sig = pa.array([bytes_of[x:y].tobytes() for x, y in zip(ends, ends[1:], strict=False)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), lists, sig], schema.names)
+
+    return texts.select("_id", "_sha", "_text").mapInArrow(run, schema)
+
+
+def pack_set(element: np.ndarray, weight: np.ndarray) -> bytes:
+    """A set of shingles: a byte that says if weights follow, the hashes, then the weights unless all are one."""
+    body = element.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes()
+    return b"\0" + body if (weight == 1).all() else b"\1" + body + weight.astype("<u4").tobytes()
+
+
+def unpack_set(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = (len(packed) - 1) // (HASH_BYTES + 4 * packed[0])
+    element = np.zeros((n, 8), np.uint8)
+    element[:, :HASH_BYTES] = np.frombuffer(packed, np.uint8, n * HASH_BYTES, 1).reshape(n, HASH_BYTES)
+    weight = np.frombuffer(packed, "<u4", n, 1 + n * HASH_BYTES).astype(np.int64) if packed[0] else np.ones(n, np.int64)
+    return element.view("<u8").ravel(), weight
+
+
+def packed_sets(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(_id, _set) for the texts whose id is in the column _id of wanted, a materialized frame."""
+    seen = Presence(wanted.select(F.xxhash64("_id").alias("_h")).distinct(), "_h")
+    some = seen.flag(texts.select("_id", "_text"), F.xxhash64("_id"), "_w").where("_w").select("_id", "_text")
+    schema = T.StructType([texts.schema["_id"], T.StructField("_set", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offsets in chunks(batch.column(1)):
+                text, element, weight = shingle_sets(data, offsets, size)
+                cut = np.searchsorted(text, np.arange(b - a + 1))
+                sets = [pack_set(element[x:y], weight[x:y]) for x, y in zip(cut, cut[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets, pa.binary())], schema.names)
+
+    return some.mapInArrow(run, schema)
 
 
 def verify(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
-    """The pairs (_a, _b) whose texts are :func:`similar`."""
-    ids = materialize(pairs.select(F.col("_a").alias("_i")).unionByName(pairs.select(F.col("_b").alias("_i"))).distinct().select(F.xxhash64("_i").alias("_h")), "pair-ids")
-    wanted = Presence(ids, "_h").flag(texts, F.xxhash64("_id"), "_w").where("_w").select("_id", "_text")
-    left = wanted.select(F.col("_id").alias("_ia"), F.col("_text").alias("_ta"))
-    right = wanted.select(F.col("_id").alias("_ib"), F.col("_text").alias("_tb"))
-    joined = pairs.join(right, F.col("_b") == F.col("_ib")).join(left, F.col("_a") == F.col("_ia")).select("_a", "_b", "_ta", "_tb")
-    schema = T.StructType([T.StructField(c, pairs.schema[c].dataType) for c in ("_a", "_b")])
+    """The pairs (_a, _b) whose texts are :func:`similar`. Each text's packed set of shingles travels, no text. pairs: materialized."""
+    ends = pairs.select(F.explode(F.array("_a", "_b")).alias("_id"))
+    sets = packed_sets(texts, ends, size)
+    left, right = (sets.select(F.col("_id").alias(f"_i{x}"), F.col("_set").alias(f"_s{x}")) for x in "ab")
+    joined = pairs.join(right, F.col("_b") == F.col("_ib")).join(left, F.col("_a") == F.col("_ia")).select("_a", "_b", "_sa", "_sb")
+    schema = T.StructType([pairs.schema[c] for c in ("_a", "_b")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-            distinct = list(set(batch.column(2).to_pylist()) | set(batch.column(3).to_pylist()))
-            for a, b, data, offsets in chunks(pa.array(distinct, pa.string())):
-                text, element, weight = shingle_sets(data, offsets, size)
-                cut = np.searchsorted(text, np.arange(b - a + 1))
-                for i in range(b - a):
-                    sets[distinct[a + i]] = element[cut[i] : cut[i + 1]], weight[cut[i] : cut[i + 1]]
-            ok = [similar(*sets[x], *sets[y], least) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["_a", "_b"]).filter(pa.array(ok, pa.bool_()))
+            ok = [similar(*unpack_set(x.as_py()), *unpack_set(y.as_py()), least) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield batch.select(["_a", "_b"]).filter(pa.array(ok, pa.bool_()))
 
     return joined.mapInArrow(run, schema)
 
@@ -150,46 +173,55 @@ def components(links: DataFrame) -> DataFrame:
     """(_id, _root) for every end of a link (_a, _b): the smallest id of its connected component. links: materialized.
 
     Every turn, each node takes the smallest label among its own and its neighbours', then that label's own label.
-    Labels are written out each turn; a turn without change ends it.
+    Labels are written out each turn; a turn without change ends it. The result is written; all else is deleted.
     """
-    both = materialize(links.select("_a", "_b").unionByName(links.select(F.col("_b").alias("_a"), F.col("_a").alias("_b"))).distinct(), "edges")
-    labels = materialize(both.groupBy(F.col("_a").alias("_id")).agg(F.least(F.first("_a"), F.min("_b")).alias("_root")), "labels")
-    while True:
-        near = both.join(labels, F.col("_b") == F.col("_id")).groupBy(F.col("_a").alias("_na")).agg(F.min("_root").alias("_near"))
-        near = materialize(near, "near")
-        met = labels.join(near, F.col("_id") == F.col("_na")).select("_id", "_root", F.least("_root", "_near").alias("_met"))
-        jump = labels.select(F.col("_id").alias("_ji"), F.col("_root").alias("_jr"))
-        new = met.join(jump, F.col("_met") == F.col("_ji"), "left").select("_id", F.least("_met", F.coalesce("_jr", "_met")).alias("_new"), "_root")
-        new = materialize(new, "labels")
-        labels = new.select("_id", F.col("_new").alias("_root"))
-        if new.where(F.col("_new") != F.col("_root")).isEmpty():
-            return labels
-
-
-def _stars(members: DataFrame, leads_wanted: int) -> DataFrame:
-    """Pairs of a bucket's leads and each other member. members: (_bucket, _id, _score, _n), materialized; _n: the bucket's size.
-
-    A small bucket has one lead, its member of the highest score; a large one has one for each slot that ids are hashed to.
+    with Scratch() as keep:
+        both = keep(links.select("_a", "_b").unionByName(links.select(F.col("_b").alias("_a"), F.col("_a").alias("_b"))).distinct(), "edges")
+        labels = materialize(both.groupBy(F.col("_a").alias("_id")).agg(F.least(F.first("_a"), F.min("_b")).alias("_root")), "labels")
+        while True:
+            near = both.join(labels, F.col("_b") == F.col("_id")).groupBy(F.col("_a").alias("_na")).agg(F.min("_root").alias("_near"))
+            met = labels.join(near, F.col("_id") == F.col("_na")).select("_id", "_root", F.least("_root", "_near").alias("_met"))
+            jump = labels.select(F.col("_id").alias("_ji"), F.col("_root").alias("_jr"))
+            new = met.join(jump, F.col("_met") == F.col("_ji"), "left").select("_id", F.least("_met", F.coalesce("_jr", "_met")).alias("_root"), F.col("_root").alias("_old"))
+            new, old = materialize(new, "labels"), labels
+            discard(old)
+            labels = new
+            if new.where(F.col("_old") != F.col("_root")).isEmpty():
+                return new
+
+
+def _buckets(reps: DataFrame, keep: Scratch) -> DataFrame:
+    """Members of buckets that several ids are in: (_bucket, _id, _n, _lo), _n rows and _lo the least id of the bucket. reps: _id, _bands.
+
+    One aggregation finds such buckets and is all that buckets of two need; rows of larger ones are then found by a
+    bitmap and joined.
     """
-    slot = F.when(F.col("_n") > SMALL_BUCKET, F.pmod(F.xxhash64("_id"), F.lit(leads_wanted))).otherwise(0)
-    leads = members.where("_n > 1").groupBy("_bucket", slot.alias("_slot")).agg(F.max(F.struct("_score", "_id")).alias("_lead"))
-    leads = materialize(leads.select(F.col("_bucket").alias("_lb"), F.col("_lead._id").alias("_a")), "leads")
-    # an outer join, whose rows are the members' whatever the groups
-    joined = members.join(leads, F.col("_bucket") == F.col("_lb"), "left").where(F.col("_a").isNotNull() & (F.col("_id") != F.col("_a")))
-    return joined.select(F.least("_a", "_id").alias("_a"), F.greatest("_a", "_id").alias("_b"))
-
-
-def _scored(members: DataFrame) -> DataFrame:
-    """Add _n, the size of the bucket, and _score: the sizes of all of an id's buckets. The original of many copies has most."""
-    sizes = materialize(members.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").withColumnRenamed("_bucket", "_sb"), "sizes")
-    sized = materialize(members.join(sizes, F.col("_bucket") == F.col("_sb"), "left").select("_bucket", "_band", "_id", F.coalesce("_n", F.lit(1)).alias("_n")), "sized")
-    scores = materialize(sized.groupBy(F.col("_id").alias("_pi")).agg(F.sum("_n").alias("_score")), "scores")
-    out = materialize(sized.where("_n > 1").join(scores, F.col("_id") == F.col("_pi")).select("_bucket", "_band", "_id", "_n", "_score"), "members")
-    discard(sizes, sized, scores)
-    return out
+    each = reps.select("_id", F.explode(F.array_distinct("_bands")).alias("_bucket"))
+    found = each.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_lo"), F.max("_id").alias("_hi")).where(F.col("_lo") != F.col("_hi"))
+    found = keep(found, "buckets")
+    two = found.where("_n = 2").select("_bucket", F.explode(F.array("_lo", "_hi")).alias("_id"), "_n", "_lo")
+    more = found.where("_n > 2").select(F.col("_bucket").alias("_mb"), "_n", "_lo")
+    seen = Presence(more, "_mb")
+    if seen.empty:
+        return keep(two, "members")
+    rest = seen.flag(each, F.col("_bucket"), "_w").where("_w").join(more, F.col("_bucket") == F.col("_mb")).select("_bucket", "_id", "_n", "_lo").distinct()
+    return keep(two.unionByName(rest), "members")
+
+
+def _stars(members: DataFrame) -> DataFrame:
+    """One pair (_a, _b) for each id _b that is not its bucket's lead: with the lead that it shares most buckets with.
+
+    A small bucket's lead is its least id; a large one has a lead for each slot that ids are hashed to.
+    """
+    small = members.where(F.col("_n") <= SMALL_BUCKET).select(F.col("_lo").alias("_a"), F.col("_id").alias("_b"))
+    large = members.where(F.col("_n") > SMALL_BUCKET)
+    leads = large.groupBy("_bucket", F.pmod(F.xxhash64("_id"), F.lit(LEADS)).alias("_slot")).agg(F.min("_id").alias("_lead")).select(F.col("_bucket").alias("_lb"), "_lead")
+    wide = large.join(leads, F.col("_bucket") == F.col("_lb")).select(F.least("_lead", "_id").alias("_a"), F.greatest("_lead", "_id").alias("_b"))
+    shared = small.unionByName(wide).where(F.col("_a") != F.col("_b")).groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_shared"))
+    return shared.groupBy("_b").agg(F.max_by("_a", F.struct("_shared", "_a")).alias("_a")).select("_a", "_b")
 
 
-def _mixed(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _mixed(members: DataFrame, keep: Scratch) -> tuple[DataFrame, DataFrame | None]:
     """Members of small and of large buckets with more than one component. members: (_bucket, _id, _root).
 
     Both results are tasks (_task, _bucket, _u, _id, _root). A bucket of up to BLOCK members is one task. A larger one is cut
@@ -197,29 +229,28 @@ def _mixed(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     Two blocks make a task, and so does a shared block alone; blocks of one component don't meet. So every two members in
     different components meet.
     """
-    parts = materialize(members.groupBy("_bucket", "_root").agg(F.count(F.lit(1)).alias("_c")), "parts")
+    parts = members.groupBy("_bucket", "_root").agg(F.count(F.lit(1)).alias("_c"))
     shared = F.when(F.col("_c") < BLOCK, F.col("_c")).otherwise(0)
     mixed = parts.groupBy(F.col("_bucket").alias("_mb")).agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi"), F.sum("_c").alias("_members"), F.sum(shared).alias("_shared")).where(F.col("_lo") != F.col("_hi"))
-    mixed = materialize(mixed.select("_mb", "_members", "_shared"), "mixed")
-    whole, cut = mixed.where(F.col("_members") <= max(BLOCK, SMALL_BUCKET)), mixed.where(F.col("_members") > max(BLOCK, SMALL_BUCKET))
+    mixed = keep(mixed.select("_mb", "_members", "_shared"), "mixed")
+    most = max(BLOCK, SMALL_BUCKET)
+    whole, cut = mixed.where(F.col("_members") <= most), mixed.where(F.col("_members") > most)
     tasks = members.join(whole, F.col("_bucket") == F.col("_mb")).select(F.col("_bucket").alias("_task"), "_bucket", F.lit(0).cast("long").alias("_u"), "_id", "_root", "_members")
-    tasks = materialize(tasks, "tasks")
+    tasks = keep(tasks, "tasks")
     small, large = (tasks.where(x).drop("_members") for x in (F.col("_members") <= SMALL_BUCKET, F.col("_members") > SMALL_BUCKET))
     if cut.isEmpty():
-        return small, large
+        return small, None if large.isEmpty() else large
     own = F.when(F.col("_c") >= BLOCK, F.col("_root"))
     info = parts.join(cut, F.col("_bucket") == F.col("_mb")).select("_mb", F.col("_root").alias("_mr"), own.alias("_g"), F.ceil(F.when(own.isNotNull(), F.col("_c")).otherwise(F.col("_shared")) / BLOCK).alias("_of"))
-    info = materialize(info, "block-counts")
+    info = keep(info, "block-counts")
     blocks = info.select("_mb", "_g", "_of").distinct().select("_mb", "_g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_of") - 1)).alias("_k")).select("_mb", "_g", F.xxhash64("_g", "_k").alias("_u"))
-    blocks = materialize(blocks, "blocks")
     other = blocks.withColumnsRenamed({"_mb": "_ob", "_g": "_og", "_u": "_ou"})
     meet = blocks.join(other, (F.col("_mb") == F.col("_ob")) & (F.col("_u") <= F.col("_ou"))).where((F.col("_g").isNull() & F.col("_og").isNull()) | ~F.col("_g").eqNullSafe(F.col("_og")))
     meet = meet.select(F.col("_mb").alias("_tb"), F.xxhash64("_mb", "_u", "_ou").alias("_task"), F.explode(F.array_distinct(F.array("_u", "_ou"))).alias("_tu"))
-    meet = materialize(meet, "block-pairs")
     k = F.pmod(F.xxhash64(F.when(F.col("_g").isNull(), F.xxhash64("_root")).otherwise(F.xxhash64("_id"))), F.col("_of"))
     placed = members.join(info, (F.col("_bucket") == F.col("_mb")) & (F.col("_root") == F.col("_mr"))).select("_bucket", "_id", "_root", F.xxhash64("_g", k).alias("_u"))
     several = placed.join(meet, (F.col("_bucket") == F.col("_tb")) & (F.col("_u") == F.col("_tu"))).select("_task", "_bucket", "_u", "_id", "_root")
-    return small, materialize(large.unionByName(several), "large-tasks")
+    return small, keep(large.unionByName(several), "large-tasks")
 
 
 def _candidates(rows: list[tuple], least: float, bands: int) -> tuple[np.ndarray, np.ndarray]:
@@ -282,35 +313,22 @@ def _linked(rows: list[tuple], least: float, bands: int) -> Iterator[tuple]:
         there[codes[i]] = False
 
 
-def _compared(tasks: DataFrame, sketches: DataFrame, least: float, bands: int, texts: DataFrame | None = None, size: int = 0) -> DataFrame:
-    """Per task, the pairs (_a, _b) of :func:`_candidates` or, with texts, the links of :func:`_linked`."""
-    signed = sketches.withColumnRenamed("_id", "_si")
-    if texts is not None:
-        ids = materialize(tasks.select(F.col("_id").alias("_ti")).distinct().select(F.xxhash64("_ti").alias("_h")), "task-ids")
-        wanted = Presence(ids, "_h").flag(texts, F.xxhash64("_id"), "_w").where("_w").select(F.col("_id").alias("_wi"), "_text")
-        signed = signed.join(wanted, F.col("_si") == F.col("_wi"))
-    cols = ["_task", "_bucket", "_u", "_id", "_root", "_bands", "_sig", *([] if texts is None else ["_text"])]
+def _compared(tasks: DataFrame, sketches: DataFrame, least: float, bands: int, sets: DataFrame | None = None) -> DataFrame:
+    """Per task, the pairs (_a, _b) of :func:`_candidates` or, with packed sets (_id, _set), the links of :func:`_linked`."""
+    signed = sketches.select(F.col("_id").alias("_si"), "_bands", "_sig")
+    if sets is not None:
+        signed = signed.join(sets.withColumnRenamed("_id", "_wi"), F.col("_si") == F.col("_wi"))
+    cols = ["_task", "_bucket", "_u", "_id", "_root", "_bands", "_sig", *([] if sets is None else ["_set"])]
     signed = tasks.join(signed, F.col("_id") == F.col("_si")).select(*cols)
     schema = T.StructType([T.StructField(c, tasks.schema["_id"].dataType) for c in ("_a", "_b")])
 
     def pairs(rows: list[tuple]) -> Iterator[tuple]:
         if len(rows) > 1 and len(cols) == 8:
-            yield from _linked(rows, least, bands)
+            yield from _linked([(*r[:7], *unpack_set(r[7])) for r in rows], least, bands)
         elif len(rows) > 1:
             for i, j in zip(*_candidates(rows, least, bands), strict=True):
                 yield min(rows[i][3], rows[j][3]), max(rows[i][3], rows[j][3])
 
-    def rows_of(b: pa.RecordBatch) -> Iterator[tuple]:
-        columns = [c.to_pylist() for c in b.columns[:7]]
-        if len(cols) == 8:
-            sets = []
-            for x, y, data, offsets in chunks(b.column(7)):
-                text, element, weight = shingle_sets(data, offsets, size)
-                cut = np.searchsorted(text, np.arange(y - x + 1))
-                sets += [(element[cut[i] : cut[i + 1]].copy(), weight[cut[i] : cut[i + 1]].astype(np.int32)) for i in range(y - x)]
-            columns += zip(*sets, strict=True)
-        return zip(*columns, strict=True)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch(found: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], members_type) for k in (0, 1)], ["_a", "_b"])
@@ -318,7 +336,7 @@ def _compared(tasks: DataFrame, sketches: DataFrame, least: float, bands: int, t
         held: list[tuple] = []
         for b in batches:
             found = []
-            for row in rows_of(b) if b.num_rows else ():
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True) if b.num_rows else ():
                 if held and held[0][0] != row[0]:
                     found += pairs(held)
                     held = []
@@ -331,67 +349,74 @@ def _compared(tasks: DataFrame, sketches: DataFrame, least: float, bands: int, t
 
 
 def near_duplicate_classes(docs: DataFrame, least: float = 0.8, size: int = 5, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_cid, _class) for the ids whose class has another member; see :func:`near_duplicates`."""
-    limit_batches(docs.sparkSession, PAIR_ROWS)
-    base = docs.select(F.col(f"`{id_col}`").alias("_id"), text_of(text_col).alias("_text")).where(F.col("_id").isNotNull())
-    # equal texts count as one, so that no group of them meets in one task below
-    keyed = base.select("_id", F.unhex(F.sha2("_text", 256)).alias("_sha"))
-    equal = keyed.groupBy("_sha").agg(F.min("_id").alias("_rep"), F.max("_id").alias("_z")).where(F.col("_rep") != F.col("_z"))
-    equal = materialize(equal.select(F.col("_sha").alias("_es"), "_rep"), "equal")
-    copies = materialize(keyed.join(equal, F.col("_sha") == F.col("_es")).where(F.col("_id") != F.col("_rep")).select("_id", "_rep"), "copies")
-    texts = without_ids(base.withColumn("_text", F.lower("_text")), copies.select("_id"), "_id")
-
-    sketches = materialize(sketch(texts, size, bands, rows), "sketches")
-    keyed_bands = F.array_distinct(F.transform("_bands", lambda x, i: F.struct(F.pmod(i, F.lit(bands)).alias("_band"), x.alias("_bucket"))))
-    members = _scored(sketches.select("_id", F.explode(keyed_bands).alias("_k")).select("_id", "_k._band", "_k._bucket"))
-    tried = materialize(_stars(members.where(F.col("_band") < FIRST_BANDS), FIRST_LEADS).distinct(), "stars")
-    links = materialize(verify(tried, texts, size, least), "links")
-    roots = components(links)
-
-    # members of one bucket that are still apart: compare them all, except what was compared
-    linked = roots.select(F.col("_id").alias("_ri"), "_root")
-    apart = members.join(linked, F.col("_id") == F.col("_ri"), "left").select("_bucket", "_id", F.coalesce("_root", "_id").alias("_root"))
-    small, large = _mixed(apart)
-    seen = tried.withColumnsRenamed({"_a": "_sa", "_b": "_sb"})
-    more = materialize(_compared(small, sketches, least, bands).join(seen, (F.col("_a") == F.col("_sa")) & (F.col("_b") == F.col("_sb")), "left_anti"), "new-pairs")
-    found = verify(more, texts, size, least)
-    if not large.isEmpty():
-        found = found.unionByName(_compared(large, sketches, least, bands, texts, size))
-    found = materialize(found, "more-links")
-    discard(members)
-    if not found.isEmpty():
-        # the first round's components stand for their links
-        roots = components(materialize(found.unionByName(roots.where(F.col("_id") != F.col("_root")).select(F.col("_root").alias("_a"), F.col("_id").alias("_b"))), "all-links"))
-
-    reps = roots.select(F.col("_id").alias("_ri"), "_root")
-    joined = copies.join(reps, F.col("_rep") == F.col("_ri"), "left").select(F.col("_id").alias("_cid"), F.coalesce("_root", "_rep").alias("_class"))
-    return materialize(joined.unionByName(reps.select(F.col("_ri").alias("_cid"), F.col("_root").alias("_class"))).distinct(), "classes")
+    """(_cid, _class, _links), written, for the ids whose class has another member or that a text equals; see :func:`near_duplicates`."""
+    base = docs.select(quoted(id_col).alias("_id"), text_of(text_col).alias("_text")).where(F.col("_id").isNotNull())
+    texts = base.select("_id", F.unhex(F.sha2("_text", 256)).alias("_sha"), F.lower("_text").alias("_text"))
+    with Scratch() as keep, batch_rows(docs.sparkSession, PAIR_ROWS):
+        sketches = keep(sketch(texts, size, bands, rows), "sketches")
+        # equal texts count as one, so that no group of them meets in one task below
+        equal = sketches.groupBy(F.col("_sha").alias("_es")).agg(F.min("_id").alias("_rep"), F.max("_id").alias("_z")).where(F.col("_rep") != F.col("_z"))
+        equal = keep(equal.select("_es", "_rep"), "equal")
+        copies = sketches.select("_id", "_sha").join(equal, F.col("_sha") == F.col("_es")).where(F.col("_id") != F.col("_rep")).select("_id", "_rep").distinct()
+        flagged = Presence(equal.select(F.xxhash64("_es").alias("_h")), "_h").flag(sketches.select("_id", "_sha", "_bands"), F.xxhash64("_sha"), "_w")
+        first = flagged.where("_w").join(equal, F.col("_sha") == F.col("_es"), "left").where(F.col("_rep").isNull() | (F.col("_rep") == F.col("_id")))
+        members = _buckets(flagged.where("not _w").select("_id", "_bands").unionByName(first.select("_id", "_bands")), keep)
+        tried = keep(_stars(members), "stars")
+        links = keep(verify(tried, texts, size, least), "links")
+        roots = components(links)
+        keep.tables.append(roots)
+
+        # members of one bucket that are still apart: compare them all, except what was compared
+        linked = roots.select(F.col("_id").alias("_ri"), "_root")
+        apart = members.join(linked, F.col("_id") == F.col("_ri"), "left").select("_bucket", "_id", F.coalesce("_root", "_id").alias("_root"))
+        small, large = _mixed(apart, keep)
+        seen = tried.withColumnsRenamed({"_a": "_sa", "_b": "_sb"})
+        more = _compared(small, sketches, least, bands).distinct().join(seen, (F.col("_a") == F.col("_sa")) & (F.col("_b") == F.col("_sb")), "left_anti")
+        found = verify(keep(more, "new-pairs"), texts, size, least)
+        if large is not None:
+            found = found.unionByName(_compared(large, sketches, least, bands, packed_sets(texts, large, size)))
+        found = keep(found.distinct(), "more-links")
+        if not found.isEmpty():
+            # the first round's components stand for their links
+            ends = found.unionByName(roots.where(F.col("_id") != F.col("_root")).select(F.col("_root").alias("_a"), F.col("_id").alias("_b")))
+            roots = components(keep(ends, "all-links"))
+            keep.tables.append(roots)
+
+        degree = links.unionByName(found).select(F.explode(F.array("_a", "_b")).alias("_li")).groupBy("_li").agg(F.count(F.lit(1)).alias("_links"))
+        none = F.lit(0).cast("long")
+        reps = roots.select(F.col("_id").alias("_ri"), "_root").join(degree, F.col("_ri") == F.col("_li"), "left").select("_ri", "_root", F.coalesce("_links", none).alias("_links"))
+        joined = copies.join(reps, F.col("_rep") == F.col("_ri"), "left").select(F.col("_id").alias("_cid"), F.coalesce("_root", "_rep").alias("_class"), F.coalesce("_links", none).alias("_links"))
+        both = joined.unionByName(reps.select(F.col("_ri").alias("_cid"), F.col("_root").alias("_class"), "_links"))
+        # an id with several texts has several rows
+        return materialize(both.groupBy("_cid").agg(F.min("_class").alias("_class"), F.max("_links").alias("_links")), "classes")
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.8, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, class_id (the smallest id of its class), kept (it is that one).
+    """One row per row of docs: id, class_id (the smallest id of its class), kept (it is that one), links.
 
     Two texts are linked if the Jaccard similarity of their shingles of ``size`` words or the probability Jaccard, which
-    weights each by how often it occurs, is at least ``least``; with no shingle repeated they are the same. Classes are the connected
-    components. Words are lower-cased runs of letters and digits; a text with fewer than ``size`` words is one shingle.
-
-    Equal texts are joined first by digest. Distinct ones get ProbMinHash signatures, and those in which a shingle repeats a
-    second one with all weights one, so that either similarity leads to a shared band; texts that share a band meet in a
-    bucket. In the first bands each member is verified against its bucket's leads, popular members, which of many copies of one text are
-    likely that text; then all members of a bucket that are in different components are compared by their signatures
-    and, if these allow for a link, exactly. Large buckets are compared block by block with their texts, which makes links
-    only, no rows for pairs. There is no cap on a bucket; the time for a large bucket that stays in many components grows
-    with the square of its size. A pair at the threshold is missed once in about forty thousand times by the bands and once
-    in thirty thousand by the filter, a closer one more rarely.
+    weights each by how often it occurs, is at least ``least``; with no shingle repeated they are the same. Classes are the
+    connected components. Words are lower-cased runs of letters and digits; a text with fewer than ``size`` words is one
+    shingle. links: how many other texts this one was verified against and found linked to; members of one class need not
+    all be compared, so this is at least one for a class of different texts, not all links there are.
+
+    Each text is sketched where it is read: its digest, ProbMinHash signature and, if a shingle repeats, a second
+    signature with all weights one, so that either similarity leads to a shared band. Equal texts are joined by digest;
+    distinct ones that share a band meet in a bucket. First each text is verified against one lead, the one it shares
+    most buckets with; then all members of a bucket that are still in different components are compared by their
+    signatures and, if these allow for a link, exactly. Large buckets are compared block by block with their sets of
+    shingles, which makes links only, no rows for pairs. There is no cap on a bucket; the time for a large bucket that
+    stays in many components grows with the square of its size. A pair at the threshold is missed once in about forty
+    thousand times by the bands and once in thirty thousand by the filter, a closer one more rarely.
 
     Texts without words are alike only if equal. Null counts as empty. Rows that repeat an id are one document; a row
     with a null id is its own class with a null class_id and is kept. Other columns are ignored; an empty table gives an
     empty result.
     """
     classes = near_duplicate_classes(docs, least, size, id_col=id_col, text_col=text_col)
-    ids = docs.select(F.col(f"`{id_col}`").alias("_id"))
-    joined = ids.join(classes, F.col("_id") == F.col("_cid"), "left").select("_id", F.coalesce("_class", "_id").alias("class_id"))
-    return joined.select(F.col("_id").alias(id_col), "class_id", F.col("class_id").eqNullSafe(F.col("_id")).alias("kept"))
+    joined = docs.select(quoted(id_col).alias("_id")).join(classes, F.col("_id") == F.col("_cid"), "left")
+    class_id, links = F.coalesce("_class", "_id"), F.coalesce("_links", F.lit(0).cast("long"))
+    return joined.select(F.col("_id").alias(id_col), class_id.alias("class_id"), class_id.eqNullSafe(F.col("_id")).alias("kept"), links.alias("links"))
 
 
 def drop_near_duplicates(docs: DataFrame, least: float = 0.8, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import limit_batches, materialize, text_of
+from .common import fresh, materialize, quoted, slices, text_of
 from .tokenizer import TokenizerFile, encoder
 
 #: Labelled rows that the classifier is fitted on, at most: those of the smallest hashes of their ids.
@@ -47,7 +47,6 @@ def fit_domains(docs: DataFrame, labels: DataFrame, tokenizer: TokenizerFile, la
     is one domain, ``all``. What reaches the driver is bounded by domains times vocabulary.
     """
     spark = docs.sparkSession
-    limit_batches(spark)
     y = F.col(f"`{label_col}`").cast("string")
     picked = labels.select(F.col(f"`{id_col}`").alias("_lid"), y.alias("_y")).where("_lid is not null and _y is not null")
     picked = picked.groupBy("_lid").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_lid"), "_lid").limit(max_documents)
@@ -56,7 +55,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, tokenizer: TokenizerFile, la
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, seen, documents = encoder(shipped), {}, Counter()
-        for b in batches:
+        for b in slices(batches):
             for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 documents[label] += 1
                 ids = encode(text)
@@ -82,14 +81,13 @@ def fit_domains(docs: DataFrame, labels: DataFrame, tokenizer: TokenizerFile, la
 def memberships(docs: DataFrame, domains: Domains, tokenizer: TokenizerFile, text_col: str = "text") -> DataFrame:
     """All columns of docs with _tokens bigint and _p array<double>, the posteriors in the order of ``domains.names``."""
     spark = docs.sparkSession
-    limit_batches(spark)
     shipped, model = tokenizer.ship(spark), spark.sparkContext.broadcast(domains)
     at = docs.columns.index(text_col)
     schema = T.StructType([*docs.schema.fields, T.StructField("_tokens", T.LongType()), T.StructField("_p", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(shipped)
-        for b in batches:
+        for b in slices(batches):
             ids = [encode(t or "") for t in b.column(at).to_pylist()]
             p = pa.array([model.value.posterior(x).tolist() for x in ids], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([len(x) for x in ids], pa.int64()), p], schema.names)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,11 +10,15 @@ import numpy as np
 
 @dataclass(frozen=True)
 class Slot:
-    """Items of this length with ranks first to first + times - 1 go to sequences sequence, sequence + 1, ... at offset."""
+    """Places of ``copies * times`` items of one length, whose ranks start at ``first``.
+
+    Item number i of them goes to sequence ``sequence + i % times`` at ``offset + i // times * length``.
+    """
 
     length: int
     first: int
     times: int
+    copies: int
     sequence: int
     offset: int
 
@@ -84,63 +88,83 @@ def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: i
     return columns, bound
 
 
-def best_fit(items: list[int], capacity: int) -> list[list[int]]:
-    """Best-fit decreasing: each item goes to the fullest bin that still takes it."""
-    rooms: list[list[int]] = [[] for _ in range(capacity + 1)]
-    bins: list[list[int]] = []
-    for n in sorted(items, reverse=True):
-        room = next((r for r in range(n, capacity + 1) if rooms[r]), None)
-        if room is None:
-            bins.append([])
-            b, room = len(bins) - 1, capacity
-        else:
-            b = rooms[room].pop()
-        bins[b].append(n)
-        rooms[room - n].append(b)
-    return bins
+def fill_rest(left: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
+    """Configurations with how often each is used, for all items of a histogram: each the largest length left and then, again
+    and again, the largest that fits.
+
+    A configuration is used as often as counts reach, which uses up a length or leaves too few of it for the next one, so
+    there are few however many items there are.
+    """
+    left = {n: c for n, c in left.items() if c}
+    below = list(range(capacity + 1))  # the way down to the largest open length up to each, 0 for none
+
+    def fitting(room: int) -> int:
+        way = []
+        while room and room not in left:
+            way.append(room)
+            room = below[room] if below[room] < room else room - 1
+        for r in way:
+            below[r] = room
+        return room
+
+    out = []
+    while left:
+        config, room, below_last = {}, capacity, capacity
+        while n := fitting(min(room, below_last)):
+            config[n] = min(left[n], room // n)
+            room, below_last = room - n * config[n], n - 1
+        times = min(left[n] // c for n, c in config.items())
+        for n, c in config.items():
+            left[n] -= c * times
+            if not left[n]:
+                del left[n]
+        out.append((times, config))
+    return out
 
 
 def plan(histogram: dict[int, int], capacity: int, passes: int = 3) -> tuple[list[Slot], int, float]:
     """Slots for all items, the number of sequences, and a lower bound on any packing's number of sequences.
 
-    The fractional amounts are rounded down; what this leaves is solved again, ``passes`` times in all, then packed
-    best-fit. The leavings are fewer than configurations times their items, however many items there are, and so are the
-    slots.
+    The fractional amounts are rounded down; what this leaves is solved again, ``passes`` times in all, and the rest
+    is packed by the largest length that fits (:func:`fill_rest`). Equal configurations are one, whatever round or pass they come from. A round makes a configuration for each
+    length at most, and a configuration has a slot for each of its lengths, so slots are bounded by the lengths, rounds and
+    passes, whatever the counts.
     """
     lengths = np.array(sorted(k for k, v in histogram.items() if v), np.int64)
     if not len(lengths):
         return [], 0, 0.0
     if lengths[0] < 1 or lengths[-1] > capacity:
         raise ValueError("lengths must lie between 1 and the capacity")
-    left = np.array([histogram[int(k)] for k in lengths], np.int64)
-    used, slots, sequence, bound = np.zeros(len(lengths), np.int64), [], 0, 0.0
-
-    def place(config: Iterator[tuple[int, int]], times: int) -> None:
-        nonlocal sequence
-        offset = 0
-        for k, copies in config:
-            for _ in range(copies):
-                slots.append(Slot(int(lengths[k]), int(used[k]), times, sequence, offset))
-                used[k] += times
-                offset += int(lengths[k])
-        sequence += times
-
+    left, bound = np.array([histogram[int(k)] for k in lengths], np.int64), 0.0
+    taken: Counter[tuple[tuple[int, int], ...]] = Counter()
     for i in range(passes):
         alive = np.flatnonzero(left > 0)
         if not len(alive):
             break
         columns, low = fractional(lengths[alive], left[alive], capacity)
         bound = low if i == 0 else bound
+        wanted: dict[tuple[tuple[int, int], ...], float] = {}
         for amount, config in columns:
-            if (times := int(amount + 1e-6)) > 0:
-                config = {int(alive[k]): n for k, n in config.items()}
-                times = min(times, *(int(left[k] // n) for k, n in config.items()))
-                if times:
-                    for k, n in config.items():
-                        left[k] -= n * times
-                    place(config.items(), times)
+            key = tuple(sorted((int(alive[k]), n) for k, n in config.items()))
+            wanted[key] = wanted.get(key, 0.0) + amount
+        for key, amount in wanted.items():
+            times = min(int(amount + 1e-6), *(int(left[k] // n) for k, n in key))
+            if times > 0:
+                for k, n in key:
+                    left[k] -= n * times
+                taken[key] += times
     at = {int(v): k for k, v in enumerate(lengths)}
-    for b in best_fit([int(v) for v, n in zip(lengths, left, strict=True) for _ in range(n)], capacity):
-        place([(at[n], 1) for n in b], 1)
-    total = int(sum(k * v for k, v in histogram.items()))
-    return slots, sequence, max(bound, total / capacity)
+    for times, config in fill_rest({int(v): int(n) for v, n in zip(lengths, left, strict=True)}, capacity):
+        taken[tuple(sorted((at[n], c) for n, c in config.items()))] += times
+
+    used, slots, sequence = np.zeros(len(lengths), np.int64), [], 0
+    for key, times in taken.items():
+        offset = 0
+        for k, copies in key:
+            slots.append(Slot(int(lengths[k]), int(used[k]), times, copies, sequence, offset))
+            used[k] += times * copies
+            offset += int(lengths[k]) * copies
+        sequence += times
+    if any(used[k] != histogram[int(v)] for k, v in enumerate(lengths)):
+        raise AssertionError("the plan must hold every item once")
+    return slots, sequence, max(bound, sum(k * v for k, v in histogram.items()) / capacity)

@@ -11,7 +11,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Presence, limit_batches, materialize, shared_dir, text_of
+from .common import Presence, materialize, shared_dir, slices, text_of
 from .tokenizer import TokenizerFile, encoder
 
 CACHE_SCHEMA = "version string, digest binary, n_tokens bigint"
@@ -30,7 +30,6 @@ def count_tokens(docs: DataFrame, tokenizer: TokenizerFile, cache: str | None =
     result.
     """
     spark = docs.sparkSession
-    limit_batches(spark)
     cache = cache or f"{shared_dir(spark)}/token-cache-{uuid.uuid4().hex}"
     text = text_of(text_col)
     base = docs.select(F.unhex(F.sha2(text, 256)).alias("_digest"), text.alias("_text"))
@@ -48,7 +47,7 @@ def count_tokens(docs: DataFrame, tokenizer: TokenizerFile, cache: str | None =
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = encoder(shipped)
-        for b in batches:
+        for b in slices(batches):
             n = np.fromiter((len(ids(t)) for t in b.column(1).to_pylist()), np.int64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n)], ["digest", "n_tokens"])
 

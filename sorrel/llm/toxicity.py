@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import limit_batches, materialize, text_of
+from .common import fresh, materialize, quoted, slices, text_of
 
 #: Places of a subsequence's later characters after its first: three or four characters, up to two others in between.
 PLACES = ((1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4), (1, 2, 3), (1, 2, 4), (1, 3, 4), (2, 3, 4), (1, 2, 5), (1, 3, 5), (1, 4, 5), (2, 3, 5), (2, 4, 5), (3, 4, 5))
@@ -206,7 +206,7 @@ def _words(sample: DataFrame) -> DataFrame:
                 c.clear()
             return pa.RecordBatch.from_arrays(cols, ["word", "toxic", "clean"])
 
-        for b in batches:
+        for b in slices(batches):
             for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 seen[label].update({f for t in tokens(text) for f in forms(t)})
             if len(seen[0]) + len(seen[1]) > 200_000:
@@ -225,7 +225,7 @@ def _without_copies(sample: DataFrame) -> DataFrame:
     masks = (0, 0x5BD1E995, 0x2C1B3C6D, 0x297A2D39)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for text in b.column(0).to_pylist():
                 words = text.lower().split()
@@ -256,7 +256,6 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     decisions are then calibrated to its label. Only words and counts within the bounds above reach the driver. None if either label
     is missing or no word stands out.
     """
-    limit_batches(docs.sparkSession)
     y = F.col(f"`{label_col}`")
     picked = labels.select(F.col(f"`{id_col}`").alias("_lid"), y.cast("int").alias("_y")).where(F.col("_lid").isNotNull() & y.isin(0, 1) & ~is_held_out(F.col("_lid")))
     picked = picked.groupBy("_lid").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_lid"), "_lid").limit(max_documents)
@@ -282,7 +281,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
         shipped = ship(model)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in slices(batches):
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shipped.value.decisions(b.column(0).to_pylist()))], ["word", "decision"])
 
         return some.select("word").mapInArrow(run, "word string, decision double")
@@ -299,7 +298,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shipped.value)
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(list(scorer(b.column(0).to_pylist())), pa.list_(pa.float64()))], ["y", "x"])
 
     found = sample.select("_text", "_y").mapInArrow(gather, "y int, x array<double>").collect()
@@ -309,7 +308,6 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
 
 def _scored(docs: DataFrame, model: Model | None, base_rate: float, text_col: str) -> DataFrame:
     """All columns of docs and _score."""
-    limit_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
     schema = T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())])
@@ -317,7 +315,7 @@ def _scored(docs: DataFrame, model: Model | None, base_rate: float, text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value
         scorer = Scorer(m) if m else None
-        for b in batches:
+        for b in slices(batches):
             found = m.score(scorer([t or "" for t in b.column(at).to_pylist()])) if m else np.full(b.num_rows, base_rate)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found)], schema.names)
 

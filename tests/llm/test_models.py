@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sorrel.llm import hamming, minhash, mixing, packing, packing_plan, preferences, queries, toxicity
+from sorrel.llm.common import materialize
 from sorrel.llm.shingles import chunks, shingle_sets
 
 SCHEMA = "doc_id long, text string"
@@ -28,9 +29,9 @@ def test_plans_place_every_item_once(histogram):
     slots, n, bound = packing_plan.plan(histogram, 64)
     ranks, fill = Counter(), {}
     for s in slots:
-        for i in range(s.times):
+        for i in range(s.times * s.copies):
             ranks[s.length, s.first + i] += 1
-            fill.setdefault(s.sequence + i, []).append((s.offset, s.length))
+            fill.setdefault(s.sequence + i % s.times, []).append((s.offset + i // s.times * s.length, s.length))
     assert ranks == Counter({(k, i): 1 for k, v in histogram.items() for i in range(v)})
     for places in fill.values():
         at = 0
@@ -38,10 +39,33 @@ def test_plans_place_every_item_once(histogram):
             assert offset == at
             at += length
         assert at <= 64
-    plain = len(packing_plan.best_fit([k for k, v in histogram.items() for _ in range(v)], 64))
+    plain = sum(times for times, _ in packing_plan.fill_rest(histogram, 64))
     assert len(fill) == n and bound - 1e-6 <= n <= 1.1 * plain + 1
 
 
+@given(st.dictionaries(st.integers(1, 30), st.integers(1, 20), min_size=1, max_size=12), st.integers(30, 64))
+@settings(max_examples=60, deadline=None)
+def test_rest_is_first_fit_decreasing_by_counts(histogram, capacity):
+    placed = Counter()
+    for times, config in packing_plan.fill_rest(histogram, capacity):
+        assert times > 0 and sum(n * c for n, c in config.items()) <= capacity
+        placed.update({n: times * c for n, c in config.items()})
+    assert placed == Counter(histogram)
+
+
+def test_plan_stays_small_at_any_count():
+    rng = random.Random(12)
+    histogram = {n: rng.randint(1, 40) for n in range(3, 1500)}
+    sizes = []
+    for times in (1, 100, 10_000):
+        counts = {k: v * times for k, v in histogram.items()}
+        slots, n, bound = packing_plan.plan(counts, 2048)
+        widths, rows = packing._places(slots, counts)
+        assert n <= 1.002 * bound + 1 and len(rows) <= 3 * len(slots)
+        sizes.append(len(slots))
+    assert max(sizes) < 2 * sizes[0] < packing.BROADCAST_ROWS
+
+
 def test_packing_round_trip(spark):
     rng = random.Random(1)
     rows = [(i, prose(rng, rng.randint(0, 120))) for i in range(80)] + [(100, None), (101, ""), (102, "word " * 900), (103, "w " * 40), (104, "w " * 40)]
@@ -114,6 +138,8 @@ def test_near_duplicates(spark):
     docs = spark.createDataFrame(rows + odd, SCHEMA).withColumn("class_id", F.lit("clash"))
     got = minhash.near_duplicates(docs.drop("class_id").withColumn("kept", F.lit(1))).collect()
     assert {r.doc_id: r.class_id for r in got if r.doc_id is not None} == want and len(got) == len(rows) + len(odd)
+    several = {c for i, c in want.items() if c < 1000 and i != c}
+    assert all((r.links > 0) == (r.class_id in several) for r in got if r.doc_id is not None and r.doc_id < 1000)
     stay = minhash.drop_near_duplicates(docs)
     assert stay.columns == docs.columns and {r.doc_id for r in stay.collect()} == {*want.values(), None}
     assert minhash.near_duplicates(docs.where("false")).count() == 0
@@ -181,7 +207,7 @@ def test_repeated_passages_keep_links(spark, family):
 
 def test_components(spark):
     links = [(1, 2), (2, 3), (5, 4), (9, 8), (8, 7), (7, 6), (6, 5)]
-    got = minhash.components(minhash.materialize(spark.createDataFrame(links, "_a long, _b long"), "l"))
+    got = minhash.components(materialize(spark.createDataFrame(links, "_a long, _b long"), "l"))
     assert {r._id: r._root for r in got.collect()} == {1: 1, 2: 1, 3: 1, **dict.fromkeys(range(4, 10), 4)}
 
 
@@ -258,7 +284,7 @@ def test_mixing(spark):
 
 def test_rates_can_be_held_at_one(spark):
     rows = [(10, [0.9, 0.1])] * 10 + [(10, [0.1, 0.9])] * 10
-    members = minhash.materialize(spark.createDataFrame(rows, "_tokens long, _p array<double>"), "m")
+    members = materialize(spark.createDataFrame(rows, "_tokens long, _p array<double>"), "m")
     targets = np.array([900.0, 100.0])
     assert min(r._rate for r in mixing.fit_rates(members, targets).collect()) < 0.5
     held = sorted(r._rate for r in mixing.fit_rates(members, targets, least_rate=1.0).collect())
@@ -270,15 +296,15 @@ def brute_top(codes, q, k):
     return [(i, d) for d, i in far[:k]]
 
 
-@pytest.mark.parametrize("block", [64, 1 << 18])
-def test_hamming_search(spark, block):
+@pytest.mark.parametrize("group", [8, 4096])
+def test_hamming_search(spark, group):
     rng = random.Random(9)
     centres = [rng.getrandbits(64) for _ in range(5)]
     codes = {i: centres[i % 5] ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for i in range(300)} | {i: rng.getrandbits(64) for i in range(300, 400)} | dict.fromkeys(range(400, 430), centres[0])
     signed = [(i, c - 2**64 if c >= 2**63 else c) for i, c in codes.items()]
-    df = minhash.materialize(spark.createDataFrame(signed, "_id long, _code long"), "c")
+    df = materialize(spark.createDataFrame(signed, "_id long, _code long"), "c")
     got = {}
-    for r in hamming.search_top_k(df.where("_id % 20 = 0"), df, 10, block).orderBy("query_id", "rank").collect():
+    for r in hamming.search_top_k(df.where("_id % 20 = 0"), df, 10, group).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.neighbor_id, r.distance))
     assert got == {q: brute_top(codes, q, 10) for q in codes if q % 20 == 0}
 
@@ -319,7 +345,7 @@ def test_pipeline(spark):
     seen, stages = docs, dict(corpus_pipeline.STAGES)
     assert list(stages) == ["toxicity", "exact_duplicates", "near_duplicates", "mixing", "packing"]
     for name in list(stages)[:-1]:
-        before, seen = seen, minhash.materialize(stages[name](spark, seen, DIR), name)
+        before, seen = seen, materialize(stages[name](spark, seen, DIR), name)
         assert seen.columns == docs.columns
         a, b = {r.doc_id for r in before.collect()}, {r.doc_id for r in seen.collect()}
         assert b <= a
