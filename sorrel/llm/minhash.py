@@ -211,13 +211,14 @@ def _buckets(reps: DataFrame, keep: Scratch) -> DataFrame:
 def _stars(members: DataFrame) -> DataFrame:
     """One pair (_a, _b) for each id _b that is not its bucket's lead: with the lead that it shares most buckets with.
 
-    A small bucket's lead is its least id; a large one has a lead for each slot that ids are hashed to.
+    A bucket's lead is its least id; in a large one the least id of the slot that an id is hashed to is one for it, too.
     """
-    small = members.where(F.col("_n") <= SMALL_BUCKET).select(F.col("_lo").alias("_a"), F.col("_id").alias("_b"))
-    large = members.where(F.col("_n") > SMALL_BUCKET)
-    leads = large.groupBy("_bucket", F.pmod(F.xxhash64("_id"), F.lit(LEADS)).alias("_slot")).agg(F.min("_id").alias("_lead")).select(F.col("_bucket").alias("_lb"), "_lead")
-    wide = large.join(leads, F.col("_bucket") == F.col("_lb")).select(F.least("_lead", "_id").alias("_a"), F.greatest("_lead", "_id").alias("_b"))
-    shared = small.unionByName(wide).where(F.col("_a") != F.col("_b")).groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_shared"))
+    slot = F.pmod(F.xxhash64("_id"), F.lit(LEADS))
+    large = members.where(F.col("_n") > SMALL_BUCKET).withColumn("_slot", slot)
+    leads = large.groupBy(F.col("_bucket").alias("_lb"), F.col("_slot").alias("_ls")).agg(F.min("_id").alias("_lead"))
+    own = large.join(leads, (F.col("_bucket") == F.col("_lb")) & (F.col("_slot") == F.col("_ls"))).select(F.col("_lead").alias("_a"), F.col("_id").alias("_b"))
+    every = members.select(F.col("_lo").alias("_a"), F.col("_id").alias("_b")).unionByName(own)
+    shared = every.where(F.col("_a") != F.col("_b")).groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_shared"))
     return shared.groupBy("_b").agg(F.max_by("_a", F.struct("_shared", "_a")).alias("_a")).select("_a", "_b")
 
 
@@ -357,7 +358,6 @@ def near_duplicate_classes(docs: DataFrame, least: float = 0.8, size: int = 5, b
         # equal texts count as one, so that no group of them meets in one task below
         equal = sketches.groupBy(F.col("_sha").alias("_es")).agg(F.min("_id").alias("_rep"), F.max("_id").alias("_z")).where(F.col("_rep") != F.col("_z"))
         equal = keep(equal.select("_es", "_rep"), "equal")
-        copies = sketches.select("_id", "_sha").join(equal, F.col("_sha") == F.col("_es")).where(F.col("_id") != F.col("_rep")).select("_id", "_rep").distinct()
         flagged = Presence(equal.select(F.xxhash64("_es").alias("_h")), "_h").flag(sketches.select("_id", "_sha", "_bands"), F.xxhash64("_sha"), "_w")
         first = flagged.where("_w").join(equal, F.col("_sha") == F.col("_es"), "left").where(F.col("_rep").isNull() | (F.col("_rep") == F.col("_id")))
         members = _buckets(flagged.where("not _w").select("_id", "_bands").unionByName(first.select("_id", "_bands")), keep)
@@ -385,8 +385,9 @@ def near_duplicate_classes(docs: DataFrame, least: float = 0.8, size: int = 5, b
         degree = links.unionByName(found).select(F.explode(F.array("_a", "_b")).alias("_li")).groupBy("_li").agg(F.count(F.lit(1)).alias("_links"))
         none = F.lit(0).cast("long")
         reps = roots.select(F.col("_id").alias("_ri"), "_root").join(degree, F.col("_ri") == F.col("_li"), "left").select("_ri", "_root", F.coalesce("_links", none).alias("_links"))
-        joined = copies.join(reps, F.col("_rep") == F.col("_ri"), "left").select(F.col("_id").alias("_cid"), F.coalesce("_root", "_rep").alias("_class"), F.coalesce("_links", none).alias("_links"))
-        both = joined.unionByName(reps.select(F.col("_ri").alias("_cid"), F.col("_root").alias("_class"), "_links"))
+        of_equal = equal.join(reps, F.col("_rep") == F.col("_ri"), "left").select("_es", F.coalesce("_root", "_rep").alias("_class"), F.coalesce("_links", none).alias("_links"))
+        copies = sketches.select(F.col("_id").alias("_cid"), "_sha").join(of_equal, F.col("_sha") == F.col("_es")).select("_cid", "_class", "_links")
+        both = copies.unionByName(reps.select(F.col("_ri").alias("_cid"), F.col("_root").alias("_class"), "_links"))
         # an id with several texts has several rows
         return materialize(both.groupBy("_cid").agg(F.min("_class").alias("_class"), F.max("_links").alias("_links")), "classes")
 
