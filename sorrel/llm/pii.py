@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_of
+from .common import Scratch, materialize, quoted, text_of
 
-#: Kinds in the order in which spans that start together are listed.
-KINDS = ("email", "ip", "card", "phone")
+#: Kinds in the order in which spans that start together are listed; the last has no base format and is found by context.
+KINDS = ("email", "ip", "card", "phone", "secret")
+BASE = KINDS[:4]
 
 # Possessive forms of the formats: they match the same spans, and Java neither backtracks nor recurses in them. A local
 # part may start only where its run of characters starts or where the last match ended; later starts fail alike.
@@ -22,23 +25,38 @@ PATTERNS = {
 GUARDS = {"email": "@", "ip": "[0-9]", "card": "[0-9]", "phone": r"\+[0-9]"}
 #: Runs of words with a digit or an at sign, which may be identifiers of any format.
 CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?: [^\s0-9@]*+[0-9@]\S*+)*+"
+# Published formats of credentials, which are secrets wherever they stand.
+SURE_SECRET = r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{35}|sk_(?:live|test)_[0-9A-Za-z]{24,}|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})$"
+#: Hexadecimal strings as long as usual keys and digests: seeds of secrets, but secrets only where the context says so.
+LIKELY_SECRET = r"^(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{64})$"
+#: Array elements whose running sum is made at once.
+CHUNK = 64
+
+
+def running(lengths: Column) -> Column:
+    """For each element of an array of ints the sum of those before it; by chunks, as arrays grow by copying."""
+    none = F.array().cast("array<int>")
+
+    def sums(xs: Column, start: Column) -> Column:
+        step = lambda a, x: F.struct((a["p"] + x).alias("p"), F.concat(a["o"], F.array(a["p"])).alias("o"))
+        return F.aggregate(xs, F.struct(start.alias("p"), none.alias("o")), step, lambda a: a["o"])
+
+    n = F.ceil(F.size(lengths) / CHUNK).cast("int")
+    chunks = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.slice(lengths, i * CHUNK + 1, F.lit(CHUNK)))).otherwise(F.array().cast("array<array<int>>"))
+    totals = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x))
+    return F.flatten(F.zip_with(chunks, sums(totals, F.lit(0)), sums))
 
 
 def matches(text: Column, pattern: str, guard: str) -> Column:
-    """All matches as array<struct<s,e,v,g>>: start and end in code points, the match, and the text since the last one."""
+    """All matches as array<struct<s,v,g,h>>: start in code points, the match, the text since the last one and up to the next."""
     there = text.contains(guard) if guard == "@" else text.rlike(guard)
     none = F.array().cast("array<string>")
     found = F.when(there, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none)
     gaps = F.when(there, F.split(text, pattern, -1)).otherwise(none)
-    pairs = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda v, g: F.struct(v.alias("v"), g.alias("g")))
-    start = F.struct(F.lit(0).alias("p"), F.array().cast("array<struct<s:int,e:int,v:string,g:string>>").alias("o"))
-
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["p"] + F.char_length(x["g"])
-        e = s + F.char_length(x["v"])
-        return F.struct(e.alias("p"), F.concat(acc["o"], F.array(F.struct(s.alias("s"), e.alias("e"), x["v"].alias("v"), x["g"].alias("g")))).alias("o"))
-
-    return F.aggregate(pairs, start, step, lambda acc: acc["o"])
+    before = F.slice(gaps, 1, F.size(found))
+    starts = running(F.zip_with(found, before, lambda v, g: F.char_length(v) + F.char_length(g)))
+    pairs = F.zip_with(F.arrays_zip(found.alias("v"), before.alias("g")), F.slice(gaps, 2, F.greatest(F.size(gaps) - 1, F.lit(0))), lambda x, h: F.struct(x["v"].alias("v"), x["g"].alias("g"), h.alias("h")))
+    return F.zip_with(pairs, starts, lambda x, p: F.struct((p + F.char_length(x["g"])).alias("s"), x["v"].alias("v"), x["g"].alias("g"), x["h"].alias("h")))
 
 
 def _octet(part: Column) -> Column:
@@ -62,79 +80,135 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", F.element_at(names, x["k"] + 1), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
+def _word(w: Column) -> Column:
+    """A word in lower case without what isn't letter or digit around it; all of it if there is neither."""
+    low = F.lower(w)
+    bare = F.regexp_replace(low, r"^[^\p{L}\p{N}]++|[^\p{L}\p{N}]++$", "")
+    return F.when(bare == "", low).otherwise(bare)
+
+
+def shape(v: Column) -> Column:
+    """Runs of digits as 0, of letters as a, of both as x, all else as it is; and the logarithm of the length."""
+    out = F.regexp_replace(v, r"(?<![A-Za-z0-9])[0-9]++(?![A-Za-z])", "0")
+    out = F.regexp_replace(out, r"(?<![A-Za-z0-9])[A-Za-z]++(?![0-9])", "a")
+    return F.concat(F.regexp_replace(out, "[A-Za-z0-9]{2,}+", "x"), F.lit("~"), F.floor(F.log2(F.greatest(F.char_length(v), F.lit(1)))).cast("string"))
+
+
+def _patterns(gap: Column, after: Column, v: Column) -> Column:
+    """The lexical patterns a candidate stands in: two words before, one before, one after, and the one before with what follows or the shape."""
+    near = F.regexp_extract(gap, r"(?<!\S)(\S++)\s*+$", 1)
+    far = F.regexp_extract(gap, r"(?<!\S)(\S++)\s++\S++\s*+$", 1)
+    right = _word(F.regexp_extract(after, r"^\s*+(\S++)", 1))
+    left = _word(near)
+    made = F.array(
+        F.when((far != "") & (near != ""), F.concat(F.lit("2< "), _word(far), F.lit(" "), left)),
+        F.when(near != "", F.concat(F.lit("1< "), left)),
+        F.when(right != "", F.concat(F.lit("1> "), right)),
+        F.when((near != "") & (right != ""), F.concat(F.lit("1<> "), left, F.lit(" "), right)),
+        F.when(near != "", F.concat(F.lit("1<s "), left, F.lit(" "), shape(v))),
+    )
+    return F.array_compact(made)
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: _id, _h (a hash of the text), _base array<struct<s,k,e>> and _cands array<struct<s,e,v,c,k>>.
+    """Per row: _id, _h (a hash of the text), _base array<struct<s,k,e>> and _cands array<struct<s,e,v,k,sure,ps>>.
 
-    s, e: code points, end exclusive. k: the kind's place in KINDS, null for a candidate that holds no base span. c: the
-    lower-cased two words before the candidate (fewer at a text's start).
+    s, e: code points, end exclusive. k: the kind's place in KINDS that a candidate's own text has by format, else null.
+    sure: whether that format alone makes it a span that is not a base one. ps: its patterns.
     """
     text = F.col("_t")
-    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), text_of(text_col).alias("_t"))
+    rows = docs.select(quoted(id_col).alias("_id"), text_of(text_col).alias("_t"))
 
     def of_kind(i: int, kind: str) -> Column:
         ok = F.filter(matches(text, PATTERNS[kind], GUARDS[kind]), lambda x: _valid(kind, x["v"]))
-        return F.transform(ok, lambda x: F.struct(x["s"].alias("s"), F.lit(i).alias("k"), x["e"].alias("e")))
+        return F.transform(ok, lambda x: F.struct(x["s"].alias("s"), F.lit(i).alias("k"), (x["s"] + F.char_length(x["v"])).alias("e")))
+
+    rows = rows.withColumn("_base", F.concat(*(of_kind(i, kind) for i, kind in enumerate(BASE))))
 
-    rows = rows.withColumn("_base", F.concat(*(of_kind(i, kind) for i, kind in enumerate(KINDS))))
+    def kind_of(v: Column) -> Column:
+        out = F.when(v.rlike(SURE_SECRET) | v.rlike(LIKELY_SECRET), F.lit(4))
+        for i, kind in reversed(list(enumerate(BASE))):
+            out = F.when(F.exists(F.regexp_extract_all(v, F.lit(PATTERNS[kind]), F.lit(0)), partial(_valid, kind)), F.lit(i)).otherwise(out)
+        return out
 
     def candidate(x: Column) -> Column:
-        v = F.regexp_replace(x["v"], r"""[.,;:!?)\]"']+$""", "")
-        inside = F.filter("_base", lambda b: (b["s"] >= x["s"]) & (b["e"] <= x["e"]))
-        context = F.lower(F.regexp_extract(F.right(x["g"], F.lit(96)), r"(\S+(?:\s+\S+)?)\s*$", 1))
-        return F.struct(x["s"].alias("s"), (x["s"] + F.char_length(v)).alias("e"), F.lower(v).alias("v"), context.alias("c"), F.get(inside, F.lit(0))["k"].alias("k"))
+        bare = F.regexp_replace(x["v"], r"^[^\p{L}\p{N}+]++", "")
+        v = F.regexp_replace(bare, r"[^\p{L}\p{N}]++$", "")
+        s = x["s"] + F.char_length(x["v"]) - F.char_length(bare)
+        return F.struct(s.alias("s"), (s + F.char_length(v)).alias("e"), v.alias("v"), x["g"].alias("g"), x["h"].alias("h"))
+
+    def judged(x: Column) -> Column:
+        return F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lower(x["v"]).alias("v"), kind_of(x["v"]).alias("k"), x["v"].rlike(SURE_SECRET).alias("sure"), _patterns(x["g"], x["h"], x["v"]).alias("ps"))
 
-    cands = F.transform(matches(text, CANDIDATE, "[0-9@]"), candidate)
-    return rows.select("_id", F.xxhash64("_t").alias("_h"), "_base", cands.alias("_cands"))
+    cands = F.filter(F.transform(matches(text, CANDIDATE, "[0-9@]"), candidate), lambda x: x["e"] > x["s"])
+    return rows.select("_id", F.xxhash64("_t").alias("_h"), "_base", F.transform(cands, judged).alias("_cands"))
 
 
-def bootstrap(candidates: DataFrame, rounds: int = 3, least: float = 0.8, support: int = 3) -> DataFrame:
-    """Candidates that no format knows but contexts do: rows (_v, _k).
+def bootstrap(candidates: DataFrame, least: float = 0.8, support: float = 3.0) -> DataFrame:
+    """Patterns that find identifiers: rows (_p, _k, _score), written. candidates: rows (v, k, ps) as in :func:`scan`.
 
-    candidates: rows (v, c, k) as in :func:`scan`. The graph joins each pattern, a context, with the distinct instances
-    it precedes. Seeds, instances with a kind, have confidence 1 in it. A pattern's confidence in a kind is the mean
-    over its instances; it counts only with ``support`` distinct seeds of that kind. An instance takes the best
-    confidence among patterns that reach ``least``. After ``rounds`` turns, instances of at least ``least`` stay, each in
-    its best kind (the first listed on a tie). Every turn is a written table.
+    The graph joins each pattern with the distinct instances it is seen with. Seeds, instances with a kind by format,
+    have confidence 1 in it. A pattern's score in a kind is the mean confidence of its instances; it counts if it
+    reaches ``least`` and their confidences add up to ``support``. An instance without a format takes the best score
+    among its patterns that count, and so speaks for its other patterns from then on. Scores only grow; turns go on,
+    each a written table, until no further instance is found.
     """
-    edges = candidates.where("c <> '' and v <> ''").groupBy(F.col("c").alias("_c"), F.col("v").alias("_v")).agg(F.min("k").alias("_seed"))
-    edges = materialize(edges, "pii-edges")
-    total = materialize(edges.groupBy("_c").agg(F.count(F.lit(1)).alias("_n")), "pii-patterns").withColumnRenamed("_c", "_tc")
-    seeds = edges.where("_seed is not null").groupBy("_c", F.col("_seed").alias("_k")).agg(F.count(F.lit(1)).cast("double").alias("_mass"), F.count(F.lit(1)).alias("_seeds"))
-    seeds = materialize(seeds.where(F.col("_seeds") >= support), "pii-seeds")
-    unseen = edges.where("_seed is null").select("_c", "_v")
-    mass, known = seeds, None
-    for _ in range(rounds):
-        scored = mass.join(total, F.col("_c") == F.col("_tc")).select(F.col("_c").alias("_pc"), "_k", (F.col("_mass") / F.col("_n")).alias("_score")).where(F.col("_score") >= least)
-        known = materialize(unseen.join(scored, F.col("_c") == F.col("_pc")).groupBy("_v", "_k").agg(F.max("_score").alias("_conf")), "pii-instances")
-        gained = unseen.join(known.withColumnRenamed("_v", "_iv"), F.col("_v") == F.col("_iv")).groupBy(F.col("_c").alias("_gc"), F.col("_k").alias("_gk")).agg(F.sum("_conf").alias("_gain"))
-        mass = seeds.join(gained, (F.col("_c") == F.col("_gc")) & (F.col("_k") == F.col("_gk")), "left").select("_c", "_k", (F.col("_mass") + F.coalesce("_gain", F.lit(0.0))).alias("_mass"))
-    best = known.groupBy("_v").agg(F.max(F.struct(F.col("_conf"), (-F.col("_k")).alias("_order"))).alias("_best"))
-    return best.where(F.col("_best._conf") >= least).select("_v", (-F.col("_best._order")).alias("_k"))
+    with Scratch() as keep:
+        edges = candidates.where("v <> ''").select("v", "k", F.explode("ps").alias("_p")).groupBy("_p", F.col("v").alias("_v")).agg(F.min("k").alias("_seed"))
+        edges = keep(edges, "pii-edges")
+        counts = edges.groupBy("_p", "_seed").agg(F.count(F.lit(1)).alias("_n"))
+        total = keep(counts.groupBy(F.col("_p").alias("_tp")).agg(F.sum("_n").alias("_n")), "pii-patterns")
+        seeds = keep(counts.where("_seed is not null").select("_p", F.col("_seed").alias("_k"), F.col("_n").cast("double").alias("_mass")), "pii-seeds")
+        unseen = edges.where("_seed is null").select("_p", "_v")
+
+        def scored(mass: DataFrame) -> DataFrame:
+            out = mass.join(total, F.col("_p") == F.col("_tp")).select("_p", "_k", "_mass", (F.col("_mass") / F.col("_n")).alias("_score"))
+            return out.where((F.col("_score") >= least) & (F.col("_mass") >= support)).select(F.col("_p").alias("_sp"), "_k", "_score")
+
+        good, known = scored(seeds), 0
+        while True:
+            found = unseen.join(good, F.col("_p") == F.col("_sp")).groupBy(F.col("_v").alias("_iv"), "_k").agg(F.max("_score").alias("_conf"))
+            found = keep(found, "pii-instances")
+            n = found.count()
+            if n == known:
+                return materialize(good.select(F.col("_sp").alias("_p"), "_k", "_score"), "pii-good")
+            known = n
+            gained = unseen.join(found, F.col("_v") == F.col("_iv")).select("_p", "_k", F.col("_conf").alias("_mass"))
+            good = scored(keep(seeds.unionByName(gained).groupBy("_p", "_k").agg(F.sum("_mass").alias("_mass")), "pii-mass"))
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
+    """One row per row of docs: id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans.
 
     Base spans are the leftmost non-overlapping matches per kind that pass their kind's test; the counts and base_sha256
-    describe them alone. :func:`bootstrap` adds spans of the same kinds for identifiers in other formats, learned from
-    the words before base spans all over the corpus; they follow base spans in ``spans``, sorted by start.
+    describe them alone. :func:`bootstrap` learns from the words around them and around likely secrets, all over the
+    corpus, which patterns stand at identifiers of a kind; other candidates in such a pattern are spans of that kind, and
+    so are credentials of a published format. Found spans that overlap no base span join these in ``spans``, sorted by
+    start, then kind; n_spans counts all. A candidate in patterns of several kinds takes that of the best score, the first
+    listed on a tie.
 
     Null counts as empty, which has no spans. Repeated rows are one result each, and their contexts count once as all
-    equal (context, instance) pairs do. Rows that share an id but not their text are held apart. Other columns are
+    equal (pattern, instance) pairs do. Rows that share an id but not their text are held apart. Other columns are
     ignored; an empty table gives an empty result.
     """
-    scanned = materialize(scan(docs, id_col, text_col), "pii-scan")
-    cands = scanned.where("size(_cands) > 0").select("_id", "_h", F.explode("_cands").alias("x")).select("_id", "_h", "x.*")
-    found = materialize(bootstrap(cands.select("v", "c", "k")), "pii-found")
-    hits = cands.where("k is null").select("_id", "_h", "s", "e", "v").join(found, F.col("v") == F.col("_v"))
-    # as many spans as the text itself has room for
-    extra = hits.groupBy(F.col("_id").alias("_xid"), F.col("_h").alias("_xh")).agg(F.collect_set(F.struct("s", F.col("_k").alias("k"), "e")).alias("_extra"))
-    extra = materialize(extra, "pii-extra")
+    with Scratch() as keep:
+        scanned = materialize(scan(docs, id_col, text_col), "pii-scan")
+        cands = scanned.where("size(_cands) > 0").select("_id", "_h", F.explode("_cands").alias("x")).select("_id", "_h", "x.*")
+        good = bootstrap(cands.select("v", "k", "ps"))
+        keep.tables.append(good)
+        open_ = cands.where("k is null or k = 4")
+        hits = open_.select("_id", "_h", "s", "e", F.explode("ps").alias("_ep")).join(good, F.col("_ep") == F.col("_p")).select("_id", "_h", "s", "e", "_k", "_score")
+        sure = open_.where("sure").select("_id", "_h", "s", "e", F.lit(4).alias("_k"), F.lit(1.0).alias("_score"))
+        best = hits.unionByName(sure).groupBy("_id", "_h", "s", "e").agg(F.max(F.struct("_score", (-F.col("_k")).alias("o"))).alias("_best"))
+        # as many spans as the text itself has room for
+        extra = best.groupBy(F.col("_id").alias("_xid"), F.col("_h").alias("_xh")).agg(F.collect_list(F.struct("s", (-F.col("_best.o")).alias("k"), "e")).alias("_extra"))
+        extra = materialize(extra, "pii-extra")
     joined = scanned.select("_id", "_h", "_base").join(extra, F.col("_id").eqNullSafe(F.col("_xid")) & (F.col("_h") == F.col("_xh")), "left")
-    none = F.array().cast("array<struct<s:int,k:int,e:int>>")
+    free = F.filter("_extra", lambda x: ~F.exists("_base", lambda b: (b["s"] < x["e"]) & (b["e"] > x["s"])))
+    spans = F.concat("_base", F.coalesce(free, F.array().cast("array<struct<s:int,k:int,e:int>>")))
 
     def count(i: int) -> Column:
         return F.size(F.filter("_base", lambda x: x["k"] == i)).cast("long").alias(f"n_{KINDS[i]}")
 
-    counts = [count(i) for i in range(len(KINDS))]
-    return joined.select(F.col("_id").alias(id_col), *counts, F.sha2(_listed(F.col("_base")), 256).alias("base_sha256"), _listed(F.concat("_base", F.coalesce("_extra", none))).alias("spans"))
+    out = joined.select("_id", "_base", spans.alias("_spans"))
+    return out.select(F.col("_id").alias(id_col), *map(count, range(len(BASE))), F.sha2(_listed(F.col("_base")), 256).alias("base_sha256"), _listed(F.col("_spans")).alias("spans"), F.size("_spans").cast("long").alias("n_spans"))
