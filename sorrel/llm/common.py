@@ -105,6 +105,12 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def numbered(df: DataFrame, *names: str) -> tuple[DataFrame, list[Column], *tuple[str, ...]]:
+    """df with columns c0, c1, ..., which clash with no working column; what selects its own names back; the new names of some."""
+    new = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    return new, [F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)], *(f"c{df.columns.index(n)}" for n in names)
+
+
 def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 

@@ -11,22 +11,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, materialize, quoted, slices, text_of
+from .common import materialize, numbered, quoted, slices, text_of
 from .tokenizer import TokenizerFile, encoder
 
 #: Labelled rows that the classifier is fitted on, at most: those of the smallest hashes of their ids.
 MAX_DOCUMENTS = 20_000
-#: Tokens' worth of evidence that a text's likelihood counts for, at most; more would make every posterior 0 or 1.
+#: Tokens' worth of evidence that the mean likelihood of a text's tokens counts for, at most: the model's temperature.
 EVIDENCE = 64.0
 #: Rounds after which rates are written out; in between they are recomputed from the steps since.
 WRITE_EVERY = 10
 
 
 class Domains:
-    """Multinomial naive Bayes over token ids: log prior, log likelihood of each token per domain."""
+    """Multinomial naive Bayes over token ids: log prior, log likelihood of each token per domain.
 
-    def __init__(self, names: list[str], documents: np.ndarray, counts: np.ndarray):
-        self.names = names
+    Tokens of a text are not independent, and their summed likelihoods would make every posterior 0 or 1. So the mean over
+    all its tokens is taken and counts as ``evidence`` tokens, or as many as there are if fewer; no token is left out.
+    """
+
+    def __init__(self, names: list[str], documents: np.ndarray, counts: np.ndarray, evidence: float = EVIDENCE):
+        self.names, self.evidence = names, evidence
         self.prior = np.log((documents + 1) / (documents + 1).sum())
         smooth = counts + 0.5
         self.token = np.log(smooth / smooth.sum(axis=1, keepdims=True)).astype(np.float32)
@@ -35,22 +39,22 @@ class Domains:
         z = self.prior.copy()
         if len(ids):
             seen = self.token[:, np.minimum(ids, self.token.shape[1] - 1)].astype(float)
-            z += seen.mean(axis=1) * min(len(ids), EVIDENCE)
+            z += seen.mean(axis=1) * min(len(ids), self.evidence)
         z = np.exp(z - z.max())
         return z / z.sum()
 
 
-def fit_domains(docs: DataFrame, labels: DataFrame, tokenizer: TokenizerFile, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_documents: int = MAX_DOCUMENTS) -> Domains:
+def fit_domains(docs: DataFrame, labels: DataFrame, tokenizer: TokenizerFile, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_documents: int = MAX_DOCUMENTS, evidence: float = EVIDENCE) -> Domains:
     """Fit on at most ``max_documents`` labelled documents. The domains are the label's values as text, in order.
 
     Labels with a null id or value are ignored; of several for one id the largest value counts. Without any label there
     is one domain, ``all``. What reaches the driver is bounded by domains times vocabulary.
     """
     spark = docs.sparkSession
-    y = F.col(f"`{label_col}`").cast("string")
-    picked = labels.select(F.col(f"`{id_col}`").alias("_lid"), y.alias("_y")).where("_lid is not null and _y is not null")
+    y = quoted(label_col).cast("string")
+    picked = labels.select(quoted(id_col).alias("_lid"), y.alias("_y")).where("_lid is not null and _y is not null")
     picked = picked.groupBy("_lid").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_lid"), "_lid").limit(max_documents)
-    sample = docs.select(F.col(f"`{id_col}`").alias("_id"), text_of(text_col).alias("_text")).join(F.broadcast(picked), F.col("_id") == F.col("_lid"))
+    sample = docs.select(quoted(id_col).alias("_id"), text_of(text_col).alias("_text")).join(F.broadcast(picked), F.col("_id") == F.col("_lid"))
     shipped = tokenizer.ship(spark)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,7 +79,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, tokenizer: TokenizerFile, la
             documents[names.index(r["domain"])] = r["n"]
         else:
             counts[names.index(r["domain"]), r["token"]] = r["n"]
-    return Domains(names, documents, counts)
+    return Domains(names, documents, counts, evidence)
 
 
 def memberships(docs: DataFrame, domains: Domains, tokenizer: TokenizerFile, text_col: str = "text") -> DataFrame:
@@ -145,7 +149,7 @@ def fit_rates(members: DataFrame, targets: np.ndarray, rounds: int = 30, toleran
 
 
 def mix(docs: DataFrame, labels: DataFrame, tokenizer: TokenizerFile, shares: dict[str, float] | None = None, total: float | None = None, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", least_rate: float = 0.0) -> tuple[DataFrame, Domains]:
-    """All columns of docs with _tokens, _p, _rate and _copies, and the domains.
+    """All columns of docs, which must not be named like them, with _tokens, _p, _rate and _copies; and the domains.
 
     A classifier fitted on labelled documents gives each document's posteriors over the domains. Document rates are then
     fitted so that the expected tokens of each domain match the targets. shares: the domains' target shares of tokens, in
@@ -170,20 +174,21 @@ def mix(docs: DataFrame, labels: DataFrame, tokenizer: TokenizerFile, shares: di
     at = want > 0
     whole_tokens = total if total is not None else float((have[at] / want[at]).max()) if at.any() else 0.0
     rated = fit_rates(members, want * whole_tokens, least_rate=least_rate)
-    u = F.shiftrightunsigned(F.xxhash64(F.col(f"`{id_col}`"), text_of(text_col), F.lit(20)), 11).cast("double") * F.lit(2.0**-53)
+    u = F.shiftrightunsigned(F.xxhash64(quoted(id_col), text_of(text_col), F.lit(20)), 11).cast("double") * F.lit(2.0**-53)
     copies = (F.floor("_rate") + (u < F.col("_rate") - F.floor("_rate")).cast("long")).cast("int")
     return rated.withColumn("_copies", copies), domains
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, tokenizer: TokenizerFile, shares: dict[str, float] | None = None, total: float | None = None, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, n_tokens, domains, posteriors (arrays in one order), rate, copies; see :func:`mix`."""
-    mixed, domains = mix(docs.select(id_col, text_col), labels, tokenizer, shares, total, label_col, id_col, text_col)
+    plain = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"))
+    mixed, domains = mix(plain, labels.withColumnRenamed(id_col, "id"), tokenizer, shares, total, label_col, "id", "text")
     names = F.array(*map(F.lit, domains.names))
-    return mixed.select(F.col(f"`{id_col}`"), F.col("_tokens").alias("n_tokens"), names.alias("domains"), F.col("_p").alias("posteriors"), F.col("_rate").alias("rate"), F.col("_copies").alias("copies"))
+    return mixed.select(F.col("id").alias(id_col), F.col("_tokens").alias("n_tokens"), names.alias("domains"), F.col("_p").alias("posteriors"), F.col("_rate").alias("rate"), F.col("_copies").alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, labels: DataFrame, tokenizer: TokenizerFile, shares: dict[str, float] | None = None, total: float | None = None, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", least_rate: float = 0.0) -> DataFrame:
     """The rows of docs, each as many times as :func:`mix` says, with the columns of docs."""
-    mixed, _ = mix(docs, labels, tokenizer, shares, total, label_col, id_col, text_col, least_rate)
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    return mixed.where("_copies > 0").select(*cols, F.explode(F.array_repeat(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
+    plain, own, id_now, text_now = numbered(docs, id_col, text_col)
+    mixed, _ = mix(plain, labels.withColumnRenamed(id_col, id_now), tokenizer, shares, total, label_col, id_now, text_now, least_rate)
+    return mixed.where("_copies > 0").select("*", F.explode(F.array_repeat(F.lit(1), F.col("_copies"))).alias("_copy")).select(*own)

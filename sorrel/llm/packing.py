@@ -23,8 +23,8 @@ LEAST_BUCKETS = 256
 BROADCAST_ROWS = 100_000
 
 
-def pieces(docs: DataFrame, tokenizer: TokenizerFile, capacity: int = 2048, end_id: int = 0, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Tokenized pieces: id, piece, start, length, ids_crc32 and, if asked for, ids (little-endian unsigned 32-bit).
+def pieces(docs: DataFrame, tokenizer: TokenizerFile, capacity: int = 2048, end_id: int = 0, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Tokenized pieces: id, piece, start, length, ids_crc32, if asked for ids (little-endian unsigned 32-bit), and ``carry``, columns of docs.
 
     A document is its ids and then ``end_id``. Longer ones than ``capacity`` are cut into pieces of that length, of
     which the first may be shorter. A null or empty text is the end id alone.
@@ -32,7 +32,7 @@ def pieces(docs: DataFrame, tokenizer: TokenizerFile, capacity: int = 2048, end_
     shipped = tokenizer.ship(docs.sparkSession)
     id_type = docs.schema[id_col].dataType
     fields = [T.StructField(id_col, id_type), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())]
-    schema = T.StructType([*fields, *([T.StructField("ids", T.BinaryType())] if keep_ids else [])])
+    schema = T.StructType([*fields, *([T.StructField("ids", T.BinaryType())] if keep_ids else []), *(docs.schema[c] for c in carry)])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(shipped)
@@ -51,9 +51,10 @@ def pieces(docs: DataFrame, tokenizer: TokenizerFile, capacity: int = 2048, end_
                     if keep_ids:
                         raw.append(part)
             cols = [b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*cols, *([pa.array(raw, pa.binary())] if keep_ids else [])], schema.names)
+            more = [b.column(2 + k).take(pa.array(row, pa.int64())) for k in range(len(carry))]
+            yield pa.RecordBatch.from_arrays([*cols, *([pa.array(raw, pa.binary())] if keep_ids else []), *more], schema.names)
 
-    return docs.select(quoted(id_col), text_of(text_col)).mapInArrow(cut, schema)
+    return docs.select(quoted(id_col), text_of(text_col), *map(quoted, carry)).mapInArrow(cut, schema)
 
 
 def _places(slots: list[Slot], histogram: dict[int, int]) -> tuple[list[tuple[int, int]], list[tuple[int, ...]]]:
@@ -114,6 +115,10 @@ def pack(items: DataFrame, capacity: int = 2048, id_col: str = "doc_id") -> Data
     )
 
 
-def pack_documents(docs: DataFrame, tokenizer: TokenizerFile, capacity: int = 2048, end_id: int = 0, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Tokenize, cut and pack: the columns of :func:`pieces` with sequence_id and offset."""
-    return pack(materialize(pieces(docs, tokenizer, capacity, end_id, keep_ids, id_col, text_col), "pieces"), capacity, id_col)
+def pack_documents(docs: DataFrame, tokenizer: TokenizerFile, capacity: int = 2048, end_id: int = 0, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Tokenize, cut and pack: the columns of :func:`pieces` with sequence_id and offset.
+
+    A null text counts as empty; rows that repeat an id are packed each, as are null ids; other columns than ``carry`` are
+    ignored. An empty table gives an empty result.
+    """
+    return pack(materialize(pieces(docs, tokenizer, capacity, end_id, keep_ids, id_col, text_col, carry), "pieces"), capacity, id_col)

@@ -56,23 +56,25 @@ def preference_segments(conversations: DataFrame, pairs: DataFrame | None = None
 
 
 def assemble(segments: DataFrame) -> DataFrame:
-    """(pair_id, prompt, chosen, rejected, chosen_mask, rejected_mask): a row for each pair.
+    """(pair_id, prompt_turns, prompt, chosen, rejected, chosen_loss, rejected_loss): a row for each pair.
 
-    Masks are arrays of (end, loss) in characters of the completion. A pair's turns meet in one row, so this is for
-    conversations that fit in memory; segments are not bound to that.
+    A part's segments are joined by (turn, seq). The loss columns list the stretches of a completion that are trained on, the
+    assistant's turns, as start:end in characters, comma-joined; the prompt is never trained on. Places are running sums in
+    a window. One pair's turns meet in one row, as they must to be one string; pairs are not larger than conversations.
     """
-    turn = F.struct("turn", "seq", "rendered", "loss_mask")
-    out = segments.groupBy("pair_id").agg(*(F.array_sort(F.collect_list(F.when(F.col("part") == part, turn))).alias(part) for part in ("prompt", "chosen", "rejected")))
-
-    def text(part: str):
-        return F.array_join(F.col(part)["rendered"], "")
-
-    def mask(part: str):
-        ends = F.aggregate(
-            F.col(part),
-            F.array().cast("array<struct<end:int,loss:int>>"),
-            lambda acc, x: F.concat(acc, F.array(F.struct((F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0)) + F.char_length(x["rendered"])).alias("end"), x["loss_mask"].alias("loss")))),
-        )
-        return F.when(F.size(part) > 0, ends).otherwise(F.array().cast("array<struct<end:int,loss:int>>"))
-
-    return out.select("pair_id", *(text(p).alias(p) for p in ("prompt", "chosen", "rejected")), *(mask(p).alias(f"{p}_mask") for p in ("chosen", "rejected")))
+    order = Window.partitionBy("pair_id", "part").orderBy("turn", "seq")
+    # dealt by pair once, which serves the window and the groups
+    placed = segments.repartition("pair_id").withColumn("_end", F.sum(F.char_length("rendered")).over(order))
+    stretch = F.concat_ws(":", (F.col("_end") - F.char_length("rendered")).cast("string"), F.col("_end").cast("string"))
+    turn = F.struct("turn", "seq", "rendered", F.when(F.col("loss_mask") == 1, stretch).alias("loss"))
+    parts = ("prompt", "chosen", "rejected")
+    out = placed.groupBy("pair_id").agg(*(F.array_sort(F.collect_list(F.when(F.col("part") == p, turn))).alias(p) for p in parts))
+    texts = [F.array_join(F.col(p)["rendered"], "").alias(p) for p in parts]
+    losses = [F.array_join(F.col(p)["loss"], ",").alias(f"{p}_loss") for p in parts[1:]]  # nulls are left out
+    return out.select("pair_id", F.size("prompt").cast("long").alias("prompt_turns"), *texts, *losses)
+
+
+def preference_pairs(conversations: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """One row for each pair: its common prompt once and both completions with their masks; see :func:`preference_segments`
+    for the pairs, the prefix and odd rows, and :func:`assemble` for the columns. An empty table gives an empty result."""
+    return assemble(preference_segments(conversations, pairs))

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_dedup
 from .hamming import nearest_codes
-from .licenses import COPYRIGHT_LINE, LIST_MARK, SPELLINGS, TEXTS, find_licenses
+from .licenses import COPYRIGHT_LINE, DIGESTS, LIST_MARK, SPELLINGS, TEXTS, find_licenses
 from .minhash import near_duplicates
 from .mixing import mixing_rates
 from .packing import pack_documents
 from .pii import find_pii
-from .preferences import CLOSE, MIDDLE, OPEN, preference_segments
+from .preferences import CLOSE, MIDDLE, OPEN, preference_pairs
 from .token_counts import count_tokens
 from .tokenizer import TokenizerFile
 from .toxicity import score, train
@@ -66,7 +67,15 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preference_segments(table(spark, sf_dir, "conversations"))
+    """Each conversation as chosen; the same with the last answer of its neighbour (0 and 1, 2 and 3, ...) as rejected."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    last = c.where("role = 'assistant'").groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("last"))
+    other = last.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("_of"), F.col("last.text").alias("answer"))
+    ends = last.join(other, F.col("conv_id") == F.col("_of")).select(F.col("conv_id").alias("_c"), F.col("last.turn").alias("_last"), "answer")
+    chosen = c.select((F.col("conv_id") * 2).alias("conv_id"), "turn", "role", "text")
+    kept = c.join(ends, F.col("conv_id") == F.col("_c")).where("turn < _last").select((F.col("conv_id") * 2 + 1).alias("conv_id"), "turn", "role", "text")
+    swapped = ends.select((F.col("_c") * 2 + 1).alias("conv_id"), F.col("_last").alias("turn"), F.lit("assistant").alias("role"), F.col("answer").alias("text"))
+    return preference_pairs(chosen.unionByName(kept).unionByName(swapped))
 
 
 QUERIES = {
@@ -89,12 +98,14 @@ def _canonical_sql(text: str) -> str:
     return f"trim({out})"
 
 
+_DIGESTS = ", ".join(f"({_quoted(k)}, {_quoted(d)})" for k, ds in DIGESTS.items() for d in ds)
 _KNOWN = ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, (title, body) in TEXTS.items() for v in (body, f"{title}\n{body}"))
 
 ORACLES = {
     "op3_licenses": f"""
         WITH named(license, text) AS (VALUES {_KNOWN}),
-        known AS (SELECT sha256({_canonical_sql("text")}) AS digest, min(license) AS license FROM named GROUP BY 1),
+        digests(license, digest) AS (SELECT license, sha256({_canonical_sql("text")}) FROM named UNION ALL VALUES {_DIGESTS}),
+        known AS (SELECT digest, min(license) AS license FROM digests GROUP BY 1),
         docs AS (SELECT doc_id, sha256({_canonical_sql("coalesce(text, '')")}) AS canonical_sha256 FROM documents)
         SELECT doc_id, license, canonical_sha256 FROM docs LEFT JOIN known ON digest = canonical_sha256""",
     "op5_exact_dedup": """
@@ -110,14 +121,24 @@ ORACLES = {
         ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM found)
         SELECT query_id, rank::INT AS rank, neighbor_id, distance FROM ranked WHERE rank <= 10""",
     "op10_preferences": f"""
-        WITH turns AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+        WITH answers AS (SELECT conv_id, max(turn) AS last FROM conversations WHERE role = 'assistant' GROUP BY 1),
+        lasts AS (SELECT conv_id, last, max(text) AS answer FROM conversations JOIN answers USING (conv_id) WHERE role = 'assistant' AND turn = last GROUP BY 1, 2),
+        ends AS (SELECT a.conv_id, a.last, b.answer FROM lasts a JOIN lasts b ON b.conv_id = xor(a.conv_id, 1)),
+        dealt AS (
+            SELECT conv_id * 2 AS conv_id, turn, role, text FROM conversations
+            UNION ALL SELECT conv_id * 2 + 1, turn, role, text FROM conversations JOIN ends USING (conv_id) WHERE turn < last
+            UNION ALL SELECT conv_id * 2 + 1, last, 'assistant', answer FROM ends),
+        turns AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM dealt WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
         numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY role, text) AS seq, conv_id // 2 AS pair_id FROM turns),
         pairs AS (SELECT pair_id, min(conv_id) AS chosen_id, max(conv_id) AS rejected_id FROM numbered GROUP BY 1 HAVING min(conv_id) <> max(conv_id)),
         sides AS (SELECT n.*, CASE WHEN conv_id = chosen_id THEN 'chosen' ELSE 'rejected' END AS side FROM numbered n JOIN pairs USING (pair_id)),
         lone AS (SELECT pair_id, turn, seq FROM sides GROUP BY pair_id, turn, seq, role, text HAVING count(*) = 1),
-        ends AS (SELECT pair_id, min(turn * 1000000 + seq) AS stop FROM lone GROUP BY 1),
-        parts AS (SELECT s.*, CASE WHEN stop IS NULL OR turn * 1000000 + seq < stop THEN 'prompt' ELSE side END AS part FROM sides s LEFT JOIN ends USING (pair_id))
-        SELECT pair_id, part, turn, seq::INT AS seq, role, {_quoted(OPEN)} || role || {_quoted(MIDDLE)} || text || {_quoted(CLOSE)} AS rendered,
-               CASE WHEN part <> 'prompt' AND role = 'assistant' THEN 1 ELSE 0 END AS loss_mask
-        FROM parts WHERE part <> 'prompt' OR side = 'chosen'""",
+        ends_at AS (SELECT pair_id, min(turn * 1000000 + seq) AS stop FROM lone GROUP BY 1),
+        parts AS (SELECT s.*, CASE WHEN stop IS NULL OR turn * 1000000 + seq < stop THEN 'prompt' ELSE side END AS part FROM sides s LEFT JOIN ends_at USING (pair_id)),
+        shown AS (SELECT *, {_quoted(OPEN)} || role || {_quoted(MIDDLE)} || text || {_quoted(CLOSE)} AS rendered FROM parts WHERE part <> 'prompt' OR side = 'chosen'),
+        placed AS (SELECT *, sum(length(rendered)) OVER (PARTITION BY pair_id, part ORDER BY turn, seq) AS stop_at FROM shown)
+        SELECT pair_id, count(*) FILTER (part = 'prompt') AS prompt_turns,
+               {", ".join(f"coalesce(string_agg(rendered, '' ORDER BY turn, seq) FILTER (part = '{p}'), '') AS {p}" for p in ("prompt", "chosen", "rejected"))},
+               {", ".join(f"coalesce(string_agg((stop_at - length(rendered)) || ':' || stop_at, ',' ORDER BY turn, seq) FILTER (part = '{p}' AND role = 'assistant'), '') AS {p}_loss" for p in ("chosen", "rejected"))}
+        FROM placed GROUP BY 1""",
 }

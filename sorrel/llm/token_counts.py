@@ -11,17 +11,17 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Presence, materialize, shared_dir, slices, text_of
+from .common import Presence, materialize, quoted, shared_dir, slices, text_of
 from .tokenizer import TokenizerFile, encoder
 
-CACHE_SCHEMA = "version string, digest binary, n_tokens bigint"
+CACHE_SCHEMA = "digest binary, n_tokens bigint, version string"
 
 
 def count_tokens(docs: DataFrame, tokenizer: TokenizerFile, cache: str | None = None, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, n_bytes, n_tokens, over_limit (more than ``limit`` tokens).
 
-    cache: a Parquet folder of (version, digest, n_tokens) that all executors reach; a new one in the checkpoint folder
-    if None. Counts found there are reused, each distinct missing text is encoded once, and its count is appended. The
+    cache: a Parquet folder of (digest, n_tokens) by version that all executors reach, so that only one version's counts
+    are read; a new one in the checkpoint folder if None. Counts found there are reused, each distinct missing text is encoded once, and its count is appended. The
     content's digest is the SHA-256 of the text with null as empty; nothing else is normalised, as counts depend on
     every byte. The tokenizer's version is a digest of its file and options, so other tokenizers never share counts.
 
@@ -39,7 +39,7 @@ def count_tokens(docs: DataFrame, tokenizer: TokenizerFile, cache: str | None =
     except AnalysisException:
         known = spark.createDataFrame([], "digest binary, n_tokens bigint")
     repeated = base.groupBy("_digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_digest")
-    special = materialize(repeated.unionByName(known.select(F.col("digest").alias("_digest"))).select(F.xxhash64("_digest").alias("_h")), "known")
+    special = materialize(repeated.unionByName(known.select(F.col("digest").alias("_digest"))).select(F.xxhash64("_digest").alias("_h")), "known-digests")
     flagged = Presence(special, "_h").flag(base, F.xxhash64("_digest"), "_maybe")
     once = flagged.where(~F.col("_maybe")).select("_digest", "_text")
     shared = flagged.where("_maybe").join(known.select(F.col("digest").alias("_digest")), "_digest", "left_anti").groupBy("_digest", "_text").agg(F.lit(1)).select("_digest", "_text")
@@ -52,9 +52,9 @@ def count_tokens(docs: DataFrame, tokenizer: TokenizerFile, cache: str | None =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n)], ["digest", "n_tokens"])
 
     new = once.unionByName(shared).mapInArrow(encode, "digest binary, n_tokens bigint")
-    new.select(F.lit(tokenizer.version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache)
+    new.select(F.lit(tokenizer.version).alias("version"), "digest", "n_tokens").write.mode("append").partitionBy("version").parquet(cache)
     # concurrent writers may have stored a digest twice; written out, so that the join below can split a hot digest
     counts = materialize(spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("version") == tokenizer.version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
-    rows = docs.select(F.col(f"`{id_col}`").alias(id_col), F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(text, 256)).alias("_digest"))
+    rows = docs.select(quoted(id_col).alias("_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(text, 256)).alias("_digest"))
     out = rows.join(counts, F.col("_digest") == F.col("digest"), "inner")
-    return out.select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return out.select(F.col("_id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

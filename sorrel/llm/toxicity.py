@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 import re
 import zlib
 from collections import Counter
@@ -15,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, materialize, quoted, slices, text_of
+from .common import Scratch, fresh, quoted, slices, text_of
 
 #: Places of a subsequence's later characters after its first: three or four characters, up to two others in between.
 PLACES = ((1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4), (1, 2, 3), (1, 2, 4), (1, 3, 4), (2, 3, 4), (1, 2, 5), (1, 3, 5), (1, 4, 5), (2, 3, 5), (2, 4, 5), (3, 4, 5))
@@ -25,11 +24,14 @@ DECAY = 0.6
 DIMENSIONS = 1 << 18
 #: Longer words are read in windows of this many characters that overlap by half; the largest score counts.
 WINDOW = 32
-#: Bounds of what is fitted on: labelled documents, landmarks, positive and negative words, scores for calibration.
-MAX_DOCUMENTS, MAX_LANDMARKS, MAX_POSITIVE, MAX_NEGATIVE = 20_000, 384, 500, 20_000
+#: Labelled documents that are fitted on, at most: those of the smallest hashes of their ids.
+MAX_DOCUMENTS = 20_000
+#: Decisions from which on distinct words are counted as evidence.
+COUNTED = (0.0, -0.5)
 
 _SPACED = re.compile(r"(?<!\S)(?:\w[^\w\s]?\s){2,}\w(?![^\W])")
 _INNER = re.compile(r"[\W_]+")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
 def tokens(text: str) -> set[str]:
@@ -105,9 +107,10 @@ class Model:
 
 
 class Scorer:
-    """Evidence of whole texts: one, the largest decisions of distinct words, and the logarithm of how many there are (16 at least).
+    """Evidence of whole texts from the decisions of their distinct words.
 
-    The bias stands for words that a text lacks.
+    One, the largest decisions, the logarithm of how many words there are (16 at least) and of how many decide for each
+    bound in COUNTED. The bias stands for words that a text lacks.
     """
 
     KEEP, TOP = 300_000, 4
@@ -115,8 +118,8 @@ class Scorer:
     def __init__(self, model: Model):
         self.model, self.known = model, {}
 
-    def __call__(self, texts: list[str]) -> np.ndarray:
-        bags = [tokens(t) for t in texts]
+    def decide(self, bags: list[set[str]]) -> None:
+        """Make all words of the bags known."""
         new = [w for w in set().union(*bags) if w not in self.known]
         if len(self.known) + len(new) > self.KEEP:
             self.known = {}
@@ -127,27 +130,45 @@ class Scorer:
         for w, ws in zip(new, spelt, strict=True):
             self.known[w] = max(at[i : i + len(ws)], default=self.model.bias)
             i += len(ws)
-        get, none = self.known.__getitem__, [self.model.bias] * self.TOP
-        rows = [[1.0, *(heapq.nlargest(self.TOP, map(get, bag)) + none)[: self.TOP], np.log1p(max(len(bag), 16))] for bag in bags]
-        return np.array(rows).reshape(-1, self.TOP + 2)
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        bags = [tokens(t) for t in texts]
+        self.decide(bags)
+        out = np.empty((len(bags), self.TOP + 2 + len(COUNTED)))
+        for row, bag in zip(out, bags, strict=True):
+            each = np.full(max(len(bag), self.TOP), self.model.bias)
+            each[: len(bag)] = np.fromiter(map(self.known.__getitem__, bag), float, len(bag))
+            row[0], row[1 : self.TOP + 1] = 1.0, np.sort(np.partition(each, -self.TOP)[-self.TOP :])[::-1]
+            row[self.TOP + 1] = np.log1p(max(len(bag), 16))
+            row[self.TOP + 2 :] = [np.log1p(np.count_nonzero(each[: len(bag)] > c)) for c in COUNTED]
+        return out
+
+    def witnesses(self, text: str) -> dict[str, float]:
+        """The word of largest decision of each sentence."""
+        bags = [b for b in map(tokens, _SENTENCE.split(text)) if b]
+        self.decide(bags)
+        return {w: self.known[w] for w in (max(b, key=lambda w: (self.known[w], w)) for b in bags)}
 
 
 def nystrom_svm(landmarks: list[str], positive: dict[str, float], negative: list[str], penalty: float = 500.0, steps: int = 100) -> Model:
     """A linear machine on Nyström features of the kernel, squared hinge loss, both classes of equal weight.
 
-    positive: words and the margin asked of each; negative words are asked for a margin of one.
+    positive: words and the margin asked of each; negative words are asked for a margin of one. A word's windows are
+    examples of their own.
     """
-    spelt = [windows(w)[0] for w in landmarks]
+    spelt = [x for w in landmarks for x in windows(w)]
+    asked_of = [(x, m) for w, m in positive.items() for x in windows(w)]
+    clean = [x for w in negative for x in windows(w)]
 
     row, dim, value = features(spelt)
     used, place = np.unique(dim, return_inverse=True)  # only dimensions that a landmark has can count
-    dense = np.zeros((len(landmarks), len(used)), np.float32)
+    dense = np.zeros((len(spelt), len(used)), np.float32)
     dense[row, place] = value
     column = np.full(DIMENSIONS, -1, np.int32)
     column[used] = np.arange(len(used))
 
     def kernel(words: list[str]) -> np.ndarray:
-        r, d, v = features([windows(w)[0] for w in words])
+        r, d, v = features(words)
         at = column[d]
         r, at, v = r[at >= 0], at[at >= 0], v[at >= 0]
         return np.column_stack([np.bincount(r, v * mark[at], minlength=len(words)) for mark in dense])
@@ -155,10 +176,10 @@ def nystrom_svm(landmarks: list[str], positive: dict[str, float], negative: list
     low, vectors = np.linalg.eigh((dense @ dense.T).astype(float))
     keep = low > 1e-6
     root = vectors[:, keep] / np.sqrt(low[keep])
-    x = np.vstack([kernel(list(positive)), kernel(negative)]) @ root
-    asked = np.r_[np.fromiter(positive.values(), float), np.ones(len(negative))]
-    y = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
-    each = penalty * np.where(y > 0, 0.5 / len(positive), 0.5 / len(negative))
+    x = np.vstack([kernel([x for x, _ in asked_of]), kernel(clean)]) @ root
+    asked = np.r_[np.array([m for _, m in asked_of]), np.ones(len(clean))]
+    y = np.r_[np.ones(len(asked_of)), -np.ones(len(clean))]
+    each = penalty * np.where(y > 0, 0.5 / len(asked_of), 0.5 / len(clean))
     xb = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(xb.shape[1])
     ridge = np.eye(len(w)) * 0.02
@@ -246,54 +267,75 @@ def _without_copies(sample: DataFrame) -> DataFrame:
     return sample.join(F.broadcast(sample.sparkSession.createDataFrame(copies, "_n bigint")), "_n", "left_anti")
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_documents: int = MAX_DOCUMENTS) -> Model | None:
-    """Fit on at most ``max_documents`` labelled documents, those of the smallest hashes; held-out ids are never read.
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_documents: int = MAX_DOCUMENTS, max_landmarks: int = 384, max_positive: int = 500, max_negative: int = 12_000, rounds: int = 2) -> Model | None:
+    """Fit on the sentences of at most ``max_documents`` labelled documents, those of the smallest hashes; held-out ids are never read.
+
+    A sentence bears its document's label and decides by the largest decision of its words, its witness, as a toxic
+    sentence's other words are clean. The machine is first fitted on words whose counts can hardly be chance: positive ones
+    are in so many toxic documents and in hardly any clean one, the more the wider their margin; words of clean documents
+    are negative. Then, ``rounds`` times, the witnesses of all labelled sentences are found and the machine is fitted anew:
+    clean sentences' witnesses of largest decision join the negative words, and toxic sentences' witnesses that are decided
+    toxic and are in no clean document the positive ones. Last, a document's largest decisions are calibrated to its label.
 
-    A labelled document is a bag of sentences and these of words, of which only few bear its label. Words are positive
-    examples if chance hardly puts them into so many toxic documents and hardly any clean one, the more the wider their
-    margin; words of clean documents are the negative ones. The machine is fitted twice: the second time with the words of clean documents that scored
-    highest, and with rarer words of toxic documents alone that it took for positive. A document's largest
-    decisions are then calibrated to its label. Only words and counts within the bounds above reach the driver. None if either label
-    is missing or no word stands out.
+    The other parameters bound the landmarks and the words fitted on; only these words, their counts and one row of
+    evidence for each labelled document reach the driver. None if either label is missing or no word stands out. Null
+    texts count as empty; labels with a null id or value are ignored, and of several for one id the largest counts. Rows
+    that repeat an id are examples each, but near copies within the sample count once for the words.
     """
-    y = F.col(f"`{label_col}`")
-    picked = labels.select(F.col(f"`{id_col}`").alias("_lid"), y.cast("int").alias("_y")).where(F.col("_lid").isNotNull() & y.isin(0, 1) & ~is_held_out(F.col("_lid")))
+    y = quoted(label_col)
+    picked = labels.select(quoted(id_col).alias("_lid"), y.cast("int").alias("_y")).where(F.col("_lid").isNotNull() & y.isin(0, 1) & ~is_held_out(F.col("_lid")))
     picked = picked.groupBy("_lid").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_lid"), "_lid").limit(max_documents)
-    sample = docs.select(F.col(f"`{id_col}`").alias("_id"), text_of(text_col).alias("_text")).join(F.broadcast(picked), F.col("_id") == F.col("_lid"))
-    sample = materialize(sample.select("_text", "_y", F.xxhash64("_id").alias("_n")), "toxic-sample")
+    sample = docs.select(quoted(id_col).alias("_id"), text_of(text_col).alias("_text")).join(F.broadcast(picked), F.col("_id") == F.col("_lid"))
+    with Scratch() as keep:
+        return _fit(keep(sample.select("_text", "_y", F.xxhash64("_id").alias("_n")), "toxic-sample"), keep, max_landmarks, max_positive, max_negative, rounds)
+
+
+def _fit(sample: DataFrame, keep: Scratch, max_landmarks: int, max_positive: int, max_negative: int, rounds: int) -> Model | None:
+    """:func:`train` on a materialized sample (_text, _y, _n)."""
     n = {r["_y"]: r["n"] for r in sample.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not n.get(0) or not n.get(1):
         return None
-    words = materialize(_words(_without_copies(sample)), "toxic-words")
+    words = keep(_words(_without_copies(sample)), "toxic-words")
     size = max(2, words.where("toxic + clean > 1").count())
     bar = max(3, int(np.ceil((np.log(size) + 2) / -np.log(n[1] / (n[0] + n[1])))))
     pure = words.where("clean <= 0.01 * toxic")
     positive: dict[str, float] = {}
     for least in (bar, 3, 2):
-        positive = positive or {r["word"]: 1 + float(np.log(r["toxic"] / least)) for r in pure.where(F.col("toxic") >= least).orderBy(F.desc("toxic"), "word").limit(MAX_POSITIVE).collect()}
+        positive = positive or {r["word"]: 1 + float(np.log(r["toxic"] / least)) for r in pure.where(F.col("toxic") >= least).orderBy(F.desc("toxic"), "word").limit(max_positive).collect()}
     usual = words.where("clean > 0.01 * toxic and word <> ''")
-    negative = [r["word"] for r in usual.orderBy(F.xxhash64("word"), "word").limit(MAX_NEGATIVE // 2).collect()]
+    negative = [r["word"] for r in usual.orderBy(F.xxhash64("word"), "word").limit(max_negative * 5 // 6).collect()]
     if not positive or not negative:
         return None
-    ship = docs.sparkSession.sparkContext.broadcast
+    ship = sample.sparkSession.sparkContext.broadcast
 
-    def ranked(some: DataFrame, model: Model) -> DataFrame:
+    def witnesses(model: Model) -> DataFrame:
+        """(word, decision) of toxic sentences' witnesses (_y 1) and of clean ones' (_y 0)."""
         shipped = ship(model)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            scorer, found = Scorer(shipped.value), ({}, {})
             for b in slices(batches):
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shipped.value.decisions(b.column(0).to_pylist()))], ["word", "decision"])
+                for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    for w, d in scorer.witnesses(text).items():
+                        if d > model.bias:
+                            found[label].update(dict.fromkeys(forms(w), d))
+            rows = [(w, label, d) for label in (0, 1) for w, d in found[label].items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int32(), pa.float64()))], ["word", "_y", "decision"])
 
-        return some.select("word").mapInArrow(run, "word string, decision double")
+        each = sample.select("_text", "_y").mapInArrow(run, "word string, _y int, decision double")
+        return keep(each.groupBy("word", "_y").agg(F.max("decision").alias("decision")), "toxic-witnesses")
 
     def fit(yes: dict[str, float], hard: list[str]) -> Model:
-        marks = [*list(yes)[: MAX_LANDMARKS // 3], *hard[: MAX_LANDMARKS // 3], *negative[: MAX_LANDMARKS // 3]]
+        marks = [*list(yes)[: max_landmarks // 3], *hard[: max_landmarks // 3], *negative[: max_landmarks // 3]]
         return nystrom_svm(marks, yes, [*negative, *hard])
 
     model = fit(positive, [])
-    hard = [r["word"] for r in ranked(usual, model).orderBy(F.desc("decision"), "word").limit(MAX_NEGATIVE // 10).collect()]
-    rare = [r["word"] for r in ranked(pure.where("toxic >= 2"), model).where("decision > 0").orderBy(F.desc("decision"), "word").limit(MAX_POSITIVE).collect()]
-    model = fit(positive | {w: 1.0 for w in rare if w not in positive}, hard)
+    for _ in range(rounds):
+        seen = witnesses(model)
+        hard = [r["word"] for r in seen.where("_y = 0").join(usual.select("word"), "word").orderBy(F.desc("decision"), "word").limit(max_negative // 6).collect()]
+        more = seen.where("_y = 1 and decision > 0").join(pure.select("word", "toxic"), "word").where("toxic > 1 or decision > 0.5")
+        more = [r["word"] for r in more.orderBy(F.desc("decision"), "word").limit(max_positive).collect()]
+        model = fit(positive | {w: 1.0 for w in more if w not in positive}, hard)
     shipped = ship(model)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,11 +348,11 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     return model
 
 
-def _scored(docs: DataFrame, model: Model | None, base_rate: float, text_col: str) -> DataFrame:
-    """All columns of docs and _score."""
+def _scored(docs: DataFrame, model: Model | None, base_rate: float, text_col: str, name: str) -> DataFrame:
+    """All columns of docs and one more with the score."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
-    schema = T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value
@@ -329,10 +371,11 @@ def score(docs: DataFrame, model: Model | None, threshold: float = 0.7, base_rat
     machine scores no evidence. Without a model every score is ``base_rate``. Repeated rows get equal scores; other
     columns are ignored; an empty table gives an empty result.
     """
-    out = _scored(docs.select(id_col, text_col), model, base_rate, text_col)
-    return out.select(id_col, is_held_out(F.col(f"`{id_col}`")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
+    out = _scored(docs.select(quoted(id_col).alias("_id"), quoted(text_col).alias("_text")), model, base_rate, "_text", "_score")
+    return out.select(F.col("_id").alias(id_col), is_held_out(F.col("_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, model: Model | None, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
     """The rows of docs that score below the threshold, with all their columns; no row is shuffled."""
-    return _scored(docs, model, 0.0, text_col).where(F.col("_score") < threshold).drop("_score")
+    (name,) = fresh(docs, "_score")
+    return _scored(docs, model, 0.0, text_col, name).where(F.col(name) < threshold).drop(name)

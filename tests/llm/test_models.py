@@ -320,14 +320,31 @@ def test_vectors_on_odd_rows(spark):
 def test_preferences(spark):
     rows = [(0, 0, "user", "hi"), (0, 1, "assistant", "yes"), (1, 0, "user", "hi"), (1, 1, "assistant", "no"), (1, 2, "user", "why"), (2, 0, "user", "same"), (3, 0, "user", "same"), (4, 0, "user", "alone"), (0, 0, "user", "hi"), (None, 0, "user", "x"), (5, None, "user", "x"), (6, 0, None, None), (7, 0, "", "")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("part", F.lit("clash"))
-    segments = preferences.preference_segments(df)
-    got = {r.pair_id: r for r in preferences.assemble(segments).collect()}
+    got = {r.pair_id: r for r in preferences.preference_pairs(df).collect()}
     assert set(got) == {0, 1, 3}
-    assert got[0].prompt == "<|user|>\nhi<|end|>\n" and got[0].chosen == "<|assistant|>\nyes<|end|>\n"
+    assert got[0].prompt == "<|user|>\nhi<|end|>\n" and got[0].chosen == "<|assistant|>\nyes<|end|>\n" and got[0].prompt_turns == 1
     assert got[0].rejected == "<|assistant|>\nno<|end|>\n<|user|>\nwhy<|end|>\n"
-    assert [tuple(x) for x in got[0].rejected_mask] == [(24, 1), (44, 0)]
-    assert got[1].chosen == got[1].rejected == "" and got[3].prompt == "<||>\n<|end|>\n"
-    assert preferences.preference_segments(df.where("false")).count() == 0
+    assert got[0].chosen_loss == "0:25" and got[0].rejected_loss == "0:24"
+    assert got[1].chosen == got[1].rejected == got[1].chosen_loss == "" and got[3].prompt == "<||>\n<|end|>\n"
+    assert preferences.preference_segments(df.where("false")).count() == 0 and preferences.preference_pairs(df.where("false")).count() == 0
+
+
+def test_long_preferences_keep_all_turns(spark):
+    """Two conversations of 3000 turns with a common prefix of 2000, against plain loops."""
+    say = lambda conv, turn: f"{turn}" * 3 if turn < 2000 or conv == 0 else f"other {turn}"
+    rows = [(conv, turn, ("user", "assistant")[turn % 2], say(conv, turn)) for conv in (0, 1) for turn in range(3000)]
+    (got,) = preferences.preference_pairs(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    shown = lambda conv, turns: [f"<|{('user', 'assistant')[t % 2]}|>\n{say(conv, t)}<|end|>\n" for t in turns]
+    assert got.prompt == "".join(shown(0, range(2000))) and got.prompt_turns == 2000
+    for conv, text, loss in ((0, got.chosen, got.chosen_loss), (1, got.rejected, got.rejected_loss)):
+        want = shown(conv, range(2000, 3000))
+        assert text == "".join(want)
+        assert [text[slice(*map(int, x.split(":")))] for x in loss.split(",")] == want[1::2]
+
+
+def test_oracle_pairs_have_prefixes(spark):
+    got = queries.op10_preferences(spark, DIR).collect()
+    assert got and all(r.prompt_turns > 0 and r.chosen_loss for r in got)
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))

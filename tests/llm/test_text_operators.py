@@ -1,6 +1,7 @@
 """Exact duplicates, token counts, licences, personal data: against brute force and on odd rows."""
 
 import hashlib
+import os
 import random
 import re
 
@@ -25,15 +26,24 @@ def odd(spark):
     return spark.createDataFrame(ODD, SCHEMA).withColumn("kept", F.lit("clash")).withColumn("_id", F.lit(1)).withColumn("digest", F.lit(2))
 
 
-@given(st.lists(st.lists(st.integers(0, 2**64 - 1) | st.integers(0, 5), max_size=30), max_size=5))
+@given(st.lists(st.lists(st.integers(0, 2**64 - 1) | st.integers(0, 5) | st.integers(2**63, 2**63 + 3), max_size=30), max_size=5), st.integers(8, 20))
 @settings(max_examples=60, deadline=None)
-def test_filters_merge_without_loss(parts):
+def test_filters_merge_without_loss(parts, shift):
     whole = CountingQuotientFilter.merge([CountingQuotientFilter.build(np.array(p, np.uint64)) for p in parts])
     flat = np.array([x for p in parts for x in p], np.uint64)
     values, counts = np.unique(flat, return_counts=True)
-    assert (whole.fingerprints() == values).all() and (whole.counts == counts).all()
-    again = CountingQuotientFilter.merge([CountingQuotientFilter.from_columns(*f.to_columns()) for _, f in whole.blocks(12)])
-    assert (again.fingerprints() == values).all() and (again.counts == counts).all()
+    assert (whole.fingerprints == values).all() and (whole.counts == counts).all()
+    again = [CountingQuotientFilter.from_bytes(f.to_bytes(), k << shift, 1 << shift) for k, f in whole.blocks(shift)]
+    assert [x for f in again for x in f.fingerprints.tolist()] == values.tolist() and [x for f in again for x in f.counts.tolist()] == counts.tolist()
+
+
+def test_filters_are_smaller_than_their_fingerprints():
+    rng = np.random.default_rng(1)
+    fps = rng.integers(0, 2**64, 400_000, np.uint64)
+    f = CountingQuotientFilter.build(np.r_[fps, fps[:100], np.repeat(fps[:1], 70_000)])
+    assert len(f.to_bytes()) < 6.2 * len(fps)
+    g = CountingQuotientFilter.from_bytes(f.to_bytes(), 0, f.size)
+    assert (g.fingerprints == np.unique(fps)).all() and g.counts.sum() == 400_000 + 100 + 70_000 and g.counts.max() >= 70_001
 
 
 def test_exact_dedup(spark, odd):
@@ -124,7 +134,24 @@ def test_licenses(spark, odd):
     got = {r.doc_id: r.license for r in licenses.find_licenses(docs).collect()}
     assert got == {0: "MIT", 1: "MIT", 2: "MIT", 3: None, 4: "BSD-3-Clause", 5: "Zlib"}
     assert licenses.find_licenses(odd).where("license is not null").count() == 0 and licenses.find_licenses(odd).count() == len(ODD)
-    assert len({r.canonical_sha256 for r in licenses.known_licenses(spark).collect()}) == 2 * len(licenses.TEXTS)
+    assert len({r.canonical_sha256 for r in licenses.known_licenses(spark).collect()}) == 2 * len(licenses.TEXTS) + sum(map(len, licenses.DIGESTS.values()))
+
+
+COMMON = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+
+
+@pytest.mark.skipif(not os.path.exists("/usr/share/common-licenses/GPL-3"), reason="needs the system's licence texts")
+def test_whole_long_licenses(spark):
+    rows, want = [], {}
+    for i, (name, spdx) in enumerate(COMMON.items()):
+        with open(f"/usr/share/common-licenses/{name}") as f:
+            text = f.read()
+        ends = text.split("END OF TERMS AND CONDITIONS")[0]
+        for k, t in enumerate((text, " ".join(text.upper().split(" ")), ends, text.replace("license", "licence"), text + " or not", text[:-200])):
+            rows.append((10 * i + k, t))
+            want[10 * i + k] = None if k > 3 and t.strip() != text.strip() else spdx
+    got = {r.doc_id: r.license for r in licenses.find_licenses(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == want
 
 
 RE = (re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"))
