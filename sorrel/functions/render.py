@@ -86,7 +86,7 @@ def highlight(c: Column, color: bool = True) -> Column:
 
 
 def snippet(content: Column, line: Column, context: int | Column = 3, numbers: bool = True, mark_line: Column | None = None, mark_from: Column | None = None, mark_to: Column | None = None) -> Column:
-    """Lines around a 0-based line, numbered from 1 in four columns; the marked range, in characters, between marks."""
+    """Lines around a 0-based line, numbered from 1 in four columns or as many as a number needs; the marked range, in characters, between marks."""
     from .text import raw_lines
 
     ls = raw_lines(content)
@@ -100,7 +100,8 @@ def snippet(content: Column, line: Column, context: int | Column = 3, numbers: b
             hit = (first + i == mark_line) & (mark_to > mark_from)
             mid = F.concat(F.substr(x, F.lit(1), mark_from), F.lit(MARK), F.substr(x, mark_from + 1, mark_to - mark_from), F.lit(MARK), F.substr(x, mark_to + 1))
             x = F.when(hit, mid).otherwise(x)
-        return F.concat(F.lpad((first + i + 1).cast("string"), 4, " "), F.lit(" "), x) if numbers else x
+        number = (first + i + 1).cast("string")
+        return F.concat(F.lpad(number, F.greatest(F.length(number), F.lit(4)), " "), F.lit(" "), x) if numbers else x
 
     return F.array_join(F.transform(part, show), "\n")
 

@@ -47,16 +47,26 @@ def running(lengths: Column) -> Column:
     return F.flatten(F.zip_with(chunks, sums(totals, F.lit(0)), sums))
 
 
-def matches(text: Column, pattern: str, guard: str) -> Column:
-    """All matches as array<struct<s,v,g,h>>: start in code points, the match, the text since the last one and up to the next."""
+#: A character of no meaning that is put around matches, and what it is read as if a text has it.
+MARK, READ_AS = "\ue000", "\ue001"
+
+
+def cut(text: Column, pattern: str, guard: str) -> Column:
+    """A text cut at a pattern's matches, in one pass: the text before, a match, the text after it, a match, and so on."""
     there = text.contains(guard) if guard == "@" else text.rlike(guard)
-    none = F.array().cast("array<string>")
-    found = F.when(there, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none)
-    gaps = F.when(there, F.split(text, pattern, -1)).otherwise(none)
-    before = F.slice(gaps, 1, F.size(found))
-    starts = running(F.zip_with(found, before, lambda v, g: F.char_length(v) + F.char_length(g)))
-    pairs = F.zip_with(F.arrays_zip(found.alias("v"), before.alias("g")), F.slice(gaps, 2, F.greatest(F.size(gaps) - 1, F.lit(0))), lambda x, h: F.struct(x["v"].alias("v"), x["g"].alias("g"), h.alias("h")))
-    return F.zip_with(pairs, starts, lambda x, p: F.struct((p + F.char_length(x["g"])).alias("s"), x["v"].alias("v"), x["g"].alias("g"), x["h"].alias("h")))
+    marked = F.regexp_replace(text, f"({pattern})", f"{MARK}$1{MARK}")
+    return F.when(there, F.split(marked, MARK, -1)).otherwise(F.array(F.lit("")))
+
+
+def placed(parts: Column, starts: Column) -> Column:
+    """Matches as array<struct<s,v,g,h>>: start in code points, the match, the text since the last one and up to the next.
+
+    parts: from :func:`cut`; starts: the running sum of their lengths.
+    """
+    at = lambda i, d: F.get(parts, 2 * i + d)
+    n = F.floor(F.size(parts) / 2).cast("int")
+    each = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.struct(F.get(starts, 2 * i + 1).alias("s"), at(i, 1).alias("v"), at(i, 0).alias("g"), at(i, 2).alias("h")))
+    return F.when(n > 0, each).otherwise(F.array().cast("array<struct<s:int,v:string,g:string,h:string>>"))
 
 
 def _octet(part: Column) -> Column:
@@ -94,18 +104,25 @@ def shape(v: Column) -> Column:
     return F.concat(F.regexp_replace(out, "[A-Za-z0-9]{2,}+", "x"), F.lit("~"), F.floor(F.log2(F.greatest(F.char_length(v), F.lit(1)))).cast("string"))
 
 
-def _patterns(gap: Column, after: Column, v: Column) -> Column:
+def _last_words(gap: Column) -> Column:
+    """The last two words of a text, or fewer, whole, with white space between and after them.
+
+    A short end of the text is tried first, as a search through all of a long text costs more; it counts if the two words
+    in it are whole.
+    """
+    words = r"(?<!\S)((?:\S++\s++)?\S++)\s*+$"
+    near = F.regexp_extract(F.substring_index(gap, " ", -5), r"\s(\S++\s++\S++)\s*+$", 1)
+    return F.when(near != "", near).otherwise(F.regexp_extract(gap, words, 1))
+
+
+def _patterns(far: Column, left: Column, right: Column, v: Column) -> Column:
     """The lexical patterns a candidate stands in: two words before, one before, one after, and the one before with what follows or the shape."""
-    near = F.regexp_extract(gap, r"(?<!\S)(\S++)\s*+$", 1)
-    far = F.regexp_extract(gap, r"(?<!\S)(\S++)\s++\S++\s*+$", 1)
-    right = _word(F.regexp_extract(after, r"^\s*+(\S++)", 1))
-    left = _word(near)
     made = F.array(
-        F.when((far != "") & (near != ""), F.concat(F.lit("2< "), _word(far), F.lit(" "), left)),
-        F.when(near != "", F.concat(F.lit("1< "), left)),
+        F.when((far != "") & (left != ""), F.concat(F.lit("2< "), far, F.lit(" "), left)),
+        F.when(left != "", F.concat(F.lit("1< "), left)),
         F.when(right != "", F.concat(F.lit("1> "), right)),
-        F.when((near != "") & (right != ""), F.concat(F.lit("1<> "), left, F.lit(" "), right)),
-        F.when(near != "", F.concat(F.lit("1<s "), left, F.lit(" "), shape(v))),
+        F.when((left != "") & (right != ""), F.concat(F.lit("1<> "), left, F.lit(" "), right)),
+        F.when(left != "", F.concat(F.lit("1<s "), left, F.lit(" "), shape(v))),
     )
     return F.array_compact(made)
 
@@ -116,11 +133,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     s, e: code points, end exclusive. k: the kind's place in KINDS that a candidate's own text has by format, else null.
     sure: whether that format alone makes it a span that is not a base one. ps: its patterns.
     """
-    text = F.col("_t")
     rows = docs.select(quoted(id_col).alias("_id"), text_of(text_col).alias("_t"))
+    rows = rows.withColumn("_m", F.translate("_t", MARK, READ_AS))
+    # columns of their own, as an expression that is used again within a lambda would be computed again
+    names = (*BASE, "candidate")
+    rows = rows.withColumns({f"_p_{n}": cut(F.col("_m"), PATTERNS.get(n, CANDIDATE), GUARDS.get(n, "[0-9@]")) for n in names})
+    rows = rows.withColumns({f"_s_{n}": running(F.transform(f"_p_{n}", F.char_length)) for n in names})
 
     def of_kind(i: int, kind: str) -> Column:
-        ok = F.filter(matches(text, PATTERNS[kind], GUARDS[kind]), lambda x: _valid(kind, x["v"]))
+        ok = F.filter(placed(F.col(f"_p_{kind}"), F.col(f"_s_{kind}")), lambda x: _valid(kind, x["v"]))
         return F.transform(ok, lambda x: F.struct(x["s"].alias("s"), F.lit(i).alias("k"), (x["s"] + F.char_length(x["v"])).alias("e")))
 
     rows = rows.withColumn("_base", F.concat(*(of_kind(i, kind) for i, kind in enumerate(BASE))))
@@ -131,17 +152,20 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             out = F.when(F.exists(F.regexp_extract_all(v, F.lit(PATTERNS[kind]), F.lit(0)), partial(_valid, kind)), F.lit(i)).otherwise(out)
         return out
 
-    def candidate(x: Column) -> Column:
-        bare = F.regexp_replace(x["v"], r"^[^\p{L}\p{N}+]++", "")
-        v = F.regexp_replace(bare, r"[^\p{L}\p{N}]++$", "")
-        s = x["s"] + F.char_length(x["v"]) - F.char_length(bare)
-        return F.struct(s.alias("s"), (s + F.char_length(v)).alias("e"), v.alias("v"), x["g"].alias("g"), x["h"].alias("h"))
+    # step by step, so that each is computed once
+    def bare(x: Column) -> Column:
+        head = F.regexp_replace(x["v"], r"^[^\p{L}\p{N}+]++", "")
+        return F.struct((x["s"] + F.char_length(x["v"]) - F.char_length(head)).alias("s"), F.regexp_replace(head, r"[^\p{L}\p{N}]++$", "").alias("v"), _last_words(x["g"]).alias("g"), F.regexp_extract(x["h"], r"^\s*+(\S++)", 1).alias("h"))
+
+    def worded(x: Column) -> Column:
+        far, near = F.regexp_extract(x["g"], r"^(\S++)\s++\S", 1), F.regexp_extract(x["g"], r"(?<!\S)(\S++)\s*+$", 1)
+        return F.struct(x["s"].alias("s"), (x["s"] + F.char_length(x["v"])).alias("e"), x["v"].alias("v"), _word(far).alias("far"), _word(near).alias("left"), _word(x["h"]).alias("right"))
 
     def judged(x: Column) -> Column:
-        return F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lower(x["v"]).alias("v"), kind_of(x["v"]).alias("k"), x["v"].rlike(SURE_SECRET).alias("sure"), _patterns(x["g"], x["h"], x["v"]).alias("ps"))
+        return F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lower(x["v"]).alias("v"), kind_of(x["v"]).alias("k"), x["v"].rlike(SURE_SECRET).alias("sure"), _patterns(x["far"], x["left"], x["right"], x["v"]).alias("ps"))
 
-    cands = F.filter(F.transform(matches(text, CANDIDATE, "[0-9@]"), candidate), lambda x: x["e"] > x["s"])
-    return rows.select("_id", F.xxhash64("_t").alias("_h"), "_base", F.transform(cands, judged).alias("_cands"))
+    cands = F.filter(F.transform(placed(F.col("_p_candidate"), F.col("_s_candidate")), bare), lambda x: x["v"] != "")
+    return rows.select("_id", F.xxhash64("_t").alias("_h"), "_base", F.transform(F.transform(cands, worded), judged).alias("_cands"))
 
 
 def bootstrap(candidates: DataFrame, least: float = 0.8, support: float = 3.0) -> DataFrame:

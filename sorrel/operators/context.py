@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import time
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.render import snippet
@@ -10,7 +13,38 @@ from ..functions.text import byte_tokens, lines
 
 #: Index chunk types and the context types they become.
 CONTEXT_TYPES = {"file_summary": "file_summary", "symbol_definition": "definition", "symbol_reference": "reference", "code_block": "code", "documentation": "documentation"}
-QUERY = "struct<query_id:string,type:string,name:string,path:string,line:int,description:string,keywords:array<string>,paths:array<string>,symbols:array<string>,base_symbol:string,relation:string>"
+QUERY = "query_id string, type string, name string, path string, line int, description string, keywords array<string>, paths array<string>, symbols array<string>, base_symbol string, relation string"
+CHUNK = ("query_id", "ord", "file_id", "content", "chunk_type", "symbol", "n_symbols", "signature")
+
+
+def symbol_query(name: str) -> dict:
+    return {"type": "symbol", "name": name}
+
+
+def position_query(path: str, line: int) -> dict:
+    return {"type": "position", "path": path, "line": line}
+
+
+def file_query(path: str) -> dict:
+    return {"type": "file", "path": path}
+
+
+def concept_query(description: str) -> dict:
+    return {"type": "concept", "description": description}
+
+
+def task_query(keywords: list[str], paths: list[str], symbols: list[str]) -> dict:
+    return {"type": "task_driven", "keywords": keywords, "paths": paths, "symbols": symbols}
+
+
+def related_query(base_symbol: str, relation: str = "callers") -> dict:
+    return {"type": "related", "base_symbol": base_symbol, "relation": relation}
+
+
+def queries(spark: SparkSession, *rows: dict) -> DataFrame:
+    """Queries of any kind as one table; a row's query_id is its place unless it has one."""
+    names = [c.split()[0] for c in QUERY.split(", ")]
+    return spark.createDataFrame([tuple(({"query_id": str(i)} | r).get(c) for c in names) for i, r in enumerate(rows)], QUERY)
 
 
 def chunk_id(*parts: Column) -> Column:
@@ -37,10 +71,14 @@ def within_budget(chunks: DataFrame, group: list[str], budget: int = 4000) -> Da
 
 
 def refine(chunks: DataFrame, group: list[str], budget: int = 4000) -> DataFrame:
-    """Dedup, score and cut: chunks (group, ord, content, chunk_type, symbol, n_symbols) become context chunks."""
+    """Dedup, score and cut: chunks (group, ord, content, chunk_type, symbol, n_symbols) become context chunks.
+
+    symbol_signatures: the symbol's name and, of a definition that has one, its signature.
+    """
     scored = dedup_by_symbol(chunks, group).withColumn("relevance", relevance(F.col("chunk_type"), F.col("n_symbols"))).withColumn("token_count", byte_tokens(F.col("content")))
     types = F.create_map(*(F.lit(x) for kv in CONTEXT_TYPES.items() for x in kv))
-    return within_budget(scored, group, budget).withColumn("context_type", types[F.col("chunk_type")])
+    named = F.array_compact(F.array("symbol", *(["signature"] if "signature" in chunks.columns else [])))
+    return within_budget(scored, group, budget).withColumn("context_type", types[F.col("chunk_type")]).withColumn("symbol_signatures", named)
 
 
 def chunk_text(path: Column, first: Column, last: Column, signatures: Column, content: Column) -> Column:
@@ -81,8 +119,9 @@ def retrieve_symbols(queries: DataFrame, definitions: DataFrame, references: Dat
     f = files.select("file_id", "rel_path", "content")
     from .navigation import signature
 
-    d = queries.join(definitions, "name").join(f.drop("rel_path"), "file_id").select("query_id", "name", "file_id", F.lit(0).alias("phase"), F.col("rank").alias("place"), "start_line", F.concat(signature(F.col("content"), F.col("start_line")), F.lit("\n"), snippet(F.col("content"), F.col("start_line"), 5)).alias("content"), F.lit("symbol_definition").alias("chunk_type"))
-    r = queries.join(references, "name").join(f, "file_id").select("query_id", "name", "file_id", F.lit(1).alias("phase"), F.col("seq").alias("place"), "start_line", snippet(F.col("content"), F.col("start_line"), 3).alias("content"), F.lit("symbol_reference").alias("chunk_type"))
+    sig = signature(F.col("content"), F.col("start_line"))
+    d = queries.join(definitions, "name").join(f.drop("rel_path"), "file_id").select("query_id", "name", "file_id", F.lit(0).alias("phase"), F.col("rank").alias("place"), "start_line", F.concat(sig, F.lit("\n"), snippet(F.col("content"), F.col("start_line"), 5)).alias("content"), F.lit("symbol_definition").alias("chunk_type"), sig.alias("signature"))
+    r = queries.join(references, "name").join(f, "file_id").select("query_id", "name", "file_id", F.lit(1).alias("phase"), F.col("seq").alias("place"), "start_line", snippet(F.col("content"), F.col("start_line"), 3).alias("content"), F.lit("symbol_reference").alias("chunk_type"), F.lit(None).cast("string").alias("signature"))
     order = Window.partitionBy("query_id").orderBy("phase", "place")
     both = d.unionByName(r).withColumn("ord", F.row_number().over(order)).where(F.col("ord") <= top_k).drop("phase", "place")
     symbol = F.when(F.col("chunk_type") == "symbol_definition", F.col("name"))
@@ -106,12 +145,13 @@ def retrieve_files(queries: DataFrame, files: DataFrame) -> DataFrame:
 def retrieve_tasks(queries: DataFrame, by_symbol: DataFrame, by_file: DataFrame, top_k: int = 10) -> DataFrame:
     """Task queries (query_id, symbols, paths): three chunks of each distinct symbol, then files, top_k in all.
 
-    by_symbol (name, ord, content, chunk_type) and by_file (path, content, chunk_type) are retrieved chunks; keywords
-    have no part.
+    by_symbol (name, ord, content, chunk_type) and by_file (path, content, chunk_type) are retrieved chunks, whose other
+    common columns stay; keywords have no part.
     """
+    more = [c for c in by_symbol.columns if c in by_file.columns and c not in ("content", "chunk_type")]
     s = queries.select("query_id", F.posexplode(F.array_distinct("symbols")).alias("place", "name")).join(by_symbol.where("ord <= 3"), "name")
     p = queries.select("query_id", F.posexplode("paths").alias("place", "path")).join(by_file, "path")
-    both = s.select("query_id", F.lit(0).alias("phase"), "place", "ord", "content", "chunk_type", F.col("name").alias("symbol")).unionByName(p.select("query_id", F.lit(1).alias("phase"), "place", F.lit(0).alias("ord"), "content", "chunk_type", F.lit(None).cast("string").alias("symbol")))
+    both = s.select("query_id", F.lit(0).alias("phase"), "place", "ord", "content", "chunk_type", F.col("name").alias("symbol"), *more).unionByName(p.select("query_id", F.lit(1).alias("phase"), "place", F.lit(0).alias("ord"), "content", "chunk_type", F.lit(None).cast("string").alias("symbol"), *more))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("phase", "place", "ord"))
     return both.withColumn("_rank", rank).where(F.col("_rank") <= top_k).drop("phase", "place", "ord").withColumnRenamed("_rank", "ord")
 
@@ -123,6 +163,41 @@ def retrieve_related(queries: DataFrame, references: DataFrame, definitions: Dat
     return q.join(references.where(F.col("seq") <= 2 * top_k), "name").withColumn("ord", F.row_number().over(order)).where(F.col("ord") <= top_k)
 
 
+KINDS = ("symbol", "position", "file", "task_driven", "related")
+
+
+def retrieve(queries: DataFrame, definitions: DataFrame, references: DataFrame, files: DataFrame, top_k: int = 10, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """Chunks (CHUNK) for queries of every kind at once, ``top_k`` for each: a union of one plan for each of ``kinds``.
+
+    definitions, references: of all names that queries ask for, as navigation finds them. Concepts find nothing, as known
+    results have it; see :func:`concept_top_k`.
+    """
+    no_signature = F.lit(None).cast("string").alias("signature")
+    of = lambda k: queries.where(F.col("type") == k)
+
+    def tasks() -> DataFrame:
+        asked = of("task_driven")
+        names = asked.select(F.explode("symbols").alias("name")).distinct().select(F.col("name").alias("query_id"), "name")
+        paths = asked.select(F.explode("paths").alias("path")).distinct().select(F.col("path").alias("query_id"), "path")
+        by_symbol = retrieve_symbols(names, definitions, references, files, 3).select(F.col("query_id").alias("name"), "ord", "content", "chunk_type", "signature", "file_id")
+        by_file = retrieve_files(paths, files).select(F.col("query_id").alias("path"), "content", "chunk_type", no_signature, "file_id")
+        return retrieve_tasks(asked.select("query_id", "symbols", "paths"), by_symbol, by_file, top_k).withColumn("n_symbols", F.col("symbol").isNotNull().cast("int"))
+
+    def related() -> DataFrame:
+        uses = retrieve_related(of("related").select("query_id", "base_symbol", "relation"), references, definitions, top_k).join(files.select("file_id", "content"), "file_id")
+        return uses.select("query_id", "ord", "file_id", snippet(F.col("content"), F.col("start_line"), 3).alias("content"), F.lit("symbol_reference").alias("chunk_type"), F.lit(None).cast("string").alias("symbol"), F.lit(0).alias("n_symbols"), no_signature)
+
+    make = {
+        "symbol": lambda: retrieve_symbols(of("symbol").select("query_id", "name"), definitions, references, files, top_k),
+        "position": lambda: retrieve_positions(of("position").select("query_id", "path", "line"), files, top_k).select("*", no_signature),
+        "file": lambda: retrieve_files(of("file").select("query_id", "path"), files).select("*", no_signature),
+        "task_driven": tasks,
+        "related": related,
+    }
+    parts = [make[k]().select(*CHUNK) for k in KINDS if k in kinds]
+    return reduce(DataFrame.unionByName, parts) if parts else retrieve_files(queries.where("false").select("query_id", "path"), files).select("*", no_signature).select(*CHUNK)
+
+
 def concept_top_k(vectors: DataFrame, query: list[float], k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The k vectors of largest cosine with the query; an addition of this library, concepts otherwise find nothing."""
     v, q = F.col(vector_col), F.array(*(F.lit(float(x)) for x in query))
@@ -157,23 +232,48 @@ def invalidate(chunks: DataFrame, locations: DataFrame, keys: list[str]) -> Data
 
 
 class ContextCache:
-    """Frames by query and top_k; storage and eviction are Spark's."""
+    """Chunk tables by query and top_k; storage is Spark's. Past ``cap`` entries the better half by accesses over age stays."""
 
-    def __init__(self) -> None:
-        self._frames: dict[tuple[str, int], DataFrame] = {}
-        self.hits = self.misses = 0
+    def __init__(self, cap: int = 1000, clock=time.monotonic) -> None:
+        self._frames: dict[tuple, list] = {}  # frame, accesses, time of the last one
+        self.cap, self._clock, self.hits, self.misses = cap, clock, 0, 0
 
-    def get(self, query: str, top_k: int, make) -> DataFrame:
-        key = (query, top_k)
+    def get(self, query, top_k: int, make) -> DataFrame:
+        """query: a hashable key or a query row."""
+        key = (tuple(sorted((k, str(v)) for k, v in query.items())) if isinstance(query, dict) else query, top_k)
         if key in self._frames:
             self.hits += 1
         else:
             self.misses += 1
-            self._frames[key] = make().persist()
-        return self._frames[key]
+            if len(self._frames) >= self.cap:
+                self._evict()
+            self._frames[key] = [make().persist(), 0, self._clock()]
+        entry = self._frames[key]
+        entry[1:] = entry[1] + 1, self._clock()
+        return entry[0]
+
+    def _evict(self) -> None:
+        now = self._clock()
+        ranked = sorted(self._frames.items(), key=lambda kv: kv[1][1] / (now - kv[1][2] + 1))
+        for key, (df, _, _) in ranked[: len(ranked) - self.cap // 2]:
+            df.unpersist()
+            del self._frames[key]
+
+    def _all(self) -> DataFrame | None:
+        frames = [df for df, _, _ in self._frames.values()]
+        return reduce(DataFrame.unionByName, frames) if frames else None
+
+    def by_symbol(self, name: str) -> DataFrame | None:
+        """Distinct cached chunks of a symbol; None while nothing is cached."""
+        every = self._all()
+        return None if every is None else every.where(F.col("symbol") == name).drop("query_id", "ord").distinct()
+
+    def by_file(self, file_id: str) -> DataFrame | None:
+        every = self._all()
+        return None if every is None else every.where(F.col("file_id") == file_id).drop("query_id", "ord").distinct()
 
     def clear(self) -> None:
-        for df in self._frames.values():
+        for df, _, _ in self._frames.values():
             df.unpersist()
         self._frames.clear()
 

@@ -11,6 +11,7 @@ import ast
 import re
 import time
 from collections.abc import Iterator
+from itertools import accumulate
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -19,15 +20,24 @@ from pyspark.sql import DataFrame
 MAX_BYTES, MAX_SECONDS = 500_000, 1.0
 CAPTURES = "file_id string, lang string, capture string, capture_ix int, ord int, start_byte int, start_line int, start_col int, end_byte int, end_line int, end_col int, text string, error string"
 #: Errors of a file, as its only row.
-UNSUPPORTED, TIMEOUT, BROKEN, TOO_LARGE = "UnsupportedLanguage", "ParseTimeout", "LanguageMismatch", "FileTooLarge"
+UNSUPPORTED, TIMEOUT, BROKEN, QUERY, TOO_LARGE = "UnsupportedLanguage", "ParseTimeout", "LanguageMismatch", "QueryError", "FileTooLarge"
+
+
+class TooSlow(Exception):
+    """Reading a file takes longer than it may."""
 
 
 @dataclass
 class Source:
     text: str
+    deadline: float = float("inf")
     data: bytes = b""
     starts: list[int] = field(default_factory=list)
 
+    def check_time(self) -> None:
+        if time.monotonic() > self.deadline:
+            raise TooSlow
+
     def __post_init__(self) -> None:
         self.data = self.text.encode()
         self.starts = [0, *(i + 1 for i, b in enumerate(self.data) if b == 10)]
@@ -54,6 +64,8 @@ class _Python(ast.NodeVisitor):
         return self.src.at(node.lineno - 1, node.col_offset), self.src.at(node.end_lineno - 1, node.end_col_offset)
 
     def add(self, capture: str, start: int, end: int) -> None:
+        if not len(self.out) % 4096:
+            self.src.check_time()
         self.out.append((capture, start, end))
 
     def word(self, capture: str, name: str, after: int) -> None:
@@ -224,14 +236,18 @@ def lexed_captures(src: Source, g: Grammar) -> list[Capture]:
     ends with its body, in which the names of its parameter list are defined; braces are scopes (in Ruby, words to end).
     In an import statement names are imported. Other names are references, but not after a dot."""
     text, out = src.text, []
-    byte_at = (lambda i: i) if text.isascii() else (lambda i: len(text[:i].encode()))
+    bytes_before = None if text.isascii() else [0, *accumulate(1 + (c > "\x7f") + (c > "\u07ff") + (c > "\uffff") for c in text)]
+    byte_at = (lambda i: i) if bytes_before is None else bytes_before.__getitem__
     toks = [(m.lastgroup, m[0], m.start(), m.end()) for m in _TOKEN[g.line_comment].finditer(text) if m.lastgroup != "skip"]
     ruby = g.line_comment == "#" and "def" in g.declares
+    has_body = _bodies(toks)
     opens: list[tuple[str, int, int | None]] = []  # kind, start, start of the function that owns the body
     pending: str | None = None
     fn_start: int | None = None
     params, importing = 0, False
     for i, (kind, word, a, b) in enumerate(toks):
+        if not i % 4096:
+            src.check_time()
         after = toks[i + 1][1] if i + 1 < len(toks) else ""
         before = toks[i - 1][1] if i else ""
         new_line = not i or "\n" in text[toks[i - 1][3] : a]
@@ -270,7 +286,7 @@ def lexed_captures(src: Source, g: Grammar) -> list[Capture]:
                 pending = None
             elif params and before in ("(", ",", "mut", "&") and (after in (",", ")", ":", "=") or "func" in g.declares):
                 out.append(("local.definition.parameter" if "parameter" in str(g.declares) else "local.definition.variable", *span))
-            elif g.bare_functions and after == "(" and _has_body(toks, i + 1) and before not in (".", "new", "return", "=", "("):
+            elif g.bare_functions and after == "(" and has_body[i + 1] and before not in (".", "new", "return", "=", "("):
                 out.append(("hoist.definition.function" if "class" not in g.declares or "namespace" in g.declares and "var" not in g.declares else "hoist.definition.method", *span))
                 fn_start = a
             elif after in g.assigns and before != ".":
@@ -308,14 +324,15 @@ def lexed_captures(src: Source, g: Grammar) -> list[Capture]:
     return out
 
 
-def _has_body(toks: list[tuple[str, str, int, int]], at: int) -> bool:
-    """Whether the parenthesis at a token closes before an opening brace with only words in between."""
-    depth = 0
-    for _, word, _, _ in toks[at : at + 400]:
-        depth += (word == "(") - (word == ")")
-        if depth == 0 and word != ")":
-            return word == "{" or (word not in (";", "=", ",", ")", "}", "(") and False)
-    return False
+def _bodies(toks: list[tuple[str, str, int, int]]) -> list[bool]:
+    """For each token whether it is a parenthesis that closes right before an opening brace; one pass with a stack."""
+    out, opens = [False] * len(toks), []
+    for i, (_, word, _, _) in enumerate(toks):
+        if word == "(":
+            opens.append(i)
+        elif word == ")" and opens:
+            out[opens.pop()] = i + 1 < len(toks) and toks[i + 1][1] == "{"
+    return out
 
 
 ORDER = ("local.scope", "hoist.definition", "local.definition", "global.definition", "local.import", "local.reference")
@@ -333,19 +350,22 @@ def captures_of(file_id: str, lang: str | None, text: str | None) -> list[tuple]
         return failed(TOO_LARGE)
     if name != "python" and name not in GRAMMARS:
         return failed(UNSUPPORTED)
-    src, began = Source(text), time.monotonic()
+    src = Source(text, time.monotonic() + MAX_SECONDS)
     try:
         found = python_captures(src) if name == "python" else lexed_captures(src, GRAMMARS[name])
+        src.check_time()
+    except TooSlow:
+        return failed(TIMEOUT)
     except (SyntaxError, ValueError, RecursionError):
         return failed(BROKEN)
-    if time.monotonic() - began > MAX_SECONDS:
-        return failed(TIMEOUT)
+    except LookupError:  # a grammar that doesn't fit its own tokens
+        return failed(QUERY)
     names: dict[str, int] = {}
     for c in sorted({c for c, _, _ in found}, key=lambda c: ([i for i, p in enumerate(ORDER) if c.startswith(p)] or [9], c)):
         names[c] = len(names)
     rows = []
     # scopes come outer first, as a tree walk meets them
-    for i, (capture, a, b) in enumerate([("root", 0, len(src.data)), *sorted(dict.fromkeys(found), key=lambda x: (names[x[0]], x[1], -x[2]))]):
+    for i, (capture, a, b) in enumerate([("root", 0, len(src.data)), *sorted(found, key=lambda x: (names[x[0]], x[1], -x[2]))]):
         (la, ca), (lb, cb) = src.place(a), src.place(b)
         named = src.data[a:b].decode() if "scope" not in capture and capture != "root" else None
         rows.append((file_id, lang, capture, names.get(capture, -1), i, a, la, ca, b, lb, cb, named, None))

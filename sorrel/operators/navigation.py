@@ -100,10 +100,11 @@ def references_minus_definitions(references: DataFrame, definitions: DataFrame)
 
 def signature(content: Column, line: Column) -> Column:
     """From a 0-based line: a function's lines until an opening brace, semicolon or blank line; else the line itself."""
-    ls = F.slice(lines(content), line + 1, 64)
+    every = lines(content)
+    ls = F.slice(every, line + 1, F.greatest(F.size(every) - line, F.lit(0)))
     first = F.get(ls, F.lit(0))
-    stop = lambda x: x.contains("{") | x.contains(";") | (F.trim(x) == "")
-    taken = F.aggregate(ls, F.struct(F.array().cast("array<string>").alias("o"), F.lit(True).alias("on")), lambda a, x: F.struct(F.when(a["on"], F.concat(a["o"], F.array(x))).otherwise(a["o"]).alias("o"), (a["on"] & ~stop(x)).alias("on")), lambda a: a["o"])
+    end = F.array_position(F.transform(ls, lambda x: x.contains("{") | x.contains(";") | (F.trim(x) == "")), True)
+    taken = F.slice(ls, 1, F.when(end > 0, end.cast("int")).otherwise(F.size(ls)))
     function = F.regexp_replace(F.rtrim(F.regexp_replace(F.rtrim(F.regexp_replace(F.array_join(taken, "\n"), r"(?s)\{.*", "")), ";$", "")), r"\s+\z", "")
     header = F.rtrim(F.regexp_replace(F.rtrim(F.regexp_replace(F.rtrim(first), r"\{$", "")), ";$", ""))
     return F.when(function_like(first), function).otherwise(header)

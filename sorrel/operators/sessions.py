@@ -54,8 +54,30 @@ def unsaved(messages: DataFrame, saved: DataFrame) -> DataFrame:
     return messages.join(saved.select("session_id", "ordinal").distinct(), ["session_id", "ordinal"], "left_anti")
 
 
-def append_sessions(messages: DataFrame, saved: DataFrame, path: str) -> None:
-    unsaved(messages, saved).write.mode("append").partitionBy("session_id").json(path)
+def saved_ordinals(events: DataFrame) -> DataFrame:
+    """(session_id, ordinal) of the messages that logs hold since their last creation, numbered from 0."""
+    n = live_messages(events).groupBy("session_id").agg(F.count(F.lit(1)).cast("int").alias("n")).where("n > 0")
+    return n.select("session_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("ordinal"))
+
+
+def session_log_lines(sessions: DataFrame, messages: DataFrame) -> DataFrame:
+    """(session_id, place, value): log lines of new sessions (session_id, title, ts_ms), created first, and of messages.
+
+    messages: session_id, ordinal, id, role, content, timestamp.
+    """
+    made = sessions.select("session_id", F.lit(-1).alias("place"), F.to_json(F.struct(F.lit("session_created").alias("type"), "session_id", "title", "ts_ms")).alias("value"))
+    message = F.struct("id", "role", "content", "timestamp").alias("message")
+    said = messages.select("session_id", F.col("ordinal").alias("place"), F.to_json(F.struct(F.lit("message_appended").alias("type"), "session_id", message)).alias("value"))
+    return made.unionByName(said)
+
+
+def append_sessions(log_lines: DataFrame, folder: str) -> None:
+    """Append lines (session_id, place, value) to the logs of a folder, from which :func:`sources.repo.session_lines` reads.
+
+    A session's lines of one append are one file in the session's folder, in order of place; files come by time.
+    """
+    rows = log_lines.repartition("session_id").sortWithinPartitions("session_id", "place").select("session_id", "value")
+    rows.write.mode("append").partitionBy("session_id").text(folder)
 
 
 def append_trajectory(steps: DataFrame, path: str) -> None:

@@ -13,8 +13,14 @@ from ..functions.languages import symbol_kinds
 from ..functions.missing import missing_in
 from ..operators import context, extract, navigation, scope
 from ..sources import repo
+from . import surface
 from .completion import CompletionClient, Disabled
 
+# Messages.
+TOO_LONG = "❌ Input too long: exceeds max_input_chars={}. Please shorten or split your request."
+DANGEROUS = "危险命令拦截：命中 `{}`"
+REPEATED = "⚠️ Warning: 重复编辑，请检查逻辑"
+
 
 @dataclass(frozen=True)
 class Budget:
@@ -35,9 +41,14 @@ class Turn:
 class Engine:
     """The index of a tree as tables: files, nodes, edges. Lookups are plans over these; only what they return is collected."""
 
-    def __init__(self, spark: SparkSession, root: str, budget: Budget | None = None, client: CompletionClient | None = None, history: int = 32):
+    def __init__(self, spark: SparkSession, root: str, budget: Budget | None = None, client: CompletionClient | None = None, history: int = 32, prefer_client: bool | None = None, files: surface.FileProvider | None = None, tools: dict[str, surface.Tool] | None = None, guard: surface.SafetyGuard | None = None, store: surface.SessionStore | None = None, recorder: surface.TrajectoryRecorder | None = None, sink: surface.EventSink | None = None):
+        """prefer_client: plan with the completion client, which is the default if there is one; anything else given replaces its part."""
         self.spark, self.root, self.budget, self.client, self.history = spark, root, budget or Budget(), client or Disabled(), history
-        self.files = repo.scan(spark, root).persist()
+        self.prefer_client = not isinstance(self.client, Disabled) if prefer_client is None else prefer_client
+        self.tools, self.guard, self.store = tools or {}, guard, store or surface.MemoryStore()
+        self.recorder, self.sink = recorder or surface.NoRecorder(), sink or surface.ListSink()
+        self.cache, self._refills, self._refilled = context.ContextCache(), 0, set()
+        self.files = (files.files(spark, root) if files else repo.scan(spark, root)).persist()
         captures = extract.extract(self.files).persist()
         self.errors = captures.where("error is not null").select("file_id", "error")
         good = captures.where("error is null").withColumn("lang", F.lower("lang"))
@@ -62,19 +73,73 @@ class Engine:
         return navigation.symbol_context(locations, self.files)
 
     def retrieve_symbol(self, name: str, top_k: int = 10) -> DataFrame:
-        q = self.spark.createDataFrame([("q", name)], "query_id string, name string")
-        return context.retrieve_symbols(q, self.goto_definition(name), self.find_references(name), self.files, top_k)
+        return self.retrieve(context.symbol_query(name), top_k)
+
+    def retrieve(self, query: dict, top_k: int = 10) -> DataFrame:
+        """Chunks for a query of any kind (:func:`context.symbol_query` and its like), from the cache if it was asked before."""
+
+        def make() -> DataFrame:
+            names = [query["name"]] if query["type"] == "symbol" else [query["base_symbol"]] if query["type"] == "related" else query.get("symbols") or []
+            named = self.names(*names)
+            found = navigation.goto_definition(self.nodes, self.files, named), navigation.find_references(self.nodes, self.files, named)
+            return self._held(context.retrieve(context.queries(self.spark, query), *found, self.files, top_k, (query["type"],)))
+
+        return self.cache.get(query, top_k, make)
 
     def refine(self, chunks: DataFrame) -> DataFrame:
         return context.refine(chunks, ["query_id"], self.budget.max_context_tokens)
 
-    def refill(self, answer: str, have: list[str], rounds: int = 3) -> list[str]:
-        """Chunks for symbols that an answer lacks and no signature has, in rounds of one symbol each, at most ``rounds``."""
+    def refill(self, answer: str, rounds: int = 3) -> list[str]:
+        """Chunks, up to five a symbol, for all symbols that an answer lacks and that were not refilled before.
+
+        At most ``rounds`` answers of an engine are served; see :meth:`new_conversation`.
+        """
+        if self._refills >= rounds:
+            return []
+        new = [s for s in missing_in(answer) if s not in self._refilled]
         out = []
-        for name in [s for s in missing_in(answer) if not any(s in sig for sig in have)][:rounds]:
-            out += [r["content"] for r in self.refine(self.retrieve_symbol(name, 5)).collect()]
+        for name in new:
+            out += [r["content"] for r in self.refine(self.retrieve(context.symbol_query(name), 5)).orderBy(F.desc("relevance"), "ord").collect()]
+        self._refilled.update(new)
+        self._refills += bool(new)
         return out
 
+    def new_conversation(self) -> None:
+        self._refills, self._refilled = 0, set()
+
+    def supplement(self, chunks: DataFrame, wanted: list[str]) -> DataFrame:
+        """The best chunk of each wanted symbol that no signature of the refined chunks contains."""
+        asked = self.names(*wanted).select(F.lit("0").alias("query_id"), "name")
+        names = [r["name"] for r in context.missing_from(asked, chunks).collect()]
+        queries = context.queries(self.spark, *(context.symbol_query(n) for n in names))
+        named = self.names(*names)
+        found = navigation.goto_definition(self.nodes, self.files, named), navigation.find_references(self.nodes, self.files, named)
+        return context.refine(self._held(context.retrieve(queries, *found, self.files, 1, ("symbol",))), ["query_id"], self.budget.max_context_tokens)
+
+    def _held(self, chunks: DataFrame) -> DataFrame:
+        """The chunks as rows of the driver, ``top_k`` for each query, so that plans over them are small."""
+        return self.spark.createDataFrame(chunks.collect(), chunks.schema)
+
+    def task_context(self, task: Row) -> str:
+        """The prompt's context for a task: its identifiers and paths, ten chunks refined.
+
+        A path without chunks gives its first 50 lines; without any, symbols are at least named; a task that has neither
+        has no context.
+        """
+        kinds = {k: [e["value"] for e in task["entities"] if e["kind"] == k] for k in ("Identifier", "Path")}
+        if not kinds["Identifier"] and not kinds["Path"]:
+            return ""
+        chunks = self.refine(self.retrieve(context.task_query([task["raw_input"]], kinds["Path"], kinds["Identifier"]), 10))
+        named = self.files.select("file_id", "rel_path")
+        none = F.array().cast("array<string>")
+        block = context.chunk_text(F.coalesce("rel_path", F.lit("?")), F.col("ord"), F.col("ord"), F.coalesce("symbol_signatures", none), F.col("content"))
+        row = context.prompt(chunks.join(named, "file_id", "left").withColumn("block", block), ["query_id"]).first()
+        if row is not None:
+            return row["prompt"]
+        heads = [(p, self._content(p)) for p in kinds["Path"]]
+        shown = [f"// File: {p}\n" + "\n".join(c.splitlines()[:50]) for p, c in heads if c is not None]
+        return "\n".join(shown) or (f"// Task mentions symbols: {', '.join(kinds['Identifier'])}" if kinds["Identifier"] else "")
+
     def answer(self, request: str, explain: bool = False) -> str:
         """Up to three identifiers: place, snippet, other candidates and references of each."""
         df = self.spark.createDataFrame([(request,)], "t string").select(text.identifiers_dedup(F.col("t")).alias("n"), text.file_position(F.col("t")).alias("p"))
@@ -108,13 +173,13 @@ class Engine:
         t = F.col("task")
         row = self.spark.createDataFrame([(request,)], "t string").select(tasks.task(F.col("t")).alias("task")).select(t, tasks.rule_plan(t).alias("plan")).first()
         steps = row["plan"]["steps"]
-        if row["task"]["task_type"] != "Terminal" and not isinstance(self.client, Disabled):
-            steps = self.ask_plan(request) or steps
+        if row["task"]["task_type"] != "Terminal" and self.prefer_client:
+            steps = self.ask_plan(request, self.task_context(row["task"])) or steps
         return row["task"], steps
 
-    def ask_plan(self, request: str) -> list[Row] | None:
-        """A plan from the completion service: one request, one repair, then none."""
-        system, user = "Answer with a JSON plan: {steps, estimated_tokens}.", request
+    def ask_plan(self, request: str, known: str = "") -> list[Row] | None:
+        """A plan from the completion service, which is told what is known: one request, one repair, then none."""
+        system, user = "Answer with a JSON plan: {steps, estimated_tokens}.", f"{known}\n{request}" if known else request
         for _ in range(2):
             try:
                 said = self.client.complete(system, user)
@@ -129,13 +194,35 @@ class Engine:
 
     def run_turn(self, request: str, session_id: str = "local") -> Turn:
         """Gate, task, plan, steps until the first that fails, review. Edits change the engine's table of files only."""
+        self.recorder.run_started(session_id, request)
+        turn = self._turn(request, session_id)
+        self._emit(session_id, {"event": "reviewed", "ok": turn.review == "Success"})
+        self.recorder.run_ended(session_id, turn.review)
+        session = self.store.get(session_id)
+        if session is not None:
+            session.push("user", request)
+            session.push("assistant", turn.output)
+            self.store.save(session)
+        return turn
+
+    def _emit(self, session_id: str, event: dict) -> None:
+        self.sink.emit(event)
+        self.recorder.event(session_id, event)
+
+    def _turn(self, request: str, session_id: str) -> Turn:
         if len(request) > self.budget.max_input_chars:
-            return Turn("rejected", f"❌ Input too long: exceeds max_input_chars={self.budget.max_input_chars}. Please shorten or split your request.", "NeedsRevision")
+            return Turn("rejected", TOO_LONG.format(self.budget.max_input_chars), "NeedsRevision")
         task, steps = self.plan(request)
+        self._emit(session_id, {"event": "classified", "task": task["task_type"]})
+        self._emit(session_id, {"event": "planned", "steps": len(steps)})
         out, events, first, reason = [], [], {}, None
-        for s in steps[: self.budget.max_steps]:
+        for i, s in enumerate(steps[: self.budget.max_steps]):
+            label = f"tool:{s['tool']}" if s["kind"] == "tool_call" else s["kind"]
+            self._emit(session_id, {"event": "step started", "step": i, "label": label})
             ok, said = self._step(s, session_id, first)
-            events.append({"label": f"tool:{s['tool']}" if s["kind"] == "tool_call" else s["kind"], "ok": ok, "reward": 0.2 if ok else -0.5})
+            self._emit(session_id, {"event": "step completed", "step": i, "ok": ok})
+            events.append({"label": label, "ok": ok, "reward": 0.2 if ok else -0.5})
+            self.recorder.step({"session_id": session_id, "action": label, "reward": events[-1]["reward"], "outcome": said[:500]})
             out.append(said if len(said.encode()) <= 500 or s["kind"] == "intelligence" else said.encode()[:500].decode(errors="ignore") + "...")
             if not ok:
                 reason = said
@@ -150,14 +237,16 @@ class Engine:
 
     def _allowed(self, session: str, kind: str, payload: dict) -> str | None:
         """What forbids an action, or null; allowed actions are recorded."""
+        if self.guard is not None:
+            return self.guard.check(session, kind, payload)
         if kind == "Terminal":
             bad = self.spark.createDataFrame([(payload["cmd"],)], "c string").select(tasks.dangerous_command(F.col("c"))).first()[0]
             if bad:
-                return f"危险命令拦截：命中 `{bad}`"
+                return DANGEROUS.format(bad)
         digest, recent = f"{kind}:{json.dumps(payload, sort_keys=True)}", self._recorded.setdefault(session, [])
         again = kind == "EditFile" and digest in recent
         self._recorded[session] = [*recent, digest][-self.history :]
-        return "⚠️ Warning: 重复编辑，请检查逻辑" if again else None
+        return REPEATED if again else None
 
     def _content(self, path: str) -> str | None:
         row = self.files.where(F.col("rel_path") == path).select("content").first()
@@ -166,9 +255,12 @@ class Engine:
     def _write(self, path: str, content: str) -> None:
         new = self.spark.createDataFrame([(path, content)], "_p string, _c string")
         self.files = self.files.join(F.broadcast(new), F.col("rel_path") == F.col("_p"), "left").withColumn("content", F.coalesce("_c", "content")).drop("_p", "_c")
+        self.cache.clear()
 
     def _step(self, s: Row, session: str, first: dict[str, str]) -> tuple[bool, str]:
         kind, tool = s["kind"], s["tool"]
+        if kind == "tool_call" and tool in self.tools:
+            return self.tools[tool].run(s)
         if kind == "echo" or kind == "think":
             return True, s["text"] or ""
         if kind == "intelligence":

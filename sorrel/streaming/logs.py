@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.sessions import SESSION_EVENT
+from ..sources.repo import _session_files, _session_of
 
 
 def windowed_counts(events: DataFrame, width: str, late: str | None = None) -> DataFrame:
@@ -21,16 +22,48 @@ def windowed_counts(events: DataFrame, width: str, late: str | None = None) -> D
 
 
 def session_log_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """New lines of *.jsonl session logs as events (session_id, type, title, ts_ms, message); the file names the session."""
-    lines = spark.readStream.option("pathGlobFilter", "*.jsonl").text(folder)
-    e = lines.select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.jsonl$", 1).alias("session_id"), F.from_json("value", SESSION_EVENT).alias("e"))
-    return e.where(F.col("e.type").isin("session_created", "message_appended")).select("session_id", "e.type", "e.title", "e.ts_ms", "e.message")
+    """New lines of session logs as events (session_id, line_no, type, title, ts_ms, message); see :func:`sources.repo.session_lines`."""
+    m = F.col("_metadata")
+    lines = _session_files(spark.readStream).text(folder)
+    line = F.struct(m["file_modification_time"].alias("time"), m["file_path"].alias("path"), m["file_block_start"].alias("start"), F.monotonically_increasing_id().alias("row"))
+    e = lines.select(_session_of(m["file_path"]).alias("session_id"), line.alias("line_no"), F.from_json("value", SESSION_EVENT).alias("e"))
+    return e.where(F.col("e.type").isin("session_created", "message_appended")).select("session_id", "line_no", "e.type", "e.title", "e.ts_ms", "e.message")
+
+
+class SessionFold(StatefulProcessor):
+    """Per session its title, times and number of messages, as a replay of the log has them: a creation starts anew."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.now = handle.getValueState("now", "title string, created_at bigint, updated_at bigint, message_count bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        state = self.now.get() if self.now.exists() else None
+        every = pd.concat(list(rows)).sort_values("place", kind="stable")
+        for kind, title, ts in every[["type", "title", "ts"]].itertuples(index=False, name=None):
+            ts = None if pd.isna(ts) else int(ts)
+            if kind == "session_created":
+                state = (None if pd.isna(title) else title, ts, ts, 0)
+            elif state is not None:
+                times = [t for t in (state[2], ts) if t is not None]
+                state = (state[0], state[1], max(times, default=None), state[3] + 1)
+        if state is not None:
+            self.now.update(tuple(state))
+            yield pd.DataFrame([(key[0], *state)], columns=["session_id", "title", "created_at", "updated_at", "message_count"]).astype({"created_at": "Int64", "updated_at": "Int64"})
+
+    def close(self) -> None:
+        pass
 
 
 def session_totals(events: DataFrame) -> DataFrame:
-    """Running (session_id, message_count, updated_at) of a stream of session events, for update mode."""
-    said = F.col("type") == "message_appended"
-    return events.groupBy("session_id").agg(F.count(F.when(said, 1)).alias("message_count"), F.max(F.coalesce("message.timestamp", "ts_ms")).alias("updated_at"))
+    """Running (session_id, title, created_at, updated_at, message_count) of a stream of session events, for update mode.
+
+    A session's creation resets it and messages before any creation don't count, as in a replay. Within a batch a
+    session's events go by line_no.
+    """
+    place = F.concat_ws("|", F.unix_micros("line_no.time").cast("string"), "line_no.path", F.lpad(F.col("line_no.start").cast("string"), 20, "0"), F.lpad(F.col("line_no.row").cast("string"), 20, "0"))
+    rows = events.select("session_id", "type", "title", F.coalesce("message.timestamp", "ts_ms").alias("ts"), place.alias("place"))
+    out = "session_id string, title string, created_at bigint, updated_at bigint, message_count bigint"
+    return rows.groupBy("session_id").transformWithStateInPandas(SessionFold(), out, "Update", "None")
 
 
 class EditGuard(StatefulProcessor):

@@ -1,9 +1,13 @@
 """A small tree from scan to answers."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
-from sorrel.operators import extract, scope
+from sorrel.operators import context, extract, navigation, scope
+from sorrel.operators.extract import captures_of
+from sorrel.plans import surface
 from sorrel.plans.completion import Disabled, Http, Mock, Static
 from sorrel.plans.engine import Engine
 from sorrel.sources import repo
@@ -82,8 +86,90 @@ def test_retrieval(engine):
     chunks = engine.refine(engine.retrieve_symbol("helper"))
     kinds = [r.chunk_type for r in chunks.orderBy(F.desc("relevance"), "ord").collect()]
     assert kinds == ["symbol_definition", "symbol_reference", "symbol_reference"]
-    assert engine.refill("I don't see the implementation of helper", [])
-    assert engine.refill("helper is not defined", ["def helper(a)"]) == []
+    first = engine.refill("I don't see the implementation of helper")
+    assert first and engine.refill("helper is not defined") == []  # refilled before
+    engine.new_conversation()
+    assert engine.refill("helper is not defined") == first
+    assert [bool(engine.refill(f"{x} is not defined")) for x in ("Box", "run", "helper")] == [True, True, False]  # three answers in all
+    none = chunks.where("false")
+    assert engine.supplement(chunks, ["helper"]).count() == 0 and engine.supplement(none, ["helper", "Box"]).count() == 2
+    assert [r.symbol_signatures for r in chunks.where("chunk_type = 'symbol_definition'").collect()] == [["helper", "def helper(a):"]]
+
+
+def test_all_kinds_of_queries(spark, engine):
+    names = engine.names("helper", "Box")
+    found = engine.goto_definition("helper", "Box"), engine.find_references("helper", "Box")
+    asked = [context.symbol_query("helper"), context.position_query("src/app.py", 4), context.file_query("src/app.py"), context.concept_query("boxes"), context.task_query(["x"], ["src/app.py"], ["helper", "Box", "helper"]), context.related_query("helper")]
+    got = context.retrieve(context.queries(spark, *asked), *found, engine.files, 10).collect()
+    kinds = {i: [r.chunk_type for r in sorted(got, key=lambda r: r.ord) if r.query_id == str(i)] for i in range(6)}
+    assert kinds[0] == ["symbol_definition", "symbol_reference", "symbol_reference"] and kinds[1][0] == "code_block" and kinds[2] == ["file_summary"]
+    assert kinds[3] == [] and kinds[4][0] == "symbol_definition" and kinds[4][-1] == "file_summary" and kinds[5] == ["symbol_reference"] * 2
+    alone = {i: [r.content for r in engine.retrieve(q, 10).orderBy("ord").collect()] for i, q in enumerate(asked)}
+    assert alone == {i: [r.content for r in sorted(got, key=lambda r: r.ord) if r.query_id == str(i)] for i in range(6)} and names.count() == 2
+    before = engine.cache.stats()["hits"]
+    engine.retrieve(asked[0], 10)
+    assert engine.cache.stats()["hits"] == before + 1 and engine.cache.by_symbol("helper").count() >= 1 and engine.cache.by_file("src/app.py").count() >= 1
+
+
+def test_cache_evicts_the_worse_half(spark):
+    at, cache = iter(range(1000)), None
+    cache = context.ContextCache(4, clock=lambda: next(at))
+    one = spark.range(1)
+    for name in ("a", "b", "c", "d"):
+        cache.get(name, 1, lambda: one)
+    for _ in range(5):
+        cache.get("b", 1, lambda: one)
+    cache.get("e", 1, lambda: one)
+    assert {k[0] for k in cache._frames} == {"b", "d", "e"}
+
+
+def test_long_signatures(engine, spark):
+    text = "fn long(\n" + "".join(f"    a{i}: u8,\n" for i in range(100)) + ") -> u8 {\n}\n"
+    (got,) = spark.createDataFrame([(text,)], "c string").select(navigation.signature(F.col("c"), F.lit(0))).first()
+    assert got.startswith("fn long(") and got.endswith(") -> u8") and got.count("\n") == 101
+    many = "int f(" + ", ".join(f"int a{i}" for i in range(300)) + ") { return g(1); }\n"
+    rows = captures_of("f", "C", many)
+    assert any(r[2].startswith("hoist.definition") and r[11] == "f" for r in rows)
+
+
+def test_slow_files_are_given_up(monkeypatch):
+    from sorrel.operators import extract
+
+    monkeypatch.setattr(extract, "MAX_SECONDS", -1.0)
+    assert [r[-1] for r in captures_of("f", "Python", "a = 1\n")] == ["ParseTimeout"] == [r[-1] for r in captures_of("f", "Rust", "fn a() {}\n")]
+
+
+def test_places_in_text_that_is_not_ascii():
+    rows = captures_of("f", "Rust", "// é😀\nfn größe(ä: u8) {}\nfn b() { größe(1) }\n")
+    data = "// é😀\nfn größe(ä: u8) {}\nfn b() { größe(1) }\n".encode()
+    assert all(data[r[5] : r[8]].decode() == r[11] for r in rows if r[11]) and sum(r[11] == "größe" for r in rows) == 2
+
+
+class Loud:
+    def run(self, step):
+        return True, f"read {step['path']} aloud"
+
+
+class Never:
+    def check(self, session_id, kind, payload):
+        return "never"
+
+
+def test_turns_with_stores_recorders_and_parts(spark, tree, tmp_path):
+    plan = '{"steps":[{"kind":"tool_call","call":{"name":"read_file","args":{"path":"src/app.py"}}}],"estimated_tokens":3}'
+    store, sink = surface.LogStore(spark, str(tmp_path / "log")), surface.ListSink()
+    e = Engine(spark, tree, client=Mock([plan]), tools={"read_file": Loud()}, store=store, sink=sink, recorder=surface.LogRecorder(spark, str(tmp_path / "runs")))
+    s = store.create("mine")
+    assert e.run_turn("explain helper in src/app.py", s.id).output == "read src/app.py aloud"
+    (_, asked), = e.client.asked
+    assert "## Relevant Code Context" in asked and "def helper(a):" in asked and asked.endswith("explain helper in src/app.py")
+    assert [m.role for m in store.get(s.id).messages] == ["user", "assistant"] and store.list()[0].message_count == 2
+    assert [x["event"] for x in sink.snapshot()] == ["classified", "planned", "step started", "step completed", "reviewed"]
+    lines = [json.loads(r.value) for r in spark.read.option("recursiveFileLookup", "true").text(str(tmp_path / "runs")).collect()]
+    assert sum(x.get("type") == "event" for x in lines) == 5 and [x["reward"] for x in lines if "reward" in x] == [0.2]
+    plain = Engine(spark, tree, client=Mock([plan]), prefer_client=False, guard=Never())
+    assert plain.run_turn("hello").output == "received: hello" and plain.run_turn("run cargo test").output == "never"
+    assert plain.task_context(plain.plan("where is nowhere_at_all defined?")[0]).startswith("// Task mentions symbols: ")
 
 
 def test_turns(engine):

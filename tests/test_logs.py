@@ -2,9 +2,11 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from sorrel.operators import sessions
+from sorrel.plans import surface
 from sorrel.sources import repo
 from sorrel.streaming import logs
 
@@ -28,12 +30,48 @@ def test_replay(spark, tmp_path):
 
 def test_appending(spark, tmp_path):
     m = spark.createDataFrame([("s", 0, "a"), ("s", 1, "b"), ("t", 0, "c")], "session_id string, ordinal int, text string")
-    sessions.append_sessions(m, m.where("ordinal = 0"), str(tmp_path / "log"))
-    assert [(r.session_id, r.text) for r in spark.read.json(str(tmp_path / "log")).collect()] == [("s", "b")]
+    assert [(r.session_id, r.text) for r in sessions.unsaved(m, m.where("ordinal = 0")).collect()] == [("s", "b")]
     sessions.append_trajectory(sessions.wrap_events(spark.createDataFrame([("s", "{}")], "session_id string, event string")), str(tmp_path / "t"))
     assert spark.read.json(str(tmp_path / "t")).first()["type"] == "event"
 
 
+@pytest.mark.parametrize("kind", ["memory", "log"])
+def test_stores_round_trip(spark, tmp_path, kind):
+    at = iter(range(1000, 9000, 7))
+    clock = lambda: next(at)
+    store = surface.MemoryStore(clock) if kind == "memory" else surface.LogStore(spark, str(tmp_path / "log"), clock)
+    assert store.list() == [] and store.get("none") is None
+    a, b = store.create("first"), store.create(None)
+    for i in range(3):
+        a.push("User", f"line {i}\nnext", clock)
+        store.save(a)
+    got = store.get(a.id)
+    assert (got.title, got.created_at, got.updated_at) == ("first", 1000, a.updated_at) and [m.content for m in got.messages] == [f"line {i}\nnext" for i in range(3)]
+    store.save(got)
+    assert [(s.id, s.title, s.message_count) for s in store.list()] == [(a.id, "first", 3), (b.id, None, 0)]
+    foreign = surface.Session("local:x", "t", 1, 2, [surface.Message("m", "User", "c", 2)])
+    store.save(foreign)
+    assert [m.content for m in store.get("local:x").messages] == ["c"]
+    if kind == "log":
+        found = sessions.replay(sessions.parse_session_log(repo.session_lines(spark, str(tmp_path / "log"))))
+        wanted = spark.createDataFrame([(1, "x"), (2, a.id), (3, "no")], "request_id int, wanted string")
+        assert {r.request_id: r.session_id for r in sessions.switch_target(wanted, found).collect()} == {1: "local:x", 2: a.id, 3: None}
+        assert {r.session_id for r in repo.list_session_ids(spark, str(tmp_path / "log")).collect()} == {a.id, b.id, "local:x"}
+
+
+def test_long_logs_are_read_in_parts(spark, tmp_path):
+    lines = [made("x", 5), *(said(i, 10 + i) for i in range(3000)), made("y", 5000), *(said(i, 6000 + i) for i in range(2000))]
+    (tmp_path / "long.jsonl").write_text("\n".join(lines))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        logs_ = repo.session_lines(spark, str(tmp_path))
+        assert logs_.rdd.getNumPartitions() > 4
+        assert [tuple(r) for r in sessions.replay(sessions.parse_session_log(logs_)).select("title", "message_count", "updated_at").collect()] == [("y", 2000, 7999)]
+        assert [r.id for r in sessions.live_messages(sessions.parse_session_log(logs_)).orderBy("line_no").collect()] == [str(i) for i in range(2000)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_guard_window(spark):
     edit = [("s", i, "EditFile", "p") for i in (0, 40)] + [("s", i, "Command", str(i)) for i in range(1, 33)] + [("s", 41, "EditFile", "p"), ("s", 42, "Terminal", '{"cmd":"sudo x"}')]
     got = {r.seq: r.decision for r in sessions.guard(spark.createDataFrame(edit, "session_id string, seq int, kind string, payload string"), 32).collect()}
@@ -43,11 +81,20 @@ def test_guard_window(spark):
 def test_streams(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
-    (folder / "s1.jsonl").write_text("\n".join([made("x", 5), said(1, 9), "junk", said(2, 11)]))
-    q = logs.session_totals(logs.session_log_stream(spark, str(folder))).writeStream.outputMode("complete").format("memory").queryName("totals").start()
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    (folder / "s1.jsonl").write_text("\n".join([said(0, 1), made("x", 5), said(1, 9), "junk", said(2, 11)]))
+    found = {}
+    note = lambda df, _: found.update({r.session_id: tuple(r)[1:] for r in df.collect()})
+    q = logs.session_totals(logs.session_log_stream(spark, str(folder))).writeStream.outputMode("update").foreachBatch(note).option("checkpointLocation", str(tmp_path / "ck")).start()
+    q.processAllAvailable()
+    assert found == {"s1": ("x", 5, 11, 2)}
+    more = folder / "session_id=s1"
+    more.mkdir()
+    (more / "part-0").write_text("\n".join([said(3, 12), made("y", 20), said(4, 30)]))
+    (folder / "s2.jsonl").write_text(said(1, 1))
     q.processAllAvailable()
     q.stop()
-    assert [tuple(r) for r in spark.sql("select * from totals").collect()] == [("s1", 2, 11)]
+    assert found == {"s1": ("y", 20, 30, 1)}
 
 
 def test_guard_stream(spark, tmp_path):
