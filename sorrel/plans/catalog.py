@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -217,39 +219,135 @@ def def_ref_counts(spark, sf_dir):
     return e.edges().join(names, ["file_id", "src_ix"]).groupBy("name").agg(F.countDistinct(F.when(F.col("kind") == "RefToDef", F.col("dst_ix"))).alias("defs"), F.countDistinct("src_ix").alias("refs"), F.count(F.lit(1)).alias("edges"))
 
 
-def _event_definitions(spark, sf_dir) -> DataFrame:
-    """Definitions ranked as a lookup would: by file, then line (an hour of the day as the line)."""
-    d = Events(spark, sf_dir).placed().where("role = 'definition'")
-    line = (F.floor(F.col("start_byte") / 3_600_000_000) % 24).cast("int")
-    order = Window.partitionBy("name").orderBy("file_id", "line", "node_ix")
-    return d.select("file_id", "node_ix", F.col("text").alias("name"), line.alias("line")).withColumn("rank", F.row_number().over(order))
+# Events as captures of whole files in three languages: definitions hoisted, global or local, symbols of two namespaces
+# in two of the languages, hours of the day as lines. A file's text is twelve lines with a name and twelve without.
+GRAPH_SQL = (
+    CAPTURES_SQL
+    + """, named AS (SELECT *, CAST(substr(name, 2) AS BIGINT) AS k, CASE file_id % 3 WHEN 0 THEN 'rust' WHEN 1 THEN 'c++' ELSE 'python' END AS lang, (us // 3600000000 % 24)::INT AS line FROM items),
+    kinded AS (
+        SELECT *, CASE WHEN role = 'definition' THEN ['hoist', 'global', 'local'][k % 3 + 1] ELSE 'local' END AS reach,
+            CASE role WHEN 'definition' THEN ['class', 'function'][k % 2 + 1] WHEN 'reference' THEN ['class', 'function', NULL][event_id % 3 + 1] END AS sym,
+            CASE role WHEN 'import' THEN 2 WHEN 'definition' THEN 3 ELSE 4 END AS phase, CASE role WHEN 'definition' THEN k % 6 WHEN 'reference' THEN event_id % 3 END AS cap FROM named),
+    sizes AS (SELECT file_id, count(*) AS n FROM scopes GROUP BY 1),
+    graph AS (
+        SELECT i.file_id, i.name, i.role, i.lang, i.line, i.sym, CASE WHEN i.lang <> 'python' THEN CASE i.sym WHEN 'class' THEN 0 WHEN 'function' THEN 1 END END AS ns,
+            (CASE WHEN reach = 'global' THEN 0 WHEN reach = 'hoist' THEN coalesce(p.anc_ix, c.scope_ix) ELSE c.scope_ix END)::INT AS scope_ix,
+            (z.n + row_number() OVER (PARTITION BY i.file_id ORDER BY phase, cap, i.event_id) - 1)::INT AS node_ix
+        FROM kinded i JOIN sizes z USING (file_id) JOIN inner_ c USING (file_id, event_id) LEFT JOIN anc p ON p.file_id = i.file_id AND p.scope_ix = c.scope_ix AND p.dist = 1),
+    resolved AS (
+        SELECT r.file_id, r.node_ix AS src_ix, d.node_ix AS dst_ix, CASE d.role WHEN 'import' THEN 'RefToImport' ELSE 'RefToDef' END AS kind, a.dist
+        FROM graph r JOIN anc a ON a.file_id = r.file_id AND a.scope_ix = r.scope_ix
+        JOIN graph d ON d.file_id = r.file_id AND d.scope_ix = a.anc_ix AND d.name = r.name AND d.role <> 'reference' AND (d.role = 'import' OR d.ns IS NULL OR r.ns IS NULL OR d.ns = r.ns)
+        WHERE r.role = 'reference'),
+    live AS (SELECT g.* FROM graph g WHERE role <> 'reference' OR EXISTS (SELECT 1 FROM resolved x WHERE x.file_id = g.file_id AND x.src_ix = g.node_ix)),
+    ranked AS (
+        SELECT name, file_id, line, node_ix, sym, row_number() OVER (PARTITION BY name ORDER BY file_id, CASE WHEN lang <> 'c++' THEN 5 WHEN sym = 'class' OR line % 2 = 0 THEN 0 ELSE 3 END, line, node_ix)::INT AS rank
+        FROM graph WHERE role = 'definition' AND (lang <> 'rust' OR scope_ix = 0))
+"""
+)
+NAMES = tuple(f"n{i}" for i in range(10))
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Written to the session's checkpoint folder. Only a session in one process may have none; it gets a temporary one."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        if not re.match(r"local($|\[)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="sorrel-"))
+    return df.checkpoint()
+
+
+class Tree(Events):
+    """Events as captures, the scope graph that they build and the files that they stand for.
+
+    The graph's stages are checkpointed, as all its tables read them and their plans would repeat them.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        super().__init__(spark, sf_dir)
+        pick = lambda values, n: F.get(F.array(*map(F.lit, values)), n.cast("int"))
+        lang = pick(("rust", "c++", "python"), F.col("file_id") % 3)
+        line = (F.floor(F.col("start_byte") / 3_600_000_000) % 24).cast("int")
+        k = F.substr("text", F.lit(2)).cast("bigint")
+        defined = F.concat(pick(("hoist", "global", "local"), k % 3), F.lit(".definition."), pick(("class", "function"), k % 2))
+        referred = F.concat(F.lit("local.reference"), pick((".class", ".function", ""), F.col("node_ix") % 3))
+        capture = F.when(F.col("role") == "definition", defined).when(F.col("role") == "reference", referred).otherwise("local.import")
+        place = [F.col(c).cast("bigint") for c in ("start_byte", "end_byte")] + [line.alias("start_line"), F.lit(0).alias("start_col"), line.alias("end_line"), F.lit(0).alias("end_col")]
+        items = self.items.select("file_id", capture.alias("capture"), F.when(F.col("role") == "definition", k % 6).otherwise(F.col("node_ix") % 3).alias("capture_ix"), F.col("node_ix").cast("bigint").alias("ord"), *place, "text", lang.alias("lang"))
+        scopes = self.scopes.select("file_id", F.when(F.col("role") == "root", "root").otherwise("local.scope").alias("capture"), F.lit(0).cast("bigint").alias("capture_ix"), F.col("node_ix").cast("bigint").alias("ord"), *place, F.lit(None).cast("string").alias("text"), lang.alias("lang"))
+        kinds = spark.createDataFrame([(x, i, i, kind) for x in ("rust", "c++") for i, kind in enumerate(("class", "function"))], "lang string, ns_idx int, sym_idx int, kind string")
+        self.graph = scope.build_scope_graph(scopes.unionByName(items), kinds, keep=checkpointed)
+        content = F.repeat(F.concat(F.lit("class n"), (F.col("file_id") % 10).cast("string"), F.lit("\nlet x\n")), 12)
+        self.files = self.scopes.where("role = 'root'").select("file_id", F.col("file_id").cast("string").alias("rel_path"), lang.alias("lang"), F.col("file_id").alias("scan_ord"), content.alias("content"))
+        self.names = spark.createDataFrame([(n,) for n in NAMES], "name string")
+
+
+@query(
+    GRAPH_SQL + """SELECT file_id, src_ix, dst_ix, kind, dist FROM resolved
+    UNION ALL SELECT file_id, scope_ix, anc_ix, 'ScopeToScope', dist FROM anc WHERE dist = 1
+    UNION ALL SELECT file_id, node_ix, scope_ix, CASE role WHEN 'import' THEN 'ImportToScope' ELSE 'DefToScope' END, 0 FROM graph WHERE role <> 'reference'"""
+)
+def scope_graph(spark, sf_dir):
+    return Tree(spark, sf_dir).graph.edges.select("file_id", "src_ix", "dst_ix", "kind", "dist")
+
+
+@query(GRAPH_SQL + "SELECT file_id, src_ix, dst_ix, row_number() OVER (PARTITION BY file_id, src_ix ORDER BY dist DESC, dst_ix)::INT AS rank FROM resolved WHERE kind = 'RefToDef'")
+def ref_definitions(spark, sf_dir):
+    return scope.definitions_of(Tree(spark, sf_dir).graph).select("file_id", "src_ix", "dst_ix", "rank")
 
 
-_DEFS_SQL = "defs AS (SELECT file_id, event_id AS node_ix, name, (us // 3600000000 % 24)::INT AS line, row_number() OVER (PARTITION BY name ORDER BY file_id, us // 3600000000 % 24, event_id) AS rank FROM placed WHERE role = 'definition')"
+@query(GRAPH_SQL + "SELECT file_id, dst_ix AS node_ix, count(*) AS n FROM resolved GROUP BY ALL")
+def ref_counts(spark, sf_dir):
+    return scope.references_of(Tree(spark, sf_dir).graph).groupBy("file_id", "node_ix").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(CAPTURES_SQL + ", " + _DEFS_SQL + " SELECT name, rank::INT AS rank, file_id, line, node_ix FROM defs WHERE name IN ('n1', 'n7')")
+@query(GRAPH_SQL + "SELECT file_id, z.n AS scopes, count(*) FILTER (role = 'definition') AS defs, count(*) FILTER (role = 'reference') AS refs, count(*) FILTER (role = 'import') AS imports FROM sizes z LEFT JOIN live USING (file_id) GROUP BY ALL")
+def kind_counts(spark, sf_dir):
+    return scope.count_kinds(Tree(spark, sf_dir).graph.nodes)
+
+
+@query(GRAPH_SQL + "SELECT file_id, node_ix, name, sym AS symbol, scope_ix = 0 AS top FROM graph WHERE role = 'definition'")
+def symbols(spark, sf_dir):
+    nodes = Tree(spark, sf_dir).graph.nodes
+    return scope.symbols(nodes).select("file_id", "node_ix", "name", "symbol").join(nodes.select("file_id", "node_ix", scope.top_level(nodes).alias("top")), ["file_id", "node_ix"])
+
+
+@query(GRAPH_SQL + "SELECT file_id, min(node_ix) AS node_ix FROM live WHERE role <> 'import' AND line = 9 GROUP BY 1")
+def node_at_position(spark, sf_dir):
+    return scope.node_at_position(Tree(spark, sf_dir).graph.nodes, F.lit(9), F.lit(0))
+
+
+@query(GRAPH_SQL + "SELECT name, rank, file_id, line, node_ix, sym AS kind FROM ranked WHERE name IN ('n1', 'n7')")
 def goto_definition(spark, sf_dir):
-    return _event_definitions(spark, sf_dir).where(F.col("name").isin("n1", "n7")).select("name", "rank", "file_id", "line", "node_ix")
+    t = Tree(spark, sf_dir)
+    found = navigation.goto_definition(t.graph.nodes, t.files, t.names.where("name in ('n1', 'n7')"))
+    return found.select("name", "rank", "file_id", F.col("start_line").alias("line"), "node_ix", "kind")
 
 
-@query(CAPTURES_SQL + ", " + _DEFS_SQL + " SELECT name, file_id, line, node_ix FROM defs WHERE rank = 1")
+@query(GRAPH_SQL + "SELECT name, file_id, line, node_ix FROM ranked WHERE rank = 1")
 def primary_def(spark, sf_dir):
-    return _event_definitions(spark, sf_dir).where("rank = 1").select("name", "file_id", "line", "node_ix")
+    t = Tree(spark, sf_dir)
+    return navigation.goto_definition(t.graph.nodes, t.files, t.names).where("rank = 1").select("name", "file_id", F.col("start_line").alias("line"), "node_ix")
 
 
-@query(CAPTURES_SQL + "SELECT name, seq::INT AS seq, file_id, event_id AS node_ix FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY file_id, event_id) AS seq FROM placed WHERE role = 'reference') WHERE seq <= 30")
+@query(
+    GRAPH_SQL + """, own AS (SELECT name, file_id, line, node_ix FROM live WHERE role = 'reference'),
+    found AS (
+        SELECT * FROM own UNION ALL
+        SELECT 'n' || (file_id % 10), file_id, (2 * i)::INT, 0 FROM sizes s, range(12) t(i) WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.file_id = s.file_id AND o.name = 'n' || (s.file_id % 10))),
+    numbered AS (SELECT name, file_id, line, row_number() OVER (PARTITION BY name ORDER BY file_id, node_ix, line)::INT AS seq FROM found)
+    SELECT * FROM numbered WHERE seq <= 30"""
+)
 def find_references_limit(spark, sf_dir):
-    order = Window.partitionBy("name").orderBy("file_id", "node_ix")
-    r = Events(spark, sf_dir).placed().where("role = 'reference'").select("file_id", "node_ix", F.col("text").alias("name"))
-    return r.withColumn("seq", F.row_number().over(order)).where("seq <= 30").select("name", "seq", "file_id", "node_ix")
+    t = Tree(spark, sf_dir)
+    return navigation.find_references(t.graph.nodes, t.files, t.names, 30).select("name", "file_id", F.col("start_line").alias("line"), "seq")
 
 
-@query(CAPTURES_SQL + "SELECT r.name, r.file_id, r.event_id AS node_ix FROM placed r WHERE r.role = 'reference' AND NOT EXISTS (SELECT 1 FROM placed d WHERE d.role = 'definition' AND d.file_id = r.file_id AND d.name = r.name AND d.us // 86400000000 = r.us // 86400000000)")
+@query(GRAPH_SQL + "SELECT r.name, r.file_id, r.node_ix FROM live r WHERE r.role = 'reference' AND NOT EXISTS (SELECT 1 FROM live d WHERE d.role = 'definition' AND d.file_id = r.file_id AND d.name = r.name AND d.line = r.line)")
 def refs_minus_defs(spark, sf_dir):
-    p = Events(spark, sf_dir).placed().withColumn("day", F.floor(F.col("start_byte") / 86_400_000_000)).withColumnRenamed("text", "name")
-    keys = ["name", "file_id", "day"]
-    return p.where("role = 'reference'").join(p.where("role = 'definition'").select(*keys).distinct(), keys, "left_anti").select("name", "file_id", "node_ix")
+    nodes = Tree(spark, sf_dir).graph.nodes
+    return navigation.references_minus_definitions(nodes.where("kind = 'reference'"), nodes.where("kind = 'definition'")).select("name", "file_id", "node_ix")
 
 
 @query(CAPTURES_SQL + "SELECT name, file_id, event_id AS node_ix, ord::INT AS ord FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY file_id, event_id) AS ord FROM placed r WHERE role = 'reference' AND name IN (SELECT name FROM placed WHERE role = 'definition')) WHERE ord <= 10")
@@ -263,17 +361,28 @@ def callers(spark, sf_dir):
 
 # separators are doubled, so that neighbours do not share one
 @query(r"SELECT doc_id, len(regexp_extract_all(text, '(?:^|[^A-Za-z0-9_])the(?:$|[^A-Za-z0-9_])'))::INT AS n FROM (SELECT doc_id, regexp_replace(text, '([^A-Za-z0-9_])', '\1\1', 'g') AS text FROM documents)")
-def text_occurrences(spark, sf_dir):
+def occurrence_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", navigation.count_occurrences(F.col("text"), "the").alias("n"))
 
 
+@query(
+    """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
+    w AS (SELECT doc_id, line, unnest(regexp_extract_all(t, '[A-Za-z0-9_]+|[^A-Za-z0-9_]+')) AS w, generate_subscripts(regexp_extract_all(t, '[A-Za-z0-9_]+|[^A-Za-z0-9_]+'), 1) AS i FROM l),
+    p AS (SELECT *, sum(strlen(w)) OVER (PARTITION BY doc_id, line ORDER BY i) AS e FROM w)
+    SELECT w AS name, doc_id AS file_id, line::INT AS line, (e - strlen(w))::INT AS col, e::INT AS end_col FROM p WHERE w IN ('the', 'key')"""
+)
+def text_occurrences(spark, sf_dir):
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.col("text").alias("content"))
+    return navigation.text_occurrences(files, spark.createDataFrame([("the",), ("key",)], "name string"))
+
+
 _HIT = "list_position(list_transform(string_split(text, chr(10)), lambda x: contains(x, ' the ')), true)"
 
 
 @query(
     f"""WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls, {_HIT} AS hit FROM documents)
-    SELECT doc_id, hit - 1 AS line, array_to_string(list_transform(ls[greatest(hit - 5, 1):least(hit + 5, len(ls))], lambda x, i: lpad((greatest(hit - 5, 1) + i - 1)::VARCHAR, 4, ' ') || ' ' || x), chr(10)) AS snippet
-    FROM d WHERE hit > 0 AND len(ls) < 9999"""
+    SELECT doc_id, hit - 1 AS line, array_to_string(list_transform(ls[greatest(hit - 5, 1):least(hit + 5, len(ls))], lambda x, i: repeat(' ', greatest(4 - length((greatest(hit - 5, 1) + i - 1)::VARCHAR), 0)) || (greatest(hit - 5, 1) + i - 1) || ' ' || x), chr(10)) AS snippet
+    FROM d WHERE hit > 0"""
 )
 def snippet_window(spark, sf_dir):
     hit = F.array_position(F.transform(text.raw_lines(F.col("text")), lambda x: x.contains(" the ")), True).cast("int")
