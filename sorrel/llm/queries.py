@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import align_tokenizers
 from .common import table
+from .cost_packing import balanced_packing
 from .exact_dedup import exact_dedup
 from .hamming import nearest_codes
+from .impact_index import TERM_PATTERN, ranked_search
 from .licenses import COPYRIGHT_LINE, DIGESTS, LIST_MARK, SPELLINGS, TEXTS, find_licenses
 from .minhash import near_duplicates
 from .mixing import mixing_rates
@@ -25,6 +28,13 @@ def byte_bpe() -> TokenizerFile:
     return TokenizerFile(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def plain(name: str) -> TokenizerFile:
+    """A public tokenizer for which the strings of special tokens inside texts are plain text."""
+    import public_tokenizers
+
+    return TokenizerFile(public_tokenizers.path(name), specials=False)
+
+
 #: Target shares of tokens by predicted quality.
 QUALITY_SHARES = {"0": 0.1, "1": 0.9}
 
@@ -78,9 +88,24 @@ def op10_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference_pairs(chosen.unionByName(kept).unionByName(swapped))
 
 
+def op11_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balanced_packing(table(spark, sf_dir, "documents"), byte_bpe(), capacity=2048, end_id=1)
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(table(spark, sf_dir, "documents"), plain("byte_bpe_50k.json"), plain("piece_bpe_32k.model"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_mixing, op2_best_fit_packing, op3_licenses, op4_toxicity, op5_exact_dedup, op6_minhash_near_dedup, op7_pii, op8_hamming_top_k, op9_token_counts, op10_preferences)
+    for f in (
+        op1_mixing, op2_best_fit_packing, op3_licenses, op4_toxicity, op5_exact_dedup, op6_minhash_near_dedup, op7_pii, op8_hamming_top_k, op9_token_counts, op10_preferences,
+        op11_cost_packing, op12_ranked_search, op13_tokenizer_alignment,
+    )
 }
 
 
@@ -141,4 +166,18 @@ ORACLES = {
                {", ".join(f"coalesce(string_agg(rendered, '' ORDER BY turn, seq) FILTER (part = '{p}'), '') AS {p}" for p in ("prompt", "chosen", "rejected"))},
                {", ".join(f"coalesce(string_agg((stop_at - length(rendered)) || ':' || stop_at, ',' ORDER BY turn, seq) FILTER (part = '{p}' AND role = 'assistant'), '') AS {p}_loss" for p in ("chosen", "rejected"))}
         FROM placed GROUP BY 1""",
+    "op12_ranked_search": f"""
+        WITH words AS (
+            SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_quoted(TERM_PATTERN)})) AS term
+            FROM documents),
+        lengths AS (SELECT doc_id, count(*) AS n FROM words GROUP BY 1),
+        totals AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM lengths),
+        norms AS (SELECT doc_id, 100 - 50 + (50 * n * docs) // total AS m FROM lengths, totals),
+        held AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY 1, 2),
+        weights AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM held, totals GROUP BY term, docs),
+        impacts AS (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * m)) AS impact FROM held JOIN weights USING (term) JOIN norms USING (doc_id)),
+        asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_quoted(TERM_PATTERN)})) AS term FROM benchmark),
+        scores AS (SELECT item_id, doc_id, sum(impact)::BIGINT AS score FROM asked JOIN impacts USING (term) GROUP BY 1, 2 HAVING sum(impact) > 0)
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM scores
+        QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 50""",
 }

@@ -52,15 +52,16 @@ class TokenizerFile:
     descriptions whose merges are their ids run on tiktoken's faster code, which gives the same ids.
     """
 
-    def __init__(self, path: str, pattern: str = BYTE_LEVEL_PATTERN):
+    def __init__(self, path: str, pattern: str = BYTE_LEVEL_PATTERN, specials: bool = True):
+        """specials: whether strings of special tokens inside texts become those tokens, as by default, or plain text."""
         with open(path, "rb") as f:
             self.data = f.read()
-        self.kind, self.pattern = os.path.splitext(path)[1].lstrip("."), pattern
+        self.kind, self.pattern, self.specials = os.path.splitext(path)[1].lstrip("."), pattern, specials
         #: Names the tokenizer in caches: file, kind and options.
-        self.version = hashlib.sha256(b"\0".join((self.data, self.kind.encode(), pattern.encode(), b"1"))).hexdigest()
+        self.version = hashlib.sha256(b"\0".join((self.data, self.kind.encode(), pattern.encode(), b"1", *([] if specials else [b"plain"])))).hexdigest()
 
     def ship(self, spark):
-        return spark.sparkContext.broadcast((self.version, self.kind, self.pattern, self.data))
+        return spark.sparkContext.broadcast((self.version, self.kind, self.pattern, self.data, self.specials))
 
 
 _LOADED: dict[str, object] = {}
@@ -68,13 +69,39 @@ _LOADED: dict[str, object] = {}
 
 def encoder(shipped):
     """On an executor: a function from a text to its ids as a uint32 array; built once per process."""
-    version, kind, pattern, data = shipped.value
+    version, kind, pattern, data, specials = shipped.value
     if version not in _LOADED:
-        _LOADED[version] = _build(kind, pattern, data)
+        _LOADED[version] = _build(kind, pattern, data, specials)
     return _LOADED[version]
 
 
-def _build(kind: str, pattern: str, data: bytes):
+def token_bytes(shipped) -> list[bytes]:
+    """On an executor: the bytes that each id stands for, empty for special tokens.
+
+    Byte-level entries are decoded; a piece of sentencepiece is its UTF-8 with U+2581 as a space, a byte piece that byte.
+    Other vocabularies have no fixed bytes for an id: ValueError.
+    """
+    _, kind, _, data, _ = shipped.value
+    if kind == "model":
+        import sentencepiece
+
+        sp = sentencepiece.SentencePieceProcessor(model_proto=data)
+        byte = lambda piece: bytes([int(piece[3:5], 16)])
+        piece = lambda i: sp.id_to_piece(i).replace("\u2581", " ").encode()
+        return [b"" if sp.is_control(i) or sp.is_unknown(i) else byte(sp.id_to_piece(i)) if sp.is_byte(i) else piece(i) for i in range(sp.get_piece_size())]
+    if kind == "tiktoken":
+        ranks, special = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines()) if a}, {}
+    elif kind == "json" and (found := _as_ranks(json.loads(data))):
+        ranks, special = found
+    else:
+        raise ValueError(f"ids of this .{kind} file have no bytes of their own")
+    out = [b""] * (1 + max([*ranks.values(), *special.values()]))
+    for token, i in ranks.items():
+        out[i] = token
+    return out
+
+
+def _build(kind: str, pattern: str, data: bytes, specials: bool = True):
     import numpy as np
 
     if kind == "model":
@@ -90,6 +117,7 @@ def _build(kind: str, pattern: str, data: bytes):
             tok = Tokenizer.from_str(data.decode())
             tok.no_truncation()
             tok.no_padding()
+            tok.encode_special_tokens = not specials
             return lambda text: np.asarray(tok.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         ranks, special = found
     elif kind == "tiktoken":
@@ -99,5 +127,5 @@ def _build(kind: str, pattern: str, data: bytes):
     import tiktoken
 
     enc = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
-    allowed = set(special)
+    allowed = set(special) if specials else set()
     return lambda text: enc.encode_to_numpy(text, allowed_special=allowed, disallowed_special=())
