@@ -71,13 +71,28 @@ def session_log_lines(sessions: DataFrame, messages: DataFrame) -> DataFrame:
     return made.unionByName(said)
 
 
-def append_sessions(log_lines: DataFrame, folder: str) -> None:
+def append_sessions(log_lines: DataFrame, folder: str, batch: str | None = None) -> None:
     """Append lines (session_id, place, value) to the logs of a folder, from which :func:`sources.repo.session_lines` reads.
 
-    A session's lines of one append are one file in the session's folder, in order of place; files come by time.
+    A session's lines of one append are one file in the session's folder, in order of place. What is appended again, by a
+    repeated task or a job that is run anew, is appended once: an append is known by its session and ``batch``, or by its
+    first and last place if that is None; then places are ordinals, of which no two appends may share one.
     """
-    rows = log_lines.repartition("session_id").sortWithinPartitions("session_id", "place").select("session_id", "value")
-    rows.write.mode("append").partitionBy("session_id").text(folder)
+    from ..sources.session_logs import SessionLogs
+
+    log_lines.sparkSession.dataSource.register(SessionLogs)
+    rows = log_lines.select("session_id", F.col("place").cast("bigint").alias("place"), "value").repartition("session_id").sortWithinPartitions("session_id", "place")
+    writer = rows.write.format("session_log").mode("append")
+    (writer if batch is None else writer.option("batch", batch)).save(folder)
+
+
+def append_stream(log_lines: DataFrame, folder: str, checkpoint: str, name: str):
+    """Start a query that appends a stream of lines (session_id, place, value) to logs, each batch of it once.
+
+    name tells this query's appends from those of others and must stay the same over its restarts.
+    """
+    each = lambda rows, batch: append_sessions(rows, folder, f"{name}-{batch}")
+    return log_lines.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).start()
 
 
 def append_trajectory(steps: DataFrame, path: str) -> None:

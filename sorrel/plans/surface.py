@@ -151,14 +151,7 @@ class LogStore:
         self.spark, self.folder, self.clock = spark, folder, clock
 
     def events(self) -> DataFrame:
-        try:
-            lines = repo.session_lines(self.spark, self.folder)
-            lines.isEmpty()
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return self.spark.createDataFrame([], f"session_id string, line_no struct<time:timestamp,path:string,start:bigint,row:bigint>, {sessions.SESSION_EVENT}").select("session_id", "line_no", "type", "title", "ts_ms", "message")
-        return sessions.parse_session_log(lines)
+        return sessions.parse_session_log(repo.session_lines(self.spark, self.folder))
 
     def _append(self, created: Iterable[tuple], messages: Iterable[tuple]) -> None:
         made, said = self.spark.createDataFrame(list(created), self.CREATED), self.spark.createDataFrame(list(messages), self.MESSAGE)
@@ -222,7 +215,7 @@ class LogRecorder(NoRecorder):
     def run_ended(self, session_id: str, outcome: str) -> None:
         lines, self._lines = [(s, i, v) for i, (s, v) in enumerate(self._lines)], []
         if lines:
-            sessions.append_sessions(self.spark.createDataFrame(lines, "session_id string, place int, value string"), self.folder)
+            sessions.append_sessions(self.spark.createDataFrame(lines, "session_id string, place int, value string"), self.folder, batch=uuid.uuid4().hex)
 
 
 class ListSink:

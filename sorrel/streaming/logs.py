@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.sessions import SESSION_EVENT
-from ..sources.repo import _session_files, _session_of
+from ..operators.sessions import parse_session_log
+from ..sources.repo import session_line_stream
 
 
 def windowed_counts(events: DataFrame, width: str, late: str | None = None) -> DataFrame:
@@ -22,12 +22,8 @@ def windowed_counts(events: DataFrame, width: str, late: str | None = None) -> D
 
 
 def session_log_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """New lines of session logs as events (session_id, line_no, type, title, ts_ms, message); see :func:`sources.repo.session_lines`."""
-    m = F.col("_metadata")
-    lines = _session_files(spark.readStream).text(folder)
-    line = F.struct(m["file_modification_time"].alias("time"), m["file_path"].alias("path"), m["file_block_start"].alias("start"), F.monotonically_increasing_id().alias("row"))
-    e = lines.select(_session_of(m["file_path"]).alias("session_id"), line.alias("line_no"), F.from_json("value", SESSION_EVENT).alias("e"))
-    return e.where(F.col("e.type").isin("session_created", "message_appended")).select("session_id", "line_no", "e.type", "e.title", "e.ts_ms", "e.message")
+    """New lines of session logs as events (session_id, line_no, type, title, ts_ms, message); see :mod:`sources.session_logs`."""
+    return parse_session_log(session_line_stream(spark, folder))
 
 
 class SessionFold(StatefulProcessor):
@@ -60,7 +56,7 @@ def session_totals(events: DataFrame) -> DataFrame:
     A session's creation resets it and messages before any creation don't count, as in a replay. Within a batch a
     session's events go by line_no.
     """
-    place = F.concat_ws("|", F.unix_micros("line_no.time").cast("string"), "line_no.path", F.lpad(F.col("line_no.start").cast("string"), 20, "0"), F.lpad(F.col("line_no.row").cast("string"), 20, "0"))
+    place = F.concat_ws("|", F.col("line_no.part").cast("string"), "line_no.path", F.lpad(F.col("line_no.start").cast("string"), 20, "0"))
     rows = events.select("session_id", "type", "title", F.coalesce("message.timestamp", "ts_ms").alias("ts"), place.alias("place"))
     out = "session_id string, title string, created_at bigint, updated_at bigint, message_count bigint"
     return rows.groupBy("session_id").transformWithStateInPandas(SessionFold(), out, "Update", "None")

@@ -93,7 +93,7 @@ def test_retrieval(engine):
     assert [bool(engine.refill(f"{x} is not defined")) for x in ("Box", "run", "helper")] == [True, True, False]  # three answers in all
     none = chunks.where("false")
     assert engine.supplement(chunks, ["helper"]).count() == 0 and engine.supplement(none, ["helper", "Box"]).count() == 2
-    assert [r.symbol_signatures for r in chunks.where("chunk_type = 'symbol_definition'").collect()] == [["helper", "def helper(a):"]]
+    assert [r.symbol_signatures for r in chunks.where("chunk_type = 'symbol_definition'").collect()] == [["helper", "def helper(a, b=1):"]]
 
 
 def test_all_kinds_of_queries(spark, engine):
@@ -162,7 +162,7 @@ def test_turns_with_stores_recorders_and_parts(spark, tree, tmp_path):
     s = store.create("mine")
     assert e.run_turn("explain helper in src/app.py", s.id).output == "read src/app.py aloud"
     (_, asked), = e.client.asked
-    assert "## Relevant Code Context" in asked and "def helper(a):" in asked and asked.endswith("explain helper in src/app.py")
+    assert "## Relevant Code Context" in asked and "def helper(a, b=1):" in asked and asked.endswith("explain helper in src/app.py")
     assert [m.role for m in store.get(s.id).messages] == ["user", "assistant"] and store.list()[0].message_count == 2
     assert [x["event"] for x in sink.snapshot()] == ["classified", "planned", "step started", "step completed", "reviewed"]
     lines = [json.loads(r.value) for r in spark.read.option("recursiveFileLookup", "true").text(str(tmp_path / "runs")).collect()]
