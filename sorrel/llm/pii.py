@@ -168,26 +168,29 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return rows.select("_id", F.xxhash64("_t").alias("_h"), "_base", F.transform(F.transform(cands, worded), judged).alias("_cands"))
 
 
-def bootstrap(candidates: DataFrame, least: float = 0.8, support: float = 3.0) -> DataFrame:
+def bootstrap(candidates: DataFrame, least: float = 0.8, support: int = 3, doubt: float = 0.5) -> DataFrame:
     """Patterns that find identifiers: rows (_p, _k, _score), written. candidates: rows (v, k, ps) as in :func:`scan`.
 
     The graph joins each pattern with the distinct instances it is seen with. Seeds, instances with a kind by format,
-    have confidence 1 in it. A pattern's score in a kind is the mean confidence of its instances; it counts if it
-    reaches ``least`` and their confidences add up to ``support``. An instance without a format takes the best score
-    among its patterns that count, and so speaks for its other patterns from then on. Scores only grow; turns go on,
-    each a written table, until no further instance is found.
+    have confidence 1 in it and speak against every other kind. What a pattern's other instances are is open: they speak
+    against it with weight ``doubt``, less as far as they have been found. A pattern's score in a kind is the share of
+    its instances' confidence in all that speaks for and against; it counts if it reaches ``least`` and ``support``
+    instances are seeds or found. An instance without a format takes the best score among its patterns that count, and so
+    speaks for its other patterns from then on. Scores only grow; turns go on, each a written table, until no further
+    instance is found.
     """
     with Scratch() as keep:
         edges = candidates.where("v <> ''").select("v", "k", F.explode("ps").alias("_p")).groupBy("_p", F.col("v").alias("_v")).agg(F.min("k").alias("_seed"))
         edges = keep(edges, "pii-edges")
         counts = edges.groupBy("_p", "_seed").agg(F.count(F.lit(1)).alias("_n"))
-        total = keep(counts.groupBy(F.col("_p").alias("_tp")).agg(F.sum("_n").alias("_n")), "pii-patterns")
-        seeds = keep(counts.where("_seed is not null").select("_p", F.col("_seed").alias("_k"), F.col("_n").cast("double").alias("_mass")), "pii-seeds")
+        total = keep(counts.groupBy(F.col("_p").alias("_tp")).agg(F.sum("_n").alias("_n"), F.sum(F.when(F.col("_seed").isNull(), F.col("_n")).otherwise(0)).alias("_open")), "pii-patterns")
+        seeds = keep(counts.where("_seed is not null").select("_p", F.col("_seed").alias("_k"), F.col("_n").cast("double").alias("_mass"), F.lit(0.0).alias("_gained"), F.col("_n").alias("_known")), "pii-seeds")
         unseen = edges.where("_seed is null").select("_p", "_v")
 
         def scored(mass: DataFrame) -> DataFrame:
-            out = mass.join(total, F.col("_p") == F.col("_tp")).select("_p", "_k", "_mass", (F.col("_mass") / F.col("_n")).alias("_score"))
-            return out.where((F.col("_score") >= least) & (F.col("_mass") >= support)).select(F.col("_p").alias("_sp"), "_k", "_score")
+            against = F.col("_n") - F.col("_open") - (F.col("_mass") - F.col("_gained")) + doubt * (F.col("_open") - F.col("_gained"))
+            out = mass.join(total, F.col("_p") == F.col("_tp")).select("_p", "_k", "_known", (F.col("_mass") / (F.col("_mass") + against)).alias("_score"))
+            return out.where((F.col("_score") >= least) & (F.col("_known") >= support)).select(F.col("_p").alias("_sp"), "_k", "_score")
 
         good, known = scored(seeds), 0
         while True:
@@ -197,8 +200,9 @@ def bootstrap(candidates: DataFrame, least: float = 0.8, support: float = 3.0) -
             if n == known:
                 return materialize(good.select(F.col("_sp").alias("_p"), "_k", "_score"), "pii-good")
             known = n
-            gained = unseen.join(found, F.col("_v") == F.col("_iv")).select("_p", "_k", F.col("_conf").alias("_mass"))
-            good = scored(keep(seeds.unionByName(gained).groupBy("_p", "_k").agg(F.sum("_mass").alias("_mass")), "pii-mass"))
+            gained = unseen.join(found, F.col("_v") == F.col("_iv")).select("_p", "_k", F.col("_conf").alias("_mass"), F.col("_conf").alias("_gained"), F.lit(1).cast("long").alias("_known"))
+            sums = seeds.unionByName(gained).groupBy("_p", "_k").agg(*(F.sum(c).alias(c) for c in ("_mass", "_gained", "_known")))
+            good = scored(keep(sums, "pii-mass"))
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

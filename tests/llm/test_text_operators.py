@@ -184,7 +184,7 @@ def test_base_spans(spark, odd):
     assert pii.find_pii(odd.where("false")).count() == 0
 
 
-def brute_pii(texts, least=0.8, support=3):
+def brute_pii(texts, least=0.8, support=3, doubt=0.5):
     """Spans of :func:`pii.find_pii` by plain loops, from its formats and what its docstrings say."""
     import regex
 
@@ -227,9 +227,12 @@ def brute_pii(texts, least=0.8, support=3):
         good = {}
         for p, vs in edges.items():
             for k in range(5):
-                mass = sum(seed == k if seed is not None else conf.get((v, k), 0) for v, seed in vs.items())
-                if mass >= support and mass / len(vs) >= least - 1e-12:
-                    good[p, k] = mass / len(vs)
+                own, other, opened = (sum(f(seed) for seed in vs.values()) for f in (lambda x: x == k, lambda x: x is not None and x != k, lambda x: x is None))  # noqa: B023
+                gained = [conf[v, k] for v, seed in vs.items() if seed is None and (v, k) in conf]
+                mass = own + sum(gained)
+                score = mass / (mass + other + doubt * (opened - sum(gained)))
+                if own + len(gained) >= support and score >= least - 1e-12:
+                    good[p, k] = score
         new = {}
         for (p, k), score in good.items():
             for v, seed in edges[p].items():
