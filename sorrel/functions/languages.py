@@ -11,20 +11,20 @@ NAVIGATOR = {"rs": "rust", "go": "go", "py": "python", "js": "javascript", "ts":
 CONTEXT = {"rs": "Rust", "py": "Python", "js": "JavaScript", "ts": "TypeScript", "go": "Go", "java": "Java", "c": "C", "h": "C", "cpp": "Cpp", "cc": "Cpp", "hpp": "Cpp", "cs": "CSharp", "rb": "Ruby", "php": "Php", "r": "R", "proto": "Proto"}
 #: Languages in registry order.
 REGISTRY = ("C", "Go", "JavaScript", "Python", "Rust", "TypeScript", "C#", "Java", "C++", "Ruby", "R", "PHP")
-#: Symbol kinds of each language, in namespaces parted by a bar.
+#: Symbol kinds of each language by namespace.
 NAMESPACES = {
-    "c": "header macro function struct enum enumerator union typedef variable label",
-    "c_sharp": "local class struct enum typedef interface enumerator method namespace",
-    "c++": "header macro function struct enum enumerator union typedef variable label namespace class concept alias",
-    "go": "const var func module | struct interface type | member | label",
-    "java": "local method package module class enum enumConstant record interface typedef label",
-    "javascript": "constant variable property function method generator class label",
-    "php": "constant function method parameter variable class enum trait interface field enumerator label namespace",
-    "python": "class function parameter variable",
-    "r": "variable",
-    "ruby": "variable constant class method module",
-    "rust": "const function variable struct enum union typedef interface field enumerator module label lifetime",
-    "typescript": "constant variable property parameter function method generator alias enum enumerator class interface label",
+    "c": (("header", "macro", "function", "struct", "enum", "enumerator", "union", "typedef", "variable", "label"),),
+    "c_sharp": (("local", "class", "struct", "enum", "typedef", "interface", "enumerator", "method", "namespace"),),
+    "c++": (("header", "macro", "function", "struct", "enum", "enumerator", "union", "typedef", "variable", "label", "namespace", "class", "concept", "alias"),),
+    "go": (("const", "var", "func", "module"), ("struct", "interface", "type"), ("member",), ("label",)),
+    "java": (("local", "method", "package", "module", "class", "enum", "enumConstant", "record", "interface", "typedef", "label"),),
+    "javascript": (("constant", "variable", "property", "function", "method", "generator", "class", "label"),),
+    "php": (("constant", "function", "method", "parameter", "variable", "class", "enum", "trait", "interface", "field", "enumerator", "label", "namespace"),),
+    "python": (("class", "function", "parameter", "variable"),),
+    "r": (("variable",),),
+    "ruby": (("variable", "constant", "class", "method", "module"),),
+    "rust": (("const", "function", "variable", "struct", "enum", "union", "typedef", "interface", "field", "enumerator", "module", "label", "lifetime"),),
+    "typescript": (("constant", "variable", "property", "parameter", "function", "method", "generator", "alias", "enum", "enumerator", "class", "interface", "label"),),
 }
 
 
@@ -47,5 +47,5 @@ def language_index(name: Column) -> Column:
 
 def symbol_kinds(spark: SparkSession) -> DataFrame:
     """(lang, ns_idx, sym_idx, kind): a fixed table; a kind's id is its place in the first namespace that has it."""
-    rows = [(lang, i, j, kind) for lang, spaces in NAMESPACES.items() for i, space in enumerate(spaces.split(" | ")) for j, kind in enumerate(space.split())]
+    rows = [(lang, i, j, kind) for lang, spaces in NAMESPACES.items() for i, space in enumerate(spaces) for j, kind in enumerate(space)]
     return spark.createDataFrame(rows, "lang string, ns_idx int, sym_idx int, kind string")

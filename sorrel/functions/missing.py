@@ -9,11 +9,20 @@ from pyspark.sql import functions as F
 # Phrases before and after a missing symbol, and words that are not one.
 BEFORE = ("don't see", "doesn't show", "missing", "not shown", "need to see", "where is", "can't find")
 AFTER = (" is not defined", " is undefined", " not found")
-FILLERS = frozenset("the any an a its this that of for in to implementation definition reference function method struct class module variable field property type".split())
-STOP_WORDS = frozenset(
-    "i the a an it is are was were be been have has had do does did will would could should may might must shall can need dare ought used to of in for on with at by from as into through during before after above below between under and but or yet so if because although though while where when that which who whom whose what whatever whoever".split()
-)
-TYPE_WORDS = frozenset("function fn method struct class enum trait impl module mod variable var let const static type field property argument arg parameter param the".split())
+FILLERS = (
+    "the", "any", "an", "a", "its", "this", "that", "of", "for", "in", "to", "implementation", "definition", "reference", "function", "method",
+    "struct", "class", "module", "variable", "field", "property", "type",
+)
+STOP_WORDS = (
+    "i", "the", "a", "an", "it", "is", "are", "was", "were", "be", "been", "have", "has", "had", "do", "does", "did", "will", "would", "could",
+    "should", "may", "might", "must", "shall", "can", "need", "dare", "ought", "used", "to", "of", "in", "for", "on", "with", "at", "by", "from",
+    "as", "into", "through", "during", "before", "after", "above", "below", "between", "under", "and", "but", "or", "yet", "so", "if", "because",
+    "although", "though", "while", "where", "when", "that", "which", "who", "whom", "whose", "what", "whatever", "whoever",
+)
+TYPE_WORDS = (
+    "function", "fn", "method", "struct", "class", "enum", "trait", "impl", "module", "mod", "variable", "var", "let", "const", "static", "type",
+    "field", "property", "argument", "arg", "parameter", "param", "the",
+)
 
 
 def first_identifier(text: str) -> tuple[str, int] | None:

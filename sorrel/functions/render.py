@@ -13,6 +13,8 @@ NO_IDENTIFIER = "❌ No identifier detected.\n\nPlease ask in a format like: `Wh
 NO_ROOT = "⚠️ Unable to resolve repo_root: needs to be run in a git repository directory (cwd should trace back to `.git`)."
 NOT_FOUND = "❌ Definition not found (current MVP only scans top-level definitions)."
 
+NOT_UNDER_ROOT = "❌ File is not under repo_root: {}\nrepo_root: {}"
+
 
 def strip_line_number(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s*[0-9]+\s?", "")

@@ -102,18 +102,22 @@ def rule_plan(task_: Column) -> Column:
     return F.struct(steps.alias("steps"), char_tokens(raw, F.size(steps)).alias("estimated_tokens"))
 
 
+# What is said of a plan that is not valid.
+UNKNOWN_TOOL, EMPTY_COMMAND, EMPTY_QUERY, TOO_MANY = "unknown tool in plan: ", "verify step cmd is empty", "intelligence step query is empty", "planned steps too many: %d > %d"
+
+
 def plan_error(steps: Column, max_steps: int = 12) -> Column:
     """Why a plan is not valid, or null: too many steps, then the first step that is wrong."""
 
     def wrong(s: Column) -> Column:
         return (
-            F.when((s["kind"] == "tool_call") & ~F.coalesce(s["tool"].isin(*TOOLS), F.lit(False)), F.concat(F.lit("unknown tool in plan: "), F.coalesce(s["tool"], F.lit(""))))
-            .when((s["kind"] == "verify") & (trim_all(F.coalesce(s["cmd"], F.lit(""))) == ""), F.lit("verify step cmd is empty"))
-            .when((s["kind"] == "intelligence") & (trim_all(F.coalesce(s["query"], F.lit(""))) == ""), F.lit("intelligence step query is empty"))
+            F.when((s["kind"] == "tool_call") & ~F.coalesce(s["tool"].isin(*TOOLS), F.lit(False)), F.concat(F.lit(UNKNOWN_TOOL), F.coalesce(s["tool"], F.lit(""))))
+            .when((s["kind"] == "verify") & (trim_all(F.coalesce(s["cmd"], F.lit(""))) == ""), F.lit(EMPTY_COMMAND))
+            .when((s["kind"] == "intelligence") & (trim_all(F.coalesce(s["query"], F.lit(""))) == ""), F.lit(EMPTY_QUERY))
         )
 
     first = F.get(F.filter(F.transform(steps, wrong), lambda x: x.isNotNull()), F.lit(0))
-    return F.when(F.size(steps) > max_steps, F.format_string("planned steps too many: %d > %d", F.size(steps), F.lit(max_steps))).otherwise(first)
+    return F.when(F.size(steps) > max_steps, F.format_string(TOO_MANY, F.size(steps), F.lit(max_steps))).otherwise(first)
 
 
 def step_label(s: Column) -> Column:

@@ -1,8 +1,8 @@
 """Captures from source text: scopes, definitions, imports and references of each file.
 
-Python is read with the standard library's parser. Brace languages, Ruby and R are read by a lexer and a table of their
-declarations: named functions, types, variables, parameters, imports, calls and other uses. A tree-sitter grammar gives
-more captures than the table; everything after this step sees captures only.
+Python is read with the standard library's parser, C, Go and Rust by the rules of :mod:`operators.syntax`. Other brace
+languages, Ruby and R are read by a lexer and a table of their declarations: named functions, types, variables, parameters,
+imports, calls and other uses. A full grammar gives more captures; everything after this step sees captures only.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 MAX_BYTES, MAX_SECONDS = 500_000, 1.0
 CAPTURES = "file_id string, lang string, capture string, capture_ix int, ord int, start_byte int, start_line int, start_col int, end_byte int, end_line int, end_col int, text string, error string"
@@ -373,10 +374,14 @@ def captures_of(file_id: str, lang: str | None, text: str | None) -> list[tuple]
 
 
 def extract(files: DataFrame) -> DataFrame:
-    """Captures of files (file_id, lang, content), one Arrow batch at a time; a file that fails gives one row with its error.
+    """Captures of files (file_id, lang, content); a file that fails gives one row with its error.
 
-    Rows reach half a megabyte, so batches should be small (``spark.sql.execution.arrow.maxRecordsPerBatch`` of 64).
+    C, Go and Rust go by the rules of :mod:`operators.syntax`, what is too large and all other languages one Arrow batch at
+    a time by the readers here. Rows reach half a megabyte, so batches should be small
+    (``spark.sql.execution.arrow.maxRecordsPerBatch`` of 64).
     """
+    from . import syntax
+
     columns = [c.split()[0] for c in CAPTURES.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -384,4 +389,6 @@ def extract(files: DataFrame) -> DataFrame:
             rows = [r for f, g, t in zip(pdf["file_id"], pdf["lang"], pdf["content"], strict=True) for r in captures_of(f, g, t)]
             yield pd.DataFrame(rows, columns=columns)
 
-    return files.select("file_id", "lang", "content").mapInPandas(run, CAPTURES)
+    files = files.select("file_id", "lang", "content")
+    by_rules = F.coalesce(F.lower("lang").isin(*syntax.NAMES) & (F.octet_length(F.coalesce("content", F.lit(""))) <= MAX_BYTES), F.lit(False))
+    return files.where(~by_rules).mapInPandas(run, CAPTURES).unionByName(syntax.pattern_captures(files.where(by_rules)))

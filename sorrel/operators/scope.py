@@ -226,3 +226,60 @@ def debug_tree(graph: ScopeGraph) -> DataFrame:
     return every.join(held, ["file_id", "scope_ix"], "left").join(kids, ["file_id", "scope_ix"], "left")
 
 
+
+
+def _quoted(text: Column) -> Column:
+    """A text in double quotes as the debug form of strings has it."""
+    out = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    return F.concat(F.lit('"'), F.replace(out, F.lit("\t"), F.lit("\\t")), F.lit('"'))
+
+
+def _context(content: Column, start: Column, end: Column) -> Column:
+    """The lines of a byte range without white space around them, the range between marks."""
+    data = F.encode(content, "UTF-8")
+    part = lambda a, n: F.decode(F.substring(data, a + 1, n), "UTF-8")
+    before, after = F.substring_index(part(F.lit(0), start), "\n", -1), F.substring_index(part(end, F.octet_length(content)), "\n", 1)
+    return F.concat(F.regexp_replace(before, r"^\s+", ""), F.lit("§"), part(start, end - start), F.lit("§"), F.regexp_replace(after, r"\s+$", ""))
+
+
+def debug_text(graph: ScopeGraph, files: DataFrame, keep=lambda df: df.cache()) -> DataFrame:
+    """(file_id, tree): each file's scopes as nested text: definitions and imports with their lines and those of their uses.
+
+    files: file_id, content. keep: called on what every level reads, to persist it. Contents of a scope go by range. As a scope's depth is the number of its ancestors, each one's
+    own lines are made at once with their indent; then scopes are folded into the ones around them from the deepest level
+    up, one aggregation for each level of the deepest file.
+    """
+    spark = graph.nodes.sparkSession
+    scopes = graph.nodes.where(F.col("kind").isin("root", "scope")).select("file_id", F.col("node_ix").alias("ix"), "start_byte", "end_byte")
+    up = graph.edges.where("kind = 'ScopeToScope'").select("file_id", F.col("src_ix").alias("ix"), F.col("dst_ix").alias("up"))
+    deep = graph.ancestors.groupBy("file_id", F.col("scope_ix").alias("ix")).agg(F.max("dist").alias("depth"))
+    pad = lambda n: F.expr(f"repeat('    ', {n})")
+    text = files.select("file_id", F.coalesce("content", F.lit("")).alias("content"))
+    uses = references_of(graph).join(graph.nodes.select("file_id", F.col("node_ix").alias("ref_ix"), F.col("start_byte").alias("a"), F.col("end_byte").alias("b")), ["file_id", "ref_ix"])
+    lines = uses.join(text, "file_id").select("file_id", "node_ix", F.struct("a", "b", _context(F.col("content"), F.col("a"), F.col("b")).alias("t")).alias("use"))
+    lines = lines.groupBy("file_id", "node_ix").agg(F.sort_array(F.collect_list("use")).alias("uses"))
+    own = graph.nodes.where(F.col("kind").isin("definition", "import")).join(lines, ["file_id", "node_ix"], "left").join(text, "file_id")
+    own = own.join(deep.withColumnRenamed("ix", "scope_ix"), ["file_id", "scope_ix"])
+    context = _quoted(_context(F.col("content"), F.col("start_byte"), F.col("end_byte")))
+    each = F.array_join(F.transform("uses", lambda u: F.concat(pad("depth * 2 + 4"), F.lit("`"), u["t"], F.lit("`,\n"))), "")
+    used = F.when(F.size("uses") > 0, F.concat(pad("depth * 2 + 3"), F.lit("referenced in ("), F.size("uses").cast("string"), F.lit("): [\n"), each, pad("depth * 2 + 3"), F.lit("],\n"))).otherwise("")
+    kind = F.when(F.col("kind") == "definition", F.concat(pad("depth * 2 + 3"), F.lit("kind: "), _quoted(F.coalesce("sym_name", F.lit("none"))), F.lit(",\n"))).otherwise("")
+    block = F.concat(pad("depth * 2 + 2"), "name", F.lit(" {\n"), kind, pad("depth * 2 + 3"), F.lit("context: "), context, F.lit(",\n"), used, pad("depth * 2 + 2"), F.lit("},\n"))
+    blocks = own.select("file_id", F.col("scope_ix").alias("ix"), "kind", F.struct("start_byte", "end_byte", block.alias("t")).alias("x"))
+    listed = lambda k: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.col("x")))), lambda x: x["t"]), "")
+    held = blocks.groupBy("file_id", "ix").agg(listed("definition").alias("defs"), listed("import").alias("imports"))
+    nodes = scopes.join(deep, ["file_id", "ix"]).join(up, ["file_id", "ix"], "left").join(held, ["file_id", "ix"], "left")
+
+    def field(name: str, content: Column) -> Column:
+        return F.concat(pad("depth * 2 + 1"), F.when(content == "", f"{name}: [],\n").otherwise(F.concat(F.lit(f"{name}: [\n"), content, pad("depth * 2 + 1"), F.lit("],\n"))))
+
+    nodes = nodes.withColumns({"defs": F.coalesce("defs", F.lit("")), "imports": F.coalesce("imports", F.lit(""))})
+    head = F.concat(pad("depth * 2"), F.lit("scope {\n"), field("definitions", F.col("defs")), F.when(F.col("imports") == "", "").otherwise(field("imports", F.col("imports"))))
+    nodes = keep(nodes.select("file_id", "ix", "up", "depth", "start_byte", "end_byte", head.alias("head")))
+    inner = spark.createDataFrame([], nodes.select("file_id", F.col("ix"), F.lit("").alias("kids")).schema)
+    for level in range(int(nodes.agg(F.max("depth")).first()[0] or 0), -1, -1):
+        here = nodes.where(F.col("depth") == level).join(inner, ["file_id", "ix"], "left")
+        whole = F.concat("head", field("child scopes", F.coalesce("kids", F.lit(""))), pad("depth * 2"), F.lit("},\n"))
+        done = here.select("file_id", "up", F.struct("start_byte", "end_byte", "ix", whole.alias("t")).alias("x"))
+        inner = done.groupBy("file_id", F.col("up").alias("ix")).agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["t"]), "").alias("kids"))
+    return inner.select("file_id", F.regexp_replace("kids", r",\n$", "").alias("tree"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import missing, render, tasks, text
 from ..operators import context, navigation, scope, sessions
+from ..operators.stages import checkpointed
 
 FLAGSHIP = "def_ref_counts"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -248,22 +247,23 @@ GRAPH_SQL = (
 NAMES = tuple(f"n{i}" for i in range(10))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Written to the session's checkpoint folder. Only a session in one process may have none; it gets a temporary one."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        if not re.match(r"local($|\[)", sc.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="sorrel-"))
-    return df.checkpoint()
-
-
 class Tree(Events):
     """Events as captures, the scope graph that they build and the files that they stand for.
 
-    The graph's stages are checkpointed, as all its tables read them and their plans would repeat them.
+    The graph's stages are checkpointed, as all its tables read them and their plans would repeat them. Queries on one
+    folder in one application share a tree, see :meth:`of`.
     """
 
+    _last: tuple | None = None
+
+    @classmethod
+    def of(cls, spark: SparkSession, sf_dir: str) -> Tree:
+        """The tree of a folder, built when it is first asked for; it goes when another folder's is."""
+        key = (spark.sparkContext.applicationId, sf_dir)
+        if cls._last is None or cls._last[0] != key:
+            cls._last = (key, cls(spark, sf_dir))
+        return cls._last[1]
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         super().__init__(spark, sf_dir)
         pick = lambda values, n: F.get(F.array(*map(F.lit, values)), n.cast("int"))
@@ -289,45 +289,45 @@ class Tree(Events):
     UNION ALL SELECT file_id, node_ix, scope_ix, CASE role WHEN 'import' THEN 'ImportToScope' ELSE 'DefToScope' END, 0 FROM graph WHERE role <> 'reference'"""
 )
 def scope_graph(spark, sf_dir):
-    return Tree(spark, sf_dir).graph.edges.select("file_id", "src_ix", "dst_ix", "kind", "dist")
+    return Tree.of(spark, sf_dir).graph.edges.select("file_id", "src_ix", "dst_ix", "kind", "dist")
 
 
 @query(GRAPH_SQL + "SELECT file_id, src_ix, dst_ix, row_number() OVER (PARTITION BY file_id, src_ix ORDER BY dist DESC, dst_ix)::INT AS rank FROM resolved WHERE kind = 'RefToDef'")
 def ref_definitions(spark, sf_dir):
-    return scope.definitions_of(Tree(spark, sf_dir).graph).select("file_id", "src_ix", "dst_ix", "rank")
+    return scope.definitions_of(Tree.of(spark, sf_dir).graph).select("file_id", "src_ix", "dst_ix", "rank")
 
 
 @query(GRAPH_SQL + "SELECT file_id, dst_ix AS node_ix, count(*) AS n FROM resolved GROUP BY ALL")
 def ref_counts(spark, sf_dir):
-    return scope.references_of(Tree(spark, sf_dir).graph).groupBy("file_id", "node_ix").agg(F.count(F.lit(1)).alias("n"))
+    return scope.references_of(Tree.of(spark, sf_dir).graph).groupBy("file_id", "node_ix").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(GRAPH_SQL + "SELECT file_id, z.n AS scopes, count(*) FILTER (role = 'definition') AS defs, count(*) FILTER (role = 'reference') AS refs, count(*) FILTER (role = 'import') AS imports FROM sizes z LEFT JOIN live USING (file_id) GROUP BY ALL")
 def kind_counts(spark, sf_dir):
-    return scope.count_kinds(Tree(spark, sf_dir).graph.nodes)
+    return scope.count_kinds(Tree.of(spark, sf_dir).graph.nodes)
 
 
 @query(GRAPH_SQL + "SELECT file_id, node_ix, name, sym AS symbol, scope_ix = 0 AS top FROM graph WHERE role = 'definition'")
 def symbols(spark, sf_dir):
-    nodes = Tree(spark, sf_dir).graph.nodes
+    nodes = Tree.of(spark, sf_dir).graph.nodes
     return scope.symbols(nodes).select("file_id", "node_ix", "name", "symbol").join(nodes.select("file_id", "node_ix", scope.top_level(nodes).alias("top")), ["file_id", "node_ix"])
 
 
 @query(GRAPH_SQL + "SELECT file_id, min(node_ix) AS node_ix FROM live WHERE role <> 'import' AND line = 9 GROUP BY 1")
 def node_at_position(spark, sf_dir):
-    return scope.node_at_position(Tree(spark, sf_dir).graph.nodes, F.lit(9), F.lit(0))
+    return scope.node_at_position(Tree.of(spark, sf_dir).graph.nodes, F.lit(9), F.lit(0))
 
 
 @query(GRAPH_SQL + "SELECT name, rank, file_id, line, node_ix, sym AS kind FROM ranked WHERE name IN ('n1', 'n7')")
 def goto_definition(spark, sf_dir):
-    t = Tree(spark, sf_dir)
+    t = Tree.of(spark, sf_dir)
     found = navigation.goto_definition(t.graph.nodes, t.files, t.names.where("name in ('n1', 'n7')"))
     return found.select("name", "rank", "file_id", F.col("start_line").alias("line"), "node_ix", "kind")
 
 
 @query(GRAPH_SQL + "SELECT name, file_id, line, node_ix FROM ranked WHERE rank = 1")
 def primary_def(spark, sf_dir):
-    t = Tree(spark, sf_dir)
+    t = Tree.of(spark, sf_dir)
     return navigation.goto_definition(t.graph.nodes, t.files, t.names).where("rank = 1").select("name", "file_id", F.col("start_line").alias("line"), "node_ix")
 
 
@@ -340,13 +340,13 @@ def primary_def(spark, sf_dir):
     SELECT * FROM numbered WHERE seq <= 30"""
 )
 def find_references_limit(spark, sf_dir):
-    t = Tree(spark, sf_dir)
+    t = Tree.of(spark, sf_dir)
     return navigation.find_references(t.graph.nodes, t.files, t.names, 30).select("name", "file_id", F.col("start_line").alias("line"), "seq")
 
 
 @query(GRAPH_SQL + "SELECT r.name, r.file_id, r.node_ix FROM live r WHERE r.role = 'reference' AND NOT EXISTS (SELECT 1 FROM live d WHERE d.role = 'definition' AND d.file_id = r.file_id AND d.name = r.name AND d.line = r.line)")
 def refs_minus_defs(spark, sf_dir):
-    nodes = Tree(spark, sf_dir).graph.nodes
+    nodes = Tree.of(spark, sf_dir).graph.nodes
     return navigation.references_minus_definitions(nodes.where("kind = 'reference'"), nodes.where("kind = 'definition'")).select("name", "file_id", "node_ix")
 
 

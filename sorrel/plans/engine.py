@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -12,6 +13,7 @@ from ..functions import render, tasks, text
 from ..functions.languages import symbol_kinds
 from ..functions.missing import missing_in
 from ..operators import context, extract, navigation, scope
+from ..operators.stages import checkpointed
 from ..sources import repo
 from . import surface
 from .completion import CompletionClient, Disabled
@@ -49,11 +51,11 @@ class Engine:
         self.recorder, self.sink = recorder or surface.NoRecorder(), sink or surface.ListSink()
         self.cache, self._refills, self._refilled = context.ContextCache(), 0, set()
         self.files = (files.files(spark, root) if files else repo.scan(spark, root)).persist()
-        captures = extract.extract(self.files).persist()
+        captures = checkpointed(extract.extract(self.files))
         self.errors = captures.where("error is not null").select("file_id", "error")
         good = captures.where("error is null").withColumn("lang", F.lower("lang"))
-        self.graph = scope.build_scope_graph(good, symbol_kinds(spark), keep=lambda df: df.persist())
-        self.nodes, self.edges = self.graph.nodes.persist(), self.graph.edges.persist()
+        self.graph = scope.build_scope_graph(good, symbol_kinds(spark), keep=checkpointed)
+        self.nodes, self.edges = checkpointed(self.graph.nodes), checkpointed(self.graph.edges)
         self._recorded: dict[str, list[str]] = {}
 
     def names(self, *names: str) -> DataFrame:
@@ -166,7 +168,13 @@ class Engine:
         return row.select(block).first()[0]
 
     def _answer_position(self, at: Row, explain: bool) -> str:
-        hit = self.definition_at(at["path"], at["line"], at["col"]).where("rank = 1").first()
+        path = at["path"]
+        if os.path.isabs(path):
+            inside = os.path.relpath(path, self.root)
+            if inside == ".." or inside.startswith("../"):
+                return render.NOT_UNDER_ROOT.format(path, self.root)
+            path = inside
+        hit = self.definition_at(path, at["line"], at["col"]).where("rank = 1").first()
         return self._answer_name(hit["name"], explain) if hit else render.NOT_FOUND
 
     def plan(self, request: str) -> tuple[Row, list[Row]]:

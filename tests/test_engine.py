@@ -4,6 +4,7 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo
 
 from sorrel.operators import context, extract, navigation, scope
 from sorrel.operators.extract import captures_of
@@ -50,6 +51,25 @@ def test_scan(spark, tree):
         repo.list_tree(tree + "/none")
 
 
+def test_filters_on_names_open_no_other_file(spark, tree, tmp_path):
+    import shutil
+
+    copy = tmp_path / "copy"
+    shutil.copytree(tree, copy, symlinks=True)
+    every = {r.rel_path: r for r in repo.scan(spark, str(copy)).collect()}
+    reader = repo._Reader({"path": str(copy)})
+    assert [f for f in reader.pushFilters([EqualTo(("ext",), "rs"), EqualTo(("content",), "x")])] == [EqualTo(("content",), "x")]
+    assert [r[1] for p in reader.partitions() for r in p.rows] == ["src/lib.rs"]
+    size = every["src/app.py"].size
+    for condition in ("ext = 'rs'", "ext in ('cc', 'rs')", "rel_path like 'src/%'", f"size > {size}", f"size >= {size} and ext = 'py'", f"size < {size} and size <= {size}", "content like '%Point%' and ext = 'rs'", "ext = 'none'", "scan_ord = 1"):
+        want = sorted(r.rel_path for r in spark.createDataFrame(list(every.values())).where(condition).collect())
+        assert sorted(r.rel_path for r in repo.scan(spark, str(copy)).where(condition).collect()) == want, condition
+    rust = repo.scan(spark, str(copy)).where("ext = 'rs'")
+    (copy / "src/app.py").unlink()
+    (copy / "src/app.py").mkdir()  # opening it as a file would fail, and it would be missing
+    assert rust.count() == 1
+
+
 def test_python_golden(spark):
     src = "def one(a, b=2):\n    c = a + b\n    return c\n\ndef two(d):\n    return one(d)\n\none(1)\ntwo(2)\n"
     g = scope.build_scope_graph(spark.createDataFrame(extract.captures_of("f", "python", src), extract.CAPTURES))
