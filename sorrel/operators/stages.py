@@ -4,15 +4,30 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Written to the session's checkpoint folder. Only a session in one process may have none; it gets a temporary one."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder. Only a session in one process may have none; it gets a temporary one."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         if not re.match(r"local($|\[)", sc.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="sorrel-"))
+    return sc.getCheckpointDir().rstrip("/")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder for sources that open files themselves, so the folder must be a mounted one."""
+    folder = shared_folder(spark)
+    if re.match(r"[a-z0-9]+:", folder) and not folder.startswith("file:"):
+        raise ValueError(f"{folder} is not a folder that files can be opened in")
+    return f"{re.sub('^file:(?://)?', '', folder)}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder once."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

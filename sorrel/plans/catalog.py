@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import missing, render, tasks, text
-from ..operators import context, navigation, scope, sessions
-from ..operators.stages import checkpointed
+from ..operators import context, extract, navigation, scope, sessions
+from ..operators.stages import checkpointed, shared_path
+from ..sources import repo
+from ..streaming import logs
 
 FLAGSHIP = "def_ref_counts"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -466,13 +468,17 @@ def concept_topk(spark, sf_dir):
     return context.concept_top_k(table(spark, sf_dir, "embeddings"), [i % 7 - 3 for i in range(64)], 10)
 
 
-def _session_events(spark, sf_dir) -> DataFrame:
-    """Conversations as logs: a session is created before its first turn and again before turn 4; bad lines in between."""
+def _session_lines(spark, sf_dir) -> DataFrame:
+    """Conversations as log lines (session_id, line_no, value): a session is created before its first turn and again before turn 4; bad lines in between."""
     c = table(spark, sf_dir, "conversations").select(F.concat(F.when(F.col("conv_id") % 2 == 0, "local:").otherwise(""), F.lit("c"), F.col("conv_id").cast("string")).alias("session_id"), "conv_id", "turn", "role", "text")
     made = c.where("turn = 0 or turn = 4").select("session_id", (F.col("turn") * 10).alias("line_no"), F.to_json(F.struct(F.lit("session_created").alias("type"), F.lit("other").alias("session_id"), F.concat(F.lit("t"), F.col("turn").cast("string")).alias("title"), (F.col("conv_id") * 1000).alias("ts_ms"))).alias("value"))
     said = c.select("session_id", (F.col("turn") * 10 + 1).alias("line_no"), F.to_json(F.struct(F.lit("message_appended").alias("type"), F.struct(F.col("role"), F.col("text").alias("content"), (F.col("conv_id") * 1000 + (F.col("turn") * 37) % 11).alias("timestamp")).alias("message"))).alias("value"))
     bad = c.select("session_id", (F.col("turn") * 10 + 2).alias("line_no"), F.when(F.col("turn") % 2 == 0, "{not json").otherwise("  ").alias("value"))
-    return sessions.parse_session_log(made.unionByName(said).unionByName(bad))
+    return made.unionByName(said).unionByName(bad)
+
+
+def _session_events(spark, sf_dir) -> DataFrame:
+    return sessions.parse_session_log(_session_lines(spark, sf_dir))
 
 
 _SESSIONS_SQL = """
@@ -488,6 +494,61 @@ def session_replay(spark, sf_dir):
     return sessions.replay(_session_events(spark, sf_dir))
 
 
+def _session_folder(spark, sf_dir) -> str:
+    """The log lines as files of their sessions, appended in two parts, the second of them twice, as a repeated job would."""
+    folder = shared_path(spark, "sessions")
+    lines = _session_lines(spark, sf_dir).withColumnRenamed("line_no", "place")
+    for part in ("place < 40", "place >= 40", "place >= 40"):
+        sessions.append_sessions(lines.where(part), folder)
+    return folder
+
+
+@query(_SESSIONS_SQL + "SELECT * FROM f")
+def session_log_store(spark, sf_dir):
+    return sessions.replay(sessions.parse_session_log(repo.session_lines(spark, _session_folder(spark, sf_dir))))
+
+
+@query(_SESSIONS_SQL + "SELECT * FROM f")
+def session_log_stream(spark, sf_dir):
+    """The running totals of a stream over the logs, once it has read all of them."""
+    key, provider = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    out, own = shared_path(spark, "totals"), spark.conf.get(key)
+    spark.conf.set(key, provider)
+    try:
+        totals = logs.session_totals(logs.session_log_stream(spark, _session_folder(spark, sf_dir)))
+        each = lambda rows, batch: rows.withColumn("batch", F.lit(batch)).write.mode("append").parquet(out)
+        totals.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", shared_path(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(key, own)
+    names = ("title", "created_at", "updated_at", "message_count")
+    return spark.read.parquet(out).groupBy("session_id").agg(F.max_by(F.struct(*names), "batch").alias("t")).select("session_id", "t.*")
+
+
+@query(
+    """
+    WITH e AS (SELECT CAST(user_id AS VARCHAR) AS file_id, event_type AS t FROM events),
+    made AS (
+        SELECT file_id, unnest(CASE t
+            WHEN 'signup' THEN ['hoist.definition.function', 'local.definition.variable', 'local.definition.variable', 'local.reference']
+            WHEN 'click' THEN ['local.definition.enum', 'local.definition.enumerator', 'local.definition.enumerator']
+            WHEN 'view' THEN ['local.definition.macro']
+            ELSE ['local.definition.struct', 'local.definition.variable', 'local.definition.typedef', 'local.reference', 'local.scope'] END) AS capture FROM e
+        UNION ALL SELECT file_id, unnest(['local.scope', 'local.scope']) FROM e WHERE t = 'signup'
+        UNION ALL SELECT DISTINCT file_id, 'root' FROM e)
+    SELECT file_id, capture, count(*) AS n FROM made GROUP BY ALL"""
+)
+def syntax_captures(spark, sf_dir):
+    """Each user's events as a file of C: functions, enumerations, macros and type definitions; what the rules capture there."""
+    k = F.col("event_id").cast("string")
+    says = lambda text: F.replace(F.lit(text), F.lit("@"), k)
+    kind = F.col("event_type")
+    line = F.when(kind == "signup", says("static int f@(int a, char *b) {\n    return a;\n}\n")).when(kind == "click", says("enum e@ { A@, B@ = 2 };\n")).when(kind == "view", says("#define M@ 1 + n\n"))
+    line = line.otherwise(says("typedef struct s@ {\n    long k;\n    char x[N@];\n} t@; /* enum no { X } */\n"))
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("file_id"), F.struct("event_id", line.alias("t")).alias("x"))
+    files = e.groupBy("file_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["t"]), "").alias("content")).withColumn("lang", F.lit("c"))
+    return extract.extract(files).groupBy("file_id", "capture").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(_SESSIONS_SQL + "SELECT session_id, title, message_count, updated_at FROM f")
 def session_list(spark, sf_dir):
     return sessions.list_sessions(sessions.replay(_session_events(spark, sf_dir)))
