@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,30 +69,29 @@ def innermost(rows: DataFrame, scopes: DataFrame, earlier: bool = False) -> Data
     return rows.join(found, ["file_id", "node_ix"])
 
 
-SWEEP = "file_id string, node_ix int, scope_ix int"
-
-
 def innermost_sweep(rows: DataFrame, scopes: DataFrame) -> DataFrame:
-    """Like :func:`innermost`, by one pass over each file's sorted ranges with a stack: for files with very many scopes.
+    """Like :func:`innermost`, but scopes and rows of a file are sorted once and no scope meets a row that it doesn't hold.
 
-    Ranges must nest, as those of a syntax tree do. file_id must be a string.
+    Ranges of scopes must nest, as those of a syntax tree do. Then in order of place a running sum of openings less closings
+    is the depth, and the innermost scope at a place is the last one that was opened at its depth. So two windows over the
+    file do, whatever its number of scopes. Rows that are empty or reach beyond the scope they begin in are looked up by
+    the join.
     """
-
-    def sweep(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, stack = [], []
-        for r in pdf.sort_values(["s", "e", "scope", "ix"], ascending=[True, False, False, True]).itertuples():
-            while stack and stack[-1][1] < r.e:
-                stack.pop()
-            if r.scope:
-                stack.append((r.ix, r.e))
-            elif stack:
-                out.append((r.file_id, r.ix, stack[-1][0]))
-        return pd.DataFrame(out, columns=["file_id", "node_ix", "scope_ix"])
-
-    a = scopes.select(F.col("s_file").alias("file_id"), F.col("s_ix").alias("ix"), F.col("s_s").alias("s"), F.col("s_e").alias("e"), F.lit(True).alias("scope"))
-    b = rows.select("file_id", F.col("node_ix").alias("ix"), F.col("start_byte").alias("s"), F.col("end_byte").alias("e"), F.lit(False).alias("scope"))
-    found = a.unionByName(b).groupBy("file_id").applyInPandas(sweep, SWEEP)
-    return rows.join(found, ["file_id", "node_ix"])
+    s = scopes.select(F.col("s_file").alias("file_id"), F.col("s_ix").alias("ix"), F.col("s_s").cast("bigint").alias("s"), F.col("s_e").cast("bigint").alias("e")).where("s < e")
+    none = F.lit(None).cast("int")
+    # closings come before openings and these before rows of the same place; of openings the longer scope comes first
+    opened = s.select("file_id", F.col("s").alias("at"), F.lit(1).alias("turn"), (-F.col("e")).alias("far"), F.col("ix").alias("o"), F.lit(1).alias("step"), F.col("ix").alias("open"), F.col("e").alias("end"), none.alias("row"), F.lit(None).cast("bigint").alias("stop"))
+    closed = s.select("file_id", F.col("e").alias("at"), F.lit(0).alias("turn"), F.lit(0).cast("bigint").alias("far"), F.col("ix").alias("o"), F.lit(-1).alias("step"), none.alias("open"), F.lit(None).cast("bigint").alias("end"), none.alias("row"), F.lit(None).cast("bigint").alias("stop"))
+    asked = rows.select("file_id", F.col("start_byte").cast("bigint").alias("at"), F.lit(2).alias("turn"), F.lit(0).cast("bigint").alias("far"), F.col("node_ix").alias("o"), F.lit(0).alias("step"), none.alias("open"), F.lit(None).cast("bigint").alias("end"), F.col("node_ix").alias("row"), F.col("end_byte").cast("bigint").alias("stop"))
+    order = ("at", "turn", "far", "o")
+    so_far = lambda *keys: Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    events = opened.unionByName(closed).unionByName(asked).withColumn("depth", F.sum("step").over(so_far("file_id")))
+    last = F.last(F.when(F.col("open").isNotNull(), F.struct("open", "end")), ignorenulls=True).over(so_far("file_id", "depth"))
+    found = events.withColumn("last", last).where("row is not null")
+    odd = (F.col("stop") <= F.col("at")) | (F.col("stop") > F.col("last.end"))
+    sure = found.where((F.col("depth") > 0) & ~odd).select("file_id", F.col("row").alias("node_ix"), F.col("last.open").alias("scope_ix"))
+    rest = found.where((F.col("depth") == 0) | odd).select("file_id", F.col("row").alias("node_ix"), F.col("at").alias("start_byte"), F.col("stop").alias("end_byte"))
+    return rows.join(sure.unionByName(innermost(rest, scopes).select("file_id", "node_ix", "scope_ix")), ["file_id", "node_ix"])
 
 
 def closure(scope_nodes: DataFrame) -> DataFrame:
@@ -108,7 +106,7 @@ def closure(scope_nodes: DataFrame) -> DataFrame:
     return own.join(anc, around).select(F.col("s_file").alias("file_id"), F.col("s_ix").alias("scope_ix"), F.col("a_ix").alias("anc_ix"), (F.row_number().over(near) - 1).cast("int").alias("dist"))
 
 
-def place(nodes: DataFrame, scope_nodes: DataFrame, ancestors: DataFrame, strategy: str = "join") -> DataFrame:
+def place(nodes: DataFrame, scope_nodes: DataFrame, ancestors: DataFrame, strategy: str = "sweep") -> DataFrame:
     """Definitions, imports and references with the scope they belong to: the innermost one, its parent if hoisted, the root if global."""
     scopes = _scopes(scope_nodes, "s_")
     roots = scope_nodes.where("role = 'root'").select(F.col("file_id").alias("r_file"), F.col("node_ix").alias("root_ix"))
@@ -137,9 +135,11 @@ def resolve(placed: DataFrame, ancestors: DataFrame) -> DataFrame:
     return hit.select("file_id", "src_ix", "dst_ix", kind.alias("kind"), "dist")
 
 
-def build_scope_graph(captures: DataFrame, kinds: DataFrame | None = None, strategy: str = "join", keep=lambda df: df) -> ScopeGraph:
+def build_scope_graph(captures: DataFrame, kinds: DataFrame | None = None, strategy: str = "sweep", keep=lambda df: df) -> ScopeGraph:
     """Nodes, edges and the scopes' closure of all files. keep: called on stages read more than once, to persist them.
 
+    strategy: how innermost scopes are found, "sweep" or, for scopes that don't nest, "join".
+
     Ranges outside the root are dropped, but not global definitions. References that resolve to nothing are dropped.
     """
     nodes = keep(number_nodes(parse_captures(captures, kinds)))

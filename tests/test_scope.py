@@ -97,14 +97,32 @@ def test_sweep_equals_join(spark, data):
                 rows.append(("local.scope", *r))
                 todo.append(r)
     points = [("local.definition", p, p + 1, f"n{p}") for p in data.draw(st.lists(st.integers(0, 63), max_size=8, unique=True))]
+    # rows that are empty, reach over the ends of scopes or begin where a scope ends
+    points += [("local.definition", a, a + n, f"w{a}") for a, n in data.draw(st.lists(st.tuples(st.integers(0, 60), st.sampled_from([0, 3, 9, 40])), max_size=6, unique_by=lambda x: x[0]))]
     c = captures(spark, [*rows, *points], root=(0, 64))
-    one, two = scope.build_scope_graph(c), scope.build_scope_graph(c, strategy="sweep")
+    one, two = scope.build_scope_graph(c, strategy="join"), scope.build_scope_graph(c)
     pick = lambda g: sorted((e.src_ix, e.dst_ix, e.kind) for e in g.edges.where("kind <> 'ScopeToScope'").collect())
     assert pick(one) == pick(two)
     up = [e.src_ix for e in one.edges.where("kind = 'ScopeToScope'").collect()]
     assert len(up) == len(set(up)) == len(rows)
 
 
+def test_one_file_of_very_many_scopes(spark):
+    """A million rows in one file, half a million of them under as many scopes: two sorts, no pairs."""
+    from pyspark.sql import functions as F
+
+    n = 250_000
+    ids = spark.range(n)
+    scopes = ids.select(F.lit("f").alias("s_file"), F.col("id").cast("int").alias("s_ix"), (F.col("id") * 10).alias("s_s"), (F.col("id") * 10 + 9).alias("s_e"))
+    inner = ids.select(F.lit("f").alias("s_file"), (F.col("id") + n).cast("int").alias("s_ix"), (F.col("id") * 10 + 2).alias("s_s"), (F.col("id") * 10 + 6).alias("s_e"))
+    rows = spark.range(2 * n).select(F.lit("f").alias("file_id"), (F.col("id") + 2 * n).cast("int").alias("node_ix"), (F.col("id") * 5 + F.col("id") % 2).alias("start_byte"), (F.col("id") * 5 + F.col("id") % 2 + 1).alias("end_byte"))
+    got = scope.innermost_sweep(rows, scopes.unionByName(inner))
+    k = F.floor((F.col("node_ix") - 2 * n) / 2)
+    at = F.col("start_byte") % 10
+    want = F.when(at.between(2, 5), k + n).otherwise(k)
+    assert got.count() == 2 * n and got.where(F.col("scope_ix") != want).count() == 0
+
+
 @pytest.mark.parametrize("text", ["", "def f(:\n"])
 def test_files_without_captures(spark, text):
     from sorrel.operators import extract
