@@ -350,7 +350,7 @@ def test_oracle_pairs_have_prefixes(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracles(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "embeddings", "conversations"):
+    for t in ("documents", "embeddings", "conversations", "benchmark"):
         c.execute(f"create view {t} as select * from '{DIR}/{t}.parquet'")
     got, want = queries.QUERIES[name](spark, DIR).toPandas(), c.execute(queries.ORACLES[name]).df()
     rows = lambda df: sorted(map(repr, (tuple(None if v is None or v != v else str(v) for v in r) for r in df[sorted(df.columns)].itertuples(index=False, name=None))))
