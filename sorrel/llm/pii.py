@@ -84,6 +84,13 @@ def _valid(kind: str, v: Column) -> Column:
     return F.lit(True)
 
 
+def _refuted(v: Column) -> Column:
+    """Whether a text has a format's outer form and fails its test: not an identifier of any kind, whatever its context says."""
+    found = lambda kind: F.regexp_extract_all(v, F.lit(PATTERNS[kind]), F.lit(0))
+    long = F.exists(found("card"), lambda x: F.char_length(F.regexp_replace(x, "[ -]", "")).between(14, 19))
+    return long | (F.size(found("ip")) > 0) | (F.size(found("phone")) > 0)
+
+
 def _listed(spans: Column) -> Column:
     """kind:start:end by start, then kind, comma-joined."""
     names = F.array(*map(F.lit, KINDS))
@@ -130,7 +137,8 @@ def _patterns(far: Column, left: Column, right: Column, v: Column) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: _id, _h (a hash of the text), _base array<struct<s,k,e>> and _cands array<struct<s,e,v,k,sure,ps>>.
 
-    s, e: code points, end exclusive. k: the kind's place in KINDS that a candidate's own text has by format, else null.
+    s, e: code points, end exclusive. k: the kind's place in KINDS that a candidate's own text has by format, -1 if it fails
+    the test of a format whose form it has, else null.
     sure: whether that format alone makes it a span that is not a base one. ps: its patterns.
     """
     rows = docs.select(quoted(id_col).alias("_id"), text_of(text_col).alias("_t"))
@@ -150,7 +158,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         out = F.when(v.rlike(SURE_SECRET) | v.rlike(LIKELY_SECRET), F.lit(4))
         for i, kind in reversed(list(enumerate(BASE))):
             out = F.when(F.exists(F.regexp_extract_all(v, F.lit(PATTERNS[kind]), F.lit(0)), partial(_valid, kind)), F.lit(i)).otherwise(out)
-        return out
+        return F.when(out.isNull() & _refuted(v), F.lit(-1)).otherwise(out)
 
     # step by step, so that each is computed once
     def bare(x: Column) -> Column:
@@ -172,7 +180,7 @@ def bootstrap(candidates: DataFrame, least: float = 0.8, support: int = 3, doubt
     """Patterns that find identifiers: rows (_p, _k, _score), written. candidates: rows (v, k, ps) as in :func:`scan`.
 
     The graph joins each pattern with the distinct instances it is seen with. Seeds, instances with a kind by format,
-    have confidence 1 in it and speak against every other kind. What a pattern's other instances are is open: they speak
+    have confidence 1 in it and speak against every other kind; refuted ones (-1) speak against all. What a pattern's other instances are is open: they speak
     against it with weight ``doubt``, less as far as they have been found. A pattern's score in a kind is the share of
     its instances' confidence in all that speaks for and against; it counts if it reaches ``least`` and ``support``
     instances are seeds or found. An instance without a format takes the best score among its patterns that count, and so
@@ -184,7 +192,7 @@ def bootstrap(candidates: DataFrame, least: float = 0.8, support: int = 3, doubt
         edges = keep(edges, "pii-edges")
         counts = edges.groupBy("_p", "_seed").agg(F.count(F.lit(1)).alias("_n"))
         total = keep(counts.groupBy(F.col("_p").alias("_tp")).agg(F.sum("_n").alias("_n"), F.sum(F.when(F.col("_seed").isNull(), F.col("_n")).otherwise(0)).alias("_open")), "pii-patterns")
-        seeds = keep(counts.where("_seed is not null").select("_p", F.col("_seed").alias("_k"), F.col("_n").cast("double").alias("_mass"), F.lit(0.0).alias("_gained"), F.col("_n").alias("_known")), "pii-seeds")
+        seeds = keep(counts.where("_seed >= 0").select("_p", F.col("_seed").alias("_k"), F.col("_n").cast("double").alias("_mass"), F.lit(0.0).alias("_gained"), F.col("_n").alias("_known")), "pii-seeds")
         unseen = edges.where("_seed is null").select("_p", "_v")
 
         def scored(mass: DataFrame) -> DataFrame:

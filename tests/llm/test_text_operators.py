@@ -213,6 +213,9 @@ def brute_pii(texts, least=0.8, support=3, doubt=0.5):
             kind = next((k for k, name in enumerate(pii.BASE) if any(valid(name, x[0]) for x in regex.finditer(pii.PATTERNS[name], v))), None)
             sure = bool(regex.search(pii.SURE_SECRET, v))
             kind = 4 if kind is None and (sure or regex.search(pii.LIKELY_SECRET, v)) else kind
+            digits = [re.sub("[ -]", "", x[0]) for x in regex.finditer(pii.PATTERNS["card"], v)]
+            if kind is None and (any(14 <= len(d) <= 19 for d in digits) or any(regex.search(pii.PATTERNS[name], v) for name in ("ip", "phone"))):
+                kind = -1
             left, right = (word(gap[-1]) if gap else None), (word(after[0]) if after else None)
             ps = [f"2< {word(gap[-2])} {left}"] if len(gap) > 1 else []
             ps += [f"1< {left}", f"1<s {left} {shape(v)}"] if left else []
