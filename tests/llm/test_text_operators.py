@@ -95,7 +95,7 @@ class Shipped:
         from sorrel.llm.tokenizer import BYTE_LEVEL_PATTERN
 
         with open(path, "rb") as f:
-            self.value = (path, "json", BYTE_LEVEL_PATTERN, f.read())
+            self.value = (path, "json", BYTE_LEVEL_PATTERN, f.read(), True)
 
 
 @pytest.fixture(scope="module")
