@@ -88,10 +88,13 @@ def test_lines_of_odd_logs(spark, tmp_path):
     (tmp_path / "_staged" / "left.jsonl").write_text("never")
     assert values(spark, tmp_path, "local:a%3Ab") == ["é", "", "😀\ufffd"]
     whole = values(spark, tmp_path, "c")
-    for most in (1, 7, 1000):
-        spark.conf.set("spark.sql.files.maxPartitionBytes", str(most * 10))
-        assert values(spark, tmp_path, "c") == whole and len(whole) == 300
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    assert values(spark, tmp_path, "c") == whole and len(whole) == 300
     spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    for most in (1, 7, 100):  # ranges that begin and end anywhere in a line
+        reader = session_logs.LogReader({"path": str(tmp_path), "splitbytes": str(most)})
+        got = [row for p in reader.partitions() for row in session_logs._lines_of(str(tmp_path), p.ranges) if row[0] == "c"]
+        assert [r[4] for r in sorted(got, key=lambda r: r[3])] == whole
     assert values(spark, tmp_path / "none") == []
     assert sorted(r[0] for r in repo.list_session_ids(spark, str(tmp_path)).collect()) == ["b", "c", "local:a%3Ab"]
 
