@@ -10,12 +10,12 @@ to one projection, so all languages and files take one pass over the tokens and
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -109,9 +109,10 @@ LEXICONS = {
     ),
 }
 _MARKS = {":=": "A", "->": "r", "=>": "f", "::": "d", "...": "e", "++": "p", "--": "p"}
+# what begins with a letter or is always one mark comes first, as most tokens are such
 _SPLIT = re.compile(
-    r"""(?P<skip>//[^\n]*|/\*.*?\*/|\\\n)|(?P<directive>(?<![^\n])[ \t]*\#[^\n]*(?<!\\)(?:\n(?<=\\\n)[^\n]*)*)|(?P<text>"(?:\\.|[^"\\])*"|`[^`]*`|'(?:\\[^\n]{1,8}|[^'\\\n])')"""
-    r"""|(?P<life>'[A-Za-z_]\w*)|(?P<name>[^\W\d]\w*!?(?=[({\[])|[^\W\d]\w*)|(?P<number>\d(?:\w|\.(?=\d))*)|(?P<mark>:=|->|=>|::|\.\.\.|\+\+|--|[=!<>+\-*/%&|^]=|&&|\|\||<<|>>|[^\w\s])""",
+    r"""(?P<name>[^\W\d]\w*!?(?=[({\[])|[^\W\d]\w*)|(?P<one>[(){}\[\];,])|(?P<skip>//[^\n]*|/\*.*?\*/|\\\n)|(?P<directive>(?<![^\n])[ \t]*\#[^\n]*(?<!\\)(?:\n(?<=\\\n)[^\n]*)*)"""
+    r"""|(?P<text>"(?:\\.|[^"\\])*"|`[^`]*`|'(?:\\[^\n]{1,8}|[^'\\\n])')|(?P<life>'[A-Za-z_]\w*)|(?P<number>\d(?:\w|\.(?=\d))*)|(?P<mark>:=|->|=>|::|\.\.\.|\+\+|--|[=!<>+\-*/%&|^]=|&&|\|\||<<|>>|[^\w\s])""",
     re.S,
 )
 _DIRECTIVE = re.compile(r"""[ \t]*(\#[ \t]*(?:include|define))[ \t]+(<[^>\n]*>|"[^"\n]*"|\w+)""")
@@ -121,21 +122,25 @@ _OPEN, _CLOSE = {"(": ")", "[": "]", "{": "}"}, {")", "]", "}"}
 def _split(text: str, lexicon: Lexicon) -> list[tuple[str, str, int, int]]:
     """(code, text, start, end) of each token, in characters."""
     out = []
+    words = lexicon.words
     for m in _SPLIT.finditer(text):
-        what, word, a, b = m.lastgroup, m[0], m.start(), m.end()
-        if what == "skip":
+        what, word = m.lastgroup, m[0]
+        a, b = m.span()
+        if what == "name":
+            if word[-1] == "!":
+                word, b = word[:-1], b - 1
+            out.append((words.get(word, "N"), word, a, b))
+        elif what == "one":
+            out.append((word, word, a, b))
+        elif what == "skip":
             continue
-        if what == "directive" and lexicon.directives:
+        elif what == "directive" and lexicon.directives:
             if d := _DIRECTIVE.match(word):
                 out.append(("#", d[1].replace(" ", "").replace("\t", ""), a + d.start(1), a + d.end(1)))
                 out.append(("H" if d[2][0] in '<"' else "N", d[2], a + d.start(2), a + d.end(2)))
         elif what == "directive":
             a += len(word) - len(word.lstrip())
             out.append(("o", "#", a, a + 1))
-        elif what == "name":
-            if word.endswith("!"):
-                word, b = word[:-1], b - 1
-            out.append((lexicon.words.get(word, "N"), word, a, b))
         elif what in ("text", "number"):
             out.append(("L", word, a, b))
         elif what == "life":
@@ -145,8 +150,11 @@ def _split(text: str, lexicon: Lexicon) -> list[tuple[str, str, int, int]]:
     return out
 
 
-def tree_of(text: str, lexicon: Lexicon) -> list[tuple]:
-    """The tokens of a text with their places in the bracket tree, as in TOKENS from ix on but places as bytes."""
+def tree_of(text: str, lexicon: Lexicon, wanted: tuple[frozenset[str], frozenset[str]] | None = None) -> list[tuple]:
+    """The tokens of a text with their places in the bracket tree, as in TOKENS from ix on but places in characters.
+
+    wanted: codes and texts; of the tokens that have neither of them no row is made. They keep their part in the tree.
+    """
     toks = _split(text, lexicon)
     codes = "".join(t[0] for t in toks)
     newline = [0, *accumulate(text.count("\n", a[3], b[2]) for a, b in zip(toks, toks[1:], strict=False))] if toks else []
@@ -198,48 +206,74 @@ def tree_of(text: str, lexicon: Lexicon) -> list[tuple]:
             stack.append([i, "", None, None])
     for frame in stack:
         end_item(frame, len(toks) - 1)
-    ends = lambda i: toks[i][3]
-    word_at = lambda i: toks[i][1] if 0 <= i < len(toks) else ""
-    out = []
-    for i, group, item, code, word, lead in rows:
-        opened = rows[group] if group >= 0 else None
+    if wanted is not None:
+        kept_codes, kept_texts = wanted
+        kept = [r for r in rows if r[3] in kept_codes or r[4] in kept_texts]
+    else:
+        kept = rows
+    n, out = len(toks), []
+    for i, group, item, code, word, lead in kept:
+        _, _, start, end = toks[i]
+        before = toks[i - 1] if i else None
         last = close.get(i, i)
+        opener, owner = (toks[group][1], rows[group][5]) if group >= 0 else ("", "")
         out.append((
-            i, group, item, code, word, lead, codes[i + 1 : i + 9], word_at(i - 1), word_at(i + 1), word_at(last + 1) if word in _OPEN else "",
-            toks[group][1] if opened else "", opened[5] if opened else "", word_at(group - 1) if opened else "",
-            toks[i][2], toks[i][3], toks[item][2], ends(item_end.get(item, i)), ends(last), toks[max(i - 1, 0)][2],
+            i, group, item, code, word, lead, codes[i + 1 : i + 9], before[1] if before else "", toks[i + 1][1] if i + 1 < n else "",
+            toks[last + 1][1] if word in _OPEN and last + 1 < n else "", opener, owner, toks[group - 1][1] if group > 0 else "",
+            start, end, toks[item][2], toks[item_end.get(item, i)][3], toks[last][3], before[2] if before else start,
         ))
     return out
 
 
-def tokens(files: DataFrame) -> DataFrame:
-    """The token table of files (file_id, lang, content) in languages that have a lexicon; see the module."""
+#: Rows of an Arrow batch of tokens.
+BATCH_TOKENS = 8192
+
+
+def tokens(files: DataFrame, wanted: dict[str, tuple[frozenset[str], frozenset[str]]] | None = None) -> DataFrame:
+    """The token table of files (file_id, lang, content) in languages that have a lexicon; see the module.
+
+    wanted: for each language the codes and the texts of tokens that are asked for, see :func:`tree_of`.
+    """
     schema = TOKENS
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in schema.split(", ")]
+        held: list[tuple] = []
+        size = 0
         for b in batches:
             for file_id, lang, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                rows = tree_of(text or "", LEXICONS[lang])
-                for at in range(0, len(rows), 4096):
-                    yield _batch(file_id, lang, text, rows[at : at + 4096], names)
+                rows = tree_of(text or "", LEXICONS[lang], wanted and wanted[lang])
+                where = _places(text, rows) if rows else None
+                for at in range(0, len(rows), BATCH_TOKENS):
+                    held.append((file_id, lang, rows[at : at + BATCH_TOKENS], where[:, :, at : at + BATCH_TOKENS]))
+                    size += len(held[-1][2])
+                    if size >= BATCH_TOKENS:
+                        yield _batch(held, names)
+                        held, size = [], 0
+        if held:
+            yield _batch(held, names)
 
     return files.where(F.lower("lang").isin(*LEXICONS)).select("file_id", F.lower("lang"), "content").mapInArrow(read, schema)
 
 
-def _batch(file_id: str, lang: str, text: str, rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True))
-    sizes = None if text.isascii() else [0, *accumulate(len(c.encode()) for c in text)]
-    starts = [0, *(m.end() for m in re.finditer("\n", text))]
-    made = []
-    for chars in cols[13:]:
-        line = [bisect_right(starts, c) - 1 for c in chars]
-        byte = list(chars) if sizes is None else [sizes[c] for c in chars]
-        first = [starts[x] if sizes is None else sizes[starts[x]] for x in line]
-        made += [pa.array(byte, pa.int32()), pa.array(line, pa.int32()), pa.array([a - f for a, f in zip(byte, first, strict=True)], pa.int32())]
-    n = len(rows)
-    head = [pa.array([file_id] * n, pa.string()), *(pa.array(c, pa.int32()) for c in cols[:3]), pa.array([lang] * n, pa.string())]
-    return pa.RecordBatch.from_arrays([*head, *(pa.array(c, pa.string()) for c in cols[3:13]), *made], names)
+def _places(text: str, rows: list[tuple]) -> np.ndarray:
+    """Byte, line and column of each place of rows: an array of places, these three, rows."""
+    at = np.array([r[13:] for r in rows], np.int32).T
+    starts = np.array([0, *(m.end() for m in re.finditer("\n", text))], np.int32)
+    line = np.searchsorted(starts, at, "right").astype(np.int32) - 1
+    if not text.isascii():
+        sizes = np.array([0, *accumulate(len(c.encode()) for c in text)], np.int32)
+        at, starts = sizes[at], sizes[starts]
+    return np.stack([at, line, at - starts[line]], 1)
+
+
+def _batch(held: list[tuple], names: list[str]) -> pa.RecordBatch:
+    """Parts of files (file_id, lang, rows, places) as one batch."""
+    cols = list(zip(*(r for _, _, rows, _ in held for r in rows), strict=True))
+    places = np.concatenate([p for *_, p in held], 2)
+    of_file = lambda k: pa.array([x for part in held for x in [part[k]] * len(part[2])], pa.string())
+    head = [of_file(0), *(pa.array(c, pa.int32()) for c in cols[:3]), of_file(1)]
+    return pa.RecordBatch.from_arrays([*head, *(pa.array(c, pa.string()) for c in cols[3:13]), *(pa.array(x) for p in places for x in p)], names)
 
 
 @dataclass(frozen=True)
@@ -266,7 +300,8 @@ def condition(name: str, wanted: object) -> Column:
 
 
 def matches(rule: Rule) -> Column:
-    return reduce(Column.__and__, (condition(*x) for x in rule.where.items()))
+    # values first, as they are cheaper than patterns and most tokens fail them
+    return reduce(Column.__and__, (condition(*x) for x in sorted(rule.where.items(), key=lambda x: isinstance(x[1], re.Pattern))))
 
 
 def _r(pattern: str) -> re.Pattern:
@@ -393,8 +428,20 @@ SCOPES = {
 }
 
 
+def asked_for(rules: Iterable[Rule]) -> tuple[frozenset[str], frozenset[str]]:
+    """Codes and texts of the tokens that rules can hold on; each rule asks for a token's code or its text."""
+    found: tuple[set[str], set[str]] = (set(), set())
+    for r in rules:
+        k, value = (0, r.where["code"]) if "code" in r.where else (1, r.where["text"])
+        found[k].update(value if isinstance(value, tuple) else (value,))
+    return frozenset(found[0]), frozenset(found[1])
+
+
 def pattern_captures(files: DataFrame) -> DataFrame:
-    """Captures of files (file_id, lang, content) by NAMES and SCOPES, with the roots; columns as :mod:`operators.extract` has them."""
+    """Captures of files (file_id, lang, content) by NAMES and SCOPES, with the roots; columns as :mod:`operators.extract` has them.
+
+    Only tokens that a rule can hold on leave the readers.
+    """
     from .extract import CAPTURES
 
     order = {c: i for i, c in enumerate(dict.fromkeys(["local.scope", *sorted({r.capture for rules in NAMES.values() for r in rules if r.capture})]))}
@@ -405,12 +452,21 @@ def pattern_captures(files: DataFrame) -> DataFrame:
         named = F.lit(None).cast("string") if rule.capture == "local.scope" else F.col("text")
         return F.struct(capture.alias("capture"), (number * 8 + k).alias("ord"), *place(rule.begin, "start"), *place(rule.end, "end"), named.alias("text"))
 
-    # a capture's name and number is one column, so that each rule stands in the plan once
-    of_name = reduce(lambda out, x: out.when((F.col("lang") == x[0]) & matches(x[1]), F.lit(x[1].capture)), [(lang, r) for lang, rules in NAMES.items() for r in rules], F.when(F.lit(False), F.lit(None).cast("string")))
-    named = made(Rule("name", {}), 0, F.col("_name"))
-    scopes = [F.when((F.col("lang") == lang) & matches(r), made(r, k, F.lit("local.scope"))) for lang, rules in SCOPES.items() for k, r in enumerate(rules)]
-    rows = tokens(files).withColumn("_name", of_name)
-    found = rows.select("file_id", "lang", F.explode(F.array_compact(F.array(F.when(F.col("_name").isNotNull(), named), *scopes))).alias("c")).select("file_id", "lang", "c.*")
+    def first(rules: tuple[Rule, ...]) -> Column:
+        return reduce(lambda out, r: out.when(matches(r), F.lit(r.capture)), rules, F.when(F.lit(False), F.lit(None).cast("string")))
+
+    # one array holds all that a token gives: its rules stand in the plan once, and in no generated method, which would be
+    # one of so many that it is never compiled
+    of_name = reduce(lambda out, x: out.when(F.col("lang") == x[0], first(x[1])), NAMES.items(), F.when(F.lit(False), F.lit(None).cast("string")))
+    named = F.transform(F.array(of_name), lambda capture: F.when(capture.isNotNull(), made(Rule("name", {}), 0, capture)))
+    scopes = reduce(
+        lambda out, x: out.when(F.col("lang") == x[0], F.array(*(F.when(matches(r), made(r, k, F.lit("local.scope"))) for k, r in enumerate(x[1])))), SCOPES.items(), F.when(F.lit(False), F.array())
+    )
+    # a name's token is no scope's: scopes begin at reserved words and brackets
+    codes, texts = asked_for(r for rules in NAMES.values() for r in rules)
+    given = F.when(F.col("code").isin(*codes) | F.col("text").isin(*texts), named).otherwise(scopes)
+    rows = tokens(files, {lang: asked_for([*NAMES[lang], *SCOPES[lang]]) for lang in NAMES})
+    found = rows.select("file_id", "lang", F.explode(F.array_compact(given)).alias("c")).select("file_id", "lang", "c.*")
     number = F.create_map(*(F.lit(x) for kv in order.items() for x in kv))
     text = F.coalesce("content", F.lit(""))
     last = F.substring_index(text, "\n", -1)

@@ -258,3 +258,26 @@ def test_places_and_odd_texts():
     for lang in syntax.LEXICONS:
         for text in ("", "}", "({[", "'", '"', "a" * 5000, "f(" * 3000, "a, " * 5000):
             assert len(syntax.tree_of(text, syntax.LEXICONS[lang])) >= 0
+
+
+def test_only_tokens_that_rules_can_hold_on_are_made():
+    for lang, src in (("c", C), ("go", GO), ("rust", RUST)):
+        lexicon = syntax.LEXICONS[lang]
+        names, scopes = syntax.asked_for(syntax.NAMES[lang]), syntax.asked_for(syntax.SCOPES[lang])
+        wanted = syntax.asked_for([*syntax.NAMES[lang], *syntax.SCOPES[lang]])
+        every = syntax.tree_of(src, lexicon)
+        some = syntax.tree_of(src, lexicon, wanted)
+        assert some == [t for t in every if t[3] in wanted[0] or t[4] in wanted[1]] and len(some) < len(every)
+        # a token that names can hold on is none of a scope
+        assert not scopes[0] and not {lexicon.words.get(t, t) for t in scopes[1]} & names[0] and not scopes[1] & names[1]
+
+
+def test_places_of_files_that_share_a_batch(spark):
+    texts = {"a": "/* é */ int größe = 1;\nint b;\n", "b": "int c;\n" * 3000, "c": "", "d": "\n\nint last;"}
+    found = syntax.pattern_captures(spark.createDataFrame([(k, "c", t) for k, t in texts.items()], "file_id string, lang string, content string").coalesce(1))
+    got = found.where("capture = 'local.definition.variable'").collect()
+    assert len(got) == 3003
+    for r in got:
+        data = texts[r.file_id].encode()
+        assert data[r.start_byte : r.end_byte].decode() == r.text and data[: r.start_byte].count(b"\n") == r.start_line == r.end_line
+        assert r.start_byte - (data.rfind(b"\n", 0, r.start_byte) + 1) == r.start_col and r.end_col - r.start_col == r.end_byte - r.start_byte
