@@ -9,7 +9,9 @@ twice stays two nodes.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,8 +24,13 @@ class ScopeGraph:
     """nodes: file_id, node_ix, kind, range, name, ns_idx, sym_idx, sym_name, hoist, scope_ix, root_ix. edges: file_id, src_ix, dst_ix, kind."""
 
     nodes: DataFrame
-    edges: DataFrame
     ancestors: DataFrame
+    make_edges: Callable[[], DataFrame]
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        """Made when first asked for: a name's references times its definitions, which the nodes do without."""
+        return self.make_edges()
 
 
 def parse_captures(captures: DataFrame, kinds: DataFrame | None = None) -> DataFrame:
@@ -70,12 +77,17 @@ def innermost(rows: DataFrame, scopes: DataFrame, earlier: bool = False) -> Data
 
 
 def innermost_sweep(rows: DataFrame, scopes: DataFrame) -> DataFrame:
-    """Like :func:`innermost`, but scopes and rows of a file are sorted once and no scope meets a row that it doesn't hold.
+    """Like :func:`innermost`, see :func:`swept`."""
+    return rows.join(swept(rows, scopes), ["file_id", "node_ix"])
+
+
+def swept(rows: DataFrame, scopes: DataFrame, keep=lambda df: df) -> DataFrame:
+    """(file_id, node_ix, scope_ix) as :func:`innermost` has them, but a file is sorted once and no scope meets a row that it doesn't hold.
 
     Ranges of scopes must nest, as those of a syntax tree do. Then in order of place a running sum of openings less closings
     is the depth, and the innermost scope at a place is the last one that was opened at its depth. So two windows over the
     file do, whatever its number of scopes. Rows that are empty or reach beyond the scope they begin in are looked up by
-    the join.
+    the join. keep: called on what the windows find, which is read twice, to persist it.
     """
     s = scopes.select(F.col("s_file").alias("file_id"), F.col("s_ix").alias("ix"), F.col("s_s").cast("bigint").alias("s"), F.col("s_e").cast("bigint").alias("e")).where("s < e")
     none = F.lit(None).cast("int")
@@ -87,11 +99,14 @@ def innermost_sweep(rows: DataFrame, scopes: DataFrame) -> DataFrame:
     so_far = lambda *keys: Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     events = opened.unionByName(closed).unionByName(asked).withColumn("depth", F.sum("step").over(so_far("file_id")))
     last = F.last(F.when(F.col("open").isNotNull(), F.struct("open", "end")), ignorenulls=True).over(so_far("file_id", "depth"))
-    found = events.withColumn("last", last).where("row is not null")
     odd = (F.col("stop") <= F.col("at")) | (F.col("stop") > F.col("last.end"))
-    sure = found.where((F.col("depth") > 0) & ~odd).select("file_id", F.col("row").alias("node_ix"), F.col("last.open").alias("scope_ix"))
-    rest = found.where((F.col("depth") == 0) | odd).select("file_id", F.col("row").alias("node_ix"), F.col("at").alias("start_byte"), F.col("stop").alias("end_byte"))
-    return rows.join(sure.unionByName(innermost(rest, scopes).select("file_id", "node_ix", "scope_ix")), ["file_id", "node_ix"])
+    known = (F.col("depth") > 0) & ~odd
+    unknown = (F.col("depth") == 0) | odd
+    found = events.withColumn("last", last).where("row is not null").where(known | unknown)
+    found = keep(found.select("file_id", F.col("row").alias("node_ix"), F.col("at").alias("start_byte"), F.col("stop").alias("end_byte"), F.coalesce(known, F.lit(False)).alias("known"), F.col("last.open").alias("scope_ix")))
+    sure = found.where("known").select("file_id", "node_ix", "scope_ix")
+    rest = found.where("not known").select("file_id", "node_ix", "start_byte", "end_byte")
+    return sure.unionByName(innermost(rest, scopes).select("file_id", "node_ix", "scope_ix"))
 
 
 def closure(scope_nodes: DataFrame) -> DataFrame:
@@ -106,16 +121,21 @@ def closure(scope_nodes: DataFrame) -> DataFrame:
     return own.join(anc, around).select(F.col("s_file").alias("file_id"), F.col("s_ix").alias("scope_ix"), F.col("a_ix").alias("anc_ix"), (F.row_number().over(near) - 1).cast("int").alias("dist"))
 
 
-def place(nodes: DataFrame, scope_nodes: DataFrame, ancestors: DataFrame, strategy: str = "sweep") -> DataFrame:
-    """Definitions, imports and references with the scope they belong to: the innermost one, its parent if hoisted, the root if global."""
+def place(nodes: DataFrame, scope_nodes: DataFrame, ancestors: DataFrame, strategy: str = "sweep", keep=lambda df: df) -> DataFrame:
+    """Definitions, imports and references with the scope they belong to: the innermost one, its parent if hoisted, the root if global.
+
+    Scopes and their parents meet as numbers alone, so a row with all its columns is shuffled once. keep: see :func:`swept`.
+    """
     scopes = _scopes(scope_nodes, "s_")
     roots = scope_nodes.where("role = 'root'").select(F.col("file_id").alias("r_file"), F.col("node_ix").alias("root_ix"))
     rest = nodes.where(F.col("role").isin("import", "definition", "reference"))
-    within = (innermost if strategy == "join" else innermost_sweep)(rest.where("reach <> 'global' or role <> 'definition'"), scopes)
+    local = rest.where("reach <> 'global' or role <> 'definition'")
+    inner = innermost(local, scopes).select("file_id", "node_ix", "scope_ix") if strategy == "join" else swept(local, scopes, keep)
     parent = ancestors.where("dist = 1").select(F.col("file_id").alias("p_file"), F.col("scope_ix").alias("p_ix"), F.col("anc_ix").alias("parent_ix"))
     hoisted = (F.col("role") == "definition") & (F.col("reach") == "hoist")
-    within = within.join(parent, (F.col("file_id") == F.col("p_file")) & (F.col("scope_ix") == F.col("p_ix")), "left")
-    within = within.withColumn("scope_ix", F.when(hoisted, F.coalesce("parent_ix", "scope_ix")).otherwise(F.col("scope_ix"))).drop("p_file", "p_ix", "parent_ix")
+    inner = inner.join(parent, (F.col("file_id") == F.col("p_file")) & (F.col("scope_ix") == F.col("p_ix")), "left").drop("p_file", "p_ix")
+    within = local.join(inner, ["file_id", "node_ix"])
+    within = within.withColumn("scope_ix", F.when(hoisted, F.coalesce("parent_ix", "scope_ix")).otherwise(F.col("scope_ix"))).drop("parent_ix")
     top = rest.where("reach = 'global' and role = 'definition'").join(roots, F.col("file_id") == F.col("r_file")).withColumn("scope_ix", F.col("root_ix")).drop("r_file", "root_ix")
     return within.unionByName(top)
 
@@ -135,6 +155,20 @@ def resolve(placed: DataFrame, ancestors: DataFrame) -> DataFrame:
     return hit.select("file_id", "src_ix", "dst_ix", kind.alias("kind"), "dist")
 
 
+def resolving(placed: DataFrame, ancestors: DataFrame) -> DataFrame:
+    """(h_file, h_scope, h_name, h_ns) of the references for which :func:`resolve` has an edge, without making the edges.
+
+    References of one name and namespace in one scope resolve alike, and a target counts once, so what is joined are
+    distinct names of scopes, however often each is used.
+    """
+    own = (F.col("file_id").alias("h_file"), F.col("scope_ix").alias("h_scope"), F.col("text").alias("h_name"), F.col("ns_idx").alias("h_ns"))
+    refs = placed.where("role = 'reference'").select(*own).distinct()
+    seen = refs.join(ancestors.select("file_id", "scope_ix", "anc_ix"), (F.col("h_file") == F.col("file_id")) & (F.col("h_scope") == F.col("scope_ix"))).drop("file_id", "scope_ix")
+    targets = placed.where("role <> 'reference'").select(F.col("file_id").alias("t_file"), F.col("scope_ix").alias("t_scope"), F.col("text").alias("t_name"), F.when(F.col("role") != "import", F.col("ns_idx")).alias("t_ns")).distinct()
+    fits = F.col("t_ns").isNull() | F.col("h_ns").isNull() | (F.col("t_ns") == F.col("h_ns"))
+    return seen.join(targets, (F.col("h_file") == F.col("t_file")) & (F.col("anc_ix") == F.col("t_scope")) & (F.col("h_name") == F.col("t_name")) & fits).select("h_file", "h_scope", "h_name", "h_ns").distinct()
+
+
 def build_scope_graph(captures: DataFrame, kinds: DataFrame | None = None, strategy: str = "sweep", keep=lambda df: df) -> ScopeGraph:
     """Nodes, edges and the scopes' closure of all files. keep: called on stages read more than once, to persist them.
 
@@ -149,18 +183,17 @@ def build_scope_graph(captures: DataFrame, kinds: DataFrame | None = None, strat
     held = root.unionByName(scopes.join(root.select(F.col("file_id").alias("_rf"), F.col("start_byte").alias("_rs"), F.col("end_byte").alias("_re")), (F.col("file_id") == F.col("_rf")) & (F.col("start_byte") >= F.col("_rs")) & (F.col("end_byte") <= F.col("_re"))).drop("_rf", "_rs", "_re"))
     held = keep(held)
     ancestors = keep(closure(held))
-    placed = keep(place(nodes, held, ancestors, strategy))
-    resolved = keep(resolve(placed, ancestors))
+    placed = keep(place(nodes, held, ancestors, strategy, keep))
+    used = keep(resolving(placed, ancestors))
     upward = ancestors.where("dist = 1").select("file_id", F.col("scope_ix").alias("src_ix"), F.col("anc_ix").alias("dst_ix"), F.lit("ScopeToScope").alias("kind"), "dist")
     owned = placed.where("role <> 'reference'").select("file_id", F.col("node_ix").alias("src_ix"), F.col("scope_ix").alias("dst_ix"), F.when(F.col("role") == "import", "ImportToScope").otherwise("DefToScope").alias("kind"), F.lit(0).alias("dist"))
-    edges = upward.unionByName(owned).unionByName(resolved)
-    used = resolved.select("file_id", F.col("src_ix").alias("node_ix")).distinct()
-    stay = placed.where("role <> 'reference'").unionByName(placed.where("role = 'reference'").join(used, ["file_id", "node_ix"], "left_semi"))
+    resolves = (F.col("file_id") == F.col("h_file")) & (F.col("scope_ix") == F.col("h_scope")) & (F.col("text") == F.col("h_name")) & F.col("ns_idx").eqNullSafe(F.col("h_ns"))
+    stay = placed.where("role <> 'reference'").unionByName(placed.where("role = 'reference'").join(used, resolves, "left_semi"))
     inner = held.join(ancestors.where("dist = 1").select("file_id", F.col("scope_ix").alias("node_ix"), F.col("anc_ix").alias("scope_ix")), ["file_id", "node_ix"], "left")
     all_ = stay.unionByName(inner, allowMissingColumns=True)
     roots = root.select("file_id", F.col("node_ix").alias("root_ix"))
     out = all_.join(roots, "file_id").withColumnRenamed("role", "kind").withColumn("name", F.when(F.col("kind").isin("definition", "import", "reference"), F.col("text")))
-    return ScopeGraph(out, edges, ancestors)
+    return ScopeGraph(out, ancestors, lambda: upward.unionByName(owned).unionByName(keep(resolve(placed, ancestors))))
 
 
 def definitions_of(graph: ScopeGraph) -> DataFrame:
@@ -203,7 +236,8 @@ def hoverable_ranges(nodes: DataFrame) -> DataFrame:
 
 
 def symbols(nodes: DataFrame) -> DataFrame:
-    return nodes.where("kind = 'definition' and sym_name is not null").select("file_id", "node_ix", "name", F.col("sym_name").alias("symbol"), *RANGE)
+    """Definitions of a kind, and whether they belong to the root."""
+    return nodes.where("kind = 'definition' and sym_name is not null").select("file_id", "node_ix", "name", F.col("sym_name").alias("symbol"), *RANGE, top_level(nodes).alias("top"))
 
 
 def top_level(nodes: DataFrame) -> Column:

@@ -28,6 +28,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder once."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """df, written to the shared folder once, as Parquet, so that each reader takes only the columns that it needs."""
+    path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -143,3 +143,18 @@ def test_all_names_and_roots_count(spark):
     paths = spark.createDataFrame([(f"/r{i}/a",) for i in range(n)] + [("/r7/b",), ("/r7/bc",), ("/x",), (None,), ("/r8",)], "path string")
     found = {r.path: r.root for r in navigation.longest_root(paths, roots).collect()}
     assert found == {f"/r{i}/a": f"/r{i}" for i in range(n)} | {"/r7/b": "/r7/b", "/r7/bc": "/r7", "/x": None, None: None, "/r8": "/r8"}
+
+
+def test_nodes_make_no_edges(spark):
+    """Many uses of one name resolve by the name: counts need no pair of a use and a definition."""
+    rows = [("local.definition", 4 * i, 4 * i + 1, "a") for i in range(200)] + [("local.reference", 1000 + 4 * i, 1000 + 4 * i + 1, "a") for i in range(200)] + [("local.reference", 2000, 2001, "b")]
+    g = scope.build_scope_graph(captures(spark, rows, root=(0, 3000)))
+    assert "edges" not in vars(g)
+    r = scope.count_kinds(g.nodes).first()
+    assert (r.scopes, r.defs, r.refs) == (1, 200, 200)
+    assert g.edges.where("kind = 'RefToDef'").count() == 200 * 200
+
+
+def test_symbols_say_what_is_top(spark):
+    g = scope.build_scope_graph(captures(spark, [("local.scope", 4, 15), ("local.definition.function", 2, 3, "f"), ("local.definition.variable", 6, 7, "v")]))
+    assert {(r.name, r.top) for r in scope.symbols(g.nodes).collect()} == {("f", True), ("v", False)}
