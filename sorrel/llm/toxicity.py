@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,18 +29,28 @@ WINDOW = 32
 MAX_DOCUMENTS = 20_000
 #: Decisions from which on distinct words are counted as evidence.
 COUNTED = (0.0, -0.5)
+#: Words of decisions that are larger than the bias by this are looked at first; most texts have enough of them.
+HIGH = 0.4
+#: Subsequences that are hashed at once, so that the arrays of a step stay in a core's cache.
+AT_ONCE = 1 << 17
 
+_SINGLE = re.compile(r"\w[^\w\s]?")
 _SPACED = re.compile(r"(?<!\S)(?:\w[^\w\s]?\s){2,}\w(?![^\W])")
 _INNER = re.compile(r"[\W_]+")
+#: The usual characters among those that part a token.
+_ENDS = ".,;:!?\"'()[]_-"
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
 def tokens(text: str) -> set[str]:
     """The distinct lower-cased words of a text, and letters that stand apart joined."""
     low = text.lower()
-    out = set(low.split())
-    for m in _SPACED.finditer(low):
-        out.add(_INNER.sub("", m[0]))
+    words = low.split()
+    out = set(words)
+    single = {w for w in out if len(w) < 3 and _SINGLE.fullmatch(w)}
+    if single and b"\1\1" in bytes(map(single.__contains__, words)):  # hardly any text has two in a row
+        for m in _SPACED.finditer(low):
+            out.add(_INNER.sub("", m[0]))
     return out
 
 
@@ -85,6 +96,45 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, dim, value / norm[row]
 
 
+def products(codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Weights times the unit vectors that :func:`features` gives, for words of one length; codes: (character, word).
+
+    Only a vector's length asks which subsequences are equal, so values are sorted within a word and not summed in general.
+    """
+    size, n = codes.shape
+    mixed = [codes * np.uint64(m) for m in MULTIPLIERS]
+    used = [p for p in PLACES if p[-1] < size]
+    out, square = np.zeros(n), 0.0
+    if not used:
+        return out
+    keys = np.empty((sum(size - p[-1] for p in used), n), np.uint32)
+    at = 0
+    for places in used:
+        rows, gaps = size - places[-1], places[-1] - len(places)
+        h = mixed[0][:rows] ^ mixed[1][places[0] : places[0] + rows]
+        for place, m in zip(places[1:], mixed[2:], strict=False):
+            h ^= m[place : place + rows]
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h >>= np.uint64(46)
+        out += DECAY**gaps * weights[h.view(np.int64)].sum(axis=0, dtype=float)
+        square += rows * DECAY ** (2 * gaps)
+        h <<= np.uint64(2)
+        h |= np.uint64(gaps)
+        keys[at : at + rows] = h
+        at += rows
+    by_word = np.sort(np.ascontiguousarray(keys.T), axis=1)
+    same = np.zeros((n, by_word.shape[1] + 1), bool)  # as the one before it
+    np.less(by_word[:, 1:] ^ by_word[:, :-1], 4, out=same[:, 1:-1])
+    norm, runs = np.full(n, square), np.flatnonzero(same[:, :-1] | same[:, 1:])
+    if len(runs):
+        value = (DECAY ** np.arange(4))[by_word.ravel()[runs] & 3]
+        first = np.flatnonzero(~same[:, :-1].ravel()[runs])
+        more = np.add.reduceat(value, first) ** 2 - np.add.reduceat(value * value, first)
+        norm += np.bincount(runs[first] // by_word.shape[1], more, minlength=n)
+    return out / np.sqrt(norm)
+
+
 @dataclass
 class Model:
     """decision(word) = weights · features(word) + bias; score(text) = sigmoid(calibration · evidence(text))."""
@@ -94,13 +144,25 @@ class Model:
     calibration: np.ndarray | None = None
 
     def decisions(self, words: list[str]) -> np.ndarray:
-        spelt = [windows(w) for w in words]
-        flat = [x for ws in spelt for x in ws]
-        if not flat:
-            return np.empty(0)
-        row, dim, value = features(flat)
-        each = np.bincount(row, value * self.weights[dim], minlength=len(flat)) + self.bias
-        return np.maximum.reduceat(each, np.cumsum([0, *map(len, spelt[:-1])]))
+        long = [i for i, w in enumerate(words) if len(w) > WINDOW]
+        parts = [windows(words[i]) for i in long]
+        each = self._products([f"^{w}$" if len(w) <= WINDOW else "" for w in words] + [x for ws in parts for x in ws])
+        if long:
+            each[long] = np.maximum.reduceat(each[len(words) :], np.cumsum([0, *map(len, parts[:-1])]))
+        return each[: len(words)] + self.bias
+
+    def _products(self, spelt: list[str]) -> np.ndarray:
+        lengths = np.fromiter(map(len, spelt), np.int64, len(spelt))
+        order, out = np.argsort(lengths, kind="stable"), np.zeros(len(spelt))
+        codes = np.frombuffer("".join([spelt[i] for i in order.tolist()]).encode("utf-32-le"), np.uint32)
+        done = read = 0
+        for size, n in zip(*(x.tolist() for x in np.unique(lengths, return_counts=True)), strict=True):
+            block = codes[read : read + size * n].reshape(n, size)
+            step = max(1, AT_ONCE // (len(PLACES) * max(1, size)))
+            for i in range(0, n, step):
+                out[order[done + i : done + min(n, i + step)]] = products(block[i : i + step].T.astype(np.uint64, order="C"), self.weights)
+            done, read = done + n, read + size * n
+        return out
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(evidence @ self.calibration, -50, 50)))
@@ -116,38 +178,70 @@ class Scorer:
     KEEP, TOP = 300_000, 4
 
     def __init__(self, model: Model):
-        self.model, self.known = model, {}
-
-    def decide(self, bags: list[set[str]]) -> None:
-        """Make all words of the bags known."""
-        new = [w for w in set().union(*bags) if w not in self.known]
-        if len(self.known) + len(new) > self.KEEP:
-            self.known = {}
-            new = list(set().union(*bags))
-        spelt = [forms(w) for w in new]
-        flat = [x for ws in spelt for x in ws]
-        at, i = self.model.decisions(flat).tolist(), 0
-        for w, ws in zip(new, spelt, strict=True):
-            self.known[w] = max(at[i : i + len(ws)], default=self.model.bias)
-            i += len(ws)
+        self.model, self.known, self.before, self.high = model, {}, {}, set()
+        self.least = min(*COUNTED, model.bias + HIGH)
+
+    @classmethod
+    def of(cls, model: Model) -> Scorer:
+        """The model's scorer in this process: later tasks go on with the words that are known."""
+        if "scorer" not in model.__dict__:
+            model.__dict__["scorer"] = cls(model)
+        return model.__dict__["scorer"]
+
+    def decide(self, bags: Iterable[set[str]]) -> None:
+        """Make all words of the bags known. A spelling is decided once, whatever punctuation it has."""
+        words = set().union(*bags)
+        if self.known and len(self.known) + len(words.difference(self.known)) > self.KEEP:
+            self.before, self.known, self.high = self.known, {}, set()
+        parts, spelt = set(), {}
+        for w in self._unknown(words):
+            if w.isalnum():
+                parts.add(w)
+            else:
+                bare = w.strip(_ENDS)
+                spelt[w] = [bare] if bare.isalnum() else forms(w)
+        each = list(self._unknown(parts.union(*spelt.values())))
+        self._learn(dict(zip(each, self.model.decisions(each).tolist(), strict=True)))
+        self._learn({w: max(map(self.known.__getitem__, ws), default=self.model.bias) for w, ws in spelt.items()})
+
+    def _unknown(self, words: set[str]) -> set[str]:
+        """Those that are neither known nor were known before; the latter become known again."""
+        new = words.difference(self.known)
+        old = {w: self.before[w] for w in new if w in self.before}
+        self._learn(old)
+        return new.difference(old)
+
+    def _learn(self, found: dict[str, float]) -> None:
+        self.known.update(found)
+        self.high.update([w for w, d in found.items() if d > self.least])
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         bags = [tokens(t) for t in texts]
         self.decide(bags)
         out = np.empty((len(bags), self.TOP + 2 + len(COUNTED)))
         for row, bag in zip(out, bags, strict=True):
-            each = np.full(max(len(bag), self.TOP), self.model.bias)
-            each[: len(bag)] = np.fromiter(map(self.known.__getitem__, bag), float, len(bag))
-            row[0], row[1 : self.TOP + 1] = 1.0, np.sort(np.partition(each, -self.TOP)[-self.TOP :])[::-1]
-            row[self.TOP + 1] = np.log1p(max(len(bag), 16))
-            row[self.TOP + 2 :] = [np.log1p(np.count_nonzero(each[: len(bag)] > c)) for c in COUNTED]
+            high = bag & self.high
+            # all words count where fewer are high, and the bias for words that are lacking
+            each = sorted(map(self.known.__getitem__, high if len(high) >= self.TOP else bag), reverse=True)
+            if len(each) < self.TOP:
+                each = sorted([*each, *[self.model.bias] * (self.TOP - len(each))], reverse=True)
+            row[1 : self.TOP + 1] = each[: self.TOP]
+            row[self.TOP + 1] = max(len(bag), 16)
+            row[self.TOP + 2 :] = [sum(self.known[w] > c for w in high) for c in COUNTED]
+        out[:, 0], out[:, self.TOP + 1 :] = 1.0, np.log1p(out[:, self.TOP + 1 :])
         return out
 
-    def witnesses(self, text: str) -> dict[str, float]:
-        """The word of largest decision of each sentence."""
-        bags = [b for b in map(tokens, _SENTENCE.split(text)) if b]
-        self.decide(bags)
-        return {w: self.known[w] for w in (max(b, key=lambda w: (self.known[w], w)) for b in bags)}
+    def witnesses(self, texts: list[str]) -> Iterator[dict[str, float]]:
+        """The word of largest decision of each sentence, for each text."""
+        bags = [[b for b in map(tokens, _SENTENCE.split(t)) if b] for t in texts]
+        self.decide(chain.from_iterable(bags))
+        for sentences in bags:
+            yield {w: self.known[w] for w in map(self._largest, sentences)}
+
+    def _largest(self, bag: set[str]) -> str:
+        bag = bag & self.high or bag
+        most = max(map(self.known.__getitem__, bag))
+        return max([w for w in bag if self.known[w] == most])
 
 
 def nystrom_svm(landmarks: list[str], positive: dict[str, float], negative: list[str], penalty: float = 500.0, steps: int = 100) -> Model:
@@ -313,10 +407,10 @@ def _fit(sample: DataFrame, keep: Scratch, max_landmarks: int, max_positive: int
         shipped = ship(model)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            scorer, found = Scorer(shipped.value), ({}, {})
+            scorer, found = Scorer.of(shipped.value), ({}, {})
             for b in slices(batches):
-                for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    for w, d in scorer.witnesses(text).items():
+                for each, label in zip(scorer.witnesses(b.column(0).to_pylist()), b.column(1).to_pylist(), strict=True):
+                    for w, d in each.items():
                         if d > model.bias:
                             found[label].update(dict.fromkeys(forms(w), d))
             rows = [(w, label, d) for label in (0, 1) for w, d in found[label].items()]
@@ -339,7 +433,7 @@ def _fit(sample: DataFrame, keep: Scratch, max_landmarks: int, max_positive: int
     shipped = ship(model)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shipped.value)
+        scorer = Scorer.of(shipped.value)
         for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(list(scorer(b.column(0).to_pylist())), pa.list_(pa.float64()))], ["y", "x"])
 
@@ -356,7 +450,7 @@ def _scored(docs: DataFrame, model: Model | None, base_rate: float, text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value
-        scorer = Scorer(m) if m else None
+        scorer = Scorer.of(m) if m else None
         for b in slices(batches):
             found = m.score(scorer([t or "" for t in b.column(at).to_pylist()])) if m else np.full(b.num_rows, base_rate)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found)], schema.names)

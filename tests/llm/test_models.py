@@ -262,6 +262,74 @@ def test_kernel_normalises_and_windows():
     assert len(toxicity.windows("x" * 200)) > 8 and toxicity.tokens("a i d i o t b") >= {"aidiotb"}
 
 
+def random_model(seed):
+    rng = np.random.default_rng(seed)
+    return toxicity.Model(rng.normal(size=toxicity.DIMENSIONS).astype(np.float32), -0.9, np.ones(7))
+
+
+def plain_decision(model, word):
+    """The largest of a word's windows, by the general features."""
+    spelt = toxicity.windows(word)
+    row, dim, value = toxicity.features(spelt)
+    return max(np.bincount(row, value * model.weights[dim], minlength=len(spelt))) + model.bias
+
+
+def test_decisions_are_those_of_the_features():
+    model, rng = random_model(1), random.Random(2)
+    words = ["", "a", "aa", "aaa", "x" * 32, "x" * 33, "ab" * 40, "\u00df" * 35, "\U0001f600x\U0001f600", *("".join(rng.choices("abcde\u00e9", k=rng.randint(0, 70))) for _ in range(300))]
+    got = model.decisions(words)
+    assert np.allclose(got, [plain_decision(model, w) for w in words], rtol=0, atol=1e-12)
+    for n in (1, 2, 3, 7):  # the same in any company
+        assert (got == np.concatenate([model.decisions(words[i : i + n]) for i in range(0, len(words), n)])).all()
+    assert not len(model.decisions([]))
+
+
+@given(st.text("ab\u00e9 .,-_\n\x1c\u3000I1", max_size=40))
+@settings(max_examples=300, deadline=None)
+def test_letters_that_stand_apart_are_joined(text):
+    low = text.lower()
+    assert toxicity.tokens(text) == set(low.split()) | {toxicity._INNER.sub("", m[0]) for m in toxicity._SPACED.finditer(low)}
+
+
+@pytest.mark.parametrize("keep", [5, 60, 10_000])
+def test_evidence_and_witnesses_are_those_of_all_words(keep):
+    model, rng = random_model(3), random.Random(4)
+    texts = [" ".join(rng.choice(["an", "er", "on", "w,", "(x)", "f u c k", "snid-wurt", "--", "?"]) + rng.choice(["", "er", ".", "on,", "\n"]) for _ in range(rng.randint(0, 30))) for _ in range(60)]
+    scorer = toxicity.Scorer(model)
+    scorer.KEEP = keep
+    word = lambda t: max([plain_decision(model, f) for f in toxicity.forms(t)], default=model.bias)
+    for at in range(0, 60, 7):
+        some = texts[at : at + 7]
+        for row, found, text in zip(scorer(some), scorer.witnesses(some), some, strict=True):
+            bag = toxicity.tokens(text)
+            each = [word(t) for t in bag]
+            top = sorted([*each, *[model.bias] * (4 - len(each))], reverse=True)[:4]
+            assert np.allclose(row, [1, *top, np.log1p(max(len(bag), 16)), *(np.log1p(sum(d > c for d in each)) for c in toxicity.COUNTED)])
+            sentences = [b for b in map(toxicity.tokens, toxicity._SENTENCE.split(text)) if b]
+            assert found.keys() <= bag | set().union(*sentences)
+            assert np.allclose(sorted(found.values()), sorted({w: word(w) for w in found}.values()))
+            assert all(any(np.isclose(d, max(map(word, b))) for d in found.values()) for b in sentences)
+
+
+def test_a_spelling_is_decided_once(monkeypatch):
+    decided, own = [], toxicity.Model.decisions
+    monkeypatch.setattr(toxicity.Model, "decisions", lambda self, words: decided.extend(words) or own(self, words))
+    scorer = toxicity.Scorer(random_model(5))
+    for text in ("one two, (three) two", "one. Two! three four-five", "two? fourfive; five. FOUR"):
+        scorer([text])
+        list(scorer.witnesses([text]))
+    assert sorted(decided) == sorted(set(decided)) == ["five", "four", "fourfive", "one", "three", "two"]
+    scorer.KEEP = 8  # what goes from the words that are known is looked up among those that were known before
+    scorer(["six seven one"])
+    scorer(["one two eight"])
+    assert sorted(decided) == sorted(set(decided))
+
+
+def test_a_process_keeps_its_words_between_tasks():
+    model = random_model(6)
+    assert toxicity.Scorer.of(model) is toxicity.Scorer.of(model) is not toxicity.Scorer.of(random_model(6))
+
+
 def test_mixing(spark):
     rng = random.Random(8)
     rows = [(i, prose(rng, 50, ("an", "er", "on")) if i % 4 else prose(rng, 50, ("zu", "ko", "qi"))) for i in range(400)] + [(1000, None), (1001, ""), (None, "an er")]
